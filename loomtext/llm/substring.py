@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._arrow import lists, rows
 from ._hashing import WordHasher, int64
-from ._shared import Workspace
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW = 50
@@ -137,10 +136,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text, kept_sha256 of every document."""
-    spark = docs.sparkSession
-    space = Workspace(spark, "substring")
+    # the same join side as in repeated_windows, so that one shuffle of the texts serves both
     starts = repeated_windows(docs, window).groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
-    starts = space.save(starts, "starts")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     return texts.join(starts, "doc_id", "left").mapInArrow(
         _cut(window), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
