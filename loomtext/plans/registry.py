@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from loomtext.plans import documents, relations
+
+QUERIES = documents.QUERIES | relations.QUERIES
+ORACLE_SQL = documents.ORACLE_SQL | relations.ORACLE_SQL
