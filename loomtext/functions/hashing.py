@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
+from loomtext.functions.arrow import arrow_function
+
 _OFFSET, _PRIME, _MASK = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1  # fixed values: FNV-1a, 64 bits
 
 
@@ -15,7 +17,7 @@ def fnv1a(data: bytes) -> str:
     return format(h, "x")
 
 
-@F.arrow_udf("string")
+@arrow_function(pa.string())
 def fnv1a_hex(c: pa.Array) -> pa.Array:
     """MTH1: FNV-1a of the UTF-8 bytes, lower-case hex without padding."""
     return pa.array([None if x is None else fnv1a(x.encode("utf-8", "surrogatepass")) for x in c.to_pylist()], pa.string())

@@ -9,7 +9,8 @@ import os
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import functions as F
+
+from loomtext.functions.arrow import arrow_function
 
 LONGEST_OVERLAP = 256
 
@@ -65,27 +66,27 @@ def _pairwise(function, kind):
     return run
 
 
-@F.arrow_udf("int")
+@arrow_function(pa.int32())
 def common_prefix_column(a: pa.Array, b: pa.Array) -> pa.Array:
     return _pairwise(common_prefix, pa.int32())(a, b)
 
 
-@F.arrow_udf("int")
+@arrow_function(pa.int32())
 def common_suffix_column(a: pa.Array, b: pa.Array) -> pa.Array:
     return _pairwise(lambda x, y: common_suffix(x, y, common_prefix(x, y)), pa.int32())(a, b)
 
 
-@F.arrow_udf("int")
+@arrow_function(pa.int32())
 def overlap_column(a: pa.Array, b: pa.Array) -> pa.Array:
     return _pairwise(overlap, pa.int32())(a, b)
 
 
-@F.arrow_udf("boolean")
+@arrow_function(pa.bool_())
 def revision_column(a: pa.Array, b: pa.Array) -> pa.Array:
     return _pairwise(is_revision, pa.bool_())(a, b)
 
 
-@F.arrow_udf("string")
+@arrow_function(pa.string())
 def merge_column(a: pa.Array, b: pa.Array) -> pa.Array:
     a, b = pc.fill_null(a, ""), pc.fill_null(b, "")
     return _pairwise(merge, pa.string())(a, b)

@@ -9,6 +9,7 @@ from xml.parsers import expat
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomtext.functions.arrow import arrow_function
 from loomtext.functions.strings import is_blank, is_xml_text, trim_all, xml_clean
 
 ROOT, ITEM = "segments", "segment"
@@ -70,7 +71,7 @@ def parse_envelope(xml: str | None) -> list[dict] | None:
 _ITEMS = pa.list_(pa.struct([("id", pa.string()), ("text", pa.string())]))
 
 
-@F.arrow_udf("array<struct<id:string,text:string>>")
+@arrow_function(_ITEMS)
 def envelope_items(xml: pa.Array) -> pa.Array:
     return pa.array([parse_envelope(x) for x in xml.to_pylist()], _ITEMS)
 

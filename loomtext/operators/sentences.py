@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import functions as F
+
+from loomtext.functions.arrow import arrow_function
 
 # Korean sentence endings, abbreviations and marks.
 STRONG = ("습니다", "ㅂ니다", "입니다", "합니다", "됩니다", "군요", "네요", "지요", "죠")
@@ -80,8 +81,11 @@ def split_sentences(text: str, trailing: bool = True) -> tuple[list[str], str]:
     return done, text[at:].strip()
 
 
-@F.arrow_udf("struct<completed:array<string>,remainder:string>")
+_SPLIT = pa.struct([("completed", pa.list_(pa.string())), ("remainder", pa.string())])
+
+
+@arrow_function(_SPLIT)
 def sentences(text: pa.Array) -> pa.Array:
     """Column form, endings at the end of the text counted."""
     found = [split_sentences(x or "") for x in text.to_pylist()]
-    return pa.array([{"completed": a, "remainder": b} for a, b in found], pa.struct([("completed", pa.list_(pa.string())), ("remainder", pa.string())]))
+    return pa.array([{"completed": a, "remainder": b} for a, b in found], _SPLIT)

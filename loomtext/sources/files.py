@@ -7,6 +7,7 @@ import codecs
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from loomtext.functions.arrow import arrow_function
 from loomtext.functions.strings import trim_all
 from loomtext.operators.text import markdown_score
 
@@ -73,13 +74,13 @@ def encode(text: str, encoding: str, mark: bool) -> bytes | None:
 _DECODED = pa.struct([("text", pa.string()), ("encoding", pa.string()), ("mark", pa.bool_())])
 
 
-@F.arrow_udf("struct<text:string,encoding:string,mark:boolean>")
+@arrow_function(_DECODED)
 def decoded(content: pa.Array) -> pa.Array:
     found = [decode(x or b"") for x in content.to_pylist()]
     return pa.array([dict(zip(("text", "encoding", "mark"), x)) for x in found], _DECODED)
 
 
-@F.arrow_udf("binary")
+@arrow_function(pa.binary())
 def encoded(text: pa.Array, encoding: pa.Array, mark: pa.Array) -> pa.Array:
     return pa.array([encode(t or "", e or "utf-8", bool(m)) for t, e, m in zip(text.to_pylist(), encoding.to_pylist(), mark.to_pylist())], pa.binary())
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from loomtext.functions.arrow import arrow_function
 from loomtext.functions.merging import common_prefix
 from loomtext.functions.timing import speech_seconds
 
@@ -63,7 +64,7 @@ def cue_plan(previous: str, updated: str, highlight: int) -> dict:
 _PLAN = pa.struct([("preserved", pa.int32()), ("tracked", pa.string()), ("cue", pa.struct([("start", pa.int32()), ("text", pa.string())])), ("reset", pa.bool_())])
 
 
-@F.arrow_udf("struct<preserved:int,tracked:string,cue:struct<start:int,text:string>,reset:boolean>")
+@arrow_function(_PLAN)
 def cue_plans(previous: pa.Array, updated: pa.Array, highlight: pa.Array) -> pa.Array:
     return pa.array([cue_plan(a or "", b or "", h or 0) for a, b, h in zip(previous.to_pylist(), updated.to_pylist(), highlight.to_pylist())], _PLAN)
 

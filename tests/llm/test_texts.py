@@ -86,7 +86,7 @@ def test_elias_fano_gives_every_start(gaps):
     assert [ef[i] for i in range(0, len(values), 7)] == values[::7].tolist()
 
 
-TRICKY = st.text(alphabet=list("ab \n\t'") + ["  ", "é", "12", "!!", "'s", "\x1c", " ", "<|endoftext|>", "ｘ"], max_size=60)
+TRICKY = st.lists(st.sampled_from([*"ab \n\t'éｘ", "  ", "12", "!!", "'s", "\x1c", "\xa0", "<|endoftext|>"]), max_size=40).map("".join)
 
 
 @settings(max_examples=200, deadline=None)
