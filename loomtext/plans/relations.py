@@ -69,14 +69,14 @@ def snk1_csv(spark, d):
     return exports.conversation_csv(said).select("conv_id", F.md5("csv").alias("digest"), F.length("csv").alias("n"))
 
 
-SNK1 = r"""
+SNK1 = r'''
 WITH r AS (
   SELECT conv_id, turn, '"' || replace(role, '"', '""') || '","en","' || replace(text, '"', '""') || '","a ""b""","' || strftime(to_timestamp(turn) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') || '"' AS row FROM conversations
 ), c AS (
   SELECT conv_id, chr(65279) || '"Speaker","Language","Original","Translation","Time"' || chr(13) || chr(10) || string_agg(row, chr(13) || chr(10) ORDER BY turn, row) || chr(13) || chr(10) AS csv FROM r GROUP BY conv_id
 )
 SELECT conv_id, md5(csv) AS digest, CAST(length(csv) AS INTEGER) AS n FROM c
-"""
+'''
 
 
 def jn1_bijection(spark, d):

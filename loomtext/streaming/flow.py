@@ -13,13 +13,13 @@ from loomtext.functions.timing import speech_seconds
 def debounced(events: DataFrame, key: str, at: str = "ts", idle_seconds: float = 1.0) -> DataFrame:
     """STM8: events after which their key is idle: the latest of each burst."""
     following = F.lead(at).over(Window.partitionBy(key).orderBy(at, "event_id"))
-    wait = (F.unix_micros(following) - F.unix_micros(at)) / 1e6
+    wait = (F.unix_micros(following.cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))) / 1e6
     return events.withColumn("wait", wait).where(F.col("wait").isNull() | (F.col("wait") > idle_seconds)).drop("wait")
 
 
 def coalesced_writes(events: DataFrame, key: str, at: str = "ts", millis: int = 100) -> DataFrame:
     """STM9: of the changes of a key within one interval the newest is written."""
-    slot = F.floor(F.unix_millis(at) / millis)
+    slot = F.floor(F.unix_millis(F.col(at).cast("timestamp")) / millis)
     return events.withColumn("slot", slot).groupBy(key, "slot").agg(F.max_by("event_id", F.struct(at, "event_id")).alias("event_id"), F.count("*").alias("changes"))
 
 
