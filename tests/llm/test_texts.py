@@ -252,7 +252,7 @@ def test_quality_of_odd_input(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1)], "doc_id long, quality int")
     docs = frame(spark, [(1, "a"), (2, None), (None, ""), (4, "X!! " * 30000)])
     got = quality.score_quality(docs, quality.learn(docs, labels)).collect()
-    assert len(got) == 4 and all(r.score == 0.3 and r.predicted == 1 for r in got)  # one label only: nothing learned
+    assert len(got) == 4 and all(abs(r.score - 0.3) < 1e-9 and r.score >= 0.3 and r.predicted == 1 for r in got)  # one label only: nothing learned
     assert quality.learn(docs.where("false"), labels.where("false")).weights.any() == np.False_
 
 
