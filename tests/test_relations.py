@@ -193,7 +193,7 @@ def test_small_choices(spark):
     one = spark.range(1)
     row = one.select(
         strings.display_code(F.lit("zh_TW"), True).alias("a"), strings.ocr_hint(F.lit("zh-CN")).alias("b"), strings.error_text(F.lit("Bad"), F.lit("bad request")).alias("c"), strings.first_message(F.lit(" "), F.lit(None), F.lit(3)).alias("d"),
-        strings.is_model_id(F.lit("gemini-1.5_pro")).alias("e"), strings.is_model_id(F.lit("-x")).alias("f"), strings.is_language_tag(F.lit("zh-Hans-CN")).alias("g"), strings.strip_fence(F.lit("```xml\n<a/>\n```")).alias("h"),
+        strings.is_model_id(F.lit("model-1.5_pro")).alias("e"), strings.is_model_id(F.lit("-x")).alias("f"), strings.is_language_tag(F.lit("zh-Hans-CN")).alias("g"), strings.strip_fence(F.lit("```xml\n<a/>\n```")).alias("h"),
         strings.markdown_run(F.lit("a`b"), F.lit(True), F.lit(True), F.lit(True), F.lit("u")).alias("i"), strings.swap_languages(F.lit("auto"), F.lit("ko")).alias("j"), geometry.run_scale(F.lit(50.0), F.lit(100.0)).alias("k"),
         scene.text_visual_policy(F.array(F.struct(F.lit(True).alias("safe"), F.lit(True).alias("visible_ink")))).alias("l"), envelope.has_exact_keys(F.lit('{"translation":1}'), "translation").alias("m"), strings.zip_adjacent(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("n"),
     ).first()
