@@ -67,14 +67,14 @@ def contrast_text_color(r: Column, g: Column, b: Column) -> Column:
 
 
 def inferred_alignment(left: Column, width: Column, column_left: Column, column_width: Column, size: Column, marker: Column) -> Column:
-    """MTH9: alignment of a line in its column."""
+    """MTH9: alignment of a line in its column; list items and lines as wide as the column are left."""
     tolerance = F.least(F.greatest(0.8 * size, F.lit(5.0)), F.lit(18.0))
     before = left - column_left
     after = column_left + column_width - (left + width)
     return (
-        F.when(marker, "left")
-        .when((F.abs(before - after) <= tolerance) & (before > tolerance), "center")
-        .when((after <= tolerance) & (before > tolerance), "right")
+        F.when(marker | (column_width <= width), "left")
+        .when((F.abs(before - after) / 2 <= tolerance) & (before > tolerance) & (after > tolerance), "center")
+        .when((F.abs(after) <= tolerance) & (before > 2 * tolerance), "right")
         .otherwise("left")
     )
 

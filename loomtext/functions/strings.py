@@ -88,14 +88,14 @@ def normalize_code(c: Column) -> Column:
 
 
 def display_code(c: Column, source: bool) -> Column:
-    """STR16: script and region for the two Chinese variants; ``auto`` only as a source."""
+    """STR16: script and region for the two Chinese variants; ``auto`` only as a source; null where the tag is not plausible."""
     code = normalize_code(c)
     return (
-        F.when(code.isin("zh-cn") | code.startswith("zh-hans"), "zh-Hans-CN")
-        .when(code.isin("zh-tw") | code.startswith("zh-hant"), "zh-Hant-TW")
-        .when(code == "auto", F.lit("auto") if source else F.lit(None))
-        .when(code == "", None)
-        .otherwise(trim_all(c))
+        F.when(code == "auto", F.lit("auto") if source else F.lit(None))
+        .when(~is_language_tag(c), None)
+        .when(code.isin("zh-cn", "zh-hans", "zh-hans-cn"), "zh-Hans-CN")
+        .when(code.isin("zh-tw", "zh-hant", "zh-hant-tw"), "zh-Hant-TW")
+        .otherwise(F.replace(trim_all(c), F.lit("_"), F.lit("-")))
     )
 
 
@@ -146,26 +146,23 @@ def is_language_tag(c: Column) -> Column:
     return F.replace(trim_all(c), F.lit("_"), F.lit("-")).rlike(r"^[A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*$")
 
 
-def safe_file_name(c: Column, default: str = "conversation") -> Column:
+def safe_file_name(c: Column, default: str = "live-conversation") -> Column:
     """SNK2: white space and reserved characters become ``_``; none at the ends."""
     name = F.regexp_replace(c, rf'(?:{WS}|[/\\:*?"<>|])', "_")
     name = F.regexp_replace(name, r"^[_.]+|[_.]+$", "")
     return F.coalesce(F.nullif(name, F.lit("")), F.lit(default))
 
 
-def engine_summary(backend: Column, provider: Column, model: Column) -> Column:
-    """PRJ1: who translated; older rows lack backend and provider."""
-    return (
-        F.when(backend.isNull() & provider.isNull(), model)
-        .when(backend == "system", F.lit("System"))
-        .otherwise(F.concat_ws(" · ", provider, model))
-    )
+def engine_summary(backend: Column, provider: Column, model: Column, server_name: str = "App server", unknown: str = "unknown") -> Column:
+    """PRJ1: who translated: the local server by its name, else the provider; older rows may lack both."""
+    engine = F.when(backend == "appServer", server_name).otherwise(F.coalesce(provider, F.when(backend == "llmAPI", "LLM API").otherwise(unknown)))
+    return F.concat(F.lit("engine: "), engine, F.lit(" · model: "), model)
 
 
 def swap_languages(source: Column, target: Column) -> Column:
     """PRJ2: struct(source, target) after a swap; an automatic source becomes the old target."""
     auto = normalize_code(source) == "auto"
-    other = F.when(normalize_code(target).startswith("ko"), "en").otherwise("ko")
+    other = F.when(normalize_code(target) == "ko", "en").otherwise("ko")
     return F.struct(target.alias("source"), F.when(auto, other).otherwise(source).alias("target"))
 
 

@@ -94,19 +94,18 @@ def last_representative(rows: DataFrame, keys: list[str], ordinal: str, *values:
 
 
 def dominant_color(samples: DataFrame, *keys: str) -> DataFrame:
-    """AGG9: mean colour of the fullest of 12 x 12 x 12 buckets."""
-    bucket = [F.round(F.col(c) * 12).cast("int").alias(f"b{c}") for c in "rgb"]
+    """AGG9: mean colour of the fullest of 12 x 12 x 12 buckets, the first of equals; ``dominant`` of ``samples`` lie in it."""
+    bucket = [F.least(F.lit(11), F.floor(F.col(c) * 12)).cast("int").alias(f"b{c}") for c in "rgb"]
     seen = samples.select(*keys, *"rgb", *bucket).groupBy(*keys, "br", "bg", "bb").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "rgb"])
     best = F.max_by(F.struct(*"rgb"), F.struct("n", F.struct(-F.col("br"), -F.col("bg"), -F.col("bb")))).alias("c")
-    return seen.groupBy(*keys).agg(best, F.sum("n").alias("samples")).select(*keys, "c.r", "c.g", "c.b", "samples")
+    return seen.groupBy(*keys).agg(best, F.max("n").alias("dominant"), F.sum("n").alias("samples")).select(*keys, "c.r", "c.g", "c.b", "dominant", "samples")
 
 
 def is_complex(samples: DataFrame, dominant: DataFrame, *keys: str) -> DataFrame:
-    """AGG10: whether more than 12 % of the samples are far from the dominant colour and far on average."""
+    """AGG10: whether more than 12 % of the samples lie outside the dominant bucket, and all are far from its colour on average."""
     joined = samples.alias("s").join(dominant.alias("d"), list(keys))
     d2 = color_distance2(*({c: F.col(f"{a}.{c}") for c in "rgb"} for a in "sd"))
-    other = d2 > 0.02
-    out = joined.groupBy(*keys).agg((F.count_if(other) / F.count("*")).alias("secondary"), F.avg(d2).alias("mean_d2"))
+    out = joined.groupBy(*keys).agg((1 - F.max(F.col("d.dominant")) / F.count("*")).alias("secondary"), F.avg(d2).alias("mean_d2"))
     return out.withColumn("complex", (F.col("secondary") > 0.12) & (F.col("mean_d2") > 0.02))
 
 
@@ -122,15 +121,19 @@ def median_deviation(values: Column) -> Column:
 
 
 def block_alignment(lines: DataFrame, *keys: str) -> DataFrame:
-    """AGG11: the edge whose positions spread least, where it leads clearly; else null."""
+    """AGG11: the edge whose positions spread least, where it leads clearly; else null.
+
+    Lines of nearly one width, single lines and lists (``marker``) say nothing.
+    """
     per = lines.groupBy(*keys).agg(
         F.collect_list("x").alias("l"), F.collect_list(F.col("x") + F.col("w") / 2).alias("m"), F.collect_list(F.col("x") + F.col("w")).alias("r"),
         F.max("size").alias("f"), F.count("*").alias("n"), (F.max("w") - F.min("w")).alias("spread"),
+        (F.bool_or("marker") if "marker" in lines.columns else F.lit(False)).alias("listed"),
     )
     d = {k: median_deviation(F.col(k)) for k in "lmr"}
     ranked = F.array_sort(F.array(*[F.struct(d[k].alias("d"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (k, name) in enumerate((("l", "left"), ("m", "center"), ("r", "right")))]))
     best, second = ranked[0], ranked[1]
-    clear = (F.col("n") >= 2) & (F.col("spread") > 1) & (best["d"] <= F.greatest(F.lit(1.25), 0.11 * F.col("f"))) & (second["d"] - best["d"] >= F.greatest(F.lit(1.5), 0.22 * F.col("f")))
+    clear = (F.col("n") >= 2) & ~F.col("listed") & (F.col("spread") >= F.greatest(F.lit(4.0), 0.7 * F.col("f"))) & (best["d"] <= F.greatest(F.lit(1.25), 0.11 * F.col("f"))) & (second["d"] - best["d"] >= F.greatest(F.lit(1.5), 0.22 * F.col("f")))
     return per.select(*keys, F.when(clear, best["name"]).alias("alignment"))
 
 
@@ -167,7 +170,14 @@ def grouped_warnings(warnings: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 # Warnings that must be acknowledged before a document is written.
-ACKNOWLEDGED = ("complexBackground", "unsafeMask", "ocrFailed", "lowConfidence", "missingGlyphs", "textOverflow")
+ACKNOWLEDGED = (
+    "hybridOCRUnavailable",
+    "rotatedHybridOCRUnsupported",
+    "lowOCRConfidence",
+    "ocrRequired",
+    "rotatedOCRUnsupported",
+    "pageHasNoTranslatableText",
+)
 
 
 def needs_acknowledgement(warnings: DataFrame) -> DataFrame:

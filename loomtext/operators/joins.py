@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomtext.functions.geometry import area, mid_x, mid_y, overlap_area, overlap_of_smaller
+from loomtext.functions.geometry import area, color_distance2, mid_x, mid_y, overlap_area, overlap_of_smaller
 from loomtext.functions.strings import normalize_spaces
 
 
@@ -48,14 +48,16 @@ def occluded(templates: DataFrame, foreground: DataFrame, share: float = 0.55, p
 
 
 def touching_chrome(rows: DataFrame, seeds: DataFrame, page: str = "page") -> DataFrame:
-    """JN9: small native rows of the bottom tenth next to a seed; one hop, as seeds are fixed."""
+    """JN9: small native rows of the bottom tenth next to a seed there; one hop, as seeds are fixed. Rows carry r, g, b and page_height."""
     a, b = _rect("r"), _rect("s")
     gap_x = F.greatest(a["x"] - (b["x"] + b["w"]), b["x"] - (a["x"] + a["w"]), F.lit(0.0))
     gap_y = F.greatest(a["y"] - (b["y"] + b["h"]), b["y"] - (a["y"] + a["h"]), F.lit(0.0))
     height = F.col("r.page_height")
-    close = (gap_x <= 3 * F.greatest(F.col("r.size"), F.col("s.size"))) & (gap_y <= 1.5 * F.greatest(a["h"], b["h"]))
-    alike = (F.abs(F.col("r.size") - F.col("s.size")) <= 3) & (F.col("r.color") == F.col("s.color"))
-    low = (F.col("r.source") == "native") & (a["y"] + a["h"] <= 0.1 * height) & (F.col("r.size") <= F.greatest(F.lit(12.0), 0.03 * height))
+    large = F.greatest(F.col("r.size"), F.col("s.size"))
+    close = (gap_x <= F.greatest(F.lit(14.0), 2 * large)) & (gap_y <= F.greatest(F.lit(8.0), 1.5 * large))
+    shades = color_distance2(*({c: F.col(f"{t}.{c}") for c in ("r", "g", "b")} for t in ("r", "s")))
+    alike = (F.abs(F.col("r.size") - F.col("s.size")) <= 3) & (shades <= 0.08)
+    low = (F.col("r.source") == "native") & (a["y"] + a["h"] <= 0.1 * height) & (b["y"] + b["h"] <= 0.1 * height) & (F.col("r.size") <= F.greatest(F.lit(10.0), 0.027 * height))
     return rows.alias("r").join(seeds.alias("s"), (F.col(f"r.{page}") == F.col(f"s.{page}")) & (F.col("r.id") != F.col("s.id")) & low & close & alike, "left_semi")
 
 

@@ -230,32 +230,58 @@ def color_runs(runs: DataFrame, *keys: str, order: str = "ordinal") -> DataFrame
 # text boxes and rectangles -----------------------------------------------------------------
 
 
-def _merge_boxes(limits: dict):
+def _merge_boxes(level: str):
+    size_share, gap_least, gap_share, left_least, left_share = MERGE_LEVELS[level]
+
+    def higher(a: dict, b: dict) -> int:
+        top_a, top_b = a["y"] + a["h"], b["y"] + b["h"]
+        if abs(top_a - top_b) > 0.5:
+            return -1 if top_a > top_b else 1
+        return (a["x"] > b["x"]) - (a["x"] < b["x"])
+
+    def continues(now: dict, box: dict) -> bool:
+        if {now["role"], box["role"]} != {"editableContent"} or now["alignment"] != box["alignment"]:
+            return False
+        scale = max(5.0, now["size"], box["size"])
+        left = max(left_least, left_share * scale)
+        if abs(now["size"] - box["size"]) > size_share * scale or now["y"] - (box["y"] + box["h"]) > max(gap_least, gap_share * scale):
+            return False
+        touching = box["y"] + box["h"] >= now["y"] and now["y"] + now["h"] >= box["y"]
+        shared = max(0.0, min(now["x"] + now["w"], box["x"] + box["w"]) - max(now["x"], box["x"])) if touching else 0.0
+        if shared < 0.22 * max(1.0, min(now["w"], box["w"])) and abs(now["x"] - box["x"]) > left:
+            return False
+        tabs = [r.get("tab_stops") or [] for r in (now, box)]
+        return len(tabs[0]) == len(tabs[1]) and all(abs(p - q) <= left for p, q in zip(*tabs))
+
+    def joined(now: dict, box: dict) -> dict:
+        x, y = min(now["x"], box["x"]), min(now["y"], box["y"])
+        new = now | {"x": x, "y": y, "w": max(r["x"] + r["w"] for r in (now, box)) - x, "h": max(r["y"] + r["h"] for r in (now, box)) - y}
+        new |= {"id": f"merged-{now['id']}-{box['id']}", "text": f"{now['text']}\n{box['text']}", "size": max(now["size"], box["size"])}
+        if "tab_stops" in now:
+            new["tab_stops"] = (now["tab_stops"] or []) + (box["tab_stops"] or [])
+        return new
+
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        boxes = sorted(rows.to_pylist(), key=lambda r: (-round((r["y"] + r["h"]) / 0.5), r["x"], r["id"]))
         out: list[dict] = []
-        for b in boxes:
-            now = out[-1] if out else None
-            if now and now["role"] == b["role"] and now["alignment"] == b["alignment"] and now["column_index"] == b["column_index"]:
-                gap = now["y"] - (b["y"] + b["h"])
-                if abs(now["size"] - b["size"]) <= limits["size"] and abs(now["x"] - b["x"]) <= limits["left"] and -2 <= gap <= limits["gap"] * max(now["size"], b["size"]):
-                    right, top = max(now["x"] + now["w"], b["x"] + b["w"]), max(now["y"] + now["h"], b["y"] + b["h"])
-                    now["x"], now["y"] = min(now["x"], b["x"]), min(now["y"], b["y"])
-                    now["w"], now["h"] = right - now["x"], top - now["y"]
-                    now["text"] += "\n" + b["text"]
-                    continue
-            out.append(dict(b))
+        for box in sorted(sorted(rows.to_pylist(), key=lambda r: r["id"]), key=cmp_to_key(higher)):
+            if out and continues(out[-1], box):
+                out[-1] = joined(out[-1], box)
+            else:
+                out.append(box)
         return pa.Table.from_pylist(out, rows.schema)
 
     return run
 
 
-MERGE_LEVELS = {"balanced": {"size": 0.75, "left": 4.0, "gap": 0.9}, "broad": {"size": 1.5, "left": 12.0, "gap": 1.6}}
+# Size difference as a share, gap and left edge each as points and as a share of the size.
+MERGE_LEVELS = {"balanced": (0.18, 18.0, 1.25, 10.0, 1.25), "broad": (0.35, 36.0, 2.5, 24.0, 2.5)}
 
 
 def merged_boxes(boxes: DataFrame, level: str = "balanced", *keys: str) -> DataFrame:
-    """GRP5: boxes from the top that continue the box built so far, which is what each is compared with."""
-    return boxes.groupBy(*(keys or ("page",))).applyInArrow(_merge_boxes(MERGE_LEVELS[level]), boxes.schema)
+    """GRP5: boxes (role, alignment, …) from the top that continue the box built so far, which is what each is compared with."""
+    if level == "separate":
+        return boxes
+    return boxes.groupBy(*(keys or ("page",))).applyInArrow(_merge_boxes(level), boxes.schema)
 
 
 def _contained(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -264,13 +290,15 @@ def _contained(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         within = a["x"] - t <= b["x"] and a["y"] - t <= b["y"] and a["x"] + a["w"] + t >= b["x"] + b["w"] and a["y"] + a["h"] + t >= b["y"] + b["h"]
         return within and a["w"] >= b["w"] + 2 and a["h"] >= b["h"] + 2 and max(abs(a[c] - b[c]) for c in "rgb") <= 0.012
 
+    def plain(r: dict) -> bool:
+        return r["opaque"] and not r["stroked"] and r["w"] > 1 and r["h"] > 1
+
     kept: list[dict] = []
     for r in sorted(rows.to_pylist(), key=lambda r: (r["paint_order"], r["id"])):
-        plain = r["opaque"] and not r["stroked"]
-        if plain and any(k["opaque"] and not k["stroked"] and holds(k, r) for k in kept):
-            continue
-        if plain:
-            kept = [k for k in kept if not (k["opaque"] and not k["stroked"] and holds(r, k))]
+        if plain(r):
+            if any(plain(k) and holds(k, r) for k in kept):
+                continue
+            kept = [k for k in kept if not (plain(k) and holds(r, k))]
         kept.append(r)
     return pa.Table.from_pylist(kept, rows.schema)
 

@@ -12,30 +12,35 @@ def pages_with_blocks(pages: DataFrame) -> DataFrame:
     return pages.where(F.size("blocks") > 0)
 
 
-def image_can_be_drawn(opaque: Column, alpha: Column, clipped: Column, raster_fallback: Column, keep_transparency: Column) -> Column:
-    """FIL10: opaque unclipped images always; others if transparency is kept and the page is not a picture."""
-    return (opaque & (alpha >= 0.999) & ~clipped) | (keep_transparency & ~raster_fallback)
+def image_can_be_drawn(native: Column, clipped: Column, has_alpha: Column, masked: Column, layered: Column, raster_fallback: Column, keep_alpha: Column) -> Column:
+    """FIL10: transparent or masked images only if that is kept; over a repaired page picture native ones without a clip, else what the layered template allows."""
+    return (keep_alpha | ~(has_alpha | masked)) & F.when(raster_fallback, native & ~clipped).otherwise(layered)
 
 
-def vector_can_be_drawn(native: Column, alpha: Column, verified: Column, strict: Column) -> Column:
-    """FIL11: native and, where strict, opaque and verified."""
-    return native & (~strict | ((alpha >= 0.999) & verified))
+def vector_can_be_drawn(native: Column, alpha: Column, verified: Column, raster_fallback: Column, keep_vectors: Column) -> Column:
+    """FIL11: over a page picture only opaque verified vectors, else all native ones. ``alpha`` is the lower of stroke and fill."""
+    return keep_vectors & native & (~raster_fallback | ((alpha >= 0.999) & verified))
 
 
 def text_visual_policy(lines: Column) -> Column:
-    """FIL12: by all lines (array of struct(safe, visible_ink)): preserve, replace or repair."""
-    safe, ink = F.forall(lines, lambda x: x["safe"]), F.exists(lines, lambda x: x["visible_ink"])
-    return F.when(~ink, "preserve").when(safe, "replace").otherwise("repair")
-
-
-ALLOWANCE = {"strict": (1, 4.0), "balanced": (2, 12.0), "broad": (4, 36.0)}
-
-
-def needs_floating_box(shaded: Column, fonts: Column, tabs: Column, indents: Column, level: str = "balanced") -> Column:
-    """FIL13: paragraphs that flowing text can't hold: shading, several fonts, tabs, drifting indents."""
-    most_fonts, drift = ALLOWANCE[level]
-    spread = F.array_max(indents) - F.array_min(indents)
-    return shaded | (F.size(F.array_distinct(fonts)) > most_fonts) | (tabs > 0) | (F.coalesce(spread, F.lit(0.0)) > drift)
+    """FIL12: by all lines (array of struct(editable, safe)): preserve, replace or repair."""
+    editable, safe = F.forall(lines, lambda x: x["editable"]), F.forall(lines, lambda x: x["safe"])
+    return F.when((F.size(lines) == 0) | ~editable, "preserve").when(safe, "replace").otherwise("repair")
+
+
+def needs_floating_box(shaded_lines: Column, lines: Column, fonts: Column, has_tabs: Column, indents: Column, size: Column, alignment: Column, level: str = "balanced") -> Column:
+    """FIL13: text that a flowing paragraph can't hold: panels, several fonts, tabs, drifting indents, and by level more."""
+    if level == "never":
+        return F.lit(False)
+    panel = (shaded_lines > 0) & ((shaded_lines == lines) | (lines == 1))
+    mixed = (F.size(F.array_distinct(fonts)) > 1) | has_tabs
+    spread = F.coalesce(F.array_max(indents) - F.array_min(indents), F.lit(0.0))
+    scale = F.greatest(F.lit(5.0), size)
+    if level == "conservative":
+        return panel | mixed | (spread > F.greatest(F.lit(12.0), scale))
+    several = lines > 1
+    balanced = panel | mixed | (spread > F.greatest(F.lit(6.0), 0.5 * scale)) | (several & (alignment != "left"))
+    return balanced | several if level == "permissive" else balanced
 
 
 def pipeline_options(options: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def markdown_score(text: Column, most: int = 400) -> Column:
             + flag(x.startswith("```"), 2)
             + flag(x.rlike(rf"^[-*+]{WS}+\S"))
             + flag(x.rlike(rf"^\p{{Nd}}+[.)]{WS}+\S"))
-            + flag(x.rlike(r"\[[^\]]+\]\([^)]+\)") | x.startswith(">"))
+            + flag(x.contains("](") | x.startswith("> "))
             + flag(F.regexp_count(x, F.lit(r"\|")) >= 2)
         )
 

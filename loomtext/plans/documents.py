@@ -38,7 +38,7 @@ s AS (
   SELECT doc_id, text, coalesce(list_sum(list_transform(x, lambda v:
     CASE WHEN regexp_matches(v, '^#{1,6}[\s\x{85}\p{Z}]+\S') THEN 2 ELSE 0 END + CASE WHEN starts_with(v, '```') THEN 2 ELSE 0 END
     + CASE WHEN regexp_matches(v, '^[-*+][\s\x{85}\p{Z}]+\S') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(v, '^\p{Nd}+[.)][\s\x{85}\p{Z}]+\S') THEN 1 ELSE 0 END
-    + CASE WHEN regexp_matches(v, '\[[^\]]+\]\([^)]+\)') OR starts_with(v, '>') THEN 1 ELSE 0 END + CASE WHEN len(string_split(v, '|')) > 2 THEN 1 ELSE 0 END)), 0) AS score FROM t
+    + CASE WHEN contains(v, '](') OR starts_with(v, '> ') THEN 1 ELSE 0 END + CASE WHEN len(string_split(v, '|')) > 2 THEN 1 ELSE 0 END)), 0) AS score FROM t
 )
 SELECT 'doc-' || doc_id AS url, CASE WHEN score >= 3 THEN 'markdown' ELSE 'text' END AS kind, 'utf-8' AS encoding, CAST(octet_length(encode(text)) AS BIGINT) AS byte_count,
        text = '' AS is_empty, CAST(CASE WHEN score >= 3 THEN 82 ELSE 72 END AS INTEGER) AS confidence FROM s
@@ -259,7 +259,7 @@ def snk2_names(spark, d):
 
 
 SNK2 = r"""
-SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '(?:[\s\x{85}\p{Z}]|[/\\:*?"<>|])', '_', 'g'), '^[_.]+', ''), '[_.]+$', '') AS name, 'conversation' AS blank FROM pages
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '(?:[\s\x{85}\p{Z}]|[/\\:*?"<>|])', '_', 'g'), '^[_.]+', ''), '[_.]+$', '') AS name, 'live-conversation' AS blank FROM pages
 """
 
 

@@ -65,15 +65,15 @@ SELECT conv_id, CAST(k AS INTEGER) AS k, md5(u.text) AS a, md5(v.text) AS b FROM
 
 
 def snk1_csv(spark, d):
-    said = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("seq"), F.col("role").alias("speaker"), F.lit("en").alias("language"), F.col("text").alias("original"), F.lit('a "b"').alias("translated"), F.timestamp_seconds(F.col("turn")).alias("at"))
+    said = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("seq"), F.lit("t, 1").alias("title"), F.col("role").alias("speaker"), F.col("text").alias("original"), F.lit('a "b"').alias("translated"), F.timestamp_seconds(F.col("turn")).alias("at"))
     return exports.conversation_csv(said).select("conv_id", F.md5("csv").alias("digest"), F.length("csv").alias("n"))
 
 
 SNK1 = r'''
 WITH r AS (
-  SELECT conv_id, turn, '"' || replace(role, '"', '""') || '","en","' || replace(text, '"', '""') || '","a ""b""","' || strftime(to_timestamp(turn) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') || '"' AS row FROM conversations
+  SELECT conv_id, turn, '"t, 1","' || strftime(to_timestamp(turn) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') || '","' || replace(role, '"', '""') || '","' || replace(text, '"', '""') || '","a ""b"""' AS row FROM conversations
 ), c AS (
-  SELECT conv_id, chr(65279) || '"Speaker","Language","Original","Translation","Time"' || chr(13) || chr(10) || string_agg(row, chr(13) || chr(10) ORDER BY turn, row) || chr(13) || chr(10) AS csv FROM r GROUP BY conv_id
+  SELECT conv_id, chr(65279) || '"conversation_title","timestamp","speaker","original_text","translated_text"' || chr(13) || chr(10) || string_agg(row, chr(13) || chr(10) ORDER BY turn, row) || chr(13) || chr(10) AS csv FROM r GROUP BY conv_id
 )
 SELECT conv_id, md5(csv) AS digest, CAST(length(csv) AS INTEGER) AS n FROM c
 '''
@@ -281,7 +281,16 @@ SELECT page, s[len(s) // 2 + 1] AS advance, room FROM m JOIN r USING (page)
 
 def agg9_color(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("label").alias("area"), *[F.round(F.abs(F.get("embedding", i)) % 1, 3).cast("double").alias(c) for i, c in enumerate("rgb")])
-    return aggregates.dominant_color(rows, "area").select("area", *[F.round(c, 6).alias(c) for c in "rgb"], "samples")
+    return aggregates.dominant_color(rows, "area").select("area", *[F.round(c, 6).alias(c) for c in "rgb"], "dominant", "samples")
+
+
+AGG9 = """
+WITH e AS (SELECT label AS area, round(abs(embedding[1]) % 1, 3)::DOUBLE AS r, round(abs(embedding[2]) % 1, 3)::DOUBLE AS g, round(abs(embedding[3]) % 1, 3)::DOUBLE AS b FROM embeddings),
+k AS (SELECT *, least(11, floor(r * 12)) AS x, least(11, floor(g * 12)) AS y, least(11, floor(b * 12)) AS z FROM e),
+s AS (SELECT area, x, y, z, count(*) AS n, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM k GROUP BY 1, 2, 3, 4),
+o AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY n DESC, x, y, z) AS p, sum(n) OVER (PARTITION BY area) AS t FROM s)
+SELECT area, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b, n AS dominant, CAST(t AS BIGINT) AS samples FROM o WHERE p = 1
+"""
 
 
 def mth_geometry(spark, d):
@@ -322,5 +331,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "src8_live_frames": SRC8, "jn14_pairs": JN14, "snk1_csv": SNK1, "jn1_bijection": JN1, "dq1_requests": DQ1, "agg3_repeated_edges": AGG3, "agg6_master_plan": AGG6, "jn4_recognized": JN4, "jn11_merge": JN11, "jn16_lost": JN16,
-    "agg19_latest": AGG19, "fil16_generation": FIL16, "stm8_debounce": STM8, "stm9_coalesced": STM9, "win_functions": WIN, "win6_agg15_warnings": WIN6, "win4_advance": WIN4, "mth_geometry": MTH,
+    "agg19_latest": AGG19, "fil16_generation": FIL16, "stm8_debounce": STM8, "stm9_coalesced": STM9, "win_functions": WIN, "win6_agg15_warnings": WIN6, "win4_advance": WIN4, "mth_geometry": MTH, "agg9_color": AGG9,
 }

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomtext.functions.timing import iso8601
 
-CSV_HEAD = ("Speaker", "Language", "Original", "Translation", "Time")
+CSV_HEAD = ("conversation_title", "timestamp", "speaker", "original_text", "translated_text")
 
 
 def _quoted(c: Column) -> Column:
@@ -27,8 +27,8 @@ def csv_text(messages: DataFrame, key: str, order: str, columns: list[Column], h
 
 
 def conversation_csv(messages: DataFrame) -> DataFrame:
-    """SNK1 for (conv_id, seq, speaker, language, original, translated, at)."""
-    return csv_text(messages, "conv_id", "seq", [F.col(c) for c in ("speaker", "language", "original", "translated")] + [iso8601(F.col("at"))])
+    """SNK1 for (conv_id, title, seq, at, speaker, original, translated)."""
+    return csv_text(messages, "conv_id", "seq", [F.col("title"), iso8601(F.col("at")), *[F.col(c) for c in ("speaker", "original", "translated")]])
 
 
 def output_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:

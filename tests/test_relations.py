@@ -24,9 +24,9 @@ def test_frames(spark):
 
 
 def test_csv(spark):
-    df = spark.createDataFrame([(1, 0, "me", "ko", 'hello, "world"', "안녕\n하세요", 0)], "conv_id long, seq long, speaker string, language string, original string, translated string, s long").withColumn("at", F.timestamp_seconds("s"))
+    df = spark.createDataFrame([(1, "회의, 1", 0, "me", 'hello, "world"', "안녕\n하세요", 0)], "conv_id long, title string, seq long, speaker string, original string, translated string, s long").withColumn("at", F.timestamp_seconds("s"))
     out = exports.conversation_csv(df).first().csv.encode()
-    assert out.startswith(b"\xef\xbb\xbf") and '"hello, ""world""","안녕\n하세요","1970-01-01T00:00:00.000Z"\r\n'.encode() in out
+    assert out.startswith(b"\xef\xbb\xbf") and '"회의, 1","1970-01-01T00:00:00.000Z","me","hello, ""world""","안녕\n하세요"\r\n'.encode() in out
 
 
 @pytest.mark.parametrize("name", [n for n, _ in files.MARKS])
@@ -195,7 +195,7 @@ def test_small_choices(spark):
         strings.display_code(F.lit("zh_TW"), True).alias("a"), strings.ocr_hint(F.lit("zh-CN")).alias("b"), strings.error_text(F.lit("Bad"), F.lit("bad request")).alias("c"), strings.first_message(F.lit(" "), F.lit(None), F.lit(3)).alias("d"),
         strings.is_model_id(F.lit("model-1.5_pro")).alias("e"), strings.is_model_id(F.lit("-x")).alias("f"), strings.is_language_tag(F.lit("zh-Hans-CN")).alias("g"), strings.strip_fence(F.lit("```xml\n<a/>\n```")).alias("h"),
         strings.markdown_run(F.lit("a`b"), F.lit(True), F.lit(True), F.lit(True), F.lit("u")).alias("i"), strings.swap_languages(F.lit("auto"), F.lit("ko")).alias("j"), geometry.run_scale(F.lit(50.0), F.lit(100.0)).alias("k"),
-        scene.text_visual_policy(F.array(F.struct(F.lit(True).alias("safe"), F.lit(True).alias("visible_ink")))).alias("l"), envelope.has_exact_keys(F.lit('{"translation":1}'), "translation").alias("m"), strings.zip_adjacent(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("n"),
+        scene.text_visual_policy(F.array(F.struct(F.lit(True).alias("safe"), F.lit(True).alias("editable")))).alias("l"), envelope.has_exact_keys(F.lit('{"translation":1}'), "translation").alias("m"), strings.zip_adjacent(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("n"),
     ).first()
     assert row.a == "zh-Hant-TW" and row.b == "zh-Hans" and row.c == "bad request" and row.d == "code 3" and row.e and not row.f and row.g and row.h == "<a/>"
     assert row.i == "<u>***[a\\`b](u)***</u>" and tuple(row.j) == ("ko", "en") and row.k == 0.72 and row.l == "replace" and row.m and [tuple(x) for x in row.n] == [("a", "b"), ("b", "c")]
@@ -220,3 +220,22 @@ def test_merges(spark):
     devices = spark.createDataFrame([("Mic A", "m1", 0), ("Mic B", "m2", 1)], "label string, name string, place int")
     wanted = spark.createDataFrame([(1, "mic b"), (2, "m1"), (3, "B"), (4, "zz")], "request_id int, wanted string")
     assert {r.request_id: r.device for r in joins.resolve_device(wanted, devices, ["m2"]).collect()} == {1: "m2", 2: "m1", 3: "m2", 4: "m2"}
+
+
+def test_merged_boxes(spark):
+    schema = "page int, id string, text string, x double, y double, w double, h double, size double, role string, alignment string"
+    rows = [(0, "a", "one", 50.0, 700.0, 100.0, 12.0, 12.0, "editableContent", "left"), (0, "b", "two", 52.0, 680.0, 90.0, 12.0, 12.0, "editableContent", "left"), (0, "c", "far", 50.0, 600.0, 90.0, 12.0, 12.0, "editableContent", "left"), (0, "d", "big", 50.0, 590.0, 90.0, 12.0, 30.0, "editableContent", "left")]
+    got = {r.id: r.text for r in layout.merged_boxes(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"merged-a-b": "one\ntwo", "c": "far", "d": "big"}
+
+
+def test_floating_boxes_by_level(spark):
+    row = spark.range(1).select(*[scene.needs_floating_box(F.lit(0), F.lit(2), F.array(F.lit("f")), F.lit(False), F.array(F.lit(0.0), F.lit(8.0)), F.lit(10.0), F.lit("left"), x).alias(x) for x in ("never", "conservative", "balanced", "permissive")]).first()
+    assert tuple(row) == (False, False, True, True)
+
+
+def test_footer_neighbours(spark):
+    schema = "page int, id string, x double, y double, w double, h double, size double, r double, g double, b double, source string, page_height double"
+    rows = [(0, "seed", 50.0, 20.0, 100.0, 8.0, 8.0, 0.0, 0.0, 0.0, "native", 792.0), (0, "near", 160.0, 20.0, 100.0, 8.0, 8.0, 0.1, 0.0, 0.0, "native", 792.0), (0, "red", 160.0, 30.0, 100.0, 8.0, 8.0, 1.0, 0.0, 0.0, "native", 792.0), (0, "hop", 270.0, 20.0, 100.0, 8.0, 8.0, 0.1, 0.0, 0.0, "native", 792.0)]
+    df = spark.createDataFrame(rows, schema)
+    assert [r.id for r in joins.touching_chrome(df.where("id <> 'seed'"), df.where("id = 'seed'")).collect()] == ["near"]
