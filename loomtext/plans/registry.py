@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from loomtext.plans import documents, relations
+from loomtext.plans import documents, geometry, relations, records
 
-QUERIES = documents.QUERIES | relations.QUERIES
-ORACLE_SQL = documents.ORACLE_SQL | relations.ORACLE_SQL
+_PLANS = (documents, relations, geometry, records)
+QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}
