@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomtext.functions.strings import WS, is_blank
-from loomtext.schemas import SEGMENT
+from loomtext.schemas import CHUNKS, SEGMENT
 
 # lines ----------------------------------------------------------------------------
 
@@ -294,6 +294,18 @@ def pack_segments(sizes: list[tuple[int, int]], c: ChunkConfig) -> list[int]:
 _FIELDS = "characters int, tokens int, chunk int"
 
 
+def _prepared(text: str | None, kind: str | None, config: ChunkConfig, code: bool, structure: bool):
+    """A document's segments, their (characters, tokens), and the chunk of each translatable one."""
+    found = segment_text(text, kind or "text", config.maximum)
+    if code and kind == "markdown":
+        found = _expose_code(found)
+    if not structure:
+        found = _fold_prefix(found)
+    found = list(found)
+    sizes = [(len(s[1]), count_tokens(s[1])) for s in found]
+    return found, sizes, pack_segments([z for s, z in zip(found, sizes) if s[5]], config)
+
+
 def _segmenter(config: ChunkConfig, code: bool, structure: bool):
     def run(batches):
         for batch in batches:
@@ -301,14 +313,8 @@ def _segmenter(config: ChunkConfig, code: bool, structure: bool):
             columns: list[list] = [[] for _ in range(10)]
             offsets = [0]
             for text, kind in zip(batch.column("text"), kinds):
-                found = segment_text(text.as_py(), kind.as_py() or "text", config.maximum)
-                if code and kind.as_py() == "markdown":
-                    found = _expose_code(found)
-                if not structure:
-                    found = _fold_prefix(found)
-                found = list(found)
-                sizes = [(len(s[1]), count_tokens(s[1])) for s in found]
-                chunk = iter(pack_segments([z for s, z in zip(found, sizes) if s[5]], config))
+                found, sizes, packed = _prepared(text.as_py(), kind.as_py(), config, code, structure)
+                chunk = iter(packed)
                 for i, (s, z) in enumerate(zip(found, sizes)):
                     for column, value in zip(columns, (i, *s, *z, next(chunk) if s[5] else None)):
                         column.append(value)
@@ -321,10 +327,33 @@ def _segmenter(config: ChunkConfig, code: bool, structure: bool):
     return run
 
 
-def segmented(docs: DataFrame, config: ChunkConfig = PROFILES["balanced"], code: bool = False, structure: bool = True) -> DataFrame:
-    """doc_id and the array of its segments, each with its chunk; ``kind`` (text or markdown) is a column or ``text``."""
+def _chunker(config: ChunkConfig, code: bool, structure: bool):
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, text, kind in zip(*(batch.column(c) for c in ("doc_id", "text", "kind"))):
+                found, sizes, packed = _prepared(text.as_py(), kind.as_py(), config, code, structure)
+                ids: dict[int, list] = {}
+                for k, (s, z) in zip(packed, ((s, z) for s, z in zip(found, sizes) if s[5])):
+                    ids.setdefault(k, []).append((s[0], *z))
+                for k, part in ids.items():
+                    rows.append((doc.as_py(), k, f"chunk-{k:06d}", [p[0] for p in part], sum(p[1] for p in part), sum(p[2] for p in part)))
+            types = [batch.column("doc_id").type, pa.int32(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64()]
+            names = [c.split()[0] for c in CHUNKS.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names)
+
+    return run
+
+
+def _inputs(docs: DataFrame) -> DataFrame:
+    """doc_id, text and kind (text or markdown; ``text`` where there is no such column)."""
     kind = F.col("kind") if "kind" in docs.columns else F.lit("text")
-    return docs.select("doc_id", "text", kind.alias("kind")).mapInArrow(_segmenter(config, code, structure), f"doc_id long, segments array<struct<{_struct(SEGMENT)},{_struct(_FIELDS)}>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), kind.cast("string").alias("kind"))
+
+
+def segmented(docs: DataFrame, config: ChunkConfig = PROFILES["balanced"], code: bool = False, structure: bool = True) -> DataFrame:
+    """doc_id and the array of its segments, each with its chunk."""
+    return _inputs(docs).mapInArrow(_segmenter(config, code, structure), f"doc_id long, segments array<struct<{_struct(SEGMENT)},{_struct(_FIELDS)}>>")
 
 
 def _struct(columns: str) -> str:
@@ -341,16 +370,12 @@ def translatable(rows: DataFrame) -> DataFrame:
     return rows.where("translates")
 
 
-def chunks(docs: DataFrame, config: ChunkConfig = PROFILES["balanced"], **how) -> DataFrame:
-    """CHK2-CHK5: one row per chunk, computed inside each document's array without a shuffle."""
-    found = segmented(docs, config, **how).select("doc_id", F.filter("segments", lambda s: s["translates"]).alias("s"))
-    ids = F.array_distinct(F.transform("s", lambda s: s["chunk"]))
-    found = found.select("doc_id", "s", F.explode(ids).alias("chunk")).select("doc_id", "chunk", F.filter("s", lambda s: s["chunk"] == F.col("chunk")).alias("s"))
-    total = lambda f: F.aggregate("s", F.lit(0).cast("long"), lambda a, s: a + s[f])
-    return found.select(
-        "doc_id", "chunk", F.format_string("chunk-%06d", F.col("chunk")).alias("id"), F.transform("s", lambda s: s["id"]).alias("segment_ids"),
-        total("characters").alias("character_count"), total("tokens").alias("estimated_token_count"),
-    )
+def chunks(docs: DataFrame, config: ChunkConfig = PROFILES["balanced"], code: bool = False, structure: bool = True) -> DataFrame:
+    """CHK2-CHK5: one row per chunk (doc_id, chunk, id, segment_ids, character_count, estimated_token_count).
+
+    One pass over each document where it lies: no shuffle, work linear in its length.
+    """
+    return _inputs(docs).mapInArrow(_chunker(config, code, structure), CHUNKS)
 
 
 def chunk_segments(chunk_rows: DataFrame, segment_rows: DataFrame) -> DataFrame:
