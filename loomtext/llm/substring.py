@@ -10,7 +10,8 @@ document with a smaller id.
 A repeated window of ``2n`` words holds ``n + 1`` repeated windows of ``n``
 words, so a level need only look at one of them: the window of the smallest
 hash, which equal texts choose alike.  That keeps one position in ``n / 2``
-instead of all, without losing a repeat.
+instead of all, without losing a repeat.  Windows of the final length are compared
+by 96 bits of two independent hashes.
 
 Defined results.  Null and empty texts have no words and keep ''.  Rows with a
 null id are returned unchanged, since no id is smaller than theirs.  Rows that
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._arrow import lists, rows
 from ._hashing import WordHasher, int64
+from ._shared import Workspace
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW = 50
@@ -82,7 +84,7 @@ def _last_level(window: int, half: int):
                 b.append(other.windows(other.words(text), window)[start])
             cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cat(ids, np.int64)), pa.array(int64(cat(a, np.uint64))), pa.array(int64(cat(b, np.uint64))), pa.array(cat(at, np.int32))],
+                [pa.array(cat(ids, np.int64)), pa.array(int64(cat(a, np.uint64))), pa.array((cat(b, np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(cat(at, np.int32))],
                 ["doc_id", "h1", "h2", "at"],
             )
 
@@ -128,8 +130,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     keys = docs.mapInArrow(_first_level(window, half), "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
     often = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
+    # written, so that the join below has plain shuffles on both sides, which Spark splits where a key is hot
+    often = Workspace(docs.sparkSession, "substring").save(often, "often")
     alive = keys.join(often, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    longer = docs.join(alive, "doc_id", "left").mapInArrow(_last_level(window, half), "doc_id long, h1 long, h2 long, at int")
+    longer = docs.join(alive, "doc_id", "left").mapInArrow(_last_level(window, half), "doc_id long, h1 long, h2 int, at int")
     first = longer.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
     return longer.join(first, ["h1", "h2"]).where("doc_id > first_doc").select("doc_id", "at")
 
