@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -67,24 +68,29 @@ def _first_level(window: int, half: int):
     return run
 
 
+def _mark(text: str | None) -> int:
+    """Upper half of a window's place: tells the texts of rows that share an id apart."""
+    return (zlib.crc32((text or "").encode("utf-8", "surrogatepass")) >> 1) << 32
+
+
 def _last_level(window: int, half: int):
     def run(batches):
         hasher, other = WordHasher(11), WordHasher(12)
         for batch in batches:
             ids, a, b, at = [], [], [], []
             for doc, text, keys in rows(batch, "doc_id", "text", "keys"):
-                if not keys:
+                words = hasher.words(text) if keys else ()
+                if len(words) < window:
                     continue
-                words = hasher.words(text)
                 mine = _chosen(words, hasher, half, window)
                 start = np.flatnonzero(np.isin(mine, np.array(keys, np.int64).view(np.uint64)))
                 ids.append(np.full(len(start), doc, np.int64))
-                at.append(start.astype(np.int32))
+                at.append(start + _mark(text))
                 a.append(hasher.windows(words, window)[start])
                 b.append(other.windows(other.words(text), window)[start])
             cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cat(ids, np.int64)), pa.array(int64(cat(a, np.uint64))), pa.array((cat(b, np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(cat(at, np.int32))],
+                [pa.array(cat(ids, np.int64)), pa.array(int64(cat(a, np.uint64))), pa.array((cat(b, np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(cat(at, np.int64))],
                 ["doc_id", "h1", "h2", "at"],
             )
 
@@ -99,9 +105,10 @@ def _cut(window: int):
             out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_text", "kept_sha256")}
             for doc, text, starts in rows(batch, "doc_id", "text", "starts"):
                 words = WORD.findall(text or "")
-                if starts:
+                at = np.unique(np.array(starts or [], np.int64))
+                at = at[at >> 32 == _mark(text) >> 32] & 0xFFFFFFFF if len(at) else at
+                if len(at):
                     edge = np.zeros(len(words) + 1, np.int32)
-                    at = np.unique(np.array(starts))
                     edge[at] += 1
                     edge[at + window] -= 1
                     gone = np.cumsum(edge[:-1]) > 0
@@ -123,7 +130,11 @@ def _cut(window: int):
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, at): starts of windows whose words also start in a document with a smaller id."""
+    """(doc_id, at): starts of windows whose words also start in a document with a smaller id.
+
+    The lower 32 bits of ``at`` are the first word's number; the upper ones tell
+    the texts of rows apart that share an id.
+    """
     if window < 4 or window % 2:
         raise ValueError("window must be an even number of at least 4 words")
     half = window // 2
@@ -133,7 +144,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # written, so that the join below has plain shuffles on both sides, which Spark splits where a key is hot
     often = Workspace(docs.sparkSession, "substring").save(often, "often")
     alive = keys.join(often, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    longer = docs.join(alive, "doc_id", "left").mapInArrow(_last_level(window, half), "doc_id long, h1 long, h2 int, at int")
+    longer = docs.join(alive, "doc_id", "left").mapInArrow(_last_level(window, half), "doc_id long, h1 long, h2 int, at long")
     first = longer.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
     return longer.join(first, ["h1", "h2"]).where("doc_id > first_doc").select("doc_id", "at")
 

@@ -292,8 +292,9 @@ def test_substrings_equal_brute_force(spark):
 
 def test_substrings_of_shared_and_null_ids(spark):
     w = " ".join(f"w{i}" for i in range(12))
-    got = sorted(((r.doc_id, r.n_removed) for r in substring.dedup_substrings(frame(spark, [(1, w), (1, w), (None, w), (2, w)]), 10).collect()), key=repr)
-    assert got == [(1, 0), (1, 0), (2, 12), (None, 0)]
+    rows = [(1, w), (1, w), (None, w), (2, w), (2, "short one"), (2, "a b " + w)]
+    got = sorted(((r.doc_id, r.n_removed, r.n_words) for r in substring.dedup_substrings(frame(spark, rows), 10).collect()), key=repr)
+    assert got == [(1, 0, 12), (1, 0, 12), (2, 0, 2), (2, 12, 12), (2, 12, 14), (None, 0, 12)]
     assert substring.dedup_substrings(frame(spark, []), 10).count() == 0
 
 
