@@ -85,12 +85,12 @@ def _add_up(batches):
 def document_frequencies(docs: DataFrame, fan_in: int = 64) -> tuple[np.ndarray, int]:
     """The count-min sketch of all shingles and the number of documents.
 
-    A task adds up at most ``fan_in`` sketches of 4 MB; the driver gets eight at most.
+    A task adds up at most ``fan_in`` sketches of 4 MB; the driver gets two at most.
     """
     sketches = docs.select("text").mapInArrow(_sketch, "docs long, counts binary")
     n = docs.rdd.getNumPartitions()
-    while n > 8:
-        n = max(8, -(-n // fan_in))
+    while n > 2:
+        n = max(2, -(-n // fan_in))
         sketches = sketches.repartition(n).mapInArrow(_add_up, "docs long, counts binary")
     total, count = np.zeros(DEPTH * _W, np.int64), 0
     for r in sketches.collect():
@@ -282,7 +282,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     table = spark.sparkContext.broadcast(idf_table(counts, n))  # 2 MB at any size
 
     signs = space.save(docs.where("doc_id IS NOT NULL").mapInArrow(_signatures(table), "doc_id long, c1 long, c2 long, bands array<long>"), "signs")
-    least = signs.groupBy("c1", "c2").agg(F.min("doc_id").alias("copy_of"))
+    # aggregates are written before they are joined back: both sides are then plain shuffles, which Spark splits where a key is hot
+    least = space.save(signs.groupBy("c1", "c2").agg(F.min("doc_id").alias("copy_of")), "least")
     # a row for each text of a document; several only where rows share an id
     members = space.save(signs.select("doc_id", "c1", "c2").join(least, ["c1", "c2"]).select("doc_id", "copy_of").distinct(), "members")
     spread = signs.join(least, ["c1", "c2"]).where("doc_id = copy_of").select("doc_id", F.explode("bands").alias("band"))
@@ -290,7 +291,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"))).alias("c"), F.count("*").alias("members")
     )
     bucket = bucket.where("a < b").select("band", "members", F.array_distinct(F.array("a", "b", "c.d")).alias("pivots"))
-    shared = space.save(spread.join(bucket, "band"), "buckets")
+    shared = space.save(spread.join(space.save(bucket, "pivots"), "band"), "buckets")
+    space.drop("signs", "least", "pivots")
 
     pairs = shared.select("doc_id", F.explode("pivots").alias("p")).where("doc_id <> p").select(F.least("doc_id", "p").alias("l"), F.greatest("doc_id", "p").alias("r")).distinct()
     pairs = space.save(pairs, "pairs")
@@ -301,6 +303,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # rows that share an id tie their texts together
     ties = members.where("doc_id <> copy_of").join(members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"), "doc_id").select(F.col("doc_id").alias("l"), F.col("copy_of").alias("r"))
     links = space.save(links.select("l", "r").unionByName(ties), "links")
+    space.drop("pairs", "wanted")
     roots = connected_components(links, space, "round1")
 
     # the exact rest: buckets of four and more that still hold several components
@@ -315,6 +318,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = rest.join(texts, "doc_id").groupBy("band", "i", "j").applyInArrow(_across(table, threshold), "l long, r long")
     found = found.join(roots.select(F.col("node").alias("l"), F.col("root").alias("lr")), "l", "left").join(roots.select(F.col("node").alias("r"), F.col("root").alias("rr")), "r", "left")
     more = space.save(found.select(F.coalesce("lr", "l").alias("l"), F.coalesce("rr", "r").alias("r")).distinct(), "more")
+    space.drop("texts", "rest", "buckets", "links")
     merged = connected_components(more, space, "round2").select(F.col("node").alias("was"), F.col("root").alias("now"))
 
     up = members.groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"))
