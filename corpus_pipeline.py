@@ -32,7 +32,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.select(F.col("doc_id").alias("gone_id")).distinct()
+    # written, so that Spark knows its size when it chooses the join
+    gone = Workspace(spark, "contaminated").save(found.select(F.col("doc_id").alias("gone_id")).distinct(), "ids")
     return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*COLUMNS)
 
 
