@@ -77,7 +77,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     items = space.save(items.select("row", "item_id", "length", by_length.alias("shingles")).withColumn("n_item", F.size("shingles")), "items")
     sizes = items.groupBy(F.floor(F.log2("n_item")).cast("int").alias("part"), "length").agg(F.max("n_item").alias("largest")).collect()  # a row for each power of two and length
 
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    docs = texts.select("doc_id", words(F.col("text")).alias("w"))
     result = "doc_id long, item_id long, n_item long, n_shared long, containment double"
     if not sizes:
         return spark.createDataFrame([], result)
@@ -105,7 +106,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     found = probes.distinct().groupBy("doc_id", "row", "asked").agg(F.count("*").alias("hits")).where("hits >= asked")
     found = space.save(found.select("doc_id", "row"), "found")
 
-    checked = found.join(docs, "doc_id").join(items, "row")
+    # words are cut again for the candidates only, behind the join
+    checked = found.join(texts, "doc_id").withColumn("w", words(F.col("text"))).drop("text").join(items, "row")
     mine = None
     for n in lengths:
         x = F.when(F.col("length") == n, shingle_strings(F.col("w"), n))
