@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from loomtext.functions import hashing, scripts, strings, timing
@@ -219,15 +221,16 @@ def str_scalars_checked(spark, d):
 
 
 def str4_8_merging(spark, d):
-    """Neighbouring pieces of a document's text as growing snapshots."""
+    """The first two thirds of a document's text and its last two thirds as growing snapshots."""
     docs = table(spark, d, "documents")
-    a, b = F.substring("text", 1, 80), F.substring("text", 61, 80)
-    return docs.select("doc_id", common_prefix_column(a, b).alias("str4"), common_suffix_column(a, b).alias("str5"), overlap_column(a, b).alias("str6"), revision_column(a, b).alias("str7"), F.md5(merge_column(a, b)).alias("str8"), hashing.fnv1a_hex(a).alias("mth1"))
+    third = F.floor(F.length("text") / 3).cast("int")
+    a, b = F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("text"), third + 1, F.length("text"))
+    return docs.select("doc_id", common_prefix_column(a, b).alias("str4"), common_suffix_column(a, b).alias("str5"), overlap_column(a, b).alias("str6"), revision_column(a, b).alias("str7"), F.md5(merge_column(a, b)).alias("str8"), hashing.fnv1a_hex(F.col("text")).alias("mth1"))
 
 
-def fil2_language_route(spark, d):
+def fil2_language_route(spark, d, most=200):
     docs = table(spark, d, "documents")
-    part, even = F.substring("text", 1, 200), F.col("doc_id") % 2 == 0
+    part, even = F.col("text") if most is None else F.substring("text", 1, most), F.col("doc_id") % 2 == 0
     code = F.when(F.col("doc_id") % 4 == 0, F.col("lang")).when(F.col("doc_id") % 4 == 1, F.concat(F.upper("lang"), F.lit("_XX"))).when(F.col("doc_id") % 4 == 2, F.lit(" ")).otherwise(F.lit("ko"))
     field = F.when(even, "original").otherwise("translation")
     return docs.select("doc_id", scripts.accepts(field, part, code, F.col("lang"), F.lit("ko")).alias("accepted"), F.array_join(F.array_sort(scripts.observed_scripts(part)), ",").alias("scripts"))
@@ -280,6 +283,7 @@ QUERIES = {
     "chk1_tokens": chk1_tokens, "chk2_chunks": chk2_chunks, "chk_profiles": chk_profiles, "jn2_chunk_segments": jn2_chunk_segments, "jn3_identity_render": jn3_identity_render, "jn1_model_round_trip": jn1_model_round_trip,
     "str_scalars": str_scalars_checked, "str4_8_merging": str4_8_merging, "fil2_language_route": fil2_language_route, "agg17_speech": agg17_speech, "snk2_names": snk2_names, "seg13_underlines": seg13_underlines,
 }
+QUERIES |= {"fil2_language_route_whole": partial(fil2_language_route, most=None)}
 ORACLE_SQL = {
     "src1_file_kind": SRC1, "src2_detect": SRC2, "seg1_lines": SEG1, "seg2_line_endings": SEG2, "seg4_prefixes": SEG4, "chk1_tokens": CHK1, "chk2_chunks": CHK2, "jn2_chunk_segments": JN2,
     "jn3_identity_render": JN3, "str_scalars": STR, "fil2_language_route": FIL2, "agg17_speech": AGG17, "snk2_names": SNK2, "seg13_underlines": SEG13,

@@ -1,7 +1,13 @@
-"""Queries on positioned lines: geometric joins, statistics, windows, page furniture."""
+"""Queries on positioned lines: geometric joins, statistics, windows, page furniture.
+
+Queries that have SQL over the first lines of a page run over all of its lines
+as ``..._whole``, which has no SQL.
+"""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from loomtext.operators import aggregates, joins, layout
@@ -10,12 +16,14 @@ from loomtext.plans._data import PAGE_LINES_SQL, page_lines, table
 _OVER = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
 
 
-def _lines(spark, d, most: int = 10):
-    return page_lines(table(spark, d, "documents")).where(F.col("i") < most)
+def _lines(spark, d, most: int | None):
+    """The first lines of each page, or all of them."""
+    lines = page_lines(table(spark, d, "documents"))
+    return lines if most is None else lines.where(F.col("i") < most)
 
 
-def jn5_link_targets(spark, d):
-    rows = _lines(spark, d)
+def jn5_link_targets(spark, d, most=10):
+    rows = _lines(spark, d, most)
     links = rows.where("i % 2 = 0").select("page", (F.col("x") + 5).alias("x"), (F.col("y") - F.col("i") % 4 * 2).alias("y"), "w", "h", F.concat(F.lit("u"), (F.col("i") % 3).cast("string")).alias("url"))
     return joins.link_targets(rows.select("page", "id", "x", "y", "w", "h"), links).select("page", "id", "url")
 
@@ -27,8 +35,8 @@ SELECT l.page, l.id, CASE WHEN j.n = 1 THEN j.url END AS url FROM l LEFT JOIN j
 """
 
 
-def jn6_overlay_conflicts(spark, d):
-    rows = _lines(spark, d)
+def jn6_overlay_conflicts(spark, d, most=10):
+    rows = _lines(spark, d, most)
     notes = rows.where("i % 3 = 0").select("page", (F.col("x") + 20).alias("x"), "y", "w", "h", F.when(F.col("i") % 2 == 0, F.concat(F.lit("u"), F.col("i").cast("string"))).alias("url"))
     return joins.overlay_conflicts(rows.select("page", "id", "x", "y", "w", "h"), notes).select("page", "id")
 
@@ -39,8 +47,8 @@ SELECT a.page, a.id FROM l a JOIN k b ON a.page = b.page AND {_OVER} > 0 GROUP B
 """
 
 
-def jn7_occluded(spark, d):
-    rows = _lines(spark, d).select("page", "i", "id", "x", "y", "w", "h")
+def jn7_occluded(spark, d, most=10):
+    rows = _lines(spark, d, most).select("page", "i", "id", "x", "y", "w", "h")
     front = rows.where("i % 4 = 1").withColumn("w", F.col("w") * 0.5).withColumn("x", F.col("x") - 280)
     return joins.occluded(rows, front).select("page", "id")
 
@@ -51,11 +59,11 @@ SELECT a.page, a.id FROM l a WHERE a.w * a.h > 0 AND EXISTS (SELECT 1 FROM k b W
 """
 
 
-def jn10_resolved_blocks(spark, d):
-    rows = _lines(spark, d, 24)
+def jn10_resolved_blocks(spark, d, most=24):
+    rows = _lines(spark, d, most)
     block = F.format_string("%d/%d", F.col("page"), F.floor(F.col("i") / 3).cast("int"))
     blocks = rows.withColumn("b", block).groupBy("b").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda v: v["id"]).alias("line_ids"), F.min("i").alias("i0")).select(F.col("b").alias("id"), "line_ids")
-    line_texts = rows.where("i % 5 <> 0 AND i < 15").select("id", F.concat(F.lit("t"), F.col("i").cast("string")).alias("text"))
+    line_texts = rows.where("i % 5 <> 0 AND i % 24 < 15").select("id", F.concat(F.lit("t"), F.col("i").cast("string")).alias("text"))
     block_texts = rows.where("i % 6 = 0").select(block.alias("id"), F.lit("block").alias("text"))
     return joins.resolve_blocks(blocks, line_texts, block_texts)
 
@@ -68,9 +76,9 @@ SELECT b AS id, how, CASE how WHEN 'lines' THEN merged WHEN 'block' THEN 'block'
 """
 
 
-def jn9_footers(spark, d):
+def jn9_footers(spark, d, most=10):
     shade = (F.col("i") % 4) / 10
-    rows = _lines(spark, d).select("page", "i", "id", "x", (F.col("i") * 9.0).alias("y"), "w", F.lit(8.0).alias("h"), (F.col("size") - 3).alias("size"), shade.alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b"), "source", F.lit(792.0).alias("page_height"))
+    rows = _lines(spark, d, most).select("page", "i", "id", "x", (F.col("i") * 9.0).alias("y"), "w", F.lit(8.0).alias("h"), (F.col("size") - 3).alias("size"), shade.alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b"), "source", F.lit(792.0).alias("page_height"))
     return joins.touching_chrome(rows, rows.where("i % 5 = 0")).select("page", "id")
 
 
@@ -96,8 +104,8 @@ SELECT doc, count(*) AS pages, CAST(sum(lc) AS BIGINT) AS lines, CAST(sum(wc) AS
 """
 
 
-def agg5_shared_templates(spark, d):
-    rows = _lines(spark, d, 3).select("doc", "page", "id", F.substring("text", 1, 3).alias("fingerprint"), F.lit("content").alias("role"), F.lit(0.95).alias("confidence"))
+def agg5_shared_templates(spark, d, most=3):
+    rows = _lines(spark, d, most).select("doc", "page", "id", (F.col("text") if most is None else F.substring("text", 1, 3)).alias("fingerprint"), F.lit("content").alias("role"), F.lit(0.95).alias("confidence"))
     return aggregates.shared_templates(rows).select("id", "role", F.round("confidence", 4).alias("confidence"))
 
 
@@ -107,9 +115,9 @@ SELECT l.id, CASE WHEN s.f IS NULL THEN 'content' ELSE 'sharedTemplate' END AS r
 """
 
 
-def agg7_header_footer(spark, d):
+def agg7_header_footer(spark, d, most=4):
     rows = page_lines(table(spark, d, "documents")).where("i < 2 OR i >= n - 1")
-    objects = rows.select("doc", "page", F.when(F.col("i") % 2 == 0, "text").otherwise("image").alias("kind"), F.when(F.col("page") % 3 == 0, F.col("page").cast("string")).otherwise(F.substring("text", 1, 4)).alias("text"), F.col("size").cast("string").alias("key"), "x", F.when(F.col("i") < 2, 740.0).otherwise(30.0).alias("y"), "h")
+    objects = rows.select("doc", "page", F.when(F.col("i") % 2 == 0, "text").otherwise("image").alias("kind"), F.when(F.col("page") % 3 == 0, F.col("page").cast("string")).otherwise(F.col("text") if most is None else F.substring("text", 1, most)).alias("text"), F.col("size").cast("string").alias("key"), "x", F.when(F.col("i") < 2, 740.0).otherwise(30.0).alias("y"), "h")
     boxes = table(spark, d, "documents").groupBy(F.col("source").alias("doc")).agg(F.count("*").alias("n")).select("doc", F.lit(0.0).alias("y"), F.lit(792.0).alias("h"), "n")
     return aggregates.header_footer_plan(objects, boxes)
 
@@ -134,8 +142,8 @@ def agg8_last(spark, d):
 AGG8 = f"WITH {PAGE_LINES_SQL} SELECT doc, size, max_by(id, (page, i)) AS id FROM placed GROUP BY 1, 2"
 
 
-def agg11_alignment(spark, d):
-    rows = _lines(spark, d, 12).withColumn("x", F.col("x") + F.when(F.col("page") % 2 == 0, (240 - F.col("w")) / 2).otherwise(F.col("i") * 0.2)).withColumn("marker", layout.starts_with_marker(F.col("text")))
+def agg11_alignment(spark, d, most=12):
+    rows = _lines(spark, d, most).withColumn("x", F.col("x") + F.when(F.col("page") % 2 == 0, (240 - F.col("w")) / 2).otherwise(F.col("i") * 0.2)).withColumn("marker", layout.starts_with_marker(F.col("text")))
     return aggregates.block_alignment(rows, "page")
 
 
@@ -151,8 +159,8 @@ SELECT page, CASE WHEN n >= 2 AND NOT m AND spread >= greatest(4.0, 0.7 * f) AND
 """
 
 
-def agg13_joined(spark, d):
-    rows = _lines(spark, d, 20).withColumn("text", F.when(F.col("i") % 3 == 1, F.concat("text", F.lit("-"))).otherwise(F.col("text")))
+def agg13_joined(spark, d, most=20):
+    rows = _lines(spark, d, most).withColumn("text", F.when(F.col("i") % 3 == 1, F.concat("text", F.lit("-"))).otherwise(F.col("text")))
     return aggregates.joined_text(rows, "i", "text", "page").select("page", F.md5("text").alias("digest"))
 
 
@@ -162,8 +170,8 @@ SELECT page, md5(replace(replace(string_agg(t, chr(1) ORDER BY i), '-' || chr(1)
 """
 
 
-def agg14_confidence(spark, d):
-    rows = _lines(spark, d).select("page", ((F.col("page") * 7 + F.col("i") * 3) % 20 / 20 + 0.3).alias("confidence"))
+def agg14_confidence(spark, d, most=10):
+    rows = _lines(spark, d, most).select("page", ((F.col("page") * 7 + F.col("i") * 3) % 20 / 20 + 0.3).alias("confidence"))
     return aggregates.low_confidence(rows, "page").select("page", F.round("confidence", 6).alias("confidence"))
 
 
@@ -208,8 +216,8 @@ WITH {PAGE_LINES_SQL} SELECT id, CAST(coalesce(sum(CASE WHEN w >= 306 THEN 1 ELS
 """
 
 
-def win8_gutters(spark, d):
-    columns = _lines(spark, d, 40).groupBy("page", "x").agg(F.max("w").alias("w"))
+def win8_gutters(spark, d, most=40):
+    columns = _lines(spark, d, most).groupBy("page", "x").agg(F.max("w").alias("w"))
     return layout.gutters(columns, "page").select("page", "x", F.round("left_bound", 3).alias("left_bound"), F.round("right_bound", 3).alias("right_bound"))
 
 
@@ -219,8 +227,8 @@ SELECT page, x, round(coalesce((lag(x + w) OVER v + x) / 2, 0.0), 3)::DOUBLE AS
 """
 
 
-def seg10_gaps(spark, d):
-    rows = _lines(spark, d, 30).select("page", F.col("i"), (F.col("i") * 20.0 + F.when(F.col("i") % 7 == 0, 0.0).otherwise(F.lit(0.0)) + F.floor(F.col("i") / 5) * 40).alias("x"), F.lit(10.0).alias("w"), F.when(F.col("i") % 10 == 0, 60.0).otherwise(8.0).alias("space_width"), "size")
+def seg10_gaps(spark, d, most=30):
+    rows = _lines(spark, d, most).select("page", F.col("i"), (F.col("i") * 20.0 + F.when(F.col("i") % 7 == 0, 0.0).otherwise(F.lit(0.0)) + F.floor(F.col("i") / 5) * 40).alias("x"), F.lit(10.0).alias("w"), F.when(F.col("i") % 10 == 0, 60.0).otherwise(8.0).alias("space_width"), "size")
     return layout.oversized_gaps(rows, "page").groupBy("page").agg(F.max("part").alias("parts"), F.sum("part").alias("total"))
 
 
@@ -232,8 +240,8 @@ SELECT page, CAST(max(part) AS BIGINT) AS parts, CAST(sum(part) AS BIGINT) AS to
 """
 
 
-def seg11_color_runs(spark, d):
-    rows = _lines(spark, d, 30).select("page", F.col("i").alias("ordinal"), *[(F.floor(F.col("i") / k) / 10.0).alias(c) for c, k in zip("rgb", (3, 7, 50))])
+def seg11_color_runs(spark, d, most=30):
+    rows = _lines(spark, d, most).select("page", F.col("i").alias("ordinal"), *[(F.floor(F.col("i") / k) / 10.0).alias(c) for c, k in zip("rgb", (3, 7, 50))])
     return layout.color_runs(rows, "page").groupBy("page").agg(F.max("run").alias("runs"), F.sum("run").alias("total"))
 
 
@@ -244,8 +252,8 @@ SELECT page, CAST(max(run) AS BIGINT) AS runs, CAST(sum(run) AS BIGINT) AS total
 """
 
 
-def fil6_furniture(spark, d):
-    rows = _lines(spark, d, 12).withColumn("text", F.when(F.col("i") % 4 == 0, F.col("page").cast("string")).when(F.col("i") % 4 == 1, F.lit("All Rights  Reserved.")).otherwise(F.col("text"))).withColumn("y", F.col("i") * 12.0)
+def fil6_furniture(spark, d, most=12):
+    rows = _lines(spark, d, most).withColumn("text", F.when(F.col("i") % 4 == 0, F.col("page").cast("string")).when(F.col("i") % 4 == 1, F.lit("All Rights  Reserved.")).otherwise(F.col("text"))).withColumn("y", F.col("i") * 12.0)
     return rows.where(layout.is_furniture(F.col("text"), F.col("y"), F.col("h"), F.col("size"), F.lit(0.0), F.lit(792.0))).select("id")
 
 
@@ -256,8 +264,8 @@ SELECT id FROM n WHERE (top <= 118.8 AND (contains(k, '©') OR contains(k, 'copy
 """
 
 
-def grp7_assets(spark, d):
-    pages = table(spark, d, "pages").select(F.col("page_id").alias("page"), (F.col("page_id") % 3).alias("occurrence"), F.substring("html", 1, 40).alias("data"))
+def grp7_assets(spark, d, most=40):
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("page"), (F.col("page_id") % 3).alias("occurrence"), (F.col("html") if most is None else F.substring("html", 1, most)).alias("data"))
     return aggregates.image_assets(pages).groupBy("asset").agg(F.count("*").alias("uses"))
 
 
@@ -265,7 +273,7 @@ GRP7 = "SELECT substr(sha256(substr(html, 1, 40)), 1, 32) AS asset, count(*) AS
 
 
 def grp5_boxes(spark, d):
-    rows = _lines(spark, d, 16).select("page", "id", "text", "x", "y", "w", "h", "size", F.lit("editableContent").alias("role"), F.lit("left").alias("alignment"))
+    rows = _lines(spark, d, None).select("page", "id", "text", "x", "y", "w", "h", "size", F.lit("editableContent").alias("role"), F.lit("left").alias("alignment"))
     return layout.merged_boxes(rows).groupBy("page").agg(F.count("*").alias("boxes"), F.sum(F.length("text")).alias("characters"))
 
 
@@ -275,6 +283,8 @@ QUERIES = {
     "agg14_confidence": agg14_confidence, "agg20_background": agg20_background, "win7_regions": win7_regions, "win8_gutters": win8_gutters, "seg10_gaps": seg10_gaps, "seg11_color_runs": seg11_color_runs, "fil6_furniture": fil6_furniture,
     "grp5_boxes": grp5_boxes, "grp7_assets": grp7_assets,
 }
+_WHOLE = (jn5_link_targets, jn6_overlay_conflicts, jn7_occluded, jn10_resolved_blocks, jn9_footers, agg5_shared_templates, agg11_alignment, agg13_joined, agg14_confidence, win8_gutters, seg10_gaps, seg11_color_runs, fil6_furniture, agg7_header_footer, grp7_assets)
+QUERIES |= {f"{q.__name__}_whole": partial(q, most=None) for q in _WHOLE}
 ORACLE_SQL = {
     "jn5_link_targets": JN5, "jn6_overlay_conflicts": JN6, "jn7_occluded": JN7, "jn9_footers": JN9, "jn10_resolved_blocks": JN10, "agg1_counts": AGG1, "agg5_shared_templates": AGG5, "agg7_header_footer": AGG7, "agg8_last": AGG8,
     "agg10_complexity": AGG10, "agg11_alignment": AGG11, "agg13_joined": AGG13, "agg14_confidence": AGG14, "agg20_background": AGG20, "win7_regions": WIN7, "win8_gutters": WIN8, "seg10_gaps": SEG10, "seg11_color_runs": SEG11,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window, functions as F
 
 from loomtext.functions import geometry, strings, timing
@@ -12,8 +14,8 @@ from loomtext.sources import stores
 from loomtext.streaming import flow
 
 
-def str15_19_texts(spark, d):
-    t = F.substring("text", 1, 60)
+def str15_19_texts(spark, d, most=60):
+    t = F.col("text") if most is None else F.substring("text", 1, most)
     k = F.col("doc_id") % 4
     fenced = F.concat(F.when(k == 0, F.lit("```xml\n")).when(k == 1, F.lit("```\n")).otherwise(F.lit("")), F.regexp_replace(t, "`", ""), F.when(k < 2, F.lit("\n```")).otherwise(F.lit("")))
     code = F.element_at(F.array(*map(F.lit, ("zh_CN", "zh-Hant", "auto", "de", "!", "EN"))), (F.col("doc_id") % 6 + 1).cast("int"))
@@ -68,10 +70,10 @@ SELECT event_id, round(CAST(least(5.0, CASE k WHEN 0 THEN event_id % 9 WHEN 1 TH
 """
 
 
-def jn15_devices(spark, d):
+def jn15_devices(spark, d, most=400):
     names = ["alpha mic", "Beta", "gamma desk", "delta"]
     devices = spark.createDataFrame([(f"Label {n}", n, i) for i, n in enumerate(names)], "label string, name string, place int")
-    wanted = table(spark, d, "events").where("event_id < 400").select(F.col("event_id").alias("request_id"), F.element_at(F.array(*map(F.lit, ("label beta", "DELTA", "desk", "zzz", "", "alpha mic 2"))), (F.col("event_id") % 6 + 1).cast("int")).alias("wanted"))
+    wanted = table(spark, d, "events").where(F.lit(True) if most is None else F.col("event_id") < most).select(F.col("event_id").alias("request_id"), F.element_at(F.array(*map(F.lit, ("label beta", "DELTA", "desk", "zzz", "", "alpha mic 2"))), (F.col("event_id") % 6 + 1).cast("int")).alias("wanted"))
     return joins.resolve_device(wanted, devices, ["gamma desk"])
 
 
@@ -162,9 +164,9 @@ SELECT 'refused' AS policy, count(*) AS n, CAST(sum(s) AS BIGINT) AS total FROM
 """
 
 
-def stm12_agg18_speech(spark, d):
+def stm12_agg18_speech(spark, d, most=40):
     """Queued cues: their share of 12 s of audio and what of it is spoken after 5 s."""
-    said = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("place"), F.substring("text", 1, 40).alias("text"))
+    said = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("place"), (F.col("text") if most is None else F.substring("text", 1, most)).alias("text"))
     cues = said.withColumn("duration", timing.allocated_seconds(F.lit(12.0), F.col("text"), "conv_id"))
     return flow.cue_advance(cues, said.select("conv_id").distinct().withColumn("elapsed", F.lit(5.0)), "conv_id").select("conv_id", "place", F.round("duration", 4).alias("duration"), F.round("spoken", 4).alias("spoken"))
 
@@ -261,7 +263,7 @@ SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1
 def jn13_availability(spark, d):
     models = spark.createDataFrame([(f"m{i}", i) for i in range(7)], "model string, place int")
     available = table(spark, d, "events").where("user_id % 9 < 4").select(F.concat(F.lit("m"), (F.col("user_id") % 9).cast("string")).alias("model")).distinct()
-    requests = table(spark, d, "documents").select(F.col("doc_id").alias("request_id"), F.substring("text", 1, 5).alias("text"))
+    requests = table(spark, d, "documents").select(F.col("doc_id").alias("request_id"), "text")
     out = envelope.fan_out(requests, models, available, lambda name, text: f"{name}:{text}")
     return out.groupBy("model", "place", "available", "error").agg(F.count("*").alias("requests"), F.count("translated_text").alias("answers"))
 
@@ -287,6 +289,7 @@ QUERIES = {
     "snk8_reports": snk8_reports, "stm10_buffers": stm10_buffers, "stm11_cues": stm11_cues, "stm12_agg18_speech": stm12_agg18_speech, "stm13_items": stm13_items, "agg16_progress": agg16_progress, "fil9_srt8_choices": fil9_srt8_choices,
     "fil10_13_choices": fil10_13_choices, "src7_frames": src7_frames, "jn13_availability": jn13_availability, "jn17_dangling": jn17_dangling,
 }
+QUERIES |= {f"{q.__name__}_whole": partial(q, most=None) for q in (str15_19_texts, jn15_devices, stm12_agg18_speech)}
 ORACLE_SQL = {
     "str15_19_texts": STR15, "fil14_validators": FIL14, "dat_delays": DAT, "jn15_devices": JN15, "fil17_catalog": FIL17, "jsn3_responses": JSN3, "set_operations": SETS, "snk5_names": SNK5, "snk8_reports": SNK8, "stm10_buffers": STM10,
     "stm12_agg18_speech": STM12, "stm13_items": STM13, "agg16_progress": AGG16, "fil9_srt8_choices": FIL9, "fil10_13_choices": FIL10, "src7_frames": SRC7, "jn13_availability": JN13, "jn17_dangling": JN17,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window, functions as F
 
 from loomtext.functions import geometry, hashing
@@ -117,10 +119,10 @@ SELECT page_index, min(ordinal) AS ordinal, min_by(rule, ordinal) AS rule FROM r
 """
 
 
-def agg3_repeated_edges(spark, d):
+def agg3_repeated_edges(spark, d, most=8):
     """Edge lines that recur on the pages of a source."""
     lines = page_lines(table(spark, d, "documents")).where("i < 2 OR i >= n - 2")
-    lines = lines.select("doc", "page", F.substring("text", 1, 8).alias("text"), "size", F.when(F.col("i") < 2, 0.9).otherwise(0.05).alias("bottom"), F.when(F.col("i") < 2, 0.95).otherwise(0.1).alias("top"))
+    lines = lines.select("doc", "page", (F.col("text") if most is None else F.substring("text", 1, most)).alias("text"), "size", F.when(F.col("i") < 2, 0.9).otherwise(0.05).alias("bottom"), F.when(F.col("i") < 2, 0.95).otherwise(0.1).alias("top"))
     few = F.pmod("page", F.lit(13))
     lines = lines.withColumn("text", F.when(few < 7, F.concat(F.lit("Page  header "), (F.col("page") % 2).cast("string"))).otherwise(F.col("text")))
     pages = table(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"))
@@ -158,8 +160,8 @@ def layout_blocks(spark, d):
     return layout.block_rows(layout.laid_out(lines, "doc", "page"), "doc", "page").select("doc", "page", "block", "reading_order", "column_index", F.size("line_ids").alias("lines"), F.md5("text").alias("digest"), "x", "y", "w", "h")
 
 
-def jn4_recognized(spark, d):
-    lines = page_lines(table(spark, d, "documents")).where("i < 12").select("doc", "page", "i", "id", "text", "x", "y", "w", "h")
+def jn4_recognized(spark, d, most=12):
+    lines = page_lines(table(spark, d, "documents")).where(F.lit(True) if most is None else F.col("i") < most).select("doc", "page", "i", "id", "text", "x", "y", "w", "h")
     native = lines.where("i % 3 <> 0")
     seen = lines.withColumn("x", F.col("x") + F.when(F.col("i") % 2 == 0, 4.0).otherwise(300.0)).withColumn("text", F.when(F.col("i") % 3 == 1, F.upper("text")).otherwise(F.lit("other")))
     return joins.drop_recognized_twice(seen, native).select("doc", "page", "id")
@@ -329,6 +331,7 @@ QUERIES = {
     "agg19_latest": agg19_latest, "fil16_generation": fil16_generation, "stm8_debounce": stm8_debounce, "stm9_coalesced": stm9_coalesced, "win_functions": win_functions, "win6_agg15_warnings": win6_agg15_warnings, "win4_advance": win4_advance,
     "agg9_color": agg9_color, "mth_geometry": mth_geometry, "jsn4_variants": jsn4_variants,
 }
+QUERIES |= {f"{q.__name__}_whole": partial(q, most=None) for q in (agg3_repeated_edges, jn4_recognized)}
 ORACLE_SQL = {
     "src8_live_frames": SRC8, "jn14_pairs": JN14, "snk1_csv": SNK1, "jn1_bijection": JN1, "dq1_requests": DQ1, "agg3_repeated_edges": AGG3, "agg6_master_plan": AGG6, "jn4_recognized": JN4, "jn11_merge": JN11, "jn16_lost": JN16,
     "agg19_latest": AGG19, "fil16_generation": FIL16, "stm8_debounce": STM8, "stm9_coalesced": STM9, "win_functions": WIN, "win6_agg15_warnings": WIN6, "win4_advance": WIN4, "mth_geometry": MTH, "agg9_color": AGG9,
