@@ -216,10 +216,15 @@ FROM documents
 
 
 def str_scalars_checked(spark, d):
-    """CRC-32 has no SQL form here; tests hold it against zlib."""
+    """CRC-32 has no SQL form here and is 0 as in the SQL; ``mth3_crc32`` gives the real one."""
     return str_scalars(spark, d).withColumn("mth3", F.lit(0).cast("long"))
 
 
+def mth3_crc32(spark, d):
+    """CRC-32 of the whole texts; without SQL, held against zlib."""
+    return table(spark, d, "documents").select("doc_id", hashing.crc32(F.col("text")).alias("mth3"))
+
+
 def str4_8_merging(spark, d):
     """The first two thirds of a document's text and its last two thirds as growing snapshots."""
     docs = table(spark, d, "documents")
@@ -281,7 +286,7 @@ SELECT page_id, CAST(len(regexp_extract_all(t, '(?is)<u>(.*?)</u>', 1)) AS INTEG
 QUERIES = {
     "src1_file_kind": src1_file_kind, "src2_detect": src2_detect, "seg1_lines": seg1_lines, "seg2_line_endings": seg2_line_endings, "seg4_prefixes": seg4_prefixes, "seg_segments": seg_segments,
     "chk1_tokens": chk1_tokens, "chk2_chunks": chk2_chunks, "chk_profiles": chk_profiles, "jn2_chunk_segments": jn2_chunk_segments, "jn3_identity_render": jn3_identity_render, "jn1_model_round_trip": jn1_model_round_trip,
-    "str_scalars": str_scalars_checked, "str4_8_merging": str4_8_merging, "fil2_language_route": fil2_language_route, "agg17_speech": agg17_speech, "snk2_names": snk2_names, "seg13_underlines": seg13_underlines,
+    "str_scalars": str_scalars_checked, "mth3_crc32": mth3_crc32, "str4_8_merging": str4_8_merging, "fil2_language_route": fil2_language_route, "agg17_speech": agg17_speech, "snk2_names": snk2_names, "seg13_underlines": seg13_underlines,
 }
 QUERIES |= {"fil2_language_route_whole": partial(fil2_language_route, most=None)}
 ORACLE_SQL = {

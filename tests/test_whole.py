@@ -1,6 +1,7 @@
 """Queries over whole tables and texts: the registered SQL with its prefix taken out, over a small fixture."""
 
 import re
+import zlib
 
 import pytest
 from loomtext.functions import merging
@@ -55,3 +56,8 @@ def test_boxes_hold_all_lines(spark, long_pages):
     got = {r.page: r.characters for r in QUERIES["grp5_boxes"](spark, long_pages).collect()}
     lines = {r.doc_id: r.text.split("\n") for r in spark.read.parquet(f"{long_pages}/documents.parquet").collect()}
     assert all(got[d] >= sum(map(len, x)) for d, x in lines.items())
+
+
+def test_crc32_of_a_table_equals_zlib(spark, long_pages):
+    want = {r.doc_id: zlib.crc32(r.text.encode()) for r in spark.read.parquet(f"{long_pages}/documents.parquet").collect()}
+    assert {r.doc_id: r.mth3 for r in QUERIES["mth3_crc32"](spark, long_pages).collect()} == want
