@@ -23,6 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._shared import Workspace
+from .tokenbin import encoder
+
 CAPACITY = 2048
 SHARD_DOCS = 8192
 
@@ -114,10 +117,32 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOC
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """Documents as items: a token for every four bytes of UTF-8; equal texts are a cluster."""
+    """Documents as items by an estimate: a token for every four bytes of UTF-8, not real ids; equal texts are a cluster."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select("doc_id", "source", F.xxhash64(text).alias("cluster"), F.ceil(F.octet_length(text) / 4).alias("size"))
 
 
+def sized_by_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Documents as items of their real ids over the whole text and the end id; equal texts are a cluster."""
+
+    def run(batches):
+        coder = encoder(tokenizer)
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch.column("text")]
+            sizes = []
+            for i in range(0, len(texts), 200):
+                sizes += [len(b) // coder.width + 1 for b in coder.encode(texts[i : i + 200])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("cluster"), pa.array(sizes, pa.int64())], ["doc_id", "source", "cluster", "size"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("cluster"), text.alias("text"))
+    return texts.mapInArrow(run, "doc_id long, source string, cluster long, size long")
+
+
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(sized(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # written, so that the texts are tokenised once
+    items = Workspace(spark, "packing").save(sized_by_ids(docs, public_tokenizers.path("byte_bpe_50k.json")), "items")
+    return pack(items)
