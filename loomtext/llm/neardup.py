@@ -3,13 +3,15 @@
 1. Document frequencies of all five-word shingles of all documents are counted
    in a count-min sketch of fixed size (an estimate is never too low, and too
    high by about shingles / WIDTH, the same share of the documents at any size).
+   Only the samples of step 2 use the estimates.
 2. Every document is a weighted set: shingle -> tf * ln(1 + documents / df).
    ``SAMPLES`` improved consistent weighted samples are drawn from it; two
    documents agree in one with the probability of their weighted Jaccard
    similarity.  ``BAND_ROWS`` samples make a band.
 3. Texts of equal word sequences are one class, represented by its least id.
 4. Representatives that share a band are linked where the exact weighted
-   Jaccard similarity reaches the threshold.  Each is first compared with three
+   Jaccard similarity, with document frequencies counted exactly for every
+   shingle of a candidate, reaches the threshold.  Each is first compared with three
    pivots of its bucket.  Buckets that the links found leave in several
    components are then compared exhaustively across components, in blocks of
    ``BLOCK`` members, each block pair a task of its own; so no link of a bucket
@@ -179,12 +181,58 @@ def _signatures(table):
     return run
 
 
+def _elements(batches):
+    """A row for every distinct shingle of every candidate text."""
+    hasher = WordHasher(31)
+    for batch in batches:
+        for doc, digest, text in rows(batch, "doc_id", "digest", "text"):
+            h, _ = _shingle_counts(hasher, text)
+            for i in range(0, len(h), 100_000):
+                part = h[i : i + 100_000]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.full(len(part), doc, np.int64)), "digest": pa.array(np.full(len(part), digest, np.int64)), "h": pa.array(int64(part))})
+
+
+def _partial_frequencies(batches):
+    """Shingles and in how many of the documents at hand they are."""
+    hasher = WordHasher(31)
+
+    def counted(held):
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        for i in range(0, len(h), 100_000):
+            yield pa.RecordBatch.from_pydict({"h": pa.array(int64(h[i : i + 100_000])), "n": pa.array(n[i : i + 100_000].astype(np.int64))})
+
+    held, size = [], 0
+    for batch in batches:
+        for text in batch.column("text"):
+            h, _ = _shingle_counts(hasher, text.as_py())
+            held.append(h)
+            size += len(h)
+            if size > 1_000_000:
+                yield from counted(held)
+                held, size = [], 0
+    if size:
+        yield from counted(held)
+
+
+def exact_frequencies(docs: DataFrame, texts: DataFrame, space: Workspace) -> DataFrame:
+    """doc_id, digest and the exact document frequencies of a candidate text's shingles, in the order of their signed hashes."""
+    elements = space.save(texts.mapInArrow(_elements, "doc_id long, digest long, h long"), "elements")
+    wanted = space.save(elements.select("h").distinct(), "wanted_shingles")
+    counts = docs.select("text").mapInArrow(_partial_frequencies, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    df = space.save(counts.join(wanted, "h", "left_semi"), "frequencies")
+    each = elements.join(df, "h").groupBy("doc_id", "digest").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "n"))), lambda x: x["n"]).alias("df"))
+    each = space.save(each, "exact")
+    space.drop("elements", "wanted_shingles", "frequencies")
+    return each
+
+
 class _Weighted:
     """A document's (shingle, occurrence) elements, each of its shingle's weight."""
 
-    def __init__(self, hasher: WordHasher, idf: np.ndarray, text: str | None):
+    def __init__(self, hasher: WordHasher, docs: int, text: str | None, df: np.ndarray):
         self.h, self.tf = _shingle_counts(hasher, text)
-        self.w = _idf(idf, self.h).astype(np.float64) if len(self.h) else np.empty(0)
+        self.w = np.empty(len(self.h))
+        self.w[np.argsort(int64(self.h))] = np.log1p(docs / np.asarray(df, np.float64))
         self.total = float((self.w * self.tf).sum())
 
     def similarity(self, other: _Weighted) -> float:
@@ -194,19 +242,19 @@ class _Weighted:
         return shared / either if either else 1.0
 
 
-def _verify(table, threshold: float):
+def _verify(docs: int, threshold: float):
     def run(batches):
-        hasher, idf = WordHasher(31), table.value
+        hasher = WordHasher(31)
         for batch in batches:
             seen: dict[int, _Weighted] = {}
             out_l, out_r, sim = [], [], []
-            for left, right, a, b in rows(batch, "l", "r", "l_text", "r_text"):
-                for doc, text in ((left, a), (right, b)):
+            for left, right, a, b, a_df, b_df in rows(batch, "l", "r", "l_text", "r_text", "l_df", "r_df"):
+                for doc, text, df in ((left, a, a_df), (right, b, b_df)):
                     if doc not in seen:
                         if len(seen) > 2000:
                             seen.clear()
-                            seen[left] = _Weighted(hasher, idf, a)
-                        seen[doc] = _Weighted(hasher, idf, text)
+                            seen[left] = _Weighted(hasher, docs, a, a_df)
+                        seen[doc] = _Weighted(hasher, docs, text, df)
                 s = seen[left].similarity(seen[right])
                 if s >= threshold:
                     out_l.append(left)
@@ -217,16 +265,17 @@ def _verify(table, threshold: float):
     return run
 
 
-def _across(table, threshold: float):
+def _across(docs: int, threshold: float):
     """One block pair of one bucket -> a spanning set of the links between different components."""
 
     def run(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
-        hasher, idf = WordHasher(31), table.value
+        hasher = WordHasher(31)
         ids, roots, own = (block.column(n).to_numpy() for n in ("doc_id", "root", "own"))
         order = np.argsort(ids, kind="stable")
         ids, roots, own = ids[order], roots[order], own[order]
         texts = block.column("text").take(pa.array(order))
-        sets = [_Weighted(hasher, idf, t.as_py()) for t in texts]
+        frequencies = block.column("df").take(pa.array(order))
+        sets = [_Weighted(hasher, docs, t.as_py(), f.as_py()) for t, f in zip(texts, frequencies)]
         links_l, links_r = [], []
         if len(ids) > 1:
             parent = {r: r for r in set(roots.tolist())}
@@ -297,9 +346,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = shared.select("doc_id", F.explode("pivots").alias("p")).where("doc_id <> p").select(F.least("doc_id", "p").alias("l"), F.greatest("doc_id", "p").alias("r")).distinct()
     pairs = space.save(pairs, "pairs")
     wanted = space.save(shared.select("doc_id").distinct(), "wanted")
-    texts = space.save(docs.join(wanted, "doc_id", "left_semi"), "texts")
-    left, right = texts.select(F.col("doc_id").alias("l"), F.col("text").alias("l_text")), texts.select(F.col("doc_id").alias("r"), F.col("text").alias("r_text"))
-    links = pairs.join(left, "l").join(right, "r").select("l", "r", "l_text", "r_text").mapInArrow(_verify(table, threshold), "l long, r long, similarity double")
+    bare = space.save(docs.join(wanted, "doc_id", "left_semi").distinct().withColumn("digest", F.xxhash64("text", F.reverse("text"))), "bare")
+    texts = bare.join(exact_frequencies(docs, bare, space), ["doc_id", "digest"]).select("doc_id", "text", "df")
+    texts = space.save(texts, "texts")
+    space.drop("bare", "exact")
+    left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"), F.col("df").alias(f"{c}_df")) for c in ("l", "r"))
+    links = pairs.join(left, "l").join(right, "r").select("l", "r", "l_text", "r_text", "l_df", "r_df").mapInArrow(_verify(n, threshold), "l long, r long, similarity double")
     # rows that share an id tie their texts together
     ties = members.where("doc_id <> copy_of").join(members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"), "doc_id").select(F.col("doc_id").alias("l"), F.col("copy_of").alias("r"))
     links = space.save(links.select("l", "r").unionByName(ties), "links")
@@ -315,7 +367,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rest = placed.join(several, "band").select("band", "doc_id", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     rest = rest.select("band", "doc_id", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rest = space.save(rest, "rest")
-    found = rest.join(texts, "doc_id").groupBy("band", "i", "j").applyInArrow(_across(table, threshold), "l long, r long")
+    found = rest.join(texts, "doc_id").groupBy("band", "i", "j").applyInArrow(_across(n, threshold), "l long, r long")
     found = found.join(roots.select(F.col("node").alias("l"), F.col("root").alias("lr")), "l", "left").join(roots.select(F.col("node").alias("r"), F.col("root").alias("rr")), "r", "left")
     more = space.save(found.select(F.coalesce("lr", "l").alias("l"), F.coalesce("rr", "r").alias("r")).distinct(), "more")
     space.drop("texts", "rest", "buckets", "links")
