@@ -246,16 +246,16 @@ def _verify(docs: int, threshold: float):
     def run(batches):
         hasher = WordHasher(31)
         for batch in batches:
-            seen: dict[int, _Weighted] = {}
+            seen: dict[tuple[int, str | None], _Weighted] = {}
             out_l, out_r, sim = [], [], []
             for left, right, a, b, a_df, b_df in rows(batch, "l", "r", "l_text", "r_text", "l_df", "r_df"):
-                for doc, text, df in ((left, a, a_df), (right, b, b_df)):
-                    if doc not in seen:
+                for key, df in (((left, a), a_df), ((right, b), b_df)):
+                    if key not in seen:
                         if len(seen) > 2000:
                             seen.clear()
-                            seen[left] = _Weighted(hasher, docs, a, a_df)
-                        seen[doc] = _Weighted(hasher, docs, text, df)
-                s = seen[left].similarity(seen[right])
+                            seen[left, a] = _Weighted(hasher, docs, a, a_df)
+                        seen[key] = _Weighted(hasher, docs, key[1], df)
+                s = seen[left, a].similarity(seen[right, b])
                 if s >= threshold:
                     out_l.append(left)
                     out_r.append(right)

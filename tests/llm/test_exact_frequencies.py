@@ -22,3 +22,13 @@ def test_links_do_not_depend_on_the_sketch(spark, monkeypatch):
     got = {r.doc_id: r.cluster_id for r in near_duplicates(spark.createDataFrame([(i, t, "") for i, t in docs], SCHEMA)).collect()}
     assert got == brute(docs)
 
+
+def test_every_text_of_a_shared_id_is_compared(spark):
+    rng = random.Random(6)
+    a, b = words(rng, 120), words(rng, 120)
+    near = [*b[:-1], "changed"]
+    far = [*a[:-1], "other"]
+    for first, second in ((a, b), (b, a)):
+        rows = [(5, " ".join(first), ""), (5, " ".join(second), ""), (9, " ".join(near), ""), (11, " ".join(far), "")]
+        got = {r.doc_id: r.cluster_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()}
+        assert got == {5: 5, 9: 5, 11: 5}
