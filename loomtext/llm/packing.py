@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._shared import Workspace
+from .neardup import near_duplicates
 from .tokenbin import encoder
 
 CAPACITY = 2048
@@ -139,10 +140,17 @@ def sized_by_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, source string, cluster long, size long")
 
 
+def near_clustered(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """The items with their near-duplicate clusters; rows without an id keep that of their exact text."""
+    near = near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", "cluster_id")
+    return items.join(near, "doc_id", "left").select("doc_id", "source", F.coalesce("cluster_id", "cluster").alias("cluster"), "size")
+
+
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     # written, so that the texts are tokenised once
-    items = Workspace(spark, "packing").save(sized_by_ids(docs, public_tokenizers.path("byte_bpe_50k.json")), "items")
-    return pack(items)
+    space = Workspace(spark, "packing")
+    items = space.save(sized_by_ids(docs, public_tokenizers.path("byte_bpe_50k.json")), "sizes")
+    return pack(space.save(near_clustered(items, docs), "items"))

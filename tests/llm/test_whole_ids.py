@@ -16,3 +16,14 @@ def test_sizes_are_real_ids(spark, tmp_path):
     for r in packing.op2_best_fit_packing(spark, str(tmp_path)).collect():
         size[r.doc_id] = size.get(r.doc_id, 0) + r.n_tokens
     assert size == {i: len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for i, t, _ in rows}
+
+
+def test_near_copies_share_no_bin(spark, tmp_path):
+    base = [f"word{i}" for i in range(120)]
+    rows = [(d, " ".join([*base[:-1], f"end{d}"]), f"s{d}") for d in range(6)] + [(10 + d, f"short text number {d}", f"t{d}") for d in range(6)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    bins = {}
+    for r in packing.op2_best_fit_packing(spark, str(tmp_path)).collect():
+        bins.setdefault(r.bin_id, []).append(r.doc_id)
+    assert sorted(d for b in bins.values() for d in b) == sorted(r[0] for r in rows)
+    assert all(sum(d < 6 for d in b) <= 1 for b in bins.values())
