@@ -1,8 +1,10 @@
 """License scans by sentence rules, in SQL functions only.
 
-A text is cut into sentences (at line ends, and after ``.``, ``!`` or ``?``
-before white space); each is normalised to lower-case words; an exact lookup
-maps it to the identifier of a known licence sentence.  Known sentences of one
+A text is cut into parts (at line ends, and after ``.``, ``!`` or ``?`` before
+white space); each is normalised to lower-case words, without comment leaders;
+an exact lookup maps a part, or parts that follow each other inside a paragraph
+and together are a hard-wrapped sentence, to the identifier of a known licence
+sentence.  Bare list numbers and parts without words don't break a sequence.  Known sentences of one
 document that stand side by side are an identifier sequence, and the ordered
 rules are matched against it: the first rule in order takes all its places, the
 next rule sees what is left.
@@ -112,12 +114,31 @@ RULES = [
     ("proprietary", ["reserved"]),
 ]
 
-CUT = r"[ \t\r]*\n[ \t\r\n]*|[.!?]+[ \t\r\n]+"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
-def sentences(text: Column) -> Column:
-    return F.split(F.coalesce(text.cast("string"), F.lit("")), CUT)
+MOST_WORDS = max(len(w.split(" ")) for w in SENTENCES.values())
+MOST_CHARS = max(map(len, SENTENCES.values()))
+FIRST_WORDS = sorted({w.split(" ")[0] for w in SENTENCES.values()})
+
+
+def lines(text: Column) -> Column:
+    """The text cut at line ends and sentence ends; a part after a sentence's end or an empty line begins with 0x02."""
+    text = F.translate(text, "\x01\x02", "  ")
+    text = F.regexp_replace(text, r"[.!?]+[ \t\r\n]+", "\x01\x02")
+    text = F.regexp_replace(text, r"[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*", "\x01\x02")
+    return F.split(F.regexp_replace(text, r"[ \t\r]*\n[ \t\r\n]*", "\x01"), "\x01")
+
+
+def _placed(part: Column, i: Column) -> Column:
+    """(pos, hard, words): no sentence reaches over a hard beginning, nor over a skipped part."""
+    hard = F.startswith(part, F.lit("\x02")) | F.coalesce(_skipped(normalised(F.get("lines", i - 1))), F.lit(False))
+    return F.struct(i.alias("pos"), hard.alias("hard"), normalised(part).alias("words"))
+
+
+def _skipped(words: Column) -> Column:
+    """Parts without words, such as bare comment leaders, and bare list numbers don't break a sequence."""
+    return (words == "") | words.rlike("^([0-9]{1,3}|[a-z])$")
 
 
 def normalised(sentence: Column) -> Column:
@@ -136,12 +157,23 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     known = F.broadcast(spark.createDataFrame([(w, i) for i, w in SENTENCES.items()], "sentence string, id string"))  # fixed size
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(sentences(text)).alias("pos", "raw"))
-    # the longest known sentence bounds what needs normalising
-    each = each.where((F.length("raw") >= 8) & (F.length("raw") <= 2000)).select("doc_id", "text_hash", "pos", normalised(F.col("raw")).alias("sentence"))
-    hits = each.join(known, "sentence").select("doc_id", "text_hash", "pos", "id").distinct()
-    order = Window.partitionBy("doc_id", "text_hash").orderBy("pos")
-    hits = hits.withColumn("run", F.col("pos") - F.row_number().over(order))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), lines(text).alias("lines"))
+    docs = docs.withColumn("lines", F.filter(F.transform("lines", _placed), lambda x: ~_skipped(x["words"])))
+    # a known sentence has at most MOST_WORDS lines; only lines that begin like one are followed
+    first = F.transform("lines", lambda x, i: F.struct(i.alias("k"), x["pos"].alias("pos"), F.regexp_replace(x["words"], "^[0-9]{1,3} ", "").alias("words")))
+    first = F.filter(first, lambda x: F.substring_index(x["words"], " ", 1).isin(*FIRST_WORDS))
+    starts = docs.select("doc_id", "text_hash", F.explode(F.transform(first, lambda x: F.struct(x["k"].alias("k"), x["pos"].alias("pos"), x["words"].alias("words"), F.slice("lines", x["k"] + 2, MOST_WORDS - 1).alias("more")))).alias("s"))
+    ends = F.array_position(F.transform("s.more", lambda x: x["hard"]), True)
+    more = F.slice("s.more", F.lit(1), F.when(ends > 0, ends - 1).otherwise(F.size("s.more")).cast("int"))
+    grown = F.transform(F.sequence(F.lit(0), F.size("more")), lambda m: F.struct((m + 1).alias("n"), F.array_join(F.concat(F.array("words"), F.transform(F.slice("more", F.lit(1), m), lambda x: x["words"])), " ").alias("sentence")))
+    each = starts.select("doc_id", "text_hash", "s.k", "s.pos", "s.words", more.alias("more")).select("doc_id", "text_hash", "k", "pos", F.inline(grown))
+    hits = each.where(F.length("sentence") <= MOST_CHARS).join(known, "sentence").select("doc_id", "text_hash", "k", "pos", "n", "id").distinct()
+    # of sentences that overlap the first stays, then the longest
+    held = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("k", (-F.col("n")).alias("less"), "pos", "id"))).alias("hits"))
+    none = F.filter("hits", lambda x: F.lit(False))
+    held = held.select("doc_id", "text_hash", F.inline(F.aggregate("hits", none, lambda kept, x: F.when((F.size(kept) == 0) | (F.element_at(kept, -1)["k"] - F.element_at(kept, -1)["less"] <= x["k"]), F.concat(kept, F.array(x))).otherwise(kept))))
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    hits = held.withColumn("run", F.col("k") + F.coalesce(F.sum("less").over(order), F.lit(0)))
     runs = hits.groupBy("doc_id", "text_hash", "run").agg(F.min("pos").alias("first"), F.count("*").alias("n_sentences"), F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("ids"))
     ids = F.transform("ids", lambda x: x["id"])
     matched = apply_rules(F.concat(F.lit("|"), F.array_join(ids, "||"), F.lit("|")))
