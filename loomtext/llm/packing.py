@@ -23,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._encoding import encoder, groups
 from ._shared import Workspace
 from .neardup import near_duplicates
-from .tokenbin import encoder
 
 CAPACITY = 2048
 SHARD_DOCS = 8192
@@ -129,10 +129,7 @@ def sized_by_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         coder = encoder(tokenizer)
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column("text")]
-            sizes = []
-            for i in range(0, len(texts), 200):
-                sizes += [len(b) // coder.width + 1 for b in coder.encode(texts[i : i + 200])]
+            sizes = [n + 1 for _, texts in groups(batch) for n in coder.encode(texts)[1].tolist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("cluster"), pa.array(sizes, pa.int64())], ["doc_id", "source", "cluster", "size"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

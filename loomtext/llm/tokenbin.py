@@ -2,25 +2,31 @@
 
 A file holds the ids of consecutive documents as one array of little-endian
 unsigned 16-bit integers (32-bit for vocabularies above 65,536), followed by
-the ids of the documents and the starts of the documents as a monotone
-Elias-Fano sequence: the low ``l`` bits of each start packed side by side, the
-rest as gaps in a bit vector, where start ``i`` is found by select(i) - i.  A
-sample of every ``SAMPLE``-th one's place, in 32 bits, lets select begin close
-by.  ``n`` starts below ``u`` take about ``n * (2 + log2(u / n))`` bits.
+two monotone Elias-Fano sequences: the ids of the documents, as distances from
+the least of them, and the starts of the documents.  A sequence keeps the low
+``l`` bits of each value packed side by side and the rest as gaps in a bit
+vector, where value ``i`` is found by select(i) - i.  A sample of every
+``SAMPLE``-th one's place, in 32 bits, lets select begin close by.  ``n`` values
+below ``u`` take about ``n * (2 + log2(u / n))`` bits; there is no table of
+64-bit numbers.  Documents are read one by one, each by select.
 
 Layout, all numbers little-endian:
-    8 bytes  magic ``LTIDS001``
-    6 u64    documents, ids, bytes of an id, low bits, bytes of high, samples
-    ids | document ids (i64) | low | high | samples (u32), each padded to 8 bytes
+    8 bytes  magic ``LTIDS002``
+    11 u64   documents, documents without an id, ids, bytes of an id, least document id (as i64),
+             then for document ids and starts: low bits, bytes of high, samples
+    ids | low, high, samples (u32) of the document ids | low, high, samples of the starts, each padded to 8 bytes
+
+A task closes its file and begins the next at ``IDS_PER_FILE`` ids, so memory follows
+neither the number of documents nor repeated ids, only the longest text.
 
 Defined results.  Null and empty texts have the end id only.  Documents are in
 ascending id, rows with a null id first; rows that share an id are in the order
-of their text and are documents of their own.  Extra columns are ignored.
+of their text and are documents of their own.  The string of a special token in a
+text is that token's id, as the library gives it.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import array
 import struct
 import zlib
 from dataclasses import dataclass
@@ -28,17 +34,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ._arrow import rows
+from ._encoding import encoder, groups
 from ._shared import Workspace, file_system, write_atomically
 
-MAGIC = b"LTIDS001"
-HEAD = struct.Struct("<8s6Q")
+MAGIC = b"LTIDS002"
+HEAD = struct.Struct("<8s4Qq6Q")
 SAMPLE = 256
 END_ID = 0
-CACHED_WORDS = 1_000_000  #: words a Python worker remembers; emptied when full, results don't depend on it
-DOCS_PER_FILE = 8_000  #: so that a file's ids fit into a task's memory
+DOCS_PER_FILE = 8_000  #: documents of a task, on average
+IDS_PER_FILE = 16_000_000
+FILES_PER_BLOCK = 1_024  #: files whose first ids are counted in one task
+
 
 
 # Elias-Fano -------------------------------------------------------------------
@@ -46,7 +55,7 @@ DOCS_PER_FILE = 8_000  #: so that a file's ids fit into a task's memory
 
 @dataclass
 class EliasFano:
-    """Monotone sequence ``starts`` of ``n`` values below ``universe``."""
+    """Monotone sequence of ``n`` values below ``universe``."""
 
     n: int
     low_bits: int
@@ -94,17 +103,6 @@ class EliasFano:
             low = (word >> (first & 7)) & ((1 << self.low_bits) - 1)
         return ((self.select(i) - i) << self.low_bits) | low
 
-    def decode(self) -> np.ndarray:
-        """All values at once."""
-        if not self.n:
-            return np.empty(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)) << self.low_bits
-        if self.low_bits:
-            low = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            out = out | (low.astype(np.int64) << np.arange(self.low_bits)).sum(1)
-        return out
-
 
 # the file format ----------------------------------------------------------------
 
@@ -113,141 +111,105 @@ def _padded(b: bytes) -> bytes:
     return b + bytes(-len(b) % 8)
 
 
-def file_chunks(doc_ids: list[int | None], bodies: list[bytes], width: int):
-    """The bytes of a file, piece by piece."""
-    lengths = np.array([len(b) // width for b in bodies], np.int64)
-    starts = np.concatenate(([0], np.cumsum(lengths)))
-    ef = EliasFano.encode(starts[:-1], int(starts[-1]) + 1)
-    yield HEAD.pack(MAGIC, len(bodies), int(starts[-1]), width, ef.low_bits, len(ef.high), len(ef.samples))
-    yield from bodies
-    yield bytes(-(int(starts[-1]) * width) % 8)
-    null = -(1 << 63)
-    yield np.array([null if d is None else d for d in doc_ids], "<i8").tobytes()
-    for part in (ef.low.tobytes(), ef.high.tobytes(), ef.samples.astype("<u4").tobytes()):
-        yield _padded(part)
+def file_chunks(doc_ids: list[int | None], bodies: list[np.ndarray], sizes: np.ndarray):
+    """The bytes of a file, piece by piece; documents in ascending id, those without one first."""
+    n = int(sizes.sum())
+    width = bodies[0].dtype.itemsize if bodies else 2
+    named = np.array([d for d in doc_ids if d is not None], np.int64)
+    least = int(named[0]) if len(named) else 0
+    starts = EliasFano.encode(np.cumsum(sizes) - sizes, n + 1)
+    far = named.astype(np.uint64) - np.int64(least).astype(np.uint64)  # modulo 2**64: any two 64-bit ids
+    names = EliasFano.encode(far, int(far[-1]) + 1 if len(far) else 1)
+    shape = [x for ef in (names, starts) for x in (ef.low_bits, len(ef.high), len(ef.samples))]
+    yield HEAD.pack(MAGIC, len(doc_ids), len(doc_ids) - len(named), n, width, least, *shape)
+    for body in bodies:
+        yield body.tobytes()
+    yield bytes(-(n * width) % 8)
+    for ef in (names, starts):
+        for part in (ef.low.tobytes(), ef.high.tobytes(), ef.samples.astype("<u4").tobytes()):
+            yield _padded(part)
 
 
 class TokenFile:
-    """Reader of one file; ids of single documents are read by their offsets."""
+    """Reader of one file; each document is found by select."""
 
     def __init__(self, uri: str):
         system, path = file_system(uri)
         self._in = system.open_input_file(path)
-        magic, self.n_docs, self.n_ids, self.width, low_bits, high, samples = HEAD.unpack(self._in.read_at(HEAD.size, 0))
+        magic, self.n_docs, self.n_unnamed, self.n_ids, self.width, self._least, *shape = HEAD.unpack(self._in.read_at(HEAD.size, 0))
         if magic != MAGIC:
             raise ValueError(f"not a token file: {uri}")
         at = HEAD.size + self.n_ids * self.width
         at += -(self.n_ids * self.width) % 8
-        ids = self._in.read_at(8 * self.n_docs, at)
-        self.doc_ids = [None if x == -(1 << 63) else x for x in np.frombuffer(ids, "<i8").tolist()]
-        at += 8 * self.n_docs
-        parts = []
-        for size in ((self.n_docs * low_bits + 7) // 8, high, 4 * samples):
-            parts.append(self._in.read_at(size, at))
-            at += size + -size % 8
-        self.starts = EliasFano(self.n_docs, low_bits, np.frombuffer(parts[0], np.uint8), np.frombuffer(parts[1], np.uint8), np.frombuffer(parts[2], "<u4"))
+        held = []
+        for n, (low_bits, high, samples) in zip((self.n_docs - self.n_unnamed, self.n_docs), (shape[:3], shape[3:])):
+            parts = []
+            for size in ((n * low_bits + 7) // 8, high, 4 * samples):
+                parts.append(self._in.read_at(size, at))
+                at += size + -size % 8
+            held.append(EliasFano(n, low_bits, np.frombuffer(parts[0], np.uint8), np.frombuffer(parts[1], np.uint8), np.frombuffer(parts[2], "<u4")))
+        self.names, self.starts = held
+
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.n_unnamed else self._least + self.names[i - self.n_unnamed]
 
     def span(self, i: int) -> tuple[int, int]:
         return self.starts[i], self.starts[i + 1] if i + 1 < self.n_docs else self.n_ids
 
     def ids(self, i: int) -> np.ndarray:
-        start, end = self.span(i)
+        return self._between(*self.span(i))
+
+    def _between(self, start: int, end: int) -> np.ndarray:
         return np.frombuffer(self._in.read_at((end - start) * self.width, HEAD.size + start * self.width), f"<u{self.width}")
 
     def documents(self):
-        """(doc_id, start, ids) in order, with one pass over the boundaries."""
-        starts = self.starts.decode().tolist() + [self.n_ids]
-        for i, doc in enumerate(self.doc_ids):
-            data = self._in.read_at((starts[i + 1] - starts[i]) * self.width, HEAD.size + starts[i] * self.width)
-            yield doc, starts[i], np.frombuffer(data, f"<u{self.width}")
-
-
-# encoding ----------------------------------------------------------------------
-
-
-class CachedEncoder:
-    """Encodes with the ``tokenizers`` library, each distinct word once.
-
-    For a byte-level BPE with the usual pattern a space before a visible
-    character always begins a new piece, so a text may be cut there and the ids
-    of the parts put together; the parts repeat, and their ids are remembered.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        """(doc_id, start, ids) in order."""
+        start = self.starts[0] if self.n_docs else 0
+        for i in range(self.n_docs):
+            end = self.starts[i + 1] if i + 1 < self.n_docs else self.n_ids
+            yield self.doc_id(i), start, self._between(start, end)
+            start = end
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.code = "I" if self.wide else "H"
-        self.width = 4 if self.wide else 2
-        self.known: dict[str, bytes] = {}
-        import re
 
-        self.unsafe = re.compile(r" (?:\s|\Z)")
-        self.cut = re.compile(r" (?=\S)")
+# writing and reading --------------------------------------------------------------
 
-    def _bytes(self, encoding) -> bytes:
-        return array.array(self.code, encoding.ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.cut.split(t) if self.unsafe.search(t) else t.split(" ") for t in texts]
-        wanted: set[str] = set()
-        for p in parts:
-            wanted.update(p[1:])
-        if len(self.known) + len(wanted) > CACHED_WORDS:
-            self.known = {}
-        new = list(wanted.difference(self.known))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast([" " + w for w in some], add_special_tokens=False)):
-                self.known[word] = self._bytes(e)
-        firsts = self.tokenizer.encode_batch_fast([p[0] for p in parts], add_special_tokens=False)
-        get = self.known.__getitem__
-        return [self._bytes(e) + b"".join(map(get, p[1:])) for e, p in zip(firsts, parts)]
-
-
-_encoders: dict[str, CachedEncoder] = {}
-
-
-def encoder(path: str) -> CachedEncoder:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _encoders:
-        _encoders[path] = CachedEncoder(path)
-    return _encoders[path]
-
-
-def _writer(folder: str, tokenizer: str, end_id: int):
+def _writer(folder: str, tokenizer: str, end_id: int, ids_per_file: int):
     def run(batches):
-        shard = TaskContext.get().partitionId()
+        part, made = TaskContext.get().partitionId(), 0
         coder = encoder(tokenizer)
-        end = array.array(coder.code, [end_id]).tobytes()
-        ids, bodies = [], []
+        docs, bodies, sizes, held = [], [], [], 0
+
+        def close():
+            nonlocal docs, bodies, sizes, held, made
+            uri = f"{folder}/ids-{part:06d}-{made:04d}.bin"
+            written = write_atomically(uri, file_chunks(docs, bodies, np.concatenate(sizes)))
+            row = {"part": pa.array([part], pa.int32()), "nth": pa.array([made], pa.int32()), "uri": [uri], "n_docs": pa.array([len(docs)], pa.int64()), "n_ids": pa.array([held], pa.int64()), "bytes": pa.array([written], pa.int64())}
+            docs, bodies, sizes, held, made = [], [], [], 0, made + 1
+            return pa.RecordBatch.from_pydict(row)
+
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column("text")]
-            docs = batch.column("doc_id").to_pylist()
-            for i in range(0, len(texts), 200):
-                bodies += [b + end for b in coder.encode(texts[i : i + 200])]
-            ids += docs
-        if not bodies:
-            return
-        uri = f"{folder}/ids-{shard:06d}.bin"
-        size = write_atomically(uri, file_chunks(ids, bodies, coder.width))
-        yield pa.RecordBatch.from_pydict(
-            {"shard": pa.array([shard], pa.int32()), "uri": [uri], "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([sum(map(len, bodies)) // coder.width], pa.int64()), "bytes": pa.array([size], pa.int64())}
-        )
+            names = batch.column("doc_id").to_pylist()
+            for first, texts in groups(batch):
+                ids, n = coder.encode(texts)
+                bodies.append(np.insert(ids, np.cumsum(n), end_id))
+                sizes.append(n + 1)
+                docs += names[first : first + len(texts)]
+                held += len(bodies[-1])
+                if held >= ids_per_file:
+                    yield close()
+        if docs:
+            yield close()
 
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, docs_per_file: int = DOCS_PER_FILE) -> DataFrame:
-    """Write the files and their manifest; returns the manifest, a row for each file in order."""
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, docs_per_file: int = DOCS_PER_FILE, ids_per_file: int = IDS_PER_FILE) -> DataFrame:
+    """Write the files and their manifest; returns the manifest, a row for each file, ordered by (part, nth)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    files = max(1, -(-docs.count() // docs_per_file))
-    done = docs.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest = done.mapInArrow(_writer(folder, tokenizer, end_id), "shard int, uri string, n_docs long, n_ids long, bytes long")
+    tasks = max(1, -(-docs.count() // docs_per_file))
+    done = docs.repartitionByRange(tasks, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    manifest = done.mapInArrow(_writer(folder, tokenizer, end_id, ids_per_file), "part int, nth int, uri string, n_docs long, n_ids long, bytes long")
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     return docs.sparkSession.read.parquet(f"{folder}/manifest")
 
@@ -264,14 +226,20 @@ def _reader(batches):
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
 
+def first_ids(manifest: DataFrame) -> DataFrame:
+    """The manifest with ``first``, the ids of all files before: counted in blocks of files, then over the blocks."""
+    block = F.floor(F.col("part") / FILES_PER_BLOCK)
+    inside = Window.partitionBy("block").orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.withColumn("block", block).withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
+    # one row for every FILES_PER_BLOCK tasks meets in one task
+    blocks = manifest.groupBy(block.alias("block")).agg(F.sum("n_ids").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return files.join(blocks.select("block", "before"), "block").select("uri", (F.col("before") + F.col("inside")).alias("first"))
+
+
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    listed = sorted(spark.read.parquet(f"{folder}/manifest").collect(), key=lambda r: r.shard)  # a row for each file
-    first, todo = 0, []
-    for r in listed:
-        todo.append((r.uri, first))
-        first += r.n_ids
-    files = spark.createDataFrame(todo, "uri string, first long").repartition(max(1, len(todo)))
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    files = first_ids(manifest).repartition(max(1, manifest.count()))
     return files.mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

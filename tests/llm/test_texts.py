@@ -7,11 +7,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomtext.llm import decontaminate, fingerprints as fp, licenses, pii, quality, substring, tokenbin, warc
+from loomtext.llm import _encoding, decontaminate, fingerprints as fp, licenses, pii, quality, substring, tokenbin, warc
 from loomtext.llm._hashing import BLOCK, WordHasher
 
 DOC = "doc_id long, text string, score string, spans int, fingerprint int"  # with clashing extra columns
@@ -82,8 +83,7 @@ def test_next_with_ties_nulls_and_nothing(spark):
 def test_elias_fano_gives_every_start(gaps):
     values = np.cumsum(np.array(gaps, np.int64)) if gaps else np.empty(0, np.int64)
     ef = tokenbin.EliasFano.encode(values, int(values[-1]) + 1 if gaps else 1)
-    assert ef.decode().tolist() == values.tolist()
-    assert [ef[i] for i in range(0, len(values), 7)] == values[::7].tolist()
+    assert [ef[i] for i in range(len(values))] == values.tolist()
 
 
 TRICKY = st.lists(st.sampled_from([*"ab \n\t'éｘ", "  ", "12", "!!", "'s", "\x1c", "\xa0", "<|endoftext|>"]), max_size=40).map("".join)
@@ -94,26 +94,50 @@ TRICKY = st.lists(st.sampled_from([*"ab \n\t'éｘ", "  ", "12", "!!", "'s", "\x
 def test_cached_encoding_is_the_tokenizers(texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = _plain(path)
-    got = [np.frombuffer(b, "<u2").tolist() for b in tokenbin.encoder(path).encode(texts)]
+    ids, sizes = tokenbin.encoder(path).encode(texts)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
     assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+WORDY = st.lists(st.sampled_from(["word", "words.", "x,", "Don't", "12", "a\nb", "é!", "end.\n\nNext", "…", "²."]), min_size=1, max_size=60).map(" ".join)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(WORDY, TRICKY), min_size=1, max_size=4))
+def test_encoding_holds_over_generations_of_words(texts):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    _encoding.CACHED_WORDS, before = 8, _encoding.CACHED_WORDS
+    try:
+        ids, sizes = tokenbin.encoder(path).encode(texts)
+    finally:
+        _encoding.CACHED_WORDS = before
+    got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [_plain(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_other_tokenizers_get_whole_texts(name):
+    path = public_tokenizers.path(name)
+    texts = ["Some Words, again", "", "x <|endoftext|> y"]
+    ids, sizes = tokenbin.encoder(path).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [_plain(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 _tokenizers = {}
 
 
 def _plain(path):
     if path not in _tokenizers:
         _tokenizers[path] = Tokenizer.from_file(path)
-        _tokenizers[path].encode_special_tokens = True
     return _tokenizers[path]
 
 
 def test_token_files_round_trip(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = [(5, "Hello world, again"), (2, None), (9, ""), (None, "first"), (7, "long " * 3000), (7, "a tie")]
-    for per in (2, 100):
+    rows = [(5, "Hello world, again"), (2, None), (9, ""), (None, "first"), (7, "long " * 3000), (7, "a tie"), (-(1 << 63), "least"), ((1 << 63) - 1, "most <|endoftext|>")]
+    for per, most in ((2, 10**6), (100, 10**6), (100, 1)):
         folder = f"file://{tmp_path}/t{per}"
-        manifest = tokenbin.write_tokens(frame(spark, rows), folder, path, docs_per_file=per)
+        manifest = tokenbin.write_tokens(frame(spark, rows), folder, path, docs_per_file=per, ids_per_file=most)
         got = sorted(tokenbin.read_tokens(spark, folder).collect(), key=lambda r: r.start)
         start, plain = 0, _plain(path)
         want = []
@@ -122,8 +146,8 @@ def test_token_files_round_trip(spark, tmp_path):
             want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             start += len(ids)
         assert [tuple(r) for r in got] == want
-        f = tokenbin.TokenFile(manifest.orderBy("shard").first().uri)
-        assert f.doc_ids[0] is None and f.ids(0).tolist() == plain.encode("first", add_special_tokens=False).ids + [0]
+        f = tokenbin.TokenFile(manifest.orderBy("part", "nth").first().uri)
+        assert f.doc_id(0) is None and f.ids(0).tolist() == plain.encode("first", add_special_tokens=False).ids + [0]
     empty = f"file://{tmp_path}/none"
     tokenbin.write_tokens(frame(spark, []), empty, path)
     assert tokenbin.read_tokens(spark, empty).count() == 0
