@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one is made only where it is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; one is made only where it is unset and all runs in one process (tests)."""
     named = spark.conf.get(_SETTING, None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{_SETTING} must name a folder that the whole cluster shares")
         named = "file://" + tempfile.mkdtemp(prefix="loomtext-")
         spark.conf.set(_SETTING, named)
     return named.rstrip("/")

@@ -1,117 +1,143 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies of all five-word shingles of all documents are counted
-   in a count-min sketch of fixed size (an estimate is never too low, and too
-   high by about shingles / WIDTH, the same share of the documents at any size).
-   Only the samples of step 2 use the estimates.
-2. Every document is a weighted set: shingle -> tf * ln(1 + documents / df).
+1. Texts of equal word sequences are one class, represented by its least id.
+2. Document frequencies of all five-word shingles are counted exactly.  The
+   representatives' texts are dealt to chunks once; a chunk sends each of its
+   distinct shingle hashes once, sorted and packed, to the part of the hash
+   range that counts it, and gets back the counts alone, in the same order.
+3. Every representative is a weighted set: shingle -> tf * ln(1 + documents / df).
    ``SAMPLES`` improved consistent weighted samples are drawn from it; two
    documents agree in one with the probability of their weighted Jaccard
    similarity.  ``BAND_ROWS`` samples make a band.
-3. Texts of equal word sequences are one class, represented by its least id.
-4. Representatives that share a band are linked where the exact weighted
-   Jaccard similarity, with document frequencies counted exactly for every
-   shingle of a candidate, reaches the threshold.  Each is first compared with three
-   pivots of its bucket.  Buckets that the links found leave in several
-   components are then compared exhaustively across components, in blocks of
-   ``BLOCK`` members, each block pair a task of its own; so no link of a bucket
-   is lost and no task holds a whole bucket.
+4. Representatives that share a band are linked where their exact weighted
+   Jaccard similarity, with the same exact frequencies, reaches the threshold.
+   Each is first compared with three pivots of its bucket.  Buckets that the
+   links found leave in several components are then compared exhaustively
+   across components, in blocks of ``BLOCK`` members, each block pair a task of
+   its own; so no link of a bucket is lost and no task holds a whole bucket.
 5. A cluster is a connected component, named by its least id.
 
 A pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8**4)**12
-= 0.998, one at 0.9 with 0.99999.
+= 0.998, one at 0.9 with 0.99999, at any size of the input.
 
 Defined results.  Null and blank texts have no shingle and are copies of each
 other.  Texts of fewer than five words have one shingle.  Rows that share an id
 are one document and belong to one cluster.  Rows with a null id are not
-compared and have a null cluster.  Extra columns are ignored.
+compared or counted and have a null cluster.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._arrow import lists, rows
 from ._components import connected_components
-from ._hashing import WordHasher, int64, mix
+from ._hashing import WordHasher, mix
+from ._packed import chunks, edges, pack_counts, pack_sorted, unpack_counts, unpack_sorted
 from ._shared import Workspace
 
-WIDTH_BITS, DEPTH = 18, 2
 SAMPLES, BAND_ROWS = 48, 4
 THRESHOLD = 0.8
-BLOCK = 1024
-_W = 1 << WIDTH_BITS
+BLOCK = 256
 _U = np.uint64
 
 
-def _shingle_counts(hasher: WordHasher, text: str | None):
-    h = hasher.shingles(hasher.words(text))
-    return np.unique(h, return_counts=True)
+@lru_cache(1)
+def _hasher() -> WordHasher:
+    return WordHasher(31)
 
 
-def _cells(h: np.ndarray) -> list[np.ndarray]:
-    return [((h >> _U(WIDTH_BITS * d)) & _U(_W - 1)).astype(np.int64) for d in range(DEPTH)]
+@lru_cache(1)
+def _sampler() -> WeightedSampler:
+    return WeightedSampler()
 
 
-def _sketch(batches):
-    hasher = WordHasher(31)
-    counts, docs = np.zeros((DEPTH, _W), np.int64), 0
-    for batch in batches:
-        held, size = [], 0
-        for text in batch.column("text"):
-            h, _ = _shingle_counts(hasher, text.as_py())
-            held.append(h)
-            size += len(h)
-            docs += 1
-            if size > 1_000_000:
-                for d, c in enumerate(_cells(np.concatenate(held))):
-                    counts[d] += np.bincount(c, minlength=_W)
-                held, size = [], 0
-        if held:
-            for d, c in enumerate(_cells(np.concatenate(held))):
-                counts[d] += np.bincount(c, minlength=_W)
-    yield pa.RecordBatch.from_pydict({"docs": pa.array([docs], pa.int64()), "counts": pa.array([counts.astype("<i8").tobytes()], pa.binary())})
-
-
-def _add_up(batches):
-    total, docs = np.zeros(DEPTH * _W, np.int64), 0
-    for batch in batches:
-        for n, counts in rows(batch, "docs", "counts"):
-            docs += n
-            total += np.frombuffer(counts, "<i8")
-    yield pa.RecordBatch.from_pydict({"docs": pa.array([docs], pa.int64()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+def _shingle_counts(text: str | None):
+    hasher = _hasher()
+    return np.unique(hasher.shingles(hasher.words(text)), return_counts=True)
+
 
+# exact copies -------------------------------------------------------------------
 
-def document_frequencies(docs: DataFrame, fan_in: int = 64) -> tuple[np.ndarray, int]:
-    """The count-min sketch of all shingles and the number of documents.
 
-    A task adds up at most ``fan_in`` sketches of 4 MB; the driver gets two at most.
-    """
-    sketches = docs.select("text").mapInArrow(_sketch, "docs long, counts binary")
-    n = docs.rdd.getNumPartitions()
-    while n > 2:
-        n = max(2, -(-n // fan_in))
-        sketches = sketches.repartition(n).mapInArrow(_add_up, "docs long, counts binary")
-    total, count = np.zeros(DEPTH * _W, np.int64), 0
-    for r in sketches.collect():
-        total += np.frombuffer(bytes(r.counts), "<i8")
-        count += r.docs
-    return total.reshape(DEPTH, _W), count
+def _digests(batches):
+    """128 bits of the words in their order, and how many words there are."""
+    for batch in batches:
+        c1, c2, size = [], [], []
+        for text in batch.column("text"):
+            words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+            d = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+            c1.append(int.from_bytes(d[:8], "little", signed=True))
+            c2.append(int.from_bytes(d[8:], "little", signed=True))
+            size.append(len(words))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "t", "c1", "c2", "words"])
+
+
+# document frequencies -------------------------------------------------------------
+
+
+class _Chunk:
+    """The representatives' shingles of one chunk."""
+
+    def __init__(self, texts: pa.Table, classes: pa.Table):
+        copies = {(d, t): n for d, t, n in zip(*(classes.column(c).to_pylist() for c in ("doc_id", "t", "n"))) if n is not None}
+        self.ids, self.marks, self.copies, self.h, self.tf = [], [], [], [], []
+        for doc, t, text in zip(texts.column("doc_id").to_pylist(), texts.column("t").to_pylist(), texts.column("text")):
+            n = copies.pop((doc, t), None)
+            if n is not None:  # a representative; a row equal to one seen is not looked at again
+                h, tf = _shingle_counts(text.as_py())
+                self.ids.append(doc)
+                self.marks.append(t)
+                self.copies.append(n)
+                self.h.append(h)
+                self.tf.append(tf)
+        self.sizes = np.array([len(h) for h in self.h], np.int64)
+        flat = np.concatenate(self.h) if self.h else np.empty(0, np.uint64)
+        self.distinct, self.place = np.unique(flat, return_inverse=True)
+
+    def counts(self) -> np.ndarray:
+        """Rows of the chunk's classes that hold each distinct shingle."""
+        each = np.repeat(np.array(self.copies, np.int64), self.sizes)
+        return np.bincount(self.place, each, len(self.distinct)).astype(np.int64) if len(each) else np.empty(0, np.int64)
+
+
+def _send(parts: int):
+    """A chunk -> for each part of the hash range its distinct shingles and how many rows hold them."""
+    begins = edges(parts)
+
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, classes: pa.Table) -> pa.Table:
+        chunk = _Chunk(texts, classes)
+        cuts = [0, *np.searchsorted(chunk.distinct, begins).tolist(), len(chunk.distinct)]
+        n = chunk.counts()
+        held = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+        out = {
+            "chunk": pa.array([key[0].as_py()] * len(held), pa.int64()),
+            "part": pa.array(held, pa.int64()),
+            "hashes": pa.array([pack_sorted(chunk.distinct[cuts[p] : cuts[p + 1]]) for p in held], pa.binary()),
+            "n": pa.array([pack_counts(n[cuts[p] : cuts[p + 1]]) for p in held], pa.binary()),
+        }
+        return pa.table(out)
+
+    return run
 
 
-def idf_table(counts: np.ndarray, docs: int) -> np.ndarray:
-    return np.log1p(docs / np.maximum(counts, 1)).astype(np.float32)
+def _count(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+    """What all chunks sent to a part -> to each chunk the frequencies of what it sent."""
+    chunk, hashes, counts = (part.column(c).to_pylist() for c in ("chunk", "hashes", "n"))
+    sent = [unpack_sorted(x) for x in hashes]
+    distinct, place = np.unique(np.concatenate(sent), return_inverse=True)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, place, np.concatenate([unpack_counts(x) for x in counts]).astype(np.int64))
+    df = np.split(total[place], np.cumsum([len(h) for h in sent])[:-1])
+    return pa.table({"chunk": pa.array(chunk, pa.int64()), "part": pa.array([key[0].as_py()] * len(chunk), pa.int64()), "df": pa.array([pack_counts(x) for x in df], pa.binary())})
 
 
-def _idf(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Rarest estimate: least count, so greatest weight."""
-    out = None
-    for d, c in enumerate(_cells(h)):
-        w = table[d][c]
-        out = w if out is None else np.maximum(out, w)
-    return out
+# weighted sampling ------------------------------------------------------------------
 
 
 class WeightedSampler:
@@ -119,30 +145,42 @@ class WeightedSampler:
 
     def __init__(self, samples: int = SAMPLES, seed: int = 32):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.seeds = rng.integers(1, 1 << 63, samples, dtype=np.uint64)[:, None]
+        self.seeds = rng.integers(1, 1 << 63, samples, dtype=np.uint64)[:, None] * _U(2) + _U(1)
         n = 1 << 16
         gamma = np.sort(rng.gamma(2.0, 1.0, n * 16)).reshape(n, 16).mean(1)  # quantiles of Gamma(2, 1)
-        self.r = gamma
-        self.inverse = 1.0 / gamma
-        self.ln_c = np.log(gamma)
+        self.r = gamma.astype(np.float32)
+        self.inverse = (1.0 / gamma).astype(np.float32)
+        self.ln_c = np.log(gamma).astype(np.float32)
 
     def _part(self, h: np.ndarray, ln_w: np.ndarray):
-        key = mix(h[None, :] ^ self.seeds)
-        i = (key & _U(0xFFFF)).astype(np.int64)
-        r = self.r[i]
-        t = np.floor(ln_w * self.inverse[i] + (key >> _U(32)).astype(np.float64) * 2.0**-32)
-        beta = (key >> _U(32)).astype(np.float64) * 2.0**-32
-        ln_a = self.ln_c[((key >> _U(16)) & _U(0xFFFF)).astype(np.int64)] - r * (t - beta + 1.0)
-        k = ln_a.argmin(1)
+        with np.errstate(over="ignore"):
+            key = h[None, :] * self.seeds
+            key ^= key >> _U(32)
+            key *= _U(0x9E3779B97F4A7C15)
+            key ^= key >> _U(29)
+        lanes = key.view(np.uint16).reshape(*key.shape, 4)
+        first = lanes[..., 0].astype(np.intp)
+        r = self.r.take(first)
+        beta = lanes[..., 2] * np.float32(2.0**-16)
+        t = self.inverse.take(first)
+        t *= ln_w
+        t += beta
+        np.floor(t, out=t)
+        # ln a = ln c - r * (t - beta + 1)
+        beta -= t
+        beta -= np.float32(1.0)
+        beta *= r
+        beta += self.ln_c.take(lanes[..., 1].astype(np.intp))
+        k = beta.argmin(1)
         at = np.arange(len(k))
-        return ln_a[at, k], h[k], t[at, k]
+        return beta[at, k], h[k], t[at, k]
 
     def sample(self, h: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One hash of (element, level) for each sample; memory doesn't follow the size of the set."""
-        ln_w = np.log(weights.astype(np.float64))
+        ln_w = np.log(weights).astype(np.float32)
         best = None
-        for i in range(0, len(h), 16384):
-            part = self._part(h[i : i + 16384], ln_w[i : i + 16384])
+        for i in range(0, len(h), 2048):
+            part = self._part(h[i : i + 2048], ln_w[i : i + 2048])
             best = part if best is None else tuple(np.where(part[0] < best[0], p, b) for p, b in zip(part, best))
         _, element, level = best
         with np.errstate(over="ignore"):
@@ -158,81 +196,40 @@ def bands(samples: np.ndarray) -> np.ndarray:
         return out
 
 
-def _signatures(table):
-    def run(batches):
-        hasher, other, sampler, idf = WordHasher(31), WordHasher(33), WeightedSampler(), table.value
-        for batch in batches:
-            ids, c1, c2, found = [], [], [], []
-            for doc, text in rows(batch, "doc_id", "text"):
-                words = hasher.words(text)
-                both = [int(x.windows(w, len(w))[0]) if len(w) else 0 for x, w in ((hasher, words), (other, other.words(text)))]
-                ids.append(doc)
-                c1.append(both[0])
-                c2.append(both[1])
-                if len(words):
-                    h, tf = np.unique(hasher.shingles(words), return_counts=True)
-                    found.append(bands(sampler.sample(h, tf * _idf(idf, h))))
-                else:
-                    found.append(np.empty(0, np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(int64(np.array(c1, np.uint64))), pa.array(int64(np.array(c2, np.uint64))), lists(found)], ["doc_id", "c1", "c2", "bands"]
-            )
+def _weights(docs: int, df: np.ndarray) -> np.ndarray:
+    return np.log1p(docs / df.astype(np.float64))
 
-    return run
 
+def _sign(docs: int):
+    """A chunk and its frequencies -> bands and frequencies of every representative."""
 
-def _elements(batches):
-    """A row for every distinct shingle of every candidate text."""
-    hasher = WordHasher(31)
-    for batch in batches:
-        for doc, digest, text in rows(batch, "doc_id", "digest", "text"):
-            h, _ = _shingle_counts(hasher, text)
-            for i in range(0, len(h), 100_000):
-                part = h[i : i + 100_000]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.full(len(part), doc, np.int64)), "digest": pa.array(np.full(len(part), digest, np.int64)), "h": pa.array(int64(part))})
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, other: pa.Table) -> pa.Table:
+        chunk = _Chunk(texts, other)
+        back = sorted((p, d) for p, d in zip(other.column("part").to_pylist(), other.column("df").to_pylist()) if p is not None)
+        df = np.concatenate([unpack_counts(d) for _, d in back]) if back else np.empty(0, np.int64)
+        if len(df) != len(chunk.distinct):
+            raise ValueError("a chunk's frequencies are not those of its shingles")
+        weight = _weights(docs, df)
+        found, packed, at = [], [], 0
+        for h, tf, size in zip(chunk.h, chunk.tf, chunk.sizes.tolist()):
+            place = chunk.place[at : at + size]
+            at += size
+            found.append(bands(_sampler().sample(h, tf * weight[place])) if size else np.empty(0, np.uint64))
+            packed.append(pack_counts(df[place]))
+        return pa.table({"doc_id": pa.array(chunk.ids, pa.int64()), "t": pa.array(chunk.marks, pa.int64()), "bands": lists(found), "df": pa.array(packed, pa.binary())})
 
+    return run
 
-def _partial_frequencies(batches):
-    """Shingles and in how many of the documents at hand they are."""
-    hasher = WordHasher(31)
-
-    def counted(held):
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        for i in range(0, len(h), 100_000):
-            yield pa.RecordBatch.from_pydict({"h": pa.array(int64(h[i : i + 100_000])), "n": pa.array(n[i : i + 100_000].astype(np.int64))})
 
-    held, size = [], 0
-    for batch in batches:
-        for text in batch.column("text"):
-            h, _ = _shingle_counts(hasher, text.as_py())
-            held.append(h)
-            size += len(h)
-            if size > 1_000_000:
-                yield from counted(held)
-                held, size = [], 0
-    if size:
-        yield from counted(held)
-
-
-def exact_frequencies(docs: DataFrame, texts: DataFrame, space: Workspace) -> DataFrame:
-    """doc_id, digest and the exact document frequencies of a candidate text's shingles, in the order of their signed hashes."""
-    elements = space.save(texts.mapInArrow(_elements, "doc_id long, digest long, h long"), "elements")
-    wanted = space.save(elements.select("h").distinct(), "wanted_shingles")
-    counts = docs.select("text").mapInArrow(_partial_frequencies, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    df = space.save(counts.join(wanted, "h", "left_semi"), "frequencies")
-    each = elements.join(df, "h").groupBy("doc_id", "digest").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "n"))), lambda x: x["n"]).alias("df"))
-    each = space.save(each, "exact")
-    space.drop("elements", "wanted_shingles", "frequencies")
-    return each
+# comparison -------------------------------------------------------------------------
 
 
 class _Weighted:
     """A document's (shingle, occurrence) elements, each of its shingle's weight."""
 
-    def __init__(self, hasher: WordHasher, docs: int, text: str | None, df: np.ndarray):
-        self.h, self.tf = _shingle_counts(hasher, text)
-        self.w = np.empty(len(self.h))
-        self.w[np.argsort(int64(self.h))] = np.log1p(docs / np.asarray(df, np.float64))
+    def __init__(self, docs: int, text: str | None, df: bytes):
+        self.h, self.tf = _shingle_counts(text)
+        self.w = _weights(docs, unpack_counts(df))
         self.total = float((self.w * self.tf).sum())
 
     def similarity(self, other: _Weighted) -> float:
@@ -244,18 +241,15 @@ class _Weighted:
 
 def _verify(docs: int, threshold: float):
     def run(batches):
-        hasher = WordHasher(31)
         for batch in batches:
             seen: dict[tuple[int, str | None], _Weighted] = {}
             out_l, out_r, sim = [], [], []
             for left, right, a, b, a_df, b_df in rows(batch, "l", "r", "l_text", "r_text", "l_df", "r_df"):
-                for key, df in (((left, a), a_df), ((right, b), b_df)):
-                    if key not in seen:
-                        if len(seen) > 2000:
-                            seen.clear()
-                            seen[left, a] = _Weighted(hasher, docs, a, a_df)
-                        seen[key] = _Weighted(hasher, docs, key[1], df)
-                s = seen[left, a].similarity(seen[right, b])
+                one, two = (seen.get((doc, text)) or _Weighted(docs, text, df) for doc, text, df in ((left, a, a_df), (right, b, b_df)))
+                if len(seen) > 500:
+                    seen.clear()
+                seen[left, a], seen[right, b] = one, two
+                s = one.similarity(two)
                 if s >= threshold:
                     out_l.append(left)
                     out_r.append(right)
@@ -269,13 +263,12 @@ def _across(docs: int, threshold: float):
     """One block pair of one bucket -> a spanning set of the links between different components."""
 
     def run(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
-        hasher = WordHasher(31)
         ids, roots, own = (block.column(n).to_numpy() for n in ("doc_id", "root", "own"))
         order = np.argsort(ids, kind="stable")
         ids, roots, own = ids[order], roots[order], own[order]
         texts = block.column("text").take(pa.array(order))
         frequencies = block.column("df").take(pa.array(order))
-        sets = [_Weighted(hasher, docs, t.as_py(), f.as_py()) for t, f in zip(texts, frequencies)]
+        sets = [_Weighted(docs, t.as_py(), f.as_py()) for t, f in zip(texts, frequencies)]
         links_l, links_r = [], []
         if len(ids) > 1:
             parent = {r: r for r in set(roots.tolist())}
@@ -326,30 +319,43 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, cluster_id (least id of the cluster), copy_of (least id with equal words), kept."""
     spark = docs.sparkSession
     space = Workspace(spark, "neardup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts, n = document_frequencies(docs)
-    table = spark.sparkContext.broadcast(idf_table(counts, n))  # 2 MB at any size
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    named = docs.where("doc_id IS NOT NULL").withColumn("t", F.xxhash64("text", F.reverse("text")))  # tells the texts of rows that share an id apart
 
-    signs = space.save(docs.where("doc_id IS NOT NULL").mapInArrow(_signatures(table), "doc_id long, c1 long, c2 long, bands array<long>"), "signs")
+    signs = space.save(named.mapInArrow(_digests, "doc_id long, t long, c1 long, c2 long, words long"), "signs")
     # aggregates are written before they are joined back: both sides are then plain shuffles, which Spark splits where a key is hot
-    least = space.save(signs.groupBy("c1", "c2").agg(F.min("doc_id").alias("copy_of")), "least")
+    least = signs.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.count("*").alias("n"), F.max("words").alias("words"))
+    least = space.save(least.select("c1", "c2", F.col("rep.doc_id").alias("copy_of"), F.col("rep.t").alias("t"), "n", "words"), "least")
     # a row for each text of a document; several only where rows share an id
-    members = space.save(signs.select("doc_id", "c1", "c2").join(least, ["c1", "c2"]).select("doc_id", "copy_of").distinct(), "members")
-    spread = signs.join(least, ["c1", "c2"]).where("doc_id = copy_of").select("doc_id", F.explode("bands").alias("band"))
+    members = space.save(signs.select("doc_id", "c1", "c2").join(least.select("c1", "c2", "copy_of"), ["c1", "c2"]).select("doc_id", "copy_of").distinct(), "members")
+    n, shingles, most = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    space.drop("signs")
+
+    groups = chunks(shingles)
+    chunk = F.pmod(F.xxhash64("doc_id", "t"), F.lit(groups)).alias("chunk")
+    if most > 1 and named.groupBy("doc_id", "t").count().where("count > 1").limit(1).count():
+        named = named.groupBy("doc_id", "t").agg(F.first("text").alias("text"))  # equal rows become one before they are dealt
+    texts = named.select(chunk, "doc_id", "t", "text").groupBy("chunk")
+    classes = least.select(F.pmod(F.xxhash64("copy_of", "t"), F.lit(groups)).alias("chunk"), F.col("copy_of").alias("doc_id"), "t", "n")
+    sent = texts.cogroup(classes.groupBy("chunk")).applyInArrow(_send(groups), "chunk long, part long, hashes binary, n binary")
+    back = sent.groupBy("part").applyInArrow(_count, "chunk long, part long, df binary")
+    # the texts' shuffle is the same on both sides of the counting, and made once
+    known = classes.unionByName(back, allowMissingColumns=True)
+    sampled = space.save(texts.cogroup(known.groupBy("chunk")).applyInArrow(_sign(n), "doc_id long, t long, bands array<long>, df binary"), "sampled")
+    spread = sampled.select("doc_id", F.explode("bands").alias("band"))
     bucket = spread.groupBy("band").agg(
         F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"))).alias("c"), F.count("*").alias("members")
     )
     bucket = bucket.where("a < b").select("band", "members", F.array_distinct(F.array("a", "b", "c.d")).alias("pivots"))
     shared = space.save(spread.join(space.save(bucket, "pivots"), "band"), "buckets")
-    space.drop("signs", "least", "pivots")
+    space.drop("least", "pivots")
 
     pairs = shared.select("doc_id", F.explode("pivots").alias("p")).where("doc_id <> p").select(F.least("doc_id", "p").alias("l"), F.greatest("doc_id", "p").alias("r")).distinct()
     pairs = space.save(pairs, "pairs")
     wanted = space.save(shared.select("doc_id").distinct(), "wanted")
-    bare = space.save(docs.join(wanted, "doc_id", "left_semi").distinct().withColumn("digest", F.xxhash64("text", F.reverse("text"))), "bare")
-    texts = bare.join(exact_frequencies(docs, bare, space), ["doc_id", "digest"]).select("doc_id", "text", "df")
-    texts = space.save(texts, "texts")
-    space.drop("bare", "exact")
+    sets = space.save(sampled.join(wanted, "doc_id", "left_semi").select("doc_id", "t", "df"), "sets")
+    texts = space.save(named.join(sets, ["doc_id", "t"]).select("doc_id", "text", "df"), "texts")
+    space.drop("sampled", "sets")
     left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"), F.col("df").alias(f"{c}_df")) for c in ("l", "r"))
     links = pairs.join(left, "l").join(right, "r").select("l", "r", "l_text", "r_text", "l_df", "r_df").mapInArrow(_verify(n, threshold), "l long, r long, similarity double")
     # rows that share an id tie their texts together
