@@ -1,42 +1,55 @@
 """Substring dedup: level-wise doubling of repeated word windows.
 
-A window is a run of consecutive words of one document.  Level 1 takes windows
-of half the final length and keeps those whose words occur in more than one
-document; only these are extended to twice that length, and so on until the
-final length is reached or no candidate survives.  At the final length a
-window's words are removed wherever the same words also start a window in a
-document with a smaller id.
+A window is a run of consecutive words of one document.  The first level takes
+windows of a short length; those whose words occur in more than one document
+survive, and only they are extended to windows of twice the length for the next
+level, and so on until the length asked for is reached (or, without one, until
+no candidate survives).  At the last level a window's words are removed wherever
+the same words also start a window in a document with a smaller id.
 
 A repeated window of ``2n`` words holds ``n + 1`` repeated windows of ``n``
-words, so a level need only look at one of them: the window of the smallest
-hash, which equal texts choose alike.  That keeps one position in ``n / 2``
-instead of all, without losing a repeat.  Windows of the final length are compared
-by 96 bits of two independent hashes.
+words, so a level that is not the last need only look at one of them: the
+window of the smallest hash, which equal texts choose alike.  That keeps one
+position in ``n / 2`` instead of all, without losing a repeat.
+
+Documents are dealt to chunks once.  At each level a chunk sends every distinct
+window hash once, packed, with the least and greatest id of the documents it is
+in, to the part of the hash range that compares it, and gets back which
+survive; so a passage that a third of all documents share is one entry of a
+chunk, however often it occurs.  At the last level windows are told apart by
+128 bits of two independent hashes (two of 10**13 windows are taken for each
+other with a chance below 10**-12); a chance match at a level before costs work
+only.
 
 Defined results.  Null and empty texts have no words and keep ''.  Rows with a
 null id are returned unchanged, since no id is smaller than theirs.  Rows that
 share an id are one document: their common windows don't remove each other.
-Extra columns are ignored.
+Equal rows have equal results.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._arrow import lists, rows
-from ._hashing import WordHasher, int64
+from ._hashing import WordHasher
+from ._packed import chunks, edges, pack, pack_sorted, unpack, unpack_sorted
 from ._shared import Workspace
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW = 50
 
 
+@lru_cache(2)
+def _hasher(seed: int) -> WordHasher:
+    return WordHasher(seed)
+
+
 def _smallest(h: np.ndarray, n: int) -> np.ndarray:
     """Minimum of every ``n`` consecutive hashes."""
     width, m = 1, h
@@ -46,117 +59,215 @@ def _smallest(h: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(m[: len(h) - n + 1], m[n - width : n - width + len(h) - n + 1]) if n > width else m
 
 
-def _chosen(words: np.ndarray, hasher: WordHasher, half: int, window: int) -> np.ndarray:
-    """For every final window the hash of the half-length window it is known by."""
-    h = hasher.windows(words, half)
-    return _smallest(h, window - half + 1)
+def _known_by(h: np.ndarray, length: int) -> np.ndarray:
+    """For every window of twice the length the hash of the window in it that it is known by."""
+    return _smallest(h, length + 1) if len(h) > length else h[:0]
+
 
+class _Chunk:
+    """Candidate windows of ``length`` words of a chunk's documents.
+
+    ``survived`` has the hashes that survived the level before (None at the first level).
+    """
 
-def _first_level(window: int, half: int):
-    def run(batches):
-        hasher = WordHasher(11)
-        for batch in batches:
-            ids, found = [], []
-            for doc, text in rows(batch, "doc_id", "text"):
-                words = hasher.words(text)
-                if doc is None or len(words) < window:
-                    continue
-                ids.append(doc)
-                found.append(np.unique(_chosen(words, hasher, half, window)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists(found)], ["doc_id", "keys"])
+    def __init__(self, texts: pa.Table, length: int, last: bool, survived: np.ndarray | None):
+        self.ids = texts.column("doc_id").to_pylist()
+        self.texts = texts.column("text")
+        one = _hasher(11)
+        first, second, owner, at = [], [], [], []
+        for row, (doc, text) in enumerate(zip(self.ids, self.texts)):
+            if doc is None:
+                continue
+            words = one.words(text.as_py())
+            if len(words) < length:
+                continue
+            if survived is None:
+                alive = np.ones(len(words) - length + 1, bool)
+            else:
+                alive = np.isin(_known_by(one.windows(words, length // 2), length // 2), survived)
+            if not alive.any():
+                continue
+            h = one.windows(words, length)
+            if last:
+                start = np.flatnonzero(alive)
+                two = _hasher(12)
+                second.append(two.windows(two.words(text.as_py()), length)[start])
+                at.append(start)
+                first.append(h[start])
+            else:
+                chosen = np.unique(_known_by(h, length))
+                first.append(chosen if survived is None else chosen[np.isin(chosen, h[alive])])
+            owner.append(np.full(len(first[-1]), row))
+        cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
+        h, g, self.owner, self.at = cat(first, np.uint64), cat(second, np.uint64), cat(owner, np.int64), cat(at, np.int64)
+        order = np.lexsort((g, h)) if last else np.argsort(h, kind="stable")
+        new = np.ones(len(h), bool)
+        new[1:] = h[order][1:] != h[order][:-1]
+        if last:
+            new[1:] |= g[order][1:] != g[order][:-1]
+        self.place = np.empty(len(h), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        self.h = h[order][new]
+        self.g = g[order][new] if last else None
+        doc = np.array([0 if d is None else d for d in self.ids], np.int64)[self.owner[order]] if len(h) else np.empty(0, np.int64)
+        begin = np.flatnonzero(new)
+        self.low = np.minimum.reduceat(doc, begin) if len(begin) else doc
+        self.high = np.maximum.reduceat(doc, begin) if len(begin) else doc
+
+    def cuts(self, begins: np.ndarray) -> list[int]:
+        return [0, *np.searchsorted(self.h, begins).tolist(), len(self.h)]
+
+
+def _survivors(other: pa.Table | None) -> np.ndarray | None:
+    if other is None:
+        return None
+    kept = [unpack_sorted(h) for h in other.column("alive").to_pylist() if h is not None]
+    return np.concatenate(kept) if kept else np.empty(0, np.uint64)
+
+
+def _send(length: int, last: bool, parts: int, is_first: bool):
+    begins = edges(parts)
+
+    def send(chunk_id, texts: pa.Table, other: pa.Table | None) -> pa.Table:
+        c = _Chunk(texts, length, last, _survivors(other))
+        cuts = c.cuts(begins)
+        held = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+        cell = lambda f, x: pa.array([f(x[cuts[p] : cuts[p + 1]]) for p in held], pa.binary())
+        out = {"chunk": pa.array([chunk_id] * len(held), pa.int64()), "part": pa.array(held, pa.int64()), "h": cell(pack_sorted, c.h), "low": cell(pack, c.low), "over": cell(pack, c.high - c.low)}
+        return pa.table(out | ({"g": cell(pack, c.g)} if last else {}))
+
+    def first(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
+        return send(key[0].as_py(), texts, None)
+
+    def later(key: tuple[pa.Scalar, ...], texts: pa.Table, other: pa.Table) -> pa.Table:
+        return send(key[0].as_py(), texts, other)
+
+    return first if is_first else later
+
+
+def _compare(last: bool):
+    """What all chunks sent to a part -> to each chunk the hashes that survive, or at the last level each window's least document."""
+
+    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        sent = [unpack_sorted(x) for x in part.column("h").to_pylist()]
+        sizes = [len(x) for x in sent]
+        h = np.concatenate(sent)
+        low = np.concatenate([unpack(x) for x in part.column("low").to_pylist()])
+        high = low + np.concatenate([unpack(x) for x in part.column("over").to_pylist()])
+        g = np.concatenate([unpack(x, np.uint64) for x in part.column("g").to_pylist()]) if last else None
+        order = np.lexsort((g, h)) if last else np.argsort(h, kind="stable")
+        new = np.ones(len(h), bool)
+        new[1:] = h[order][1:] != h[order][:-1]
+        if last:
+            new[1:] |= g[order][1:] != g[order][:-1]
+        begin = np.flatnonzero(new)
+        place = np.empty(len(h), np.int64)
+        place[order] = np.cumsum(new) - 1
+        least = np.minimum.reduceat(low[order], begin)[place]
+        out = {"chunk": part.column("chunk"), "part": part.column("part")}
+        if last:
+            return pa.table(out | {"least": pa.array([pack(x) for x in np.split(least, np.cumsum(sizes)[:-1])], pa.binary())})
+        alive = np.split(least < np.maximum.reduceat(high[order], begin)[place], np.cumsum(sizes)[:-1])
+        return pa.table(out | {"alive": pa.array([pack_sorted(x[k]) for x, k in zip(sent, alive)], pa.binary()), "n": pa.array([int(k.sum()) for k in alive], pa.int64())})
 
     return run
 
 
-def _mark(text: str | None) -> int:
-    """Upper half of a window's place: tells the texts of rows that share an id apart."""
-    return (zlib.crc32((text or "").encode("utf-8", "surrogatepass")) >> 1) << 32
-
-
-def _last_level(window: int, half: int):
-    def run(batches):
-        hasher, other = WordHasher(11), WordHasher(12)
-        for batch in batches:
-            ids, a, b, at = [], [], [], []
-            for doc, text, keys in rows(batch, "doc_id", "text", "keys"):
-                words = hasher.words(text) if keys else ()
-                if len(words) < window:
-                    continue
-                mine = _chosen(words, hasher, half, window)
-                start = np.flatnonzero(np.isin(mine, np.array(keys, np.int64).view(np.uint64)))
-                ids.append(np.full(len(start), doc, np.int64))
-                at.append(start + _mark(text))
-                a.append(hasher.windows(words, window)[start])
-                b.append(other.windows(other.words(text), window)[start])
-            cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cat(ids, np.int64)), pa.array(int64(cat(a, np.uint64))), pa.array((cat(b, np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(cat(at, np.int64))],
-                ["doc_id", "h1", "h2", "at"],
-            )
+def _cut(length: int, has_survivors: bool):
+    """A chunk's texts and its windows' least documents -> what is left of every row."""
+
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, other: pa.Table) -> pa.Table:
+        c = _Chunk(texts, length, True, _survivors(other) if has_survivors else None)
+        back = sorted((p, x) for p, x in zip(other.column("part").to_pylist(), other.column("least").to_pylist()) if x is not None)
+        least = np.concatenate([unpack(x) for _, x in back]) if back else np.empty(0, np.int64)
+        if len(least) != len(c.h):
+            raise ValueError("a chunk's least documents are not those of its windows")
+        ids = np.array([0 if d is None else d for d in c.ids], np.int64)
+        gone = least[c.place] < ids[c.owner]
+        owner, at = c.owner[gone], c.at[gone]
+        edge = np.flatnonzero(np.diff(owner)) + 1
+        starts = {int(o[0]): a for o, a in zip(np.split(owner, edge), np.split(at, edge)) if len(o)}
+        out = {k: [] for k in ("n_words", "n_removed", "kept_text", "kept_sha256")}
+        for row, text in enumerate(c.texts):
+            words = WORD.findall(text.as_py() or "")
+            left = words
+            if row in starts:
+                mark = np.zeros(len(words) + 1, np.int32)
+                mark[starts[row]] += 1
+                mark[starts[row] + length] -= 1
+                left = [w for w, g in zip(words, (np.cumsum(mark[:-1]) > 0).tolist()) if not g]
+            kept = " ".join(left)
+            out["n_words"].append(len(words))
+            out["n_removed"].append(len(words) - len(left))
+            out["kept_text"].append(kept)
+            out["kept_sha256"].append(hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest())
+        return pa.table({"doc_id": texts.column("doc_id"), "rows": texts.column("rows"), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_text": pa.array(out["kept_text"], pa.string()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())})
 
     return run
 
 
-def _cut(window: int):
-    """Whole texts and the starts of windows to remove -> what is left."""
-
-    def run(batches):
-        for batch in batches:
-            out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_text", "kept_sha256")}
-            for doc, text, starts in rows(batch, "doc_id", "text", "starts"):
-                words = WORD.findall(text or "")
-                at = np.unique(np.array(starts or [], np.int64))
-                at = at[at >> 32 == _mark(text) >> 32] & 0xFFFFFFFF if len(at) else at
-                if len(at):
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    edge[at] += 1
-                    edge[at + window] -= 1
-                    gone = np.cumsum(edge[:-1]) > 0
-                    left = [w for w, g in zip(words, gone.tolist()) if not g]
-                else:
-                    left = words
-                kept = " ".join(left)
-                out["doc_id"].append(doc)
-                out["n_words"].append(len(words))
-                out["n_removed"].append(len(words) - len(left))
-                out["kept_text"].append(kept)
-                out["kept_sha256"].append(hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["doc_id"], pa.int64()), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept_text"], pa.string()), pa.array(out["kept_sha256"], pa.string())],
-                list(out),
-            )
+def _dealt(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(chunk, doc_id, text, rows) of the documents, equal rows as one, and the number of chunks."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = chunks(size // 6)
+    docs = docs.withColumn("t", F.xxhash64("text", F.reverse("text"))).withColumn("rows", F.lit(1).cast("long"))
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        # equal rows become one before they are dealt, and are given back at the end
+        docs = docs.groupBy("doc_id", "t").agg(F.first("text").alias("text"), F.sum("rows").alias("rows"))
+    return docs.select(F.pmod(F.xxhash64("doc_id", "t"), F.lit(n)).alias("chunk"), "doc_id", "text", "rows"), n
+
+
+_SENT = "chunk long, part long, h binary, low binary, over binary"
 
-    return run
 
+def _level(texts, before: DataFrame | None, length: int, last: bool, parts: int) -> DataFrame:
+    """One level: (chunk, part, alive, n) or, at the last, (chunk, part, least)."""
+    schema = _SENT + (", g binary" if last else "")
+    send = _send(length, last, parts, before is None)
+    sent = texts.applyInArrow(send, schema) if before is None else texts.cogroup(before.groupBy("chunk")).applyInArrow(send, schema)
+    return sent.groupBy("part").applyInArrow(_compare(last), f"chunk long, part long, {'least binary' if last else 'alive binary, n long'}")
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, at): starts of windows whose words also start in a document with a smaller id.
 
-    The lower 32 bits of ``at`` are the first word's number; the upper ones tell
-    the texts of rows apart that share an id.
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, first: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text, kept_sha256 of every document.
+
+    Levels are of ``first`` words (half the window, if that is even), twice as many, and so on to ``window``.
+    The whole is one query, so that one shuffle of the texts serves all levels.
+    """
+    first = first or (window // 2 if window % 2 == 0 else window)
+    if window < 1 or window % first or (window // first) & (window // first - 1):
+        raise ValueError("window must be the first length, doubled a number of times")
+    dealt, parts = _dealt(docs)
+    texts = dealt.groupBy("chunk")
+    length, before = first, None
+    while length < window:
+        before = _level(texts, before, length, False, parts)
+        length *= 2
+    least = _level(texts, before, length, True, parts)
+    known = least if before is None else before.unionByName(least, allowMissingColumns=True)
+    cut = texts.cogroup(known.groupBy("chunk")).applyInArrow(_cut(length, before is not None), "doc_id long, rows long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return cut.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("one", "rows")
+
+
+def repeated_lengths(docs: DataFrame, first: int = WINDOW // 2) -> DataFrame:
+    """(length, hashes): how many window hashes chunks know by survive each level, doubling until no candidate survives.
+
+    Every level is written, so that the next begins from its survivors.
     """
-    if window < 4 or window % 2:
-        raise ValueError("window must be an even number of at least 4 words")
-    half = window // 2
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    keys = docs.mapInArrow(_first_level(window, half), "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
-    often = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    # written, so that the join below has plain shuffles on both sides, which Spark splits where a key is hot
-    often = Workspace(docs.sparkSession, "substring").save(often, "often")
-    alive = keys.join(often, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    longer = docs.join(alive, "doc_id", "left").mapInArrow(_last_level(window, half), "doc_id long, h1 long, h2 int, at long")
-    first = longer.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
-    return longer.join(first, ["h1", "h2"]).where("doc_id > first_doc").select("doc_id", "at")
-
-
-def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text, kept_sha256 of every document."""
-    # the same join side as in repeated_windows, so that one shuffle of the texts serves both
-    starts = repeated_windows(docs, window).groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return texts.join(starts, "doc_id", "left").mapInArrow(
-        _cut(window), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
-    )
+    space = Workspace(docs.sparkSession, "substring")
+    dealt, parts = _dealt(docs)
+    texts = space.save(dealt, "texts").groupBy("chunk")
+    length, before, found = first, None, []
+    while True:
+        before = space.save(_level(texts, before, length, False, parts), f"level-{length}")
+        alive = before.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not alive:
+            break
+        found.append((length, alive))
+        length *= 2
+    space.drop("texts")
+    return docs.sparkSession.createDataFrame(found, "length int, hashes long")
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:

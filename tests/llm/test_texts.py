@@ -12,7 +12,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomtext.llm import _encoding, decontaminate, fingerprints as fp, licenses, pii, quality, substring, tokenbin, warc
+from loomtext.llm import _encoding, _packed, decontaminate, fingerprints as fp, licenses, pii, quality, substring, tokenbin, warc
 from loomtext.llm._hashing import BLOCK, WordHasher
 
 DOC = "doc_id long, text string, score string, spans int, fingerprint int"  # with clashing extra columns
@@ -309,11 +309,28 @@ def test_substrings_equal_brute_force(spark):
             w += rng.choice(passages) if rng.random() < 0.6 else [f"u{rng.randrange(10**6)}" for _ in range(rng.randint(1, 15))]
         rows.append((i, " ".join(w)))
     rows += [(100, None), (101, ""), (102, rows[3][1]), (103, "a " * 500), (104, "a " * 300)]
-    for window in (4, 10):
-        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.dedup_substrings(frame(spark, rows), window).collect()}
+    for window, first in ((4, None), (10, None), (7, None), (12, 3), (16, 2)):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.dedup_substrings(frame(spark, rows), window, first).collect()}
         assert got == brute_removed(rows, window)
 
 
+def test_substrings_over_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(_packed, "MOST", 60)
+    rng = random.Random(10)
+    passages = [[rng.choice("abcd") for _ in range(rng.randint(8, 40))] for _ in range(4)]
+    rows = [(i, " ".join(w for _ in range(rng.randint(0, 4)) for w in (rng.choice(passages) if rng.random() < 0.7 else [f"u{rng.randrange(10**6)}"] * 7))) for i in range(60)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.dedup_substrings(frame(spark, rows), 8, 2).collect()}
+    assert got == brute_removed(rows, 8)
+
+
+def test_levels_double_until_no_candidate_survives(spark):
+    shared = " ".join(f"w{i}" for i in range(45))
+    rows = [(1, "a b c " + shared), (2, shared + " x y"), (3, " ".join(f"v{i}" for i in range(200))), (4, None)]
+    # windows are looked for that lie in a repeat of twice their length: 45 words hold two of 5, 10 and 20
+    assert [r.length for r in substring.repeated_lengths(frame(spark, rows), 5).orderBy("length").collect()] == [5, 10, 20]
+    assert substring.repeated_lengths(frame(spark, rows[2:]), 5).count() == 0
+
+
 def test_substrings_of_shared_and_null_ids(spark):
     w = " ".join(f"w{i}" for i in range(12))
     rows = [(1, w), (1, w), (None, w), (2, w), (2, "short one"), (2, "a b " + w)]
