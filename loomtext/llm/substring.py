@@ -64,10 +64,17 @@ def _known_by(h: np.ndarray, length: int) -> np.ndarray:
     return _smallest(h, length + 1) if len(h) > length else h[:0]
 
 
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are in the sorted array."""
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
 class _Chunk:
     """Candidate windows of ``length`` words of a chunk's documents.
 
-    ``survived`` has the hashes that survived the level before (None at the first level).
+    ``survived`` has the hashes that survived the level before, ascending (None at the first level).
     """
 
     def __init__(self, texts: pa.Table, length: int, last: bool, survived: np.ndarray | None):
@@ -84,7 +91,7 @@ class _Chunk:
             if survived is None:
                 alive = np.ones(len(words) - length + 1, bool)
             else:
-                alive = np.isin(_known_by(one.windows(words, length // 2), length // 2), survived)
+                alive = _among(_known_by(one.windows(words, length // 2), length // 2), survived)
             if not alive.any():
                 continue
             h = one.windows(words, length)
@@ -121,7 +128,8 @@ class _Chunk:
 def _survivors(other: pa.Table | None) -> np.ndarray | None:
     if other is None:
         return None
-    kept = [unpack_sorted(h) for h in other.column("alive").to_pylist() if h is not None]
+    cells = sorted((p, h) for p, h in zip(other.column("part").to_pylist(), other.column("alive").to_pylist()) if h is not None)
+    kept = [unpack_sorted(h) for _, h in cells]  # parts are ranges: the whole is sorted
     return np.concatenate(kept) if kept else np.empty(0, np.uint64)
 
 
