@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomtext.functions.arrow import arrow_function
 from loomtext.functions.strings import is_blank, is_xml_text, trim_all, xml_clean
+from loomtext.operators.joins import LISTED
 
 ROOT, ITEM = "segments", "segment"
 
@@ -245,7 +246,7 @@ def translate_pages(envelopes: DataFrame, model: Model, attempts: int = 3, pause
 def fan_out(requests: DataFrame, models: DataFrame, available: DataFrame, model: Callable[[str, str], str]) -> DataFrame:
     """JN13, MAP4: every request to every listed model that is available, in the models' order.
 
-    The list of models is a fixed few rows; one failure does not stop the rest.
+    One failure does not stop the rest.  The product is what is asked for; the list of models is broadcast if it is one (``LISTED`` rows).
     """
     known = available.select("model", F.lit(True).alias("available"))
     listed = models.select("model", "place").join(known, "model", "left").withColumn("available", F.coalesce("available", F.lit(False)))
@@ -262,7 +263,7 @@ def fan_out(requests: DataFrame, models: DataFrame, available: DataFrame, model:
                     errors.append(str(e))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("request_id", "model", "place", "available")), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["request_id", "model", "place", "available", "translated_text", "error"])
 
-    pairs = requests.select("request_id", "text").crossJoin(F.broadcast(listed.limit(64)))
+    pairs = requests.select("request_id", "text").crossJoin(F.broadcast(listed) if listed.limit(LISTED + 1).count() <= LISTED else listed)
     types = dict(pairs.dtypes)
     return pairs.mapInArrow(run, f"request_id {types['request_id']}, model string, place {types['place']}, available boolean, translated_text string, error string")
 

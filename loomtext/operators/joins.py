@@ -6,6 +6,9 @@ them and checks the geometry as a residual predicate.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomtext.functions.geometry import area, color_distance2, mid_x, mid_y, overlap_area, overlap_of_smaller
@@ -16,38 +19,51 @@ def _rect(alias: str) -> dict[str, Column]:
     return {n: F.col(f"{alias}.{n}") for n in "xywh"}
 
 
-def drop_recognized_twice(recognized: DataFrame, native: DataFrame, page: str = "page") -> DataFrame:
+PAGE = ("doc", "page")
+LISTED = 10_000  #: rows of a listed side up to which it is broadcast
+
+
+def _on_page(a: str, b: str, keys: tuple[str, ...]) -> Column:
+    return reduce(and_, (F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in keys))
+
+
+def _listed(side: DataFrame) -> DataFrame:
+    """A side that is a list by its nature; a longer one is left to the planner."""
+    return F.broadcast(side) if side.limit(LISTED + 1).count() <= LISTED else side
+
+
+def drop_recognized_twice(recognized: DataFrame, native: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """JN4: recognised rows that no native row of the page covers or repeats."""
     a, b = _rect("o"), _rect("n")
     same = normalize_spaces(F.lower(F.col("o.text"))) == normalize_spaces(F.lower(F.col("n.text")))
     near = (F.abs(mid_x(a) - mid_x(b)) <= F.greatest(a["w"], b["w"])) & (F.abs(mid_y(a) - mid_y(b)) <= 2 * F.greatest(a["h"], b["h"]))
-    return recognized.alias("o").join(native.alias("n"), (F.col(f"o.{page}") == F.col(f"n.{page}")) & ((overlap_of_smaller(a, b) >= 0.4) | (same & near)), "left_anti")
+    return recognized.alias("o").join(native.alias("n"), _on_page("o", "n", keys) & ((overlap_of_smaller(a, b) >= 0.4) | (same & near)), "left_anti")
 
 
-def link_targets(rows: DataFrame, links: DataFrame, page: str = "page") -> DataFrame:
+def link_targets(rows: DataFrame, links: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """JN5: rows with the one URL that links over them agree on, else null."""
     a, b = _rect("l"), _rect("k")
-    hit = rows.alias("l").join(links.alias("k"), (F.col(f"l.{page}") == F.col(f"k.{page}")) & (overlap_of_smaller(a, b) >= 0.2))
+    hit = rows.alias("l").join(links.alias("k"), _on_page("l", "k", keys) & (overlap_of_smaller(a, b) >= 0.2))
     found = hit.groupBy("l.id").agg(F.count_distinct("k.url").alias("n"), F.min("k.url").alias("url"))
     return rows.join(found.select("id", F.when(F.col("n") == 1, F.col("url")).alias("url")), "id", "left")
 
 
-def overlay_conflicts(overlays: DataFrame, annotations: DataFrame, page: str = "page") -> DataFrame:
+def overlay_conflicts(overlays: DataFrame, annotations: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """JN6: overlays that touch an annotation other than links to one and the same URL."""
     a, b = _rect("o"), _rect("a")
-    hit = overlays.alias("o").join(annotations.alias("a"), (F.col(f"o.{page}") == F.col(f"a.{page}")) & (overlap_area(a, b) > 0))
+    hit = overlays.alias("o").join(annotations.alias("a"), _on_page("o", "a", keys) & (overlap_area(a, b) > 0))
     plain = F.col("a.url").isNull()
     judged = hit.groupBy("o.id").agg(F.max(plain.cast("int")).alias("other"), F.count_distinct("a.url").alias("urls"))
     return overlays.join(judged.where("other = 1 OR urls > 1").select("id"), "id", "left_semi")
 
 
-def occluded(templates: DataFrame, foreground: DataFrame, share: float = 0.55, page: str = "page") -> DataFrame:
+def occluded(templates: DataFrame, foreground: DataFrame, share: float = 0.55, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """JN7: template rows of which a foreground row of the page covers the share."""
     a, b = _rect("t"), _rect("f")
-    return templates.alias("t").join(foreground.alias("f"), (F.col(f"t.{page}") == F.col(f"f.{page}")) & (area(a) > 0) & (overlap_area(a, b) >= share * area(a)), "left_semi")
+    return templates.alias("t").join(foreground.alias("f"), _on_page("t", "f", keys) & (area(a) > 0) & (overlap_area(a, b) >= share * area(a)), "left_semi")
 
 
-def touching_chrome(rows: DataFrame, seeds: DataFrame, page: str = "page") -> DataFrame:
+def touching_chrome(rows: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """JN9: small native rows of the bottom tenth next to a seed there; one hop, as seeds are fixed. Rows carry r, g, b and page_height."""
     a, b = _rect("r"), _rect("s")
     gap_x = F.greatest(a["x"] - (b["x"] + b["w"]), b["x"] - (a["x"] + a["w"]), F.lit(0.0))
@@ -58,7 +74,7 @@ def touching_chrome(rows: DataFrame, seeds: DataFrame, page: str = "page") -> Da
     shades = color_distance2(*({c: F.col(f"{t}.{c}") for c in ("r", "g", "b")} for t in ("r", "s")))
     alike = (F.abs(F.col("r.size") - F.col("s.size")) <= 3) & (shades <= 0.08)
     low = (F.col("r.source") == "native") & (a["y"] + a["h"] <= 0.1 * height) & (b["y"] + b["h"] <= 0.1 * height) & (F.col("r.size") <= F.greatest(F.lit(10.0), 0.027 * height))
-    return rows.alias("r").join(seeds.alias("s"), (F.col(f"r.{page}") == F.col(f"s.{page}")) & (F.col("r.id") != F.col("s.id")) & low & close & alike, "left_semi")
+    return rows.alias("r").join(seeds.alias("s"), _on_page("r", "s", keys) & (F.col("r.id") != F.col("s.id")) & low & close & alike, "left_semi")
 
 
 def resolve_blocks(blocks: DataFrame, line_texts: DataFrame, block_texts: DataFrame) -> DataFrame:
@@ -92,14 +108,18 @@ def merge_conversations(local: DataFrame, loaded: DataFrame) -> DataFrame:
 
 
 def resolve_device(wanted: DataFrame, devices: DataFrame, preferred: list[str]) -> DataFrame:
-    """JN15: request_id, device: exact label, exact name, part of either, preferred names, else the first."""
-    w, label, name = F.lower("wanted"), F.lower("label"), F.lower("name")
-    liked = F.array_position(F.array(*[F.lit(p.lower()) for p in preferred]), name)
+    """JN15: request_id, device: exact label, exact name, part of either, preferred names, else the first.
+
+    Each wanted name is resolved once, then joined back to its requests.
+    """
+    w, label, name = F.col("w"), F.lower("label"), F.lower("name")
+    liked = F.array_position(F.array(*[F.lit(p.lower()) for p in preferred]).cast("array<string>"), name)
     part = (w != "") & (label.contains(w) | name.contains(w) | w.contains(label) | w.contains(name))
-    rank = F.when(label == w, 0).when(name == w, 1).when(part, 2).when(liked > 0, 3 + liked).otherwise(1000)
-    # a fixed small list of devices against the requests
-    pairs = wanted.crossJoin(F.broadcast(devices.limit(1000))).withColumn("rank", rank)
-    return pairs.groupBy("request_id").agg(F.min_by("name", F.struct("rank", "place")).alias("device"))
+    rank = F.when(label == w, 0).when(name == w, 1).when(part, 2).when(liked > 0, 3 + liked).otherwise(4 + len(preferred))
+    asked = wanted.withColumn("w", F.coalesce(F.lower("wanted"), F.lit("")))
+    pairs = asked.select("w").distinct().join(_listed(devices.select("label", "name", "place")), F.lit(True), "left")
+    best = pairs.withColumn("rank", rank).groupBy("w").agg(F.min_by("name", F.struct("rank", "place")).alias("device"))
+    return asked.join(best, "w").select("request_id", "device")
 
 
 def lost_rows(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
@@ -109,17 +129,22 @@ def lost_rows(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
     return a.join(b, list(keys), "left").withColumn("after", F.coalesce("after", F.lit(0))).where("after < before")
 
 
+def _flat(path: Column) -> Column:
+    """A path without '.' and empty steps, and with each '..' taken off with the step before it."""
+    steps = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    empty = F.slice(steps, 1, 0)
+    taken = F.aggregate(steps, empty, lambda done, x: F.when(x != "..", F.concat(done, F.array(x))).when(F.size(done) > 0, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done))
+    return F.array_join(taken, "/")
+
+
 def dangling_targets(parts: DataFrame) -> DataFrame:
     """JN17, DQ3: relationship targets of package parts (name, data text) that no part has; web and mail targets are not looked for."""
     found = parts.where(F.col("name").endswith(".rels")).select("name", F.explode(F.regexp_extract_all("data", F.lit(r'(?s)<Relationship\b([^>]*)>'), 1)).alias("tag"))
     target = F.regexp_extract("tag", r'\bTarget="([^"]*)"', 1)
     outside = F.col("tag").rlike(r'TargetMode="External"') | F.lower("target").rlike("^(https?|mailto):")
     base = F.regexp_replace(F.regexp_replace("name", r"_rels/[^/]*$", ""), "/$", "")
-    path = F.when(F.col("target").startswith("/"), F.substring("target", 2, 10_000)).otherwise(F.concat_ws("/", F.nullif(base, F.lit("")), F.col("target")))
-    flat = path
-    for _ in range(6):  # a/../b is b
-        flat = F.regexp_replace(flat, r"(^|/)[^/.]+/\.\./", "$1")
-    wanted = found.withColumn("target", target).where((F.col("target") != "") & ~outside).select("name", flat.alias("part"))
+    path = F.when(F.col("target").startswith("/"), F.col("target")).otherwise(F.concat_ws("/", F.nullif(base, F.lit("")), F.col("target")))
+    wanted = found.withColumn("target", target).where((F.col("target") != "") & ~outside).select("name", _flat(path).alias("part"))
     return wanted.join(parts.select(F.col("name").alias("part")), "part", "left_anti")
 
 

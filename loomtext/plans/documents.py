@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+import re
 
 from pyspark.sql import functions as F
 
@@ -96,12 +96,18 @@ def seg_segments(spark, d):
     return rows.select("doc_id", "ordinal", "id", "kind", "translates", F.md5("source_text").alias("digest"), "characters", "tokens", "chunk")
 
 
+def seg_plain(spark, d):
+    """Segments of plain text: lines, parts of long lines, kept blank lines."""
+    rows = text.segments(table(spark, d, "documents"), CONFIG)
+    return rows.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "id", "kind", "translates", F.md5("source_text").alias("digest"), F.col("characters").cast("long").alias("characters"), F.col("tokens").cast("long").alias("tokens"))
+
+
 def chk1_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", text.estimated_tokens(F.col("text")).alias("tokens"))
 
 
-_TOKENS = r"CAST(ceil((3 * length({0}) - 2 * length(regexp_replace({0}, '[^\x20-\x7E]', '', 'g')) + length(regexp_replace({0}, '[^\x{{AC00}}-\x{{D7AF}}\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{9FFF}}]', '', 'g'))) / 4.0) AS BIGINT)"
-CHK1 = f"SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents"
+TOKENS_SQL = r"CAST(ceil((3 * length({0}) - 2 * length(regexp_replace({0}, '[^\x20-\x7E]', '', 'g')) + length(regexp_replace({0}, '[^\x{{AC00}}-\x{{D7AF}}\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{9FFF}}]', '', 'g'))) / 4.0) AS BIGINT)"
+CHK1 = f"SELECT doc_id, {TOKENS_SQL.format('text')} AS tokens FROM documents"
 
 
 def chk2_chunks(spark, d):
@@ -110,8 +116,7 @@ def chk2_chunks(spark, d):
 
 
 # Long lines are cut by a recursion, segments packed by another, both one step a row; the tail merge is a join.
-_SEGMENTS_SQL = rf"""
-{_LINES_SQL.strip()}, cut(doc_id, line_no, part, piece, rest) AS (
+SEGMENT_CUTS = r"""cut(doc_id, line_no, part, piece, rest) AS (
   SELECT doc_id, line_no, -1, '', content FROM lines WHERE trim(content) <> ''
   UNION ALL
   SELECT doc_id, line_no, part + 1,
@@ -120,12 +125,21 @@ _SEGMENTS_SQL = rf"""
   FROM (SELECT *, coalesce(nullif(5200 - coalesce(nullif(strpos(reverse(regexp_replace(substr(rest, 1, 5200), '[.!?。！？]', '.', 'g')), '.'), 0), 5201) + 1, 0),
                            nullif(5200 - coalesce(nullif(strpos(reverse(substr(rest, 1, 5200)), ' '), 0), 5200), 0), 5200) AS k FROM cut)
   WHERE rest <> ''
-), seg AS (
-  SELECT doc_id, line_no, part, printf('text-%06d-%03d', line_no, part) AS id, length(piece) AS c, {_TOKENS.format('piece')} AS t,
+)"""
+_SEGMENTS_SQL = rf"""
+{_LINES_SQL.strip()}, {SEGMENT_CUTS}, seg AS (
+  SELECT doc_id, line_no, part, printf('text-%06d-%03d', line_no, part) AS id, length(piece) AS c, {TOKENS_SQL.format('piece')} AS t,
          row_number() OVER (PARTITION BY doc_id ORDER BY line_no, part) AS k
   FROM cut WHERE part >= 0
 )
 """
+SEG_PLAIN = rf"""
+WITH RECURSIVE {_SEGMENTS_SQL}, every AS (
+  SELECT doc_id, line_no, part, 'text-' AS p, 'plainLine' AS kind, true AS translates, piece AS s FROM cut WHERE part >= 0
+  UNION ALL SELECT doc_id, line_no, 0, 'preserved-', 'preserved', false, content FROM lines WHERE trim(content) = ''
+)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, part) - 1 AS ordinal, p || printf('%06d', line_no) || CASE WHEN translates THEN printf('-%03d', part) ELSE '' END AS id, kind, translates, md5(s) AS digest, length(s) AS characters, {TOKENS_SQL.format('s')} AS tokens FROM every
+"""
 CHK2 = rf"""
 WITH RECURSIVE {_SEGMENTS_SQL}, pack(doc_id, k, id, c, t, chunk, chars, toks, segs, closed) AS (
   SELECT doc_id, k, id, c, t, 0, c, t, 1, (c >= 2600 OR t >= 2200) AND c >= 700 FROM seg WHERE k = 1
@@ -159,6 +173,16 @@ def chk_profiles(spark, d):
     return out
 
 
+def _profile_sql(name: str) -> str:
+    c = text.PROFILES[name]
+    limits = {"5201": c.maximum + 1, "5200": c.maximum, "2600": c.target, "2200": c.tokens, "700": c.minimum, "40": c.segments}
+    sql = re.sub(r"\b(5201|5200|2600|2200|700)\b|(?<=> )40\b|(?<=<= )40\b", lambda m: str(limits[m[0]]), CHK2)
+    return f"SELECT doc_id, count(*) AS chunks, CAST(sum(estimated_token_count) AS BIGINT) AS tokens, '{name}' AS profile FROM ({sql}) GROUP BY doc_id"
+
+
+CHK_PROFILES = " UNION ALL ".join(f"({_profile_sql(name)})" for name in text.PROFILES)
+
+
 def jn2_chunk_segments(spark, d):
     docs = table(spark, d, "documents")
     rows = text.chunk_segments(text.chunks(docs, CONFIG), text.segments(docs, CONFIG))
@@ -191,12 +215,14 @@ def jn1_model_round_trip(spark, d):
 
 def str_scalars(spark, d):
     t = F.col("text")
+    half = F.floor(F.length(t) / 2).cast("int")
+    front, back = F.substr(t, F.lit(1), half), F.substr(t, half + 1)
     return table(spark, d, "documents").select(
         "doc_id", F.md5(strings.trim_all(F.concat(F.lit(" \t"), t, F.lit("\n ")))).alias("str1"), F.md5(strings.normalize_spaces(t)).alias("str2"),
         F.md5(strings.repeated_text_key(F.when(F.col("doc_id") % 5 == 0, F.lit(" 12 ")).otherwise(t))).alias("str3"),
-        F.md5(strings.strip_consumed(t, F.substring(t, 1, 40))).alias("str9"), F.md5(strings.join_non_blank(F.substring(t, 1, 20), F.lit("  "), F.substring(t, 30, 20))).alias("str10"),
+        F.md5(strings.strip_consumed(t, front)).alias("str9"), F.md5(strings.join_non_blank(front, F.lit("  "), back)).alias("str10"),
         F.md5(strings.xml_escape(t)).alias("str11"), F.md5(strings.xml_clean(F.concat(t, F.chr(F.lit(1))))).alias("str12"), strings.is_xml_text(t).alias("str13"), F.md5(strings.bounded(t)).alias("str14"),
-        hashing.crc32(t).alias("mth3"), hashing.sha256_prefix(t, 16).alias("mth2"),
+        hashing.sha256_prefix(t, 16).alias("mth2"),
     )
 
 
@@ -206,45 +232,83 @@ _E = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'),
 STR = f"""
 SELECT doc_id, md5({_X.format('text')}) AS str1, md5({_N.format('text')}) AS str2,
   md5(CASE WHEN doc_id % 5 = 0 THEN '__page_number__' ELSE lower({_N.format('text')}) END) AS str3,
-  md5(CASE WHEN {_X.format('substr(text, 1, 40)')} = '' THEN text ELSE {_X.format("substr(text, length(" + _X.format('substr(text, 1, 40)') + ") + 1)")} END) AS str9,
-  md5(array_to_string(list_filter([{_X.format('substr(text, 1, 20)')}, {_X.format('substr(text, 30, 20)')}], lambda x: x <> ''), ' ')) AS str10,
+  md5(CASE WHEN {_X.format('substr(text, 1, length(text) // 2)')} = '' THEN text ELSE {_X.format("substr(text, length(" + _X.format('substr(text, 1, length(text) // 2)') + ") + 1)")} END) AS str9,
+  md5(array_to_string(list_filter([{_X.format('substr(text, 1, length(text) // 2)')}, {_X.format('substr(text, length(text) // 2 + 1)')}], lambda x: x <> ''), ' ')) AS str10,
   md5({_E.format('text')}) AS str11, md5({_E.format('text')}) AS str12, true AS str13,
   md5(CASE WHEN length(text) > 1024 THEN substr(text, 1, 1024) || '…' ELSE text END) AS str14,
-  CAST(0 AS BIGINT) AS mth3, substr(sha256(text), 1, 32) AS mth2
+  substr(sha256(text), 1, 32) AS mth2
 FROM documents
 """
 
 
-def str_scalars_checked(spark, d):
-    """CRC-32 has no SQL form here and is 0 as in the SQL; ``mth3_crc32`` gives the real one."""
-    return str_scalars(spark, d).withColumn("mth3", F.lit(0).cast("long"))
-
-
 def mth3_crc32(spark, d):
-    """CRC-32 of the whole texts; without SQL, held against zlib."""
+    """CRC-32 of the whole texts."""
     return table(spark, d, "documents").select("doc_id", hashing.crc32(F.col("text")).alias("mth3"))
 
 
+# the usual table by its rule, eight steps for each byte, then a byte of the text at a time
+MTH3 = """
+WITH t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS crc FROM range(256) r(i)),
+d AS (SELECT doc_id, hex(encode(text)) AS x FROM documents),
+b AS (SELECT doc_id, list_transform(range(1, len(x), 2), lambda p: CAST('0x' || substr(x, p, 2) AS BIGINT)) AS bytes FROM d)
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, y: xor(c // 256, crc[xor(c % 256, y) + 1])), 4294967295) AS mth3 FROM b, t
+"""
+
+
+_TRIM = r"regexp_replace(regexp_replace({0}, '^[\s\x{{85}}\p{{Z}}]+', ''), '[\s\x{{85}}\p{{Z}}]+$', '')"
+
+
 def str4_8_merging(spark, d):
     """The first two thirds of a document's text and its last two thirds as growing snapshots."""
     docs = table(spark, d, "documents")
     third = F.floor(F.length("text") / 3).cast("int")
     a, b = F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("text"), third + 1, F.length("text"))
-    return docs.select("doc_id", common_prefix_column(a, b).alias("str4"), common_suffix_column(a, b).alias("str5"), overlap_column(a, b).alias("str6"), revision_column(a, b).alias("str7"), F.md5(merge_column(a, b)).alias("str8"), hashing.fnv1a_hex(F.col("text")).alias("mth1"))
+    return docs.select("doc_id", common_prefix_column(a, b).alias("str4"), common_suffix_column(a, b).alias("str5"), overlap_column(a, b).alias("str6"), revision_column(a, b).alias("str7"), F.md5(merge_column(a, b)).alias("str8"))
+
+
+def _agreeing(a: str, b: str) -> str:
+    """SQL: how many first elements two lists share."""
+    return f"coalesce(nullif(list_position(list_transform(list_zip({a}, {b}, true), lambda z: z[1] = z[2]), false), 0) - 1, least(len({a}), len({b})))"
+
+
+STR4 = rf"""
+WITH d AS (SELECT doc_id, substr(text, 1, length(text) - length(text) // 3) AS a, substr(text, length(text) // 3 + 1) AS b FROM documents),
+e AS (SELECT doc_id, false AS bare, a, b FROM d UNION ALL SELECT doc_id, true, {_TRIM.format('a')}, {_TRIM.format('b')} FROM d),
+l AS (SELECT *, CASE WHEN a = '' THEN [] ELSE string_split(a, '') END AS x, CASE WHEN b = '' THEN [] ELSE string_split(b, '') END AS y FROM e),
+p AS (SELECT *, {_agreeing('x', 'y')} AS head FROM l), r AS (SELECT *, least(len(x), len(y)) - head AS room FROM p),
+s AS (SELECT *, list_reverse(x)[1:room] AS u, list_reverse(y)[1:room] AS v FROM r), t AS (SELECT *, CASE WHEN room > 0 THEN {_agreeing('u', 'v')} ELSE 0 END AS tail FROM s),
+o AS (SELECT *, coalesce(list_max(list_filter(range(2, least(len(x), len(y), 256) + 1), lambda k: ends_with(a, substr(b, 1, k)))), 0) AS shared,
+        least(len(x), len(y)) >= 5 AND head + tail >= 3 AND head + tail >= 0.6 * least(len(x), len(y)) AS revised FROM t)
+SELECT w.doc_id, CAST(w.head AS INTEGER) AS str4, CAST(w.tail AS INTEGER) AS str5, CAST(w.shared AS INTEGER) AS str6, w.revised AS str7,
+  md5(CASE WHEN m.a = '' OR m.b = '' THEN m.a || m.b WHEN ends_with(m.a, m.b) THEN m.a WHEN starts_with(m.b, m.a) OR m.revised THEN m.b WHEN m.shared > 0 THEN m.a || substr(m.b, m.shared + 1) ELSE m.a || ' ' || m.b END) AS str8
+FROM o w JOIN o m ON m.doc_id = w.doc_id AND m.bare AND NOT w.bare
+"""
+
+
+def mth1_fnv(spark, d):
+    """FNV-1a of the whole texts."""
+    return table(spark, d, "documents").select("doc_id", hashing.fnv1a_hex(F.col("text")).alias("mth1"))
+
+
+MTH1 = """
+WITH d AS (SELECT doc_id, hex(encode(text)) AS x FROM documents),
+b AS (SELECT doc_id, list_transform(range(1, len(x), 2), lambda p: CAST('0x' || substr(x, p, 2) AS BIGINT)::HUGEINT) AS bytes FROM d)
+SELECT doc_id, ltrim(lower(hex(list_reduce(list_prepend(14695981039346656037::HUGEINT, bytes), lambda h, y: xor(h, y) * 1099511628211 % 18446744073709551616::HUGEINT)::UBIGINT)), '0') AS mth1 FROM b
+"""
 
 
-def fil2_language_route(spark, d, most=200):
+def fil2_language_route(spark, d):
     docs = table(spark, d, "documents")
-    part, even = F.col("text") if most is None else F.substring("text", 1, most), F.col("doc_id") % 2 == 0
+    part, even = F.col("text"), F.col("doc_id") % 2 == 0
     code = F.when(F.col("doc_id") % 4 == 0, F.col("lang")).when(F.col("doc_id") % 4 == 1, F.concat(F.upper("lang"), F.lit("_XX"))).when(F.col("doc_id") % 4 == 2, F.lit(" ")).otherwise(F.lit("ko"))
     field = F.when(even, "original").otherwise("translation")
     return docs.select("doc_id", scripts.accepts(field, part, code, F.col("lang"), F.lit("ko")).alias("accepted"), F.array_join(F.array_sort(scripts.observed_scripts(part)), ",").alias("scripts"))
 
 
 FIL2 = r"""
-SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN (NOT regexp_matches(substr(text, 1, 200), '[A-Za-z\x{C0}-\x{24F}]')) OR lang IN ('en', 'fr', 'de', 'es')
+SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN (NOT regexp_matches(text, '[A-Za-z\x{C0}-\x{24F}]')) OR lang IN ('en', 'fr', 'de', 'es')
                     WHEN doc_id % 4 = 0 THEN true WHEN doc_id % 4 = 1 THEN lang = 'ko' ELSE true END AS accepted,
-       CASE WHEN regexp_matches(substr(text, 1, 200), '[A-Za-z\x{C0}-\x{24F}]') THEN 'latin' ELSE '' END AS scripts
+       CASE WHEN regexp_matches(text, '[A-Za-z\x{C0}-\x{24F}]') THEN 'latin' ELSE '' END AS scripts
 FROM documents
 """
 
@@ -284,12 +348,11 @@ SELECT page_id, CAST(len(regexp_extract_all(t, '(?is)<u>(.*?)</u>', 1)) AS INTEG
 """
 
 QUERIES = {
-    "src1_file_kind": src1_file_kind, "src2_detect": src2_detect, "seg1_lines": seg1_lines, "seg2_line_endings": seg2_line_endings, "seg4_prefixes": seg4_prefixes, "seg_segments": seg_segments,
+    "src1_file_kind": src1_file_kind, "src2_detect": src2_detect, "seg1_lines": seg1_lines, "seg2_line_endings": seg2_line_endings, "seg4_prefixes": seg4_prefixes, "seg_segments": seg_segments, "seg_plain": seg_plain,
     "chk1_tokens": chk1_tokens, "chk2_chunks": chk2_chunks, "chk_profiles": chk_profiles, "jn2_chunk_segments": jn2_chunk_segments, "jn3_identity_render": jn3_identity_render, "jn1_model_round_trip": jn1_model_round_trip,
-    "str_scalars": str_scalars_checked, "mth3_crc32": mth3_crc32, "str4_8_merging": str4_8_merging, "fil2_language_route": fil2_language_route, "agg17_speech": agg17_speech, "snk2_names": snk2_names, "seg13_underlines": seg13_underlines,
+    "str_scalars": str_scalars, "mth3_crc32": mth3_crc32, "str4_8_merging": str4_8_merging, "mth1_fnv": mth1_fnv, "fil2_language_route": fil2_language_route, "agg17_speech": agg17_speech, "snk2_names": snk2_names, "seg13_underlines": seg13_underlines,
 }
-QUERIES |= {"fil2_language_route_whole": partial(fil2_language_route, most=None)}
 ORACLE_SQL = {
-    "src1_file_kind": SRC1, "src2_detect": SRC2, "seg1_lines": SEG1, "seg2_line_endings": SEG2, "seg4_prefixes": SEG4, "chk1_tokens": CHK1, "chk2_chunks": CHK2, "jn2_chunk_segments": JN2,
-    "jn3_identity_render": JN3, "str_scalars": STR, "fil2_language_route": FIL2, "agg17_speech": AGG17, "snk2_names": SNK2, "seg13_underlines": SEG13,
+    "src1_file_kind": SRC1, "src2_detect": SRC2, "seg1_lines": SEG1, "seg2_line_endings": SEG2, "seg4_prefixes": SEG4, "seg_plain": SEG_PLAIN, "chk1_tokens": CHK1, "chk2_chunks": CHK2, "chk_profiles": CHK_PROFILES, "jn2_chunk_segments": JN2,
+    "jn3_identity_render": JN3, "str_scalars": STR, "mth3_crc32": MTH3, "str4_8_merging": STR4, "mth1_fnv": MTH1, "fil2_language_route": FIL2, "agg17_speech": AGG17, "snk2_names": SNK2, "seg13_underlines": SEG13,
 }

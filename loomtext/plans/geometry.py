@@ -1,13 +1,7 @@
-"""Queries on positioned lines: geometric joins, statistics, windows, page furniture.
-
-Queries that have SQL over the first lines of a page run over all of its lines
-as ``..._whole``, which has no SQL.
-"""
+"""Queries on positioned lines: geometric joins, statistics, windows, page furniture; all lines of all pages."""
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from loomtext.operators import aggregates, joins, layout
@@ -16,51 +10,57 @@ from loomtext.plans._data import PAGE_LINES_SQL, page_lines, table
 _OVER = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
 
 
-def _lines(spark, d, most: int | None):
-    """The first lines of each page, or all of them."""
-    lines = page_lines(table(spark, d, "documents"))
-    return lines if most is None else lines.where(F.col("i") < most)
+def _lines(spark, d):
+    return page_lines(table(spark, d, "documents"))
+
+
+def _numbered(spark, d):
+    """Lines of documents of ten pages each, whose page numbers are the same in every document."""
+    return _lines(spark, d).withColumn("doc", F.floor(F.col("page") / 10)).withColumn("page", F.col("page") % 10)
+
+
+_NUMBERED = "l AS (SELECT * REPLACE (page // 10 AS doc, page % 10 AS page) FROM placed)"
 
 
-def jn5_link_targets(spark, d, most=10):
-    rows = _lines(spark, d, most)
-    links = rows.where("i % 2 = 0").select("page", (F.col("x") + 5).alias("x"), (F.col("y") - F.col("i") % 4 * 2).alias("y"), "w", "h", F.concat(F.lit("u"), (F.col("i") % 3).cast("string")).alias("url"))
-    return joins.link_targets(rows.select("page", "id", "x", "y", "w", "h"), links).select("page", "id", "url")
+def jn5_link_targets(spark, d):
+    rows = _numbered(spark, d)
+    links = rows.where("i % 2 = 0").select("doc", "page", (F.col("x") + 5).alias("x"), (F.col("y") - F.col("i") % 4 * 2).alias("y"), "w", "h", F.concat(F.lit("u"), (F.col("i") % 3).cast("string")).alias("url"))
+    return joins.link_targets(rows.select("doc", "page", "id", "x", "y", "w", "h"), links).select("doc", "page", "id", "url")
 
 
 JN5 = f"""
-WITH {PAGE_LINES_SQL}, l AS (SELECT * FROM placed WHERE i < 10), k AS (SELECT page, x + 5 AS x, y - i % 4 * 2 AS y, w, h, 'u' || i % 3 AS url FROM l WHERE i % 2 = 0),
-j AS (SELECT a.id, count(DISTINCT url) AS n, min(url) AS url FROM l a JOIN k b ON a.page = b.page AND {_OVER} / least(a.w * a.h, b.w * b.h) >= 0.2 GROUP BY 1)
-SELECT l.page, l.id, CASE WHEN j.n = 1 THEN j.url END AS url FROM l LEFT JOIN j USING (id)
+WITH {PAGE_LINES_SQL}, {_NUMBERED}, k AS (SELECT doc, page, x + 5 AS x, y - i % 4 * 2 AS y, w, h, 'u' || i % 3 AS url FROM l WHERE i % 2 = 0),
+j AS (SELECT a.id, count(DISTINCT url) AS n, min(url) AS url FROM l a JOIN k b ON a.doc = b.doc AND a.page = b.page AND {_OVER} / least(a.w * a.h, b.w * b.h) >= 0.2 GROUP BY 1)
+SELECT l.doc, l.page, l.id, CASE WHEN j.n = 1 THEN j.url END AS url FROM l LEFT JOIN j USING (id)
 """
 
 
-def jn6_overlay_conflicts(spark, d, most=10):
-    rows = _lines(spark, d, most)
-    notes = rows.where("i % 3 = 0").select("page", (F.col("x") + 20).alias("x"), "y", "w", "h", F.when(F.col("i") % 2 == 0, F.concat(F.lit("u"), F.col("i").cast("string"))).alias("url"))
-    return joins.overlay_conflicts(rows.select("page", "id", "x", "y", "w", "h"), notes).select("page", "id")
+def jn6_overlay_conflicts(spark, d):
+    rows = _numbered(spark, d)
+    notes = rows.where("i % 3 = 0").select("doc", "page", (F.col("x") + 20).alias("x"), "y", "w", "h", F.when(F.col("i") % 2 == 0, F.concat(F.lit("u"), F.col("i").cast("string"))).alias("url"))
+    return joins.overlay_conflicts(rows.select("doc", "page", "id", "x", "y", "w", "h"), notes).select("doc", "page", "id")
 
 
 JN6 = f"""
-WITH {PAGE_LINES_SQL}, l AS (SELECT * FROM placed WHERE i < 10), k AS (SELECT page, x + 20 AS x, y, w, h, CASE WHEN i % 2 = 0 THEN 'u' || i END AS url FROM l WHERE i % 3 = 0)
-SELECT a.page, a.id FROM l a JOIN k b ON a.page = b.page AND {_OVER} > 0 GROUP BY 1, 2 HAVING max(CASE WHEN url IS NULL THEN 1 ELSE 0 END) = 1 OR count(DISTINCT url) > 1
+WITH {PAGE_LINES_SQL}, {_NUMBERED}, k AS (SELECT doc, page, x + 20 AS x, y, w, h, CASE WHEN i % 2 = 0 THEN 'u' || i END AS url FROM l WHERE i % 3 = 0)
+SELECT a.doc, a.page, a.id FROM l a JOIN k b ON a.doc = b.doc AND a.page = b.page AND {_OVER} > 0 GROUP BY 1, 2, 3 HAVING max(CASE WHEN url IS NULL THEN 1 ELSE 0 END) = 1 OR count(DISTINCT url) > 1
 """
 
 
-def jn7_occluded(spark, d, most=10):
-    rows = _lines(spark, d, most).select("page", "i", "id", "x", "y", "w", "h")
+def jn7_occluded(spark, d):
+    rows = _numbered(spark, d).select("doc", "page", "i", "id", "x", "y", "w", "h")
     front = rows.where("i % 4 = 1").withColumn("w", F.col("w") * 0.5).withColumn("x", F.col("x") - 280)
-    return joins.occluded(rows, front).select("page", "id")
+    return joins.occluded(rows, front).select("doc", "page", "id")
 
 
 JN7 = f"""
-WITH {PAGE_LINES_SQL}, l AS (SELECT * FROM placed WHERE i < 10), k AS (SELECT page, x - 280 AS x, y, w * 0.5 AS w, h FROM l WHERE i % 4 = 1)
-SELECT a.page, a.id FROM l a WHERE a.w * a.h > 0 AND EXISTS (SELECT 1 FROM k b WHERE a.page = b.page AND {_OVER} >= 0.55 * (a.w * a.h))
+WITH {PAGE_LINES_SQL}, {_NUMBERED}, k AS (SELECT doc, page, x - 280 AS x, y, w * 0.5 AS w, h FROM l WHERE i % 4 = 1)
+SELECT a.doc, a.page, a.id FROM l a WHERE a.w * a.h > 0 AND EXISTS (SELECT 1 FROM k b WHERE a.doc = b.doc AND a.page = b.page AND {_OVER} >= 0.55 * (a.w * a.h))
 """
 
 
-def jn10_resolved_blocks(spark, d, most=24):
-    rows = _lines(spark, d, most)
+def jn10_resolved_blocks(spark, d):
+    rows = _lines(spark, d)
     block = F.format_string("%d/%d", F.col("page"), F.floor(F.col("i") / 3).cast("int"))
     blocks = rows.withColumn("b", block).groupBy("b").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda v: v["id"]).alias("line_ids"), F.min("i").alias("i0")).select(F.col("b").alias("id"), "line_ids")
     line_texts = rows.where("i % 5 <> 0 AND i % 24 < 15").select("id", F.concat(F.lit("t"), F.col("i").cast("string")).alias("text"))
@@ -69,23 +69,23 @@ def jn10_resolved_blocks(spark, d, most=24):
 
 
 JN10 = f"""
-WITH {PAGE_LINES_SQL}, l AS (SELECT page || '/' || i // 3 AS b, * FROM placed WHERE i < 24),
-p AS (SELECT b, count(*) AS n, count(*) FILTER (WHERE i % 5 <> 0 AND i < 15) AS direct, string_agg('t' || i, ' ' ORDER BY i) AS merged, bool_or(i % 6 = 0) AS whole FROM l GROUP BY b),
+WITH {PAGE_LINES_SQL}, l AS (SELECT page || '/' || i // 3 AS b, * FROM placed),
+p AS (SELECT b, count(*) AS n, count(*) FILTER (WHERE i % 5 <> 0 AND i % 24 < 15) AS direct, string_agg('t' || i, ' ' ORDER BY i) AS merged, bool_or(i % 6 = 0) AS whole FROM l GROUP BY b),
 h AS (SELECT *, CASE WHEN direct = n THEN 'lines' WHEN direct > 0 THEN 'partial' WHEN whole THEN 'block' ELSE 'none' END AS how FROM p)
 SELECT b AS id, how, CASE how WHEN 'lines' THEN merged WHEN 'block' THEN 'block' END AS translated_text FROM h
 """
 
 
-def jn9_footers(spark, d, most=10):
+def jn9_footers(spark, d):
     shade = (F.col("i") % 4) / 10
-    rows = _lines(spark, d, most).select("page", "i", "id", "x", (F.col("i") * 9.0).alias("y"), "w", F.lit(8.0).alias("h"), (F.col("size") - 3).alias("size"), shade.alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b"), "source", F.lit(792.0).alias("page_height"))
-    return joins.touching_chrome(rows, rows.where("i % 5 = 0")).select("page", "id")
+    rows = _numbered(spark, d).select("doc", "page", "i", "id", "x", (F.col("i") * 9.0).alias("y"), "w", F.lit(8.0).alias("h"), (F.col("size") - 3).alias("size"), shade.alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b"), "source", F.lit(792.0).alias("page_height"))
+    return joins.touching_chrome(rows, rows.where("i % 5 = 0")).select("doc", "page", "id")
 
 
 JN9 = f"""
-WITH {PAGE_LINES_SQL}, l AS (SELECT page, i, id, x, i * 9.0 AS y, w, 8.0 AS h, size - 3 AS size, (i % 4) / 10.0 AS r FROM placed WHERE i < 10)
-SELECT a.page, a.id FROM l a WHERE a.y + 8 <= 79.2 AND a.size <= greatest(10.0, 0.027 * 792) AND EXISTS (
-  SELECT 1 FROM l b WHERE b.page = a.page AND b.id <> a.id AND b.i % 5 = 0 AND b.y + 8 <= 79.2 AND greatest(a.x - (b.x + b.w), b.x - (a.x + a.w), 0) <= greatest(14, 2 * greatest(a.size, b.size))
+WITH {PAGE_LINES_SQL}, l AS (SELECT page // 10 AS doc, page % 10 AS page, i, id, x, i * 9.0 AS y, w, 8.0 AS h, size - 3 AS size, (i % 4) / 10.0 AS r FROM placed)
+SELECT a.doc, a.page, a.id FROM l a WHERE a.y + 8 <= 79.2 AND a.size <= greatest(10.0, 0.027 * 792) AND EXISTS (
+  SELECT 1 FROM l b WHERE b.doc = a.doc AND b.page = a.page AND b.id <> a.id AND b.i % 5 = 0 AND b.y + 8 <= 79.2 AND greatest(a.x - (b.x + b.w), b.x - (a.x + a.w), 0) <= greatest(14, 2 * greatest(a.size, b.size))
     AND greatest(a.y - (b.y + 8), b.y - (a.y + 8), 0) <= greatest(8, 1.5 * greatest(a.size, b.size)) AND abs(a.size - b.size) <= 3 AND pow(a.r - b.r, 2) <= 0.08)
 """
 
@@ -104,27 +104,27 @@ SELECT doc, count(*) AS pages, CAST(sum(lc) AS BIGINT) AS lines, CAST(sum(wc) AS
 """
 
 
-def agg5_shared_templates(spark, d, most=3):
-    rows = _lines(spark, d, most).select("doc", "page", "id", (F.col("text") if most is None else F.substring("text", 1, 3)).alias("fingerprint"), F.lit("content").alias("role"), F.lit(0.95).alias("confidence"))
+def agg5_shared_templates(spark, d):
+    rows = _lines(spark, d).select("doc", "page", "id", F.col("text").alias("fingerprint"), F.lit("content").alias("role"), F.lit(0.95).alias("confidence"))
     return aggregates.shared_templates(rows).select("id", "role", F.round("confidence", 4).alias("confidence"))
 
 
 AGG5 = f"""
-WITH {PAGE_LINES_SQL}, l AS (SELECT doc, page, id, substr(text, 1, 3) AS f FROM placed WHERE i < 3), s AS (SELECT doc, f FROM l GROUP BY 1, 2 HAVING count(DISTINCT page) > 1)
+WITH {PAGE_LINES_SQL}, l AS (SELECT doc, page, id, text AS f FROM placed), s AS (SELECT doc, f FROM l GROUP BY 1, 2 HAVING count(DISTINCT page) > 1)
 SELECT l.id, CASE WHEN s.f IS NULL THEN 'content' ELSE 'sharedTemplate' END AS role, CASE WHEN s.f IS NULL THEN 0.95 ELSE 0.99 END::DOUBLE AS confidence FROM l LEFT JOIN s USING (doc, f)
 """
 
 
-def agg7_header_footer(spark, d, most=4):
+def agg7_header_footer(spark, d):
     rows = page_lines(table(spark, d, "documents")).where("i < 2 OR i >= n - 1")
-    objects = rows.select("doc", "page", F.when(F.col("i") % 2 == 0, "text").otherwise("image").alias("kind"), F.when(F.col("page") % 3 == 0, F.col("page").cast("string")).otherwise(F.col("text") if most is None else F.substring("text", 1, most)).alias("text"), F.col("size").cast("string").alias("key"), "x", F.when(F.col("i") < 2, 740.0).otherwise(30.0).alias("y"), "h")
+    objects = rows.select("doc", "page", F.when(F.col("i") % 2 == 0, "text").otherwise("image").alias("kind"), F.when(F.col("page") % 3 == 0, F.col("page").cast("string")).otherwise(F.col("text")).alias("text"), F.col("size").cast("string").alias("key"), "x", F.when(F.col("i") < 2, 740.0).otherwise(30.0).alias("y"), "h")
     boxes = table(spark, d, "documents").groupBy(F.col("source").alias("doc")).agg(F.count("*").alias("n")).select("doc", F.lit(0.0).alias("y"), F.lit(792.0).alias("h"), "n")
     return aggregates.header_footer_plan(objects, boxes)
 
 
 AGG7 = rf"""
 WITH {PAGE_LINES_SQL}, o AS (
-  SELECT doc, page, CASE WHEN i % 2 = 0 THEN 'text' ELSE 'image' END AS kind, CASE WHEN page % 3 = 0 THEN page::VARCHAR ELSE substr(text, 1, 4) END AS t, size::DOUBLE::VARCHAR AS key, x, CASE WHEN i < 2 THEN 740.0 ELSE 30.0 END AS y FROM placed WHERE i < 2 OR i >= n - 1
+  SELECT doc, page, CASE WHEN i % 2 = 0 THEN 'text' ELSE 'image' END AS kind, CASE WHEN page % 3 = 0 THEN page::VARCHAR ELSE text END AS t, size::DOUBLE::VARCHAR AS key, x, CASE WHEN i < 2 THEN 740.0 ELSE 30.0 END AS y FROM placed WHERE i < 2 OR i >= n - 1
 ), k AS (
   SELECT doc, CASE WHEN y > 700 THEN 'header' ELSE 'footer' END AS band,
     kind || '|' || CASE WHEN kind = 'image' THEN key WHEN regexp_matches(lower(trim(regexp_replace(t, '[\s\x{{85}}\p{{Z}}]+', ' ', 'g'))), '^\p{{Nd}}+$') THEN '__page_number__' ELSE lower(trim(regexp_replace(t, '[\s\x{{85}}\p{{Z}}]+', ' ', 'g'))) END
@@ -142,14 +142,14 @@ def agg8_last(spark, d):
 AGG8 = f"WITH {PAGE_LINES_SQL} SELECT doc, size, max_by(id, (page, i)) AS id FROM placed GROUP BY 1, 2"
 
 
-def agg11_alignment(spark, d, most=12):
-    rows = _lines(spark, d, most).withColumn("x", F.col("x") + F.when(F.col("page") % 2 == 0, (240 - F.col("w")) / 2).otherwise(F.col("i") * 0.2)).withColumn("marker", layout.starts_with_marker(F.col("text")))
+def agg11_alignment(spark, d):
+    rows = _lines(spark, d).withColumn("x", F.col("x") + F.when(F.col("page") % 2 == 0, (240 - F.col("w")) / 2).otherwise(F.col("i") * 0.2)).withColumn("marker", layout.starts_with_marker(F.col("text")))
     return aggregates.block_alignment(rows, "page")
 
 
 AGG11 = rf"""
 WITH {PAGE_LINES_SQL}, l AS (
-  SELECT *, x + CASE WHEN page % 2 = 0 THEN (240 - w) / 2 ELSE i * 0.2 END AS xx, regexp_extract(trim(regexp_replace(text, '[\s\x{{85}}\p{{Z}}]+', ' ', 'g')), '^[^ ]*') AS f FROM placed WHERE i < 12
+  SELECT *, x + CASE WHEN page % 2 = 0 THEN (240 - w) / 2 ELSE i * 0.2 END AS xx, regexp_extract(trim(regexp_replace(text, '[\s\x{{85}}\p{{Z}}]+', ' ', 'g')), '^[^ ]*') AS f FROM placed
 ), e AS (
   SELECT page, unnest(['left', 'center', 'right']) AS name, unnest([0, 1, 2]) AS o, unnest([xx, xx + w / 2, xx + w]) AS v, w, size, f IN ('•', '◦', '○', '●', '▪', '▫', '‣', '⁃', '-', '–', '—', '*', 'o', 'O', '0') OR regexp_matches(f, '^\p{{N}}*[.)]+$') AS m FROM l
 ), md AS (SELECT page, name, list_sort(list(v))[len(list(v)) // 2 + 1] AS med FROM e GROUP BY 1, 2),
@@ -159,23 +159,23 @@ SELECT page, CASE WHEN n >= 2 AND NOT m AND spread >= greatest(4.0, 0.7 * f) AND
 """
 
 
-def agg13_joined(spark, d, most=20):
-    rows = _lines(spark, d, most).withColumn("text", F.when(F.col("i") % 3 == 1, F.concat("text", F.lit("-"))).otherwise(F.col("text")))
+def agg13_joined(spark, d):
+    rows = _lines(spark, d).withColumn("text", F.when(F.col("i") % 3 == 1, F.concat("text", F.lit("-"))).otherwise(F.col("text")))
     return aggregates.joined_text(rows, "i", "text", "page").select("page", F.md5("text").alias("digest"))
 
 
 AGG13 = f"""
-WITH {PAGE_LINES_SQL}, l AS (SELECT page, i, CASE WHEN i % 3 = 1 THEN text || '-' ELSE text END AS t FROM placed WHERE i < 20)
+WITH {PAGE_LINES_SQL}, l AS (SELECT page, i, CASE WHEN i % 3 = 1 THEN text || '-' ELSE text END AS t FROM placed)
 SELECT page, md5(replace(replace(string_agg(t, chr(1) ORDER BY i), '-' || chr(1), ''), chr(1), ' ')) AS digest FROM l GROUP BY page
 """
 
 
-def agg14_confidence(spark, d, most=10):
-    rows = _lines(spark, d, most).select("page", ((F.col("page") * 7 + F.col("i") * 3) % 20 / 20 + 0.3).alias("confidence"))
+def agg14_confidence(spark, d):
+    rows = _lines(spark, d).select("page", ((F.col("page") * 7 + F.col("i") * 3) % 20 / 20 + 0.3).alias("confidence"))
     return aggregates.low_confidence(rows, "page").select("page", F.round("confidence", 6).alias("confidence"))
 
 
-AGG14 = f"WITH {PAGE_LINES_SQL} SELECT page, round(min((page * 7 + i * 3) % 20 / 20.0::DOUBLE + 0.3), 6) AS confidence FROM placed WHERE i < 10 GROUP BY page HAVING min((page * 7 + i * 3) % 20 / 20.0::DOUBLE + 0.3) < 0.55"
+AGG14 = f"WITH {PAGE_LINES_SQL} SELECT page, round(min((page * 7 + i * 3) % 20 / 20.0::DOUBLE + 0.3), 6) AS confidence FROM placed GROUP BY page HAVING min((page * 7 + i * 3) % 20 / 20.0::DOUBLE + 0.3) < 0.55"
 
 
 def agg10_complexity(spark, d):
@@ -216,64 +216,64 @@ WITH {PAGE_LINES_SQL} SELECT id, CAST(coalesce(sum(CASE WHEN w >= 306 THEN 1 ELS
 """
 
 
-def win8_gutters(spark, d, most=40):
-    columns = _lines(spark, d, most).groupBy("page", "x").agg(F.max("w").alias("w"))
+def win8_gutters(spark, d):
+    columns = _lines(spark, d).groupBy("page", "x").agg(F.max("w").alias("w"))
     return layout.gutters(columns, "page").select("page", "x", F.round("left_bound", 3).alias("left_bound"), F.round("right_bound", 3).alias("right_bound"))
 
 
 WIN8 = f"""
-WITH {PAGE_LINES_SQL}, c AS (SELECT page, x::DOUBLE AS x, max(w) AS w FROM placed WHERE i < 40 GROUP BY 1, 2)
+WITH {PAGE_LINES_SQL}, c AS (SELECT page, x::DOUBLE AS x, max(w) AS w FROM placed GROUP BY 1, 2)
 SELECT page, x, round(coalesce((lag(x + w) OVER v + x) / 2, 0.0), 3)::DOUBLE AS left_bound, round(coalesce((x + w + lead(x) OVER v) / 2, 612.0), 3)::DOUBLE AS right_bound FROM c WINDOW v AS (PARTITION BY page ORDER BY x)
 """
 
 
-def seg10_gaps(spark, d, most=30):
-    rows = _lines(spark, d, most).select("page", F.col("i"), (F.col("i") * 20.0 + F.when(F.col("i") % 7 == 0, 0.0).otherwise(F.lit(0.0)) + F.floor(F.col("i") / 5) * 40).alias("x"), F.lit(10.0).alias("w"), F.when(F.col("i") % 10 == 0, 60.0).otherwise(8.0).alias("space_width"), "size")
+def seg10_gaps(spark, d):
+    rows = _lines(spark, d).select("page", F.col("i"), (F.col("i") * 20.0 + F.when(F.col("i") % 7 == 0, 0.0).otherwise(F.lit(0.0)) + F.floor(F.col("i") / 5) * 40).alias("x"), F.lit(10.0).alias("w"), F.when(F.col("i") % 10 == 0, 60.0).otherwise(8.0).alias("space_width"), "size")
     return layout.oversized_gaps(rows, "page").groupBy("page").agg(F.max("part").alias("parts"), F.sum("part").alias("total"))
 
 
 SEG10 = f"""
-WITH {PAGE_LINES_SQL}, g AS (SELECT page, i, i * 20.0 + (i // 5) * 40 AS x, CASE WHEN i % 10 = 0 THEN 60.0 ELSE 8.0 END AS sw, size FROM placed WHERE i < 30),
+WITH {PAGE_LINES_SQL}, g AS (SELECT page, i, i * 20.0 + (i // 5) * 40 AS x, CASE WHEN i % 10 = 0 THEN 60.0 ELSE 8.0 END AS sw, size FROM placed),
 c AS (SELECT *, CASE WHEN sw > greatest(12.0, 2 * size) AND x - lag(x + 10.0) OVER (PARTITION BY page ORDER BY x) > greatest(12.0, 2 * size) THEN 1 ELSE 0 END AS cut FROM g),
 p AS (SELECT page, sum(cut) OVER (PARTITION BY page ORDER BY x) AS part FROM c)
 SELECT page, CAST(max(part) AS BIGINT) AS parts, CAST(sum(part) AS BIGINT) AS total FROM p GROUP BY page
 """
 
 
-def seg11_color_runs(spark, d, most=30):
-    rows = _lines(spark, d, most).select("page", F.col("i").alias("ordinal"), *[(F.floor(F.col("i") / k) / 10.0).alias(c) for c, k in zip("rgb", (3, 7, 50))])
+def seg11_color_runs(spark, d):
+    rows = _lines(spark, d).select("page", F.col("i").alias("ordinal"), *[(F.floor(F.col("i") / k) / 10.0).alias(c) for c, k in zip("rgb", (3, 7, 50))])
     return layout.color_runs(rows, "page").groupBy("page").agg(F.max("run").alias("runs"), F.sum("run").alias("total"))
 
 
 SEG11 = f"""
-WITH {PAGE_LINES_SQL}, c AS (SELECT page, i, CASE WHEN i > 0 AND (i % 3 = 0 OR i % 7 = 0) THEN 1 ELSE 0 END AS cut FROM placed WHERE i < 30),
+WITH {PAGE_LINES_SQL}, c AS (SELECT page, i, CASE WHEN i > 0 AND (i % 3 = 0 OR i % 7 = 0 OR i % 50 = 0) THEN 1 ELSE 0 END AS cut FROM placed),
 p AS (SELECT page, sum(cut) OVER (PARTITION BY page ORDER BY i) AS run FROM c)
 SELECT page, CAST(max(run) AS BIGINT) AS runs, CAST(sum(run) AS BIGINT) AS total FROM p GROUP BY page
 """
 
 
-def fil6_furniture(spark, d, most=12):
-    rows = _lines(spark, d, most).withColumn("text", F.when(F.col("i") % 4 == 0, F.col("page").cast("string")).when(F.col("i") % 4 == 1, F.lit("All Rights  Reserved.")).otherwise(F.col("text"))).withColumn("y", F.col("i") * 12.0)
+def fil6_furniture(spark, d):
+    rows = _lines(spark, d).withColumn("text", F.when(F.col("i") % 4 == 0, F.col("page").cast("string")).when(F.col("i") % 4 == 1, F.lit("All Rights  Reserved.")).otherwise(F.col("text"))).withColumn("y", F.col("i") * 12.0)
     return rows.where(layout.is_furniture(F.col("text"), F.col("y"), F.col("h"), F.col("size"), F.lit(0.0), F.lit(792.0))).select("id")
 
 
 FIL6 = rf"""
-WITH {PAGE_LINES_SQL}, l AS (SELECT id, CASE i % 4 WHEN 0 THEN page::VARCHAR WHEN 1 THEN 'All Rights  Reserved.' ELSE text END AS t, i * 12.0 + 12 AS top, size FROM placed WHERE i < 12), n AS (SELECT *, lower(trim(regexp_replace(t, '[\s\x{{85}}\p{{Z}}]+', ' ', 'g'))) AS k FROM l)
+WITH {PAGE_LINES_SQL}, l AS (SELECT id, CASE i % 4 WHEN 0 THEN page::VARCHAR WHEN 1 THEN 'All Rights  Reserved.' ELSE text END AS t, i * 12.0 + 12 AS top, size FROM placed), n AS (SELECT *, lower(trim(regexp_replace(t, '[\s\x{{85}}\p{{Z}}]+', ' ', 'g'))) AS k FROM l)
 SELECT id FROM n WHERE (top <= 118.8 AND (contains(k, '©') OR contains(k, 'copyright') OR contains(k, 'all rights reserved') OR contains(k, 'confidential') OR contains(k, 'internal') OR contains(k, 'disclosure prohibited')))
   OR (top <= 71.28 AND size <= 19.8 AND regexp_matches(k, '^[\p{{Nd}}\s\p{{Z}}\p{{P}}]+$'))
 """
 
 
-def grp7_assets(spark, d, most=40):
-    pages = table(spark, d, "pages").select(F.col("page_id").alias("page"), (F.col("page_id") % 3).alias("occurrence"), (F.col("html") if most is None else F.substring("html", 1, most)).alias("data"))
+def grp7_assets(spark, d):
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("page"), (F.col("page_id") % 3).alias("occurrence"), F.col("html").alias("data"))
     return aggregates.image_assets(pages).groupBy("asset").agg(F.count("*").alias("uses"))
 
 
-GRP7 = "SELECT substr(sha256(substr(html, 1, 40)), 1, 32) AS asset, count(*) AS uses FROM pages GROUP BY 1"
+GRP7 = "SELECT substr(sha256(html), 1, 32) AS asset, count(*) AS uses FROM pages GROUP BY 1"
 
 
 def grp5_boxes(spark, d):
-    rows = _lines(spark, d, None).select("page", "id", "text", "x", "y", "w", "h", "size", F.lit("editableContent").alias("role"), F.lit("left").alias("alignment"))
+    rows = _lines(spark, d).select("page", "id", "text", "x", "y", "w", "h", "size", F.lit("editableContent").alias("role"), F.lit("left").alias("alignment"))
     return layout.merged_boxes(rows).groupBy("page").agg(F.count("*").alias("boxes"), F.sum(F.length("text")).alias("characters"))
 
 
@@ -283,8 +283,6 @@ QUERIES = {
     "agg14_confidence": agg14_confidence, "agg20_background": agg20_background, "win7_regions": win7_regions, "win8_gutters": win8_gutters, "seg10_gaps": seg10_gaps, "seg11_color_runs": seg11_color_runs, "fil6_furniture": fil6_furniture,
     "grp5_boxes": grp5_boxes, "grp7_assets": grp7_assets,
 }
-_WHOLE = (jn5_link_targets, jn6_overlay_conflicts, jn7_occluded, jn10_resolved_blocks, jn9_footers, agg5_shared_templates, agg11_alignment, agg13_joined, agg14_confidence, win8_gutters, seg10_gaps, seg11_color_runs, fil6_furniture, agg7_header_footer, grp7_assets)
-QUERIES |= {f"{q.__name__}_whole": partial(q, most=None) for q in _WHOLE}
 ORACLE_SQL = {
     "jn5_link_targets": JN5, "jn6_overlay_conflicts": JN6, "jn7_occluded": JN7, "jn9_footers": JN9, "jn10_resolved_blocks": JN10, "agg1_counts": AGG1, "agg5_shared_templates": AGG5, "agg7_header_footer": AGG7, "agg8_last": AGG8,
     "agg10_complexity": AGG10, "agg11_alignment": AGG11, "agg13_joined": AGG13, "agg14_confidence": AGG14, "agg20_background": AGG20, "win7_regions": WIN7, "win8_gutters": WIN8, "seg10_gaps": SEG10, "seg11_color_runs": SEG11,

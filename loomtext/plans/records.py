@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window, functions as F
 
 from loomtext.functions import geometry, strings, timing
@@ -14,8 +12,8 @@ from loomtext.sources import stores
 from loomtext.streaming import flow
 
 
-def str15_19_texts(spark, d, most=60):
-    t = F.col("text") if most is None else F.substring("text", 1, most)
+def str15_19_texts(spark, d):
+    t = F.col("text")
     k = F.col("doc_id") % 4
     fenced = F.concat(F.when(k == 0, F.lit("```xml\n")).when(k == 1, F.lit("```\n")).otherwise(F.lit("")), F.regexp_replace(t, "`", ""), F.when(k < 2, F.lit("\n```")).otherwise(F.lit("")))
     code = F.element_at(F.array(*map(F.lit, ("zh_CN", "zh-Hant", "auto", "de", "!", "EN"))), (F.col("doc_id") % 6 + 1).cast("int"))
@@ -29,7 +27,7 @@ def str15_19_texts(spark, d, most=60):
 
 _T = r"regexp_replace(regexp_replace({0}, '^[\s\x{{85}}\p{{Z}}]+', ''), '[\s\x{{85}}\p{{Z}}]+$', '')"
 STR15 = rf"""
-WITH a AS (SELECT doc_id, lang, doc_id % 4 AS k, substr(text, 1, 60) AS t, ['zh_CN', 'zh-Hant', 'auto', 'de', '!', 'EN'][doc_id % 6 + 1] AS code FROM documents)
+WITH a AS (SELECT doc_id, lang, doc_id % 4 AS k, text AS t, ['zh_CN', 'zh-Hant', 'auto', 'de', '!', 'EN'][doc_id % 6 + 1] AS code FROM documents)
 SELECT doc_id, md5({_T.format("replace(t, '`', '')")}) AS str15,
   CASE code WHEN 'zh_CN' THEN 'zh-Hans-CN' WHEN 'zh-Hant' THEN 'zh-Hant-TW' WHEN '!' THEN NULL ELSE code END AS str16,
   CASE code WHEN 'zh_CN' THEN 'zh-Hans-CN' WHEN 'zh-Hant' THEN 'zh-Hant-TW' WHEN '!' THEN NULL WHEN 'auto' THEN NULL ELSE code END AS str16_target,
@@ -70,14 +68,26 @@ SELECT event_id, round(CAST(least(5.0, CASE k WHEN 0 THEN event_id % 9 WHEN 1 TH
 """
 
 
-def jn15_devices(spark, d, most=400):
-    names = ["alpha mic", "Beta", "gamma desk", "delta"]
-    devices = spark.createDataFrame([(f"Label {n}", n, i) for i, n in enumerate(names)], "label string, name string, place int")
-    wanted = table(spark, d, "events").where(F.lit(True) if most is None else F.col("event_id") < most).select(F.col("event_id").alias("request_id"), F.element_at(F.array(*map(F.lit, ("label beta", "DELTA", "desk", "zzz", "", "alpha mic 2"))), (F.col("event_id") % 6 + 1).cast("int")).alias("wanted"))
-    return joins.resolve_device(wanted, devices, ["gamma desk"])
-
-
-JN15 = "SELECT event_id AS request_id, ['Beta', 'delta', 'gamma desk', 'gamma desk', 'gamma desk', 'alpha mic'][event_id % 6 + 1] AS device FROM events WHERE event_id < 400"
+def jn15_devices(spark, d):
+    """Users' devices by label, name, part of either, preference or place."""
+    rows = table(spark, d, "customer").select(F.concat(F.lit("Label "), F.col("c_custkey") % 50, F.lit(" of "), "c_mktsegment").alias("label"), F.concat("c_mktsegment", F.lit("-"), F.col("c_custkey") % 50).alias("name"), F.col("c_custkey").alias("place"))
+    devices = rows.groupBy("label", "name").agg(F.min("place").alias("place"))
+    k = F.col("event_id") % 5
+    some = F.element_at(F.array(*map(F.lit, ("BUILDING", "machinery", "Household", "none"))), (F.col("event_id") % 4 + 1).cast("int"))
+    number = (F.col("user_id") % 60).cast("string")
+    asked = F.when(k == 0, F.concat(F.lit("label "), number, F.lit(" OF "), some)).when(k == 1, F.concat(some, F.lit("-"), number)).when(k == 2, some).when(k == 3, F.lit("zzz"))
+    return joins.resolve_device(table(spark, d, "events").select(F.col("event_id").alias("request_id"), asked.alias("wanted")), devices, ["furniture-7", "building-3"])
+
+
+JN15 = """
+WITH v AS (SELECT 'Label ' || c_custkey % 50 || ' of ' || c_mktsegment AS label, c_mktsegment || '-' || c_custkey % 50 AS name, min(c_custkey) AS place FROM customer GROUP BY 1, 2),
+q AS (SELECT event_id, event_id % 5 AS k, ['BUILDING', 'machinery', 'Household', 'none'][event_id % 4 + 1] AS brand, user_id % 60 AS n FROM events),
+r AS (SELECT event_id, lower(CASE k WHEN 0 THEN 'label ' || n || ' OF ' || brand WHEN 1 THEN brand || '-' || n WHEN 2 THEN brand WHEN 3 THEN 'zzz' ELSE '' END) AS w FROM q),
+m AS (SELECT w, name, place, CASE WHEN lower(label) = w THEN 0 WHEN lower(name) = w THEN 1 WHEN w <> '' AND (contains(lower(label), w) OR contains(lower(name), w) OR contains(w, lower(label)) OR contains(w, lower(name))) THEN 2
+        WHEN lower(name) = 'furniture-7' THEN 3 WHEN lower(name) = 'building-3' THEN 4 ELSE 5 END AS rank FROM (SELECT DISTINCT w FROM r) CROSS JOIN v),
+b AS (SELECT w, min_by(name, (rank, place)) AS device FROM m GROUP BY w)
+SELECT event_id AS request_id, device FROM r JOIN b USING (w)
+"""
 
 
 def fil17_catalog(spark, d):
@@ -164,15 +174,15 @@ SELECT 'refused' AS policy, count(*) AS n, CAST(sum(s) AS BIGINT) AS total FROM
 """
 
 
-def stm12_agg18_speech(spark, d, most=40):
+def stm12_agg18_speech(spark, d):
     """Queued cues: their share of 12 s of audio and what of it is spoken after 5 s."""
-    said = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("place"), (F.col("text") if most is None else F.substring("text", 1, most)).alias("text"))
+    said = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("place"), F.col("text"))
     cues = said.withColumn("duration", timing.allocated_seconds(F.lit(12.0), F.col("text"), "conv_id"))
     return flow.cue_advance(cues, said.select("conv_id").distinct().withColumn("elapsed", F.lit(5.0)), "conv_id").select("conv_id", "place", F.round("duration", 4).alias("duration"), F.round("spoken", 4).alias("spoken"))
 
 
 STM12 = r"""
-WITH c AS (SELECT conv_id, turn AS place, substr(text, 1, 40) AS t FROM conversations),
+WITH c AS (SELECT conv_id, turn AS place, text AS t FROM conversations),
 w AS (SELECT *, length(regexp_replace(t, '\P{P}', '', 'g')) AS p, length(regexp_replace(t, '[^\s\x{85}\p{Z}]', '', 'g')) AS s FROM c),
 k AS (SELECT *, greatest(1.0::DOUBLE, length(t) - s - p + 0.35::DOUBLE * p) AS weight FROM w), a AS (SELECT *, greatest(0.08, 12.0::DOUBLE * weight / sum(weight) OVER (PARTITION BY conv_id)) AS duration FROM k),
 b AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a)
@@ -289,7 +299,6 @@ QUERIES = {
     "snk8_reports": snk8_reports, "stm10_buffers": stm10_buffers, "stm11_cues": stm11_cues, "stm12_agg18_speech": stm12_agg18_speech, "stm13_items": stm13_items, "agg16_progress": agg16_progress, "fil9_srt8_choices": fil9_srt8_choices,
     "fil10_13_choices": fil10_13_choices, "src7_frames": src7_frames, "jn13_availability": jn13_availability, "jn17_dangling": jn17_dangling,
 }
-QUERIES |= {f"{q.__name__}_whole": partial(q, most=None) for q in (str15_19_texts, jn15_devices, stm12_agg18_speech)}
 ORACLE_SQL = {
     "str15_19_texts": STR15, "fil14_validators": FIL14, "dat_delays": DAT, "jn15_devices": JN15, "fil17_catalog": FIL17, "jsn3_responses": JSN3, "set_operations": SETS, "snk5_names": SNK5, "snk8_reports": SNK8, "stm10_buffers": STM10,
     "stm12_agg18_speech": STM12, "stm13_items": STM13, "agg16_progress": AGG16, "fil9_srt8_choices": FIL9, "fil10_13_choices": FIL10, "src7_frames": SRC7, "jn13_availability": JN13, "jn17_dangling": JN17,

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomtext.plans import documents, geometry, relations, records
+from loomtext.plans import documents, geometry, markdown, objects, records, relations
 
-_PLANS = (documents, relations, geometry, records)
+_PLANS = (documents, relations, geometry, records, objects, markdown)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}

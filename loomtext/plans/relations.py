@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window, functions as F
 
 from loomtext.functions import geometry, hashing
@@ -119,20 +117,24 @@ SELECT page_index, min(ordinal) AS ordinal, min_by(rule, ordinal) AS rule FROM r
 """
 
 
-def agg3_repeated_edges(spark, d, most=8):
-    """Edge lines that recur on the pages of a source."""
+def agg3_edges(spark, d):
+    """The first and last two lines of every page, and all pages."""
     lines = page_lines(table(spark, d, "documents")).where("i < 2 OR i >= n - 2")
-    lines = lines.select("doc", "page", (F.col("text") if most is None else F.substring("text", 1, most)).alias("text"), "size", F.when(F.col("i") < 2, 0.9).otherwise(0.05).alias("bottom"), F.when(F.col("i") < 2, 0.95).otherwise(0.1).alias("top"))
+    lines = lines.select("doc", "page", "text", "size", F.when(F.col("i") < 2, 0.9).otherwise(0.05).alias("bottom"), F.when(F.col("i") < 2, 0.95).otherwise(0.1).alias("top"))
     few = F.pmod("page", F.lit(13))
     lines = lines.withColumn("text", F.when(few < 7, F.concat(F.lit("Page  header "), (F.col("page") % 2).cast("string"))).otherwise(F.col("text")))
-    pages = table(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"))
-    return aggregates.repeated_edges(lines, pages)
+    return lines, table(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"))
+
+
+def agg3_repeated_edges(spark, d):
+    """Edge lines that recur on the pages of a source."""
+    return aggregates.repeated_edges(*agg3_edges(spark, d))
 
 
 AGG3 = f"""
 WITH {PAGE_LINES_SQL}, e AS (
   SELECT doc, page, CASE WHEN i < 2 THEN 'header' ELSE 'footer' END AS band, size,
-         CASE WHEN page % 13 < 7 THEN 'page header ' || page % 2 ELSE lower(trim(regexp_replace(substr(text, 1, 8), '[\\s\\x{{85}}\\p{{Z}}]+', ' ', 'g'))) END AS key
+         CASE WHEN page % 13 < 7 THEN 'page header ' || page % 2 ELSE lower(trim(regexp_replace(text, '[\\s\\x{{85}}\\p{{Z}}]+', ' ', 'g'))) END AS key
   FROM placed WHERE i < 2 OR i >= n - 2
 ), k AS (SELECT *, CASE WHEN regexp_matches(key, '^\\p{{Nd}}+$') THEN '__page_number__' ELSE key END AS kk FROM e WHERE key <> ''),
 t AS (SELECT source AS doc, count(DISTINCT doc_id) AS n FROM documents GROUP BY 1)
@@ -160,18 +162,18 @@ def layout_blocks(spark, d):
     return layout.block_rows(layout.laid_out(lines, "doc", "page"), "doc", "page").select("doc", "page", "block", "reading_order", "column_index", F.size("line_ids").alias("lines"), F.md5("text").alias("digest"), "x", "y", "w", "h")
 
 
-def jn4_recognized(spark, d, most=12):
-    lines = page_lines(table(spark, d, "documents")).where(F.lit(True) if most is None else F.col("i") < most).select("doc", "page", "i", "id", "text", "x", "y", "w", "h")
+def jn4_recognized(spark, d):
+    lines = page_lines(table(spark, d, "documents")).select(F.floor(F.col("page") / 10).alias("doc"), (F.col("page") % 10).alias("page"), "i", "id", "text", "x", "y", "w", "h")
     native = lines.where("i % 3 <> 0")
     seen = lines.withColumn("x", F.col("x") + F.when(F.col("i") % 2 == 0, 4.0).otherwise(300.0)).withColumn("text", F.when(F.col("i") % 3 == 1, F.upper("text")).otherwise(F.lit("other")))
     return joins.drop_recognized_twice(seen, native).select("doc", "page", "id")
 
 
 JN4 = rf"""
-WITH {PAGE_LINES_SQL}, l AS (SELECT * FROM placed WHERE i < 12), n AS (SELECT * FROM l WHERE i % 3 <> 0),
+WITH {PAGE_LINES_SQL}, l AS (SELECT * REPLACE (page // 10 AS doc, page % 10 AS page) FROM placed), n AS (SELECT * FROM l WHERE i % 3 <> 0),
 o AS (SELECT doc, page, i, id, x + CASE WHEN i % 2 = 0 THEN 4.0 ELSE 300.0 END AS x, y, w, h, CASE WHEN i % 3 = 1 THEN upper(text) ELSE 'other' END AS text FROM l)
 SELECT doc, page, id FROM o WHERE NOT EXISTS (
-  SELECT 1 FROM n WHERE n.page = o.page AND (
+  SELECT 1 FROM n WHERE n.doc = o.doc AND n.page = o.page AND (
     (least(n.w, o.w) > 0 AND greatest(0, least(o.x + o.w, n.x + n.w) - greatest(o.x, n.x)) * greatest(0, least(o.y + o.h, n.y + n.h) - greatest(o.y, n.y)) / least(o.w * o.h, n.w * n.h) >= 0.4)
     OR (trim(regexp_replace(lower(o.text), '[\s\x{{85}}\p{{Z}}]+', ' ', 'g')) = trim(regexp_replace(lower(n.text), '[\s\x{{85}}\p{{Z}}]+', ' ', 'g'))
         AND abs(o.x + o.w / 2 - n.x - n.w / 2) <= greatest(o.w, n.w) AND abs(o.y - n.y) <= 2 * greatest(o.h, n.h))))
@@ -331,7 +333,6 @@ QUERIES = {
     "agg19_latest": agg19_latest, "fil16_generation": fil16_generation, "stm8_debounce": stm8_debounce, "stm9_coalesced": stm9_coalesced, "win_functions": win_functions, "win6_agg15_warnings": win6_agg15_warnings, "win4_advance": win4_advance,
     "agg9_color": agg9_color, "mth_geometry": mth_geometry, "jsn4_variants": jsn4_variants,
 }
-QUERIES |= {f"{q.__name__}_whole": partial(q, most=None) for q in (agg3_repeated_edges, jn4_recognized)}
 ORACLE_SQL = {
     "src8_live_frames": SRC8, "jn14_pairs": JN14, "snk1_csv": SNK1, "jn1_bijection": JN1, "dq1_requests": DQ1, "agg3_repeated_edges": AGG3, "agg6_master_plan": AGG6, "jn4_recognized": JN4, "jn11_merge": JN11, "jn16_lost": JN16,
     "agg19_latest": AGG19, "fil16_generation": FIL16, "stm8_debounce": STM8, "stm9_coalesced": STM9, "win_functions": WIN, "win6_agg15_warnings": WIN6, "win4_advance": WIN4, "mth_geometry": MTH, "agg9_color": AGG9,

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import io
-import re
-import uuid
 import zipfile
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomtext.functions.arrow import arrow_function
 from loomtext.functions.timing import iso8601
 
 CSV_HEAD = ("conversation_title", "timestamp", "speaker", "original_text", "translated_text")
@@ -38,8 +39,9 @@ def output_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     """
     name = F.concat_ws(".", "base", "lang", F.lit("translated"), F.nullif("ext", F.lit("")))
     rows = wanted.withColumn("stem", F.concat_ws(".", "base", "lang", F.lit("translated"))).withColumn("name", name)
-    used = taken.join(rows.select("folder", "stem").distinct(), "folder").where(F.col("name").startswith(F.col("stem")))
+    # a taken name belongs to the stem before its number and extension, so a folder's names and stems meet by equal keys
     number = F.regexp_extract("name", r" \((\d+)\)(?:\.[^.]*)?$", 1)
+    used = taken.withColumn("stem", F.regexp_replace("name", r"( \(\d+\))?(\.[^.]*)?$", "")).unionByName(taken.withColumn("stem", F.regexp_replace("name", r" \(\d+\)$", "")))
     used = used.groupBy("folder", "stem").agg(F.max(F.when(number == "", 1).otherwise(F.try_to_number(number, F.lit("99999")).cast("int"))).alias("highest"))
     place = F.row_number().over(Window.partitionBy("folder", "name").orderBy("url"))
     rows = rows.withColumn("place", place).join(used, ["folder", "stem"], "left").withColumn("n", F.coalesce("highest", F.lit(0)) + F.col("place"))
@@ -56,7 +58,6 @@ def commit_new(rows: DataFrame, path: str, generation: int, current: int) -> boo
     return True
 
 
-_NAME = re.compile(r"^[^/\\].*")
 MOST_PARTS, MOST_BYTES = 65_535, (1 << 32) - 1
 
 
@@ -76,7 +77,6 @@ def package_bytes(parts: list[tuple[str, bytes]]) -> bytes:
 
 def packages(parts: DataFrame) -> DataFrame:
     """SNK7: package, content: one archive per package of (package, name, data); a package is one group."""
-    import pyarrow as pa
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         body = package_bytes(list(zip(rows.column("name").to_pylist(), rows.column("data").to_pylist())))
@@ -85,14 +85,26 @@ def packages(parts: DataFrame) -> DataFrame:
     return parts.select("package", "name", "data").groupBy("package").applyInArrow(run, "package string, content binary")
 
 
+@arrow_function(pa.bool_())
+def is_well_formed(data: pa.Array) -> pa.Array:
+    """Whether the bytes are one well-formed XML document; null for null."""
+
+    def good(x: bytes) -> bool:
+        try:
+            expat.ParserCreate().Parse(x, True)
+        except expat.ExpatError:
+            return False
+        return True
+
+    return pa.array([None if x is None else good(x) for x in data.to_pylist()], pa.bool_())
+
+
 def part_problems(parts: DataFrame, required: list[str]) -> DataFrame:
-    """DQ3: package, problem: required parts that lack, and XML parts that Spark can't parse."""
+    """DQ3: package, problem: required parts that lack, and XML parts that don't parse."""
     need = parts.select("package").distinct().withColumn("name", F.explode(F.array(*[F.lit(r) for r in required])))
-    lack = need.join(parts, ["package", "name"], "left_anti").select("package", F.concat(F.lit("missing: "), F.col("name")).alias("problem"))
-    xml = parts.where(F.col("name").rlike(r"\.(xml|rels)$")).withColumn("text", F.decode("data", "UTF-8"))
-    opened = F.regexp_count("text", F.lit(r"<[A-Za-z][^>]*[^/>]>|<[A-Za-z]>"))
-    closed = F.regexp_count("text", F.lit(r"</[A-Za-z][^>]*>"))
-    broken = xml.where((opened != closed) | ~F.col("text").rlike(r"(?s)^\s*(\x{FEFF})?<")).select("package", F.concat(F.lit("malformed: "), F.col("name")).alias("problem"))
+    lack = need.join(parts.select("package", "name"), ["package", "name"], "left_anti").select("package", F.concat(F.lit("missing: "), F.col("name")).alias("problem"))
+    xml = parts.where(F.col("name").rlike(r"\.(xml|rels)$"))
+    broken = xml.where(~F.coalesce(is_well_formed("data"), F.lit(False))).select("package", F.concat(F.lit("malformed: "), F.col("name")).alias("problem"))
     return lack.unionByName(broken)
 
 
@@ -113,7 +125,3 @@ def newest_first(rows: DataFrame, at: str = "created_at", most: int | None = Non
 def sorted_parts(parts: DataFrame) -> DataFrame:
     """SRT7."""
     return parts.orderBy("package", "name")
-
-
-def random_name() -> str:
-    return str(uuid.uuid4())

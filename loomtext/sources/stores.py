@@ -24,7 +24,7 @@ def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_store(rows: DataFrame, path: str, *order: str) -> None:
-    """SNK3: the full snapshot as one pretty JSON array with sorted keys, put in place by a rename.
+    """SNK3: the full snapshot as one pretty JSON array with sorted keys, put in place by one rename over the old one.
 
     A store is a user's document of bounded size; it is written by one task and
     one driver call.
@@ -41,9 +41,11 @@ def write_store(rows: DataFrame, path: str, *order: str) -> None:
         out.write(bytearray(body.encode()))
     finally:
         out.close()
-    if system.exists(target):
-        system.delete(target, False)
-    system.rename(part, target)
+    target, part = system.makeQualified(target), system.makeQualified(part)
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(part, target, over)
 
 
 class CatalogSource(DataSource):
@@ -110,12 +112,20 @@ class LineFramer:
         return [p[:-1] if p.endswith(b"\r") else p for p in parts]
 
 
-def framed_lines(chunks: DataFrame, key: str = "stream", order: str = "seq") -> DataFrame:
-    """SRC7 in batch: whole lines of ordered byte chunks per stream; what follows the last line feed is not a line."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.hex("bytes").alias("b")))), lambda x: x["b"]), "")
-    lines = F.split(F.decode(F.unhex(text), "UTF-8"), "\n")
-    whole = F.slice(lines, F.lit(1), F.size(lines) - 1)
-    return chunks.groupBy(key).agg(whole.alias("lines")).select(key, F.posexplode("lines").alias("line_no", "raw")).select(key, "line_no", F.regexp_replace("raw", r"\r$", "").alias("line"))
+def framed_lines(chunks: DataFrame, key: str = "stream", order: str = "seq", most: int = MOST_LINE_BYTES) -> DataFrame:
+    """SRC7 in batch: whole lines of ordered byte chunks per stream; what follows the last line feed is not a line.
+
+    A line's number is the count of line feeds before it, so lines, not streams, are put
+    together in a group; a line of more than ``most`` bytes is an error.
+    """
+    pieces = F.split(F.decode("bytes", "ISO-8859-1"), "\n")  # a character for each byte
+    counts = chunks.select(key, order, (F.size(pieces) - 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = chunks.join(counts.select(key, order, before.alias("first")), [key, order]).select(key, order, "first", F.posexplode(pieces).alias("nth", "piece"))
+    rows = rows.groupBy(key, (F.col("first") + F.col("nth")).cast("int").alias("line_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "piece"))), lambda x: x["piece"]), "").alias("raw"))
+    whole = rows.join(counts.groupBy(key).agg(F.sum("n").alias("total")), key).where("line_no < total")
+    raw = F.when(F.length("raw") > most, F.raise_error(F.lit("line too long")).cast("string")).otherwise(F.regexp_replace("raw", r"\r$", ""))
+    return whole.select(key, "line_no", F.decode(F.encode(raw, "ISO-8859-1"), "UTF-8").alias("line"))
 
 
 FRAME = (

@@ -6,11 +6,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
 from loomtext.operators.turns import CHANGES, TurnAssembler, message_id
+from loomtext.streaming.policies import IDLE_MS
 
 _COLUMNS = [c.split()[0] for c in CHANGES.split(", ")]
 
@@ -18,8 +19,11 @@ _COLUMNS = [c.split()[0] for c in CHANGES.split(", ")]
 class TurnProcessor(StatefulProcessor):
     """One assembler per (conversation, speaker), kept as JSON between batches."""
 
+    def __init__(self, idle: int):
+        self.idle = idle
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("assembler", StructType([StructField("json", StringType())]))
+        self.state = handle.getValueState("assembler", StructType([StructField("json", StringType())]), self.idle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         conversation, speaker = key
@@ -38,18 +42,54 @@ class TurnProcessor(StatefulProcessor):
         pass
 
 
-def assemble_stream(events: DataFrame) -> DataFrame:
-    """Change log of a stream of (conv_id, speaker, seq, ordinal, tag, text); needs the RocksDB state store."""
-    return events.select("conv_id", "speaker", "seq", "ordinal", "tag", "text").groupBy("conv_id", "speaker").transformWithStateInPandas(TurnProcessor(), CHANGES, "Update", "None")
+def assemble_stream(events: DataFrame, idle: int = IDLE_MS) -> DataFrame:
+    """Change log of a stream of (conv_id, speaker, seq, ordinal, tag, text); needs the RocksDB state store.
+
+    The state of a conversation is dropped after ``idle`` milliseconds without events.
+    """
+    return events.select("conv_id", "speaker", "seq", "ordinal", "tag", "text").groupBy("conv_id", "speaker").transformWithStateInPandas(TurnProcessor(idle), CHANGES, "Update", "ProcessingTime")
 
 
 def upsert_into(path: str):
-    """STM6: a ``foreachBatch`` sink that keeps each batch's changes; the newest state per message is ``latest_messages`` over them.
+    """STM6: a ``foreachBatch`` sink of a change log.
 
-    A batch writes its own folder, so a repeated batch replaces itself.
+    A batch writes the newest state of each of its messages into a folder of
+    its own, so a repeated batch replaces itself; ``upserted`` reads the newest
+    state over all folders, ``compact`` folds folders that are complete into one.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _newest(batch.withColumn("first_seq", F.col("seq"))).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def _newest(changes: DataFrame) -> DataFrame:
+    newest = F.max_by(F.struct("seq", "step", "original", "translated"), F.struct("seq", "step")).alias("m")
+    return changes.groupBy("conv_id", "speaker", "id").agg(newest, F.min("first_seq").alias("first_seq")).select("conv_id", "speaker", "id", "first_seq", "m.*")
+
+
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each message: its first number and its newest state."""
+    rows = _newest(spark.read.parquet(path).drop("batch"))
+    return rows.select("conv_id", "speaker", "id", F.col("first_seq").alias("seq"), "original", "translated")
+
+
+def compact(spark: SparkSession, path: str, up_to: int) -> None:
+    """Folds the folders of batches up to ``up_to`` into that of ``up_to``; run between batches.
+
+    The folded rows are written aside and moved in place; were a folder left over by a crash, reading it again changes nothing.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in system.listStatus(hadoop(path)) if s.getPath().getName().startswith("batch=") and int(s.getPath().getName()[6:]) <= up_to]
+    if len(old) < 2:
+        return
+    _newest(spark.read.parquet(*[p.toString() for p in old])).write.mode("overwrite").parquet(f"{path}/_folded")
+    target = hadoop(f"{path}/batch={up_to}")
+    last = [p for p in old if p.getName() == target.getName()]
+    for p in last:
+        system.rename(p, hadoop(f"{path}/_replaced"))
+    system.rename(hadoop(f"{path}/_folded"), target)
+    for p in [*(p for p in old if p.getName() != target.getName()), hadoop(f"{path}/_replaced")]:
+        system.delete(p, True)
