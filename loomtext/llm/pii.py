@@ -3,18 +3,24 @@
 The patterns find e-mail addresses, IPv4 addresses, card and phone numbers;
 their matches always stay.  The random field adds spans that the patterns miss.
 Its nodes are the tokens (runs without white space) that hold a digit, an '@'
-or a written-out 'at'; all other tokens are outside by their features.  A node
-that a pattern covers is observed.  Neighbouring nodes share a chain potential,
-and distant nodes of one document with the same digits (or mailbox) share a
-skip potential that favours equal labels, so a number written once in full
-settles how its other spellings are read; every open mention is also linked to
-an observed one of its key.  Marginals come from loopy sum-product message
-passing over the document's graph, in sweeps until the messages settle.
-
-Node weights are learned by multinomial logistic regression from pattern labels
-on a bounded sample of ``SAMPLE_DOCS`` documents of least id hash, each address and
-card number also with a spoiled copy (a part too large, a wrong check digit) that is
-outside; chain and skip potentials are smoothed counts on the same sample.
+or a written-out 'at', and runs of groups of digits; all other tokens are
+outside by their features.  A node that a pattern covers is observed.
+Neighbouring nodes share a chain potential.  Distant nodes of one document with
+the same digits, mailbox or address share a skip potential, and those that are
+alike (the last seven digits, the mailbox at another domain, an address of the
+same network) another one, so a number written once in full settles how its
+other spellings are read; every open mention is also linked to an observed one
+of its key.  Marginals come from loopy sum-product message passing over the
+document's graph, in sweeps until the messages settle.
+
+All potentials are learned together by pseudo-likelihood, on the labels that
+the patterns give to the ``SAMPLE_DOCS`` documents of least id hash: each node
+given its own features and its neighbours' labels.  Every document with
+personal data is also learned from with each match spelled again in another way
+(that label), beside a decoy of the same form with other characters and, for
+addresses and cards, a copy with a mistake (both outside).  Equal cases are
+counted together; of different ones at most the ``SAMPLE_CASES`` commonest reach
+the driver.
 
 Defined results.  Null and blank texts have no span.  Every row is worked on by
 itself, whatever its id.  Offsets are code points, the end exclusive.  Spans
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 20_000
-SAMPLE_TOKENS = 100_000
+SAMPLE_CASES = 100_000
 ADD_AT = 0.9  #: marginal from which a span is added
 SWEEPS = 100  #: and one more for each node, if messages have not settled before
 DAMP_FROM = 20  #: sweeps without damping
@@ -47,6 +54,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]|\bat\b|\(at\)|\[at\]", re.I)
+_GROUP = re.compile(r"\(?[0-9][0-9().-]*").fullmatch
+_FOUR = re.compile(r"([0-9]{1,3})(\[\.\]|\(\.\)|[.,-])([0-9]{1,3})\2([0-9]{1,3})\2([0-9]{1,3})").fullmatch
 _TOKEN = re.compile(r"\S+")
 
 
@@ -105,7 +114,8 @@ def spans_text(spans) -> str:
 
 # nodes ------------------------------------------------------------------------
 
-_BITS = ("digits0", "digits1_3", "digits4_8", "digits9_12", "digits13_19", "digits20", "at", "written_at", "dots", "plus", "paren", "hyphen", "letters", "four_parts", "luhn", "bias")
+_BITS = 21
+_STRIP = ".,;:!?\"'<>()[]"
 
 
 @dataclass
@@ -115,22 +125,29 @@ class Node:
     text: str
     label: int | None  #: from a pattern: kind + 1
     key: str  #: what distant tokens are compared by
+    loose: str  #: and what those that are alike have in common
 
 
-def _key(token: str) -> str:
-    low = re.sub(r"\(at\)|\[at\]", "@", token.lower()).strip(".,;:!?\"'<>()[]")
+def _keys(token: str) -> tuple[str, str]:
+    low = re.sub(r"\((?:at)\)|\[(?:at)\]", "@", token.lower())
+    low = re.sub(r"\[(?:\.|dot)\]|\((?:\.|dot)\)", ".", low).strip(_STRIP)
     if "@" in low:
-        return "m:" + low
+        return "m:" + low, "m~" + low.split("@")[0]
+    four = _FOUR(low)
+    if four:
+        parts = [four[1], four[3], four[4], four[5]]
+        return "i:" + ".".join(parts), "i~" + ".".join(parts[:3])
     d = _digits(low)
     if len(d) >= 7 and not re.search(r"[a-z]", low):
-        return "d:" + d[-10:]
-    return ""
+        return "d:" + d[-10:], "d~" + d[-7:]
+    return "", ""
 
 
 def nodes(text: str, base: list[tuple[int, int, int]]) -> list[Node]:
     """Tokens that can be personal data, with the patterns' labels.
 
-    Tokens that a space splits but a pattern joins are one node.
+    Tokens that a space splits but a pattern joins are one node, and so are
+    groups of digits with one space between them.
     """
     if not _MARK.search(text):
         return []
@@ -146,24 +163,36 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> list[Node]:
         if cover:
             if held is not cover:
                 body = text[cover[1] : cover[2]]
-                out.append(Node(cover[1], cover[2], body, cover[0] + 1, _key(re.sub(r"\s", "", body))))
+                out.append(Node(cover[1], cover[2], body, cover[0] + 1, *_keys(re.sub(r"\s", "", body))))
                 held = cover
             continue
         if _MARK.search(m[0]):
-            out.append(Node(start, end, m[0], None, _key(m[0])))
+            x = out[-1] if out else None
+            if x and x.label is None and x.end + 1 == start and text[x.end] == " " and _GROUP(m[0].rstrip(_STRIP)) and _GROUP(x.text.split(" ")[-1]) and sum("0" <= c <= "9" for c in text[x.start : end]) <= 19:
+                x.end, x.text = end, text[x.start : end]
+                x.key, x.loose = _keys(x.text.replace(" ", ""))
+            else:
+                out.append(Node(start, end, m[0], None, *_keys(m[0])))
     return out
 
 
-def node_features(token: str) -> np.ndarray:
+def node_features(token: str) -> list[float]:
+    """What a token alone says; shares are rounded, so that equal cases can be counted together."""
+    body = token.strip(_STRIP)
     d = _digits(token)
     n = len(d)
     letters = sum(c.isalpha() for c in token)
-    parts = token.strip(".,;:()").split(".")
-    return np.array([
-        n == 0, 1 <= n <= 3, 4 <= n <= 8, 9 <= n <= 12, 13 <= n <= 19, n >= 20, "@" in token, "@" not in token and bool(re.search(r"\bat\b|\(at\)|\[at\]", token, re.I)),
-        min(4, token.count(".")) / 4, "+" in token, "(" in token, "-" in token, letters / max(1, len(token)),
-        len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) <= 255 for p in parts), 13 <= n <= 19 and luhn(d), 1,
-    ], float)
+    parts = body.split(".")
+    written = bool(re.search(r"\bat\b|\(at\)|\[at\]", token, re.I))
+    return [float(x) for x in (
+        n == 0, 1 <= n <= 3, 4 <= n <= 6, 7 <= n <= 8, 9 <= n <= 12, 13 <= n <= 19, n >= 20, "@" in token, "@" not in token and written,
+        min(4, body.count(".")) / 4, "+" in token, "(" in token, "-" in token, round(letters / max(1, len(token)), 1), " " in token,
+        len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) <= 255 for p in parts), len(parts) != 4 and bool(_FOUR(body)), 13 <= n <= 19 and luhn(d),
+        "/" in token or ":" in body, "[.]" in token or "(.)" in token, 1,
+    )]
+
+
+CHAIN, SAME, ALIKE = 0, 1, 2  #: kinds of edges
 
 
 @dataclass
@@ -171,8 +200,7 @@ class Field:
     """Potentials of the random field; label 0 is outside, kind + 1 the kinds."""
 
     weights: np.ndarray  #: features x labels
-    chain: np.ndarray  #: log potentials of neighbouring labels
-    skip: np.ndarray  #: log potentials of linked distant labels
+    pairs: np.ndarray  #: log potentials of an edge's labels, by kind of edge
 
     def marginals(self, unary: np.ndarray, edges: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
         """Loopy sum-product; ``edges`` are (i, j, log potential [label of i, label of j]).
@@ -214,60 +242,76 @@ class Field:
         return belief / belief.sum(1, keepdims=True)
 
 
-def graph(text: str, found: list[Node]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain, skip) edges: neighbours with one gap of white space, and each node with the one before of its key.
+def graph(found: list[Node]) -> list[tuple[int, int, int]]:
+    """(kind, i, j) of the edges: neighbours with one gap of white space; each node with the one before of its key,
+    and with the one before that is alike; each open node with the observed one of its key before it, else the first after it.
 
     A key's nodes form a path, so the edges follow the number of nodes.
     """
-    chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1].start - found[i].end <= 1]
+    out = [(CHAIN, i, i + 1) for i in range(len(found) - 1) if found[i + 1].start - found[i].end <= 1]
     last: dict[str, int] = {}
-    skip = []
+    known = set()
     for i, x in enumerate(found):
         if x.key:
             if x.key in last:
-                skip.append((last[x.key], i))
-            last[x.key] = i
-    return chain, skip
-
-
-def observed_links(found: list[Node], skip: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Each open node with the observed one of its key before it, else the first after it, where no skip edge joins them."""
+                out.append((SAME, last[x.key], i))
+                known.add((last[x.key], i))
+            j = last.get(x.loose)
+            if j is not None and found[j].key != x.key:
+                out.append((ALIKE, j, i))
+            last[x.key] = last[x.loose] = i
     first: dict[str, int] = {}
     for i, x in enumerate(found):
         if x.key and x.label is not None:
             first.setdefault(x.key, i)
-    known, last, out = set(skip), {}, []
+    seen: dict[str, int] = {}
     for i, x in enumerate(found):
-        if not x.key:
-            continue
-        if x.label is not None:
-            last[x.key] = i
+        if x.key and x.label is not None:
+            seen[x.key] = i
         elif x.key in first:
-            edge = tuple(sorted((last.get(x.key, first[x.key]), i)))
+            edge = tuple(sorted((seen.get(x.key, first[x.key]), i)))
             if edge not in known:
-                out.append(edge)
+                out.append((SAME, *edge))
     return out
 
 
+def _with_open(n: int, edges: list[tuple[int, int, int]], is_open: list[bool]) -> list[int]:
+    """Nodes of the components that hold an open node; the others are settled."""
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for _, i, j in edges:
+        root[find(i)] = find(j)
+    wanted = {find(i) for i in range(n) if is_open[i]}
+    return [i for i in range(n) if find(i) in wanted]
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
     """Spans that the random field adds to the patterns' matches."""
     found = nodes(text, base)
-    chain, skip = graph(text, found)
-    if not any(x.label is None for x in found):
+    edges = graph(found)
+    kept = _with_open(len(found), edges, [x.label is None for x in found])
+    if not kept:
         return []
-    # components without an open node, and open nodes without an edge, are settled by the node alone
-    unary = np.stack([node_features(x.text) for x in found]) @ field.weights
+    place = {i: k for k, i in enumerate(kept)}
+    edges = [(place[i], place[j], field.pairs[kind]) for kind, i, j in edges if i in place]
+    found = [found[i] for i in kept]
+    unary = np.array([node_features(x.text) for x in found]) @ field.weights
     for i, x in enumerate(found):
         if x.label is not None:
             unary[i] = -50.0
             unary[i, x.label] = 0.0
-    edges = [(i, j, field.chain) for i, j in chain] + [(i, j, field.skip) for i, j in skip + observed_links(found, skip)]
     p = field.marginals(unary, edges)
     out = []
     for x, q in zip(found, p):
         label = int(q.argmax())
         if x.label is None and label != OUT and q[label] >= ADD_AT:
-            body = x.text.strip(".,;:!?\"'<>()[]")
+            body = x.text.strip(_STRIP)
             if body:
                 start = x.start + x.text.index(body)
                 out.append((label - 1, start, start + len(body)))
@@ -277,37 +321,99 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> li
 # learning -----------------------------------------------------------------------
 
 
-def _spoiled(token: str, label: int) -> str | None:
-    """The token with the mistake that its pattern would reject, for address and card labels."""
-    if KINDS[label - 1] == "ip":
+def _spoiled(token: str, kind: int) -> str | None:
+    """The token with the mistake that its pattern would reject, for addresses and cards."""
+    if KINDS[kind] == "ip":
         return "999" + token[token.index(".") :]
-    if KINDS[label - 1] == "card":
+    if KINDS[kind] == "card":
         return token[:-1] + str((int(token[-1]) + 1) % 10)
     return None
 
 
-def fit(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, ridge: float = 1e-2) -> Field:
-    """Multinomial logistic regression of the nodes; pair potentials from label counts."""
+def _spelled(token: str, kind: int, way: int) -> str:
+    """The same entity as its pattern would not find it."""
+    if KINDS[kind] == "email":
+        return token.replace("@", ("(at)", "[at]")[way % 2])
+    if KINDS[kind] == "ip":
+        return token.replace(".", ("[.]", "(.)", "-")[way % 3])
+    d = _digits(token)
+    if KINDS[kind] == "card":
+        return "..".join(d[i : i + 4] for i in range(0, len(d), 4)) if way % 2 else "/".join(d[i : i + 4] for i in range(0, len(d), 4))
+    d = d[-10:]
+    return (d, f"{d[:-7]}-{d[-7:-4]}-{d[-4:]}", f"({d[:-7]}){d[-7:-4]}-{d[-4:]}", f"{d[:-7]} {d[-7:-4]} {d[-4:]}")[way % 4]
+
+
+def _decoy(token: str) -> str:
+    """Something of the same form that is nobody's."""
+    digits = str.maketrans("0123456789", "7145920368")
+    return re.sub(r"[A-Za-z0-9._%+-]+(?=\(at\)|\[at\])", "look", token.translate(digits))
+
+
+def respelled(text: str) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with every match of a pattern once more in another spelling, beside decoys: (text, spans of the spellings)."""
+    parts, spans, at = [text], [], len(text)
+
+    def add(piece: str) -> int:
+        nonlocal at
+        parts.append(piece)
+        at += len(piece)
+        return at - len(piece)
+
+    for kind, a, b in base_spans(text):
+        token = text[a:b]
+        again = _spelled(token, kind, zlib.crc32(token.encode("utf-8", "surrogatepass")))
+        if base_spans(f" {again} "):
+            continue  # the patterns find it anyway
+        add("\nwhere one reads ")
+        start = add(again)
+        spans.append((kind, start, start + len(again)))
+        for other in (_decoy(again), _spoiled(token, kind)):
+            if other and not base_spans(f" {other} "):
+                add(" elsewhere it says ")
+                add(other)
+    return "".join(parts), spans
+
+
+def _cases(text: str, spans: list[tuple[int, int, int]]):
+    """(features, label, neighbours' labels by kind of edge) of every node; ``spans`` are labels beside the patterns'."""
+    base = base_spans(text)
+    found = nodes(text, base)
+    labels = [x.label if x.label is not None else next((k + 1 for k, a, b in spans if a <= x.start < b), OUT) for x in found]
+    k = len(KINDS) + 1
+    near = [[0.0] * (3 * k) for _ in found]
+    for kind, i, j in graph(found):
+        near[i][kind * k + labels[j]] += 1.0
+        near[j][kind * k + labels[i]] += 1.0
+    for x, y, z in zip(found, labels, near):
+        yield node_features(x.text), y, z
+
+
+def fit(x: np.ndarray, near: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.1, steps: int = 600) -> Field:
+    """Pseudo-likelihood of cases that occur ``n`` times: features x, counts of the neighbours' labels by kind of edge, label y.
+
+    ``ridge`` is weighed against all cases together, so that kinds that are rare are learned as well.
+    """
     k = len(KINDS) + 1
-    w = np.zeros((len(_BITS), k))
-    if len(x):
-        hot = np.eye(k)[y]
-        for _ in range(300):
-            z = x @ w
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            w -= 2.0 * (x.T @ (p - hot) / len(x) + ridge * w / len(x))
-    else:
-        w[-1, OUT] = 10.0
-    # pointwise mutual information of neighbouring labels, smoothed; nothing seen: no influence
-    joint = chain + 1.0
-    joint = joint / joint.sum()
-    pair = np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)))
-    # equal labels of linked tokens, shared by all kinds: odds with one pseudo-count each way
-    agree = float(np.trace(skip)) + 19.0
-    differ = float(skip.sum() - np.trace(skip)) + 1.0
-    strength = float(np.log(agree / differ) + np.log(k - 1))
-    return Field(w, np.clip(pair, -2, 2), strength * np.eye(k))
+    if not len(x):
+        weights = np.zeros((_BITS, k))
+        weights[-1, OUT] = 10.0
+        return Field(weights, np.zeros((3, k, k)))
+    data, hot = np.hstack([x, near]), np.eye(k)[y]
+    share = (n / n.sum())[:, None]
+    w = np.zeros((data.shape[1], k))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):  # Adam on a convex function
+        z = data @ w
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        grad = data.T @ ((p - hot) * share) + ridge / n.sum() * w
+        for e in range(3):  # an edge has no direction
+            part = grad[x.shape[1] + e * k : x.shape[1] + (e + 1) * k]
+            part[:] = (part + part.T) / 2
+        m = 0.9 * m + 0.1 * grad
+        v = 0.99 * v + 0.01 * grad * grad
+        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return Field(w[: x.shape[1]], w[x.shape[1] :].reshape(3, k, k))
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
@@ -317,44 +423,24 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
 
     def run(batches):
         for batch in batches:
-            out = {"kind": [], "a": [], "b": [], "x": []}
+            out = {"x": [], "y": [], "near": []}
             for t in batch.column("text"):
                 text = t.as_py() or ""
-                found = nodes(text, base_spans(text))
-                labels = [x.label or OUT for x in found]
-                for x, y in zip(found, labels):
-                    out["kind"].append(0)
-                    out["a"].append(y)
-                    out["b"].append(0)
-                    out["x"].append(node_features(x.text).tolist())
-                    worse = _spoiled(x.text, y) if y else None
-                    if worse:
-                        out["kind"].append(0)
-                        out["a"].append(OUT)
-                        out["b"].append(0)
-                        out["x"].append(node_features(worse).tolist())
-                for kind, edges in enumerate(graph(text, found), 1):
-                    for i, j in edges:
-                        out["kind"].append(kind)
-                        out["a"].append(labels[i])
-                        out["b"].append(labels[j])
-                        out["x"].append([])
-            yield pa.RecordBatch.from_arrays([pa.array(out["kind"], pa.int32()), pa.array(out["a"], pa.int32()), pa.array(out["b"], pa.int32()), pa.array(out["x"], pa.list_(pa.float64()))], list(out))
+                if not _MARK.search(text):
+                    continue
+                again, spans = respelled(text)
+                for version in ((text, []), (again, spans)) if spans else ((text, []),):
+                    for x, y, near in _cases(*version):
+                        out["x"].append(x)
+                        out["y"].append(y)
+                        out["near"].append(near)
+            real = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(out["x"], real), pa.array(out["y"], pa.int32()), pa.array(out["near"], real)], list(out))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = texts.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(run, "kind int, a int, b int, x array<double>")
-    seen = got.groupBy("kind", "a", "b", "x").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind", "a", "b", "x").limit(SAMPLE_TOKENS).collect()
-    k = len(KINDS) + 1
-    pairs = np.zeros((3, k, k))
-    x, y = [], []
-    for r in seen:
-        if r.kind:
-            pairs[r.kind, r.a, r.b] += r.n
-            pairs[r.kind, r.b, r.a] += r.n
-        else:
-            x += [r.x] * min(r.n, 50)
-            y += [r.a] * min(r.n, 50)
-    return fit(np.array(x), np.array(y, int), pairs[1], pairs[2])
+    got = texts.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(run, "x array<double>, y int, near array<double>")
+    seen = got.groupBy("x", "y", "near").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "x", "y", "near").limit(SAMPLE_CASES).collect()
+    return fit(np.array([r.x for r in seen]), np.array([r.near for r in seen]), np.array([r.y for r in seen], int), np.array([r.n for r in seen], float))
 
 
 def find_pii(docs: DataFrame, field: Field) -> DataFrame:
