@@ -4,7 +4,7 @@ A text is cut into parts (at line ends, and after ``.``, ``!`` or ``?`` before
 white space); each is normalised to lower-case words, without comment leaders;
 an exact lookup maps a part, or parts that follow each other inside a paragraph
 and together are a hard-wrapped sentence, to the identifier of a known licence
-sentence.  Bare list numbers and parts without words don't break a sequence.  Known sentences of one
+sentence.  Bare list numbers, copyright lines and parts without words don't break a sequence.  Known sentences of one
 document that stand side by side are an identifier sequence, and the ordered
 rules are matched against it: the first rule in order takes all its places, the
 next rule sees what is left.
@@ -68,25 +68,105 @@ SENTENCES = {
     "cc-by-long": "this work is licensed under a creative commons attribution 4 0 international license",
     "cc-by-sa-long": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     "reserved": "all rights reserved",
+    "bsd-asis": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd-liable": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd2-head": "bsd 2 clause license",
+    "bsd3-head": "bsd 3 clause license",
+    "bsd3-head2": "the 3 clause bsd license",
+    "isc-head": "isc license",
+    "isc-asis": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "apache-head": "apache license",
+    "apache-version": "version 2 0 january 2004",
+    "gpl-copy": "you should have received a copy of the gnu general public license along with this program",
+    "gpl-url": "if not see https www gnu org licenses",
+    "gpl-url2": "if not see http www gnu org licenses",
+    "gpl-head": "gnu general public license",
+    "gpl3-version": "version 3 29 june 2007",
+    "gpl2-version": "version 2 june 1991",
+    "lgpl3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-more": "see the gnu lesser general public license for more details",
+    "agpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-more": "see the gnu affero general public license for more details",
+    "agpl-copy": "you should have received a copy of the gnu affero general public license along with this program",
+    "boost-head": "boost software license version 1 0 august 17th 2003",
+    "zlib-asis": "this software is provided as is without any express or implied warranty",
+    "zlib-liable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "unlicense-any": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "epl2-ref": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "epl2-url": "which is available at https www eclipse org legal epl 2 0",
 }
 
+# Licences that a line "SPDX-License-Identifier: ..." may name. Public identifiers.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later",
+    "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+)
+SENTENCES |= {f"spdx-{x}": "spdx license identifier " + x.lower().replace("-", " ").replace(".", " ") for x in SPDX}
+
 # Ordered rules: licence and the sequence of identifiers that shows it; longer evidence comes first.
 RULES = [
     ("Apache-2.0", ["apache-ref2", "apache-not", "apache-copy", "apache-url", "apache-unless", "apache-see"]),
     ("Apache-2.0", ["apache-ref2", "apache-not", "apache-copy"]),
+    ("Apache-2.0", ["apache-ref2", "apache-not", "apache-copy", "apache-url"]),
+    ("Apache-2.0", ["apache-head", "apache-version"]),
+    ("MIT", ["mit-head", "mit-grant", "mit-notice", "mit-asis", "mit-liable"]),
+    ("MIT", ["mit-head2", "mit-grant", "mit-notice", "mit-asis", "mit-liable"]),
+    ("MIT", ["mit-head", "mit-grant", "mit-notice"]),
+    ("MIT", ["mit-head2", "mit-grant", "mit-notice"]),
+    ("MIT", ["mit-head", "mit-grant"]),
+    ("MIT", ["mit-head2", "mit-grant"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-asis", "mit-liable"]),
     ("MIT", ["mit-grant", "mit-notice"]),
+    ("MIT", ["mit-grant"]),
+    ("BSD-3-Clause", ["bsd3-head", "reserved", "bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-asis", "bsd-liable"]),
+    ("BSD-3-Clause", ["reserved", "bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-asis", "bsd-liable"]),
+    ("BSD-2-Clause", ["bsd2-head", "reserved", "bsd-grant", "bsd-source", "bsd-binary", "bsd-asis", "bsd-liable"]),
+    ("BSD-2-Clause", ["reserved", "bsd-grant", "bsd-source", "bsd-binary", "bsd-asis", "bsd-liable"]),
+    ("BSD-3-Clause", ["bsd3-head", "bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-asis", "bsd-liable"]),
+    ("BSD-3-Clause", ["bsd3-head2", "bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-asis", "bsd-liable"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-asis", "bsd-liable"]),
+    ("BSD-3-Clause", ["bsd3-head", "bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]),
+    ("BSD-2-Clause", ["bsd2-head", "bsd-grant", "bsd-source", "bsd-binary", "bsd-asis", "bsd-liable"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-asis", "bsd-liable"]),
+    ("BSD-2-Clause", ["bsd2-head", "bsd-grant", "bsd-source", "bsd-binary"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-more", "gpl-copy", "gpl-url"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-more", "gpl-copy", "gpl-url2"]),
+    ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-more", "gpl-copy", "gpl-url"]),
+    ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-more", "gpl-copy", "gpl-url2"]),
+    ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope", "agpl-more", "agpl-copy", "gpl-url"]),
+    ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope", "agpl-more", "agpl-copy", "gpl-url2"]),
+    ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope", "agpl-more"]),
+    ("AGPL-3.0-or-later", ["agpl3-free"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "lgpl-hope", "lgpl-more"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-hope", "lgpl-more"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free"]),
+    ("GPL-3.0", ["gpl-head", "gpl3-version"]),
+    ("GPL-2.0", ["gpl-head", "gpl2-version"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-more"]),
     ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-more"]),
     ("GPL-3.0-or-later", ["gpl-free"]),
     ("GPL-2.0-or-later", ["gpl2-free"]),
     ("MPL-2.0", ["mpl2-ref", "mpl2-copy"]),
     ("MPL-2.0", ["mpl2-ref"]),
+    ("ISC", ["isc-head", "isc-grant", "isc-asis"]),
+    ("ISC", ["isc-head", "isc-grant"]),
+    ("ISC", ["isc-grant", "isc-asis"]),
     ("ISC", ["isc-grant"]),
+    ("ISC", ["isc-head"]),
+    ("Unlicense", ["unlicense", "unlicense-any"]),
     ("Unlicense", ["unlicense"]),
-    ("MIT", ["mit-head", "mit-grant"]),
+    ("Zlib", ["zlib-asis", "zlib-liable"]),
+    ("BSL-1.0", ["boost-head"]),
+    ("EPL-2.0", ["epl2-ref", "epl2-url"]),
+    ("EPL-2.0", ["epl2-ref"]),
+    ("BSD-3-Clause", ["bsd3-head"]),
+    ("BSD-3-Clause", ["bsd3-head2"]),
+    ("BSD-2-Clause", ["bsd2-head"]),
     ("MIT", ["mit-head"]),
     ("MIT", ["mit-head2"]),
     ("MIT", ["mit-ref"]),
@@ -111,11 +191,12 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc-by-sa-long"]),
     ("CC-BY-4.0", ["cc-by-ref"]),
     ("CC-BY-4.0", ["cc-by-long"]),
+    *((x, [f"spdx-{x}"]) for x in SPDX),
     ("proprietary", ["reserved"]),
 ]
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
-
+NEUTRAL = "^([0-9]{1,3}|[a-z]|copyright (c )?[0-9]{4}( .*)?)$"
 
 MOST_WORDS = max(len(w.split(" ")) for w in SENTENCES.values())
 MOST_CHARS = max(map(len, SENTENCES.values()))
@@ -137,8 +218,8 @@ def _placed(part: Column, i: Column) -> Column:
 
 
 def _skipped(words: Column) -> Column:
-    """Parts without words, such as bare comment leaders, and bare list numbers don't break a sequence."""
-    return (words == "") | words.rlike("^([0-9]{1,3}|[a-z])$")
+    """Parts without words, such as bare comment leaders, bare list numbers and copyright lines don't break a sequence."""
+    return (words == "") | words.rlike(NEUTRAL)
 
 
 def normalised(sentence: Column) -> Column:
@@ -186,22 +267,52 @@ def op4_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """The scan by lists of parts and their joined runs; of sentences that overlap the first and longest stays."""
     known = ", ".join(f"('{w}', '{i}')" for i, w in SENTENCES.items())
+    firsts = ", ".join(f"'{w}'" for w in FIRST_WORDS)
     folded = "'|' || string_agg(id, '||' ORDER BY pos) || '|'"
     for licence, ids in RULES:
         folded = f"replace({folded}, '{''.join(f'|{i}|' for i in ids)}', '<{licence}>')"
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}), s AS (
-  SELECT doc_id, text, string_split_regex(coalesce(text, ''), '[ \t\r]*\n[ \t\r\n]*|[.!?]+[ \t\r\n]+') AS x FROM (SELECT DISTINCT doc_id, text FROM documents)
+  SELECT row_number() OVER () AS d, doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(translate(coalesce(text, ''), chr(1) || chr(2), '  '), '[.!?]+[ 	
+]+', chr(1) || chr(2), 'g'), '[ 	
+]*
+[ 	
+]*
+[ 	
+]*', chr(1) || chr(2), 'g'), '[ 	
+]*
+[ 	
+]*', chr(1), 'g'), chr(1)) AS x
+  FROM (SELECT DISTINCT doc_id, text FROM documents)
 ), e AS (
-  SELECT doc_id, text, unnest(range(0, len(x))) AS pos, unnest(x) AS raw FROM s
+  SELECT d, doc_id, unnest(range(0, len(x))) AS pos, unnest(x) AS raw FROM s
+), w AS (
+  SELECT d, doc_id, pos, starts_with(raw, chr(2)) AS begins, trim(regexp_replace(lower(raw), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS words FROM e
+), n AS (
+  SELECT *, words = '' OR regexp_matches(words, '{NEUTRAL}') AS neutral FROM w
+), p AS (
+  SELECT *, begins OR coalesce(lag(neutral) OVER (PARTITION BY d ORDER BY pos), false) AS hard FROM n
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY d ORDER BY pos) AS k, sum(CASE WHEN hard THEN 1 ELSE 0 END) OVER (PARTITION BY d ORDER BY pos) AS part FROM p WHERE NOT neutral
+), l AS (
+  SELECT d, part, list(words ORDER BY k) AS lines FROM k GROUP BY 1, 2
+), a AS (
+  SELECT k.*, regexp_replace(words, '^[0-9]{{1,3}} ', '') AS head, lines[k - (min(k) OVER (PARTITION BY d, part)) + 2:k - (min(k) OVER (PARTITION BY d, part)) + {MOST_WORDS}] AS more FROM k JOIN l USING (d, part)
+), g AS (
+  SELECT d, doc_id, pos, k, head, more, unnest(range(0, len(more) + 1)) AS m FROM a WHERE split_part(head, ' ', 1) IN ({firsts})
+), t AS (
+  SELECT d, doc_id, pos, k, m + 1 AS n, array_to_string(list_prepend(head, more[1:m]), ' ') AS sentence FROM g
 ), h AS (
-  SELECT doc_id, text, pos, id FROM (SELECT *, trim(regexp_replace(lower(raw), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS sentence FROM e) JOIN known USING (sentence)
+  SELECT d, doc_id, pos, k, max(n) AS n, max_by(id, n) AS id FROM t JOIN known USING (sentence) GROUP BY ALL
+), f AS (
+  SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.d = h.d AND o.k < h.k AND o.k + o.n > h.k)
 ), r AS (
-  SELECT *, pos - row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS run FROM h
+  SELECT *, k - coalesce(sum(n) OVER (PARTITION BY d ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM f
 ), m AS (
   SELECT doc_id, min(pos) AS first_sentence, count(*) AS n_sentences, string_agg(id, ',' ORDER BY pos) AS sentence_ids, {folded} AS f
-  FROM r GROUP BY doc_id, text, run
+  FROM r GROUP BY d, doc_id, run
 )
 SELECT doc_id, CAST(first_sentence AS BIGINT) AS first_sentence, CAST(n_sentences AS BIGINT) AS n_sentences, sentence_ids,
        array_to_string(regexp_extract_all(f, '<([^>]*)>', 1), ',') AS licenses
