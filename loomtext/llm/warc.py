@@ -1,15 +1,22 @@
 """WARC writer with a Zstandard dictionary in a leading skippable frame.
 
 Each archive begins with a skippable frame (magic 0x184D2A5D) that holds a
-dictionary trained on the archive's first records, itself Zstandard-compressed;
-every record follows as a frame of its own, compressed with that dictionary, so
-a reader can seek to any record.  Of records with equal payloads the one with
-the smallest page id is a response; the others are revisits that name it and
-carry the HTTP head alone.
+dictionary trained on the archive's records, of each the first ``TRAIN_EACH``
+bytes; the dictionary itself is Zstandard-compressed.  A ``warcinfo`` record and
+then every record follow as frames of their own, compressed with that
+dictionary, so a reader can seek to any record.  Where an archive has too few or
+too uniform records to train on, the records' own beginnings are the
+dictionary's content.  Of records with equal payloads the one with the smallest
+page id is a response; the others are revisits that name it and carry the HTTP
+head alone.
+
+What a record refers to is looked up by a table of page id and digest, so the
+html is dealt by both: copies of one payload don't meet in one task.
 
 Defined results.  A null payload is empty.  Rows that share a page id and have
 equal payloads: one stays the response, the rest are revisits of it, ordered by
-url.  Null page ids come last among equals.  Extra columns are ignored.
+url, and have record ids of their own.  Null page ids come last among equals.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ import struct
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ._arrow import rows
 from ._shared import Workspace, file_system, write_atomically
@@ -28,6 +35,7 @@ from ._shared import Workspace, file_system, write_atomically
 DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
 TRAIN_RECORDS = 2_000  #: records of an archive that its dictionary is trained on
+TRAIN_EACH = 128 << 10
 TRAIN_BYTES = 8 << 20
 ARCHIVE_BYTES = 64 << 20  #: payload after which the next archive begins
 DATE = "2024-01-01T00:00:00Z"  #: capture time is not in the table
@@ -38,11 +46,20 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, payload_digest: str) -> str:
-    return f"<urn:loomtext:page:{'' if page_id is None else page_id}:{payload_digest}>"
+def record_id(page_id: int | None, payload_digest: str, twin: int = 1) -> str:
+    """``twin`` numbers rows of equal page id and payload."""
+    return f"<urn:loomtext:page:{'' if page_id is None else page_id}:{payload_digest}{'' if twin == 1 else f':{twin}'}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None, revisit: bool, captured: str = DATE) -> bytes:
+def information(captured: str = DATE) -> bytes:
+    """The record that begins an archive."""
+    block = b"software: loomtext\r\nformat: WARC File Format 1.1\r\n"
+    name = digest(block + captured.encode())
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:loomtext:info:{name}>", f"WARC-Date: {captured}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None, revisit: bool, captured: str = DATE, twin: int = 1) -> bytes:
     """One WARC/1.1 record."""
     clean = "".join(c for c in (url or "") if c >= " ")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -50,7 +67,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, payload_digest:
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id, payload_digest)}",
+        f"WARC-Record-ID: {record_id(page_id, payload_digest, twin)}",
         f"WARC-Date: {captured}",
         f"WARC-Target-URI: {clean}",
         f"WARC-Payload-Digest: sha1:{payload_digest}",
@@ -79,10 +96,10 @@ def archive_chunks(records: list[bytes]):
 
     train, size = [], 0
     for r in records[:TRAIN_RECORDS]:
-        if size + len(r) > TRAIN_BYTES:
-            break
-        train.append(r)
-        size += len(r)
+        r = r[:TRAIN_EACH]
+        if size + len(r) <= TRAIN_BYTES:
+            train.append(r)
+            size += len(r)
     trained = None
     if len(train) >= 16:
         try:
@@ -94,6 +111,7 @@ def archive_chunks(records: list[bytes]):
     body = zstd.ZstdCompressor(level=9).compress(trained.as_bytes())
     yield struct.pack("<II", DICTIONARY_MAGIC, len(body)) + body
     press = zstd.ZstdCompressor(level=3, dict_data=trained, write_content_size=True)
+    yield press.compress(information())
     for r in records:
         yield press.compress(r)
 
@@ -109,26 +127,17 @@ def read_archive(uri: str):
             raise ValueError(f"no dictionary frame: {uri}")
         plain = zstd.ZstdDecompressor().decompress(source.read(size))
         expand = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(plain))
-        held = b""
-        while True:
-            more = source.read(1 << 20)
-            held += more
-            while held:
-                frame = expand.decompressobj()
-                try:
-                    data = frame.decompress(held)
-                except zstd.ZstdError:
-                    if more:
-                        break
-                    raise
-                if not frame.eof:
-                    break
-                yield data
-                held = frame.unused_data
-            if not more:
-                if held:
-                    raise ValueError(f"cut off: {uri}")
-                return
+        frame, parts, data = None, [], source.read(1 << 20)
+        while data:
+            frame = frame or expand.decompressobj()
+            parts.append(frame.decompress(data))
+            data = b""
+            if frame.eof:
+                yield b"".join(parts)
+                data, frame, parts = frame.unused_data, None, []
+            data = data or source.read(1 << 20)
+        if frame:
+            raise ValueError(f"cut off: {uri}")
 
 
 def _writer(folder: str):
@@ -146,10 +155,10 @@ def _writer(folder: str):
             return row
 
         for batch in batches:
-            for page, url, html, key, first, nth in rows(batch, "page_id", "url", "html", "sha1", "first_page", "nth"):
+            for page, url, html, key, first, nth, twin in rows(batch, "page_id", "url", "html", "sha1", "first_page", "nth", "twin"):
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 name = base64.b32encode(bytes.fromhex(key)).decode()
-                held.append(record(page, url, payload, name, first, bool(nth)))
+                held.append(record(page, url, payload, name, first, bool(nth), twin=twin))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield flush()
@@ -162,25 +171,27 @@ def _writer(folder: str):
 def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Write archives and their manifest; payloads below ``least_bytes`` are never revisits."""
     spark = pages.sparkSession
+    space = Workspace(spark, "warc-keys")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
-    first = pages.where(F.octet_length("html") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first_page"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    keys = space.save(pages.select("page_id", "sha1", (F.octet_length("html") >= least_bytes).alias("long"), F.coalesce("url", F.lit("")).alias("url")), "keys")
+    # written before it is joined back: both sides are then plain shuffles of narrow rows, which Spark splits where a payload is common
+    first = space.save(keys.where("long").groupBy("sha1").agg(F.min("page_id").alias("first_page"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "first")
+    place = space.save(keys.join(first, "sha1").select(F.col("page_id").alias("key_id"), F.col("sha1").alias("key_sha1"), "first_page").distinct(), "place")
     # equal ids and payloads are rare: only they need an order among themselves
-    again = pages.groupBy("page_id", "sha1").agg(F.count("*").alias("rows"), F.min(F.coalesce("url", F.lit(""))).alias("url0")).where("rows > 1").select(F.col("page_id").alias("again_id"), F.col("sha1").alias("again_sha1"), "rows", "url0")
-    marked = pages.join(first, "sha1", "left")
-    twice = again.limit(1).count() > 0
-    if twice:
+    again = space.save(keys.groupBy("page_id", "sha1").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("again_id"), F.col("sha1").alias("again_sha1"), "n"), "again")
+    marked = pages.join(place, F.col("page_id").eqNullSafe(F.col("key_id")) & (F.col("sha1") == F.col("key_sha1")), "left").drop("key_id", "key_sha1")
+    twin = F.lit(1)
+    if again.limit(1).count():
         marked = marked.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("sha1") == F.col("again_sha1")), "left").drop("again_id", "again_sha1")
-        singles = marked.where("rows IS NULL").drop("rows", "url0").withColumn("twin", F.lit(1))
-        from pyspark.sql import Window
-
-        several = marked.where("rows IS NOT NULL").drop("rows", "url0").withColumn("twin", F.row_number().over(Window.partitionBy("page_id", "sha1").orderBy("url")))
-        marked = singles.unionByName(several)
+        several = marked.where("n IS NOT NULL").withColumn("twin", F.row_number().over(Window.partitionBy("page_id", "sha1").orderBy("url")))
+        marked = marked.where("n IS NULL").withColumn("twin", twin).unionByName(several)
     else:
-        marked = marked.withColumn("twin", F.lit(1))
+        marked = marked.withColumn("twin", twin)
     other = F.col("first_page").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("first_page")) | (F.col("twin") > 1))
     marked = marked.withColumn("nth", F.coalesce(other, F.lit(False)))
-    marked.select("page_id", "url", "html", "sha1", "first_page", "nth").mapInArrow(_writer(folder), "uri string, records long, bytes long").write.mode("overwrite").parquet(f"{folder}/manifest")
+    marked.select("page_id", "url", "html", "sha1", "first_page", "nth", "twin").mapInArrow(_writer(folder), "uri string, records long, bytes long").write.mode("overwrite").parquet(f"{folder}/manifest")
+    space.drop("keys", "first", "place", "again")
     return spark.read.parquet(f"{folder}/manifest")
 
 
@@ -197,6 +208,8 @@ def _reader(batches):
             out = []
             for data in read_archive(uri):
                 fields, http, payload = parse(data)
+                if fields["WARC-Type"] == "warcinfo":
+                    continue
                 size = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
                 name = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                 revisit = fields["WARC-Type"] == "revisit"
