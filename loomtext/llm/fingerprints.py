@@ -29,7 +29,7 @@ BINS = 512
 BITS = 4
 _BIN_BITS = BINS.bit_length() - 1
 DOCS_PER_SLICE = 4000  #: documents between two neighbouring boundaries of the id order
-MOST_SLICES = 4096  #: beyond it slices hold more documents; a slice is streamed, never held whole
+SLICES_PER_ROOT = 4  #: and no more slices than so many times the square root of the documents, whose boundaries are one array; a slice is streamed, never held whole
 
 
 @lru_cache(1)
@@ -141,11 +141,13 @@ def compare_with_next(docs: DataFrame, docs_per_slice: int = DOCS_PER_SLICE) ->
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     count = docs.count()
-    slices = min(MOST_SLICES, max(1, -(-count // docs_per_slice)))
-    cuts = sorted({int(x) for x in docs.approxQuantile("key", [i / slices for i in range(1, slices)], 0.1 / slices)}) if slices > 1 else []
-    # the slice of an id by binary search in the sorted boundaries
-    place = F.expr(f"CASE WHEN key IS NULL THEN 0 ELSE {_search(cuts)} END") if cuts else F.lit(0)
-    docs = docs.withColumn("slice", place.cast("int"))
+    slices = max(1, min(-(-count // docs_per_slice), int(SLICES_PER_ROOT * count**0.5)))
+    cuts = sorted({int(x) for x in docs.approxQuantile("key", [i / slices for i in range(1, slices)], 0.25 / slices)}) if slices > 1 else []
+    if cuts:
+        one = docs.sparkSession.createDataFrame([(cuts,)], "cuts array<long>")  # a single row of 8 bytes for each slice
+        docs = docs.join(F.broadcast(one), F.lit(True)).withColumn("slice", _search(F.col("key"), F.col("cuts"), len(cuts))).drop("cuts")
+    else:
+        docs = docs.withColumn("slice", F.lit(0))
     heads = docs.groupBy("slice").agg(F.min("key").alias("key")).orderBy("slice").collect()  # a row for each slice
     before = {heads[i].key: heads[i - 1].slice for i in range(len(heads))}
     if not heads:
@@ -160,16 +162,16 @@ def compare_with_next(docs: DataFrame, docs_per_slice: int = DOCS_PER_SLICE) ->
     )
 
 
-def _search(cuts: list[int], low: int = 0) -> str:
-    """SQL for the number of boundaries at or below ``key``, in nested halves."""
-    if not cuts:
-        return str(low)
-    mid = len(cuts) // 2
-    return f"CASE WHEN key < {_long(cuts[mid])} THEN {_search(cuts[:mid], low)} ELSE {_search(cuts[mid + 1 :], low + mid + 1)} END"
+def _search(key, cuts, n: int):
+    """How many of the ``n`` sorted boundaries are at or below the key, by halving."""
+    at = F.struct(F.lit(0).alias("low"), F.lit(n).alias("high"))
 
+    def half(x, _):
+        mid = F.floor((x["low"] + x["high"]) / 2).cast("int")
+        below = (x["low"] < x["high"]) & (F.get(cuts, mid) <= key)
+        return F.struct(F.when(below, mid + 1).otherwise(x["low"]).alias("low"), F.when(below, x["high"]).otherwise(F.least(mid, x["high"])).alias("high"))
 
-def _long(x: int) -> str:
-    return f"({x}L)" if x > -(1 << 63) else f"({x + 1}L - 1L)"
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), at, half, lambda x: x["low"])
 
 
 def op6_document_fingerprints(spark, sf_dir: str) -> DataFrame:
