@@ -11,8 +11,8 @@ those not held out.  Everything else covers all documents.
 
 Defined results.  Null and blank texts have the features of an empty text and a
 score like any other.  Without labels of both kinds every score is ``PREDICT``.
-Rows that share an id are scored each for itself; labels that share an id count
-once, with the lowest quality.  A null id is not held out and not learned from.
+Rows that share an id are scored each for itself and learned from once; labels
+that share an id count once, with the lowest quality.  A null id is not held out and not learned from.
 Extra columns are ignored.
 """
 
@@ -142,7 +142,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = texts.join(F.broadcast(some), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x array<double>")
-    rows = sorted(got.collect(), key=lambda r: (r.doc_id, r.x))  # SAMPLE_ROWS rows, unless ids repeat in documents
+    got = got.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("one")).select("doc_id", "one.*")  # of rows that share an id the least features
+    rows = sorted(got.collect(), key=lambda r: r.doc_id)  # SAMPLE_ROWS rows at most
     return fit(np.array([r.x for r in rows]), np.array([r.quality for r in rows]))
 
 
