@@ -4,7 +4,9 @@ Items are partitioned by their number of shingles, in powers of two.  The
 MinHash sketch of an item is its ``k`` shingles of least hash; ``k`` and the
 number of hits asked for are fixed for each partition from its largest size.
 Every shingle of every document probes the sketches, so the search does not
-depend on how long the document is.  An item with a share ``t`` of its shingles
+depend on how long the document is.  Documents have no sketch of their own: a
+short item in a long document has a Jaccard similarity near 0, which equal
+MinHash values of both would not show.  An item with a share ``t`` of its shingles
 in a document lacks at most (1 - t) of them: a sketch of more than that cannot
 be missed, and where a partition's size would make it longer than
 ``MOST_HASHES`` the chance to miss is below 1e-12.  Candidates are verified by
@@ -31,7 +33,8 @@ from ._shared import Workspace
 SHINGLE = 5
 CONTAINMENT = 0.8
 MOST_HASHES = 64
-BROADCAST_SKETCH_ROWS = 2_000_000  #: about 50 MB; longer sketches are joined by a shuffle
+ROW_BYTES = 32  #: a row of a sketch: three numbers of 8 bytes, one of 4 and the row's head
+BROADCAST_BYTES = 64 << 20  #: sketches up to this size go to the documents; for larger ones both sides are shuffled by hash
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -95,7 +98,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
         sketch = sketch.withColumn("h", F.when(F.col("length") == n, F.xxhash64(*[F.get(parts_n, F.lit(j)) for j in range(n)])).otherwise(F.col("h")))
     sketch = sketch.withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy("h"))).where(F.col("nth") <= hashes[F.col("part")])
     sketch = space.save(sketch.select("h", "length", "row", "item_id", asked[F.col("part")].alias("asked")), "sketch")
-    small = sketch.count() <= BROADCAST_SKETCH_ROWS
+    small = sketch.count() * ROW_BYTES <= BROADCAST_BYTES
 
     probes = None
     for n in lengths:
