@@ -5,35 +5,29 @@ from loomtext.llm.packing import BestFit, pack, sized
 SCHEMA = "doc_id long, source string, cluster long, size long, bin_id string"
 
 
-def naive(items, capacity):
-    """Best fit by looking at every bin."""
+def tightest(items, capacity):
+    """Best fit by looking at every bin: each piece goes to a compatible bin that none fits tighter, and to a new one only without."""
+    fit = BestFit(capacity)
     bins = []
     for size, source, cluster in items:
-        fits = [b for b in bins if b[0] >= size and not (b[1] & source) and not (b[2] & cluster)]
+        fits = [left for left, sources, clusters in bins if left >= size and not (sources & source) and not (clusters & cluster)]
+        b, at = fit.place(size, source, cluster)
         if fits:
-            b = min(fits, key=lambda b: b[0])
-            b[0] -= size
-            b[1] |= source
-            b[2] |= cluster
+            left, sources, clusters = bins[b]
+            assert left == min(fits) and not (sources & source) and not (clusters & cluster) and at == capacity - left
+            bins[b] = (left - size, sources | source, clusters | cluster)
         else:
-            bins.append([capacity - size, source, cluster])
-    return sorted(b[0] for b in bins)
+            assert b == len(bins) and at == 0
+            bins.append((capacity - size, source, cluster))
+        assert fit.left == [left for left, _, _ in bins]
 
 
 def test_successor_search_finds_the_tightest_compatible_bin():
     rng = random.Random(1)
-    for _ in range(30):
-        items = [(rng.randint(1, 60), 1 << rng.randrange(5), rng.choice([0, 0, 1, 2])) for _ in range(120)]
-        fit = BestFit(100)
-        for i in items:
-            fit.place(*i)
-        # which of several equally tight bins is taken may differ; the number of bins hardly does
-        assert abs(len(fit.left) - len(naive(items, 100))) <= 3
-        one = [(s, 0, 0) for s, _, _ in items]
-        fit = BestFit(100)
-        for i in one:
-            fit.place(*i)
-        assert sorted(fit.left) == naive(one, 100)
+    for n in range(40):
+        some = 5 if n % 2 else 40
+        tightest([(rng.randint(1, 60), 1 << rng.randrange(some) if rng.random() < 0.9 else 0, rng.choice([0, 0, 1, 2, 4])) for _ in range(150)], 100)
+        tightest([(rng.randint(1, 100), 0, 0) for _ in range(150)], 100)
 
 
 def test_no_bin_breaks_a_rule_and_nothing_is_lost(spark):

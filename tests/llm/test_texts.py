@@ -177,6 +177,32 @@ def test_small_payloads_are_all_responses(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/n").count() == 0
 
 
+def test_one_long_record_leaves_a_trained_dictionary_and_reads_in_one_pass(tmp_path):
+    long = warc.record(0, "u", b"<p>" + bytes(range(32, 127)) * 150_000, "D", None, False)
+    records = [long] + [warc.record(i, "u", b"<html>" + str(i).encode() * 50, "D", None, False) for i in range(1, 40)]
+    uri = f"file://{tmp_path}/long.warc.zst"
+    from loomtext.llm._shared import write_atomically
+
+    write_atomically(uri, warc.archive_chunks(records))
+    got = list(warc.read_archive(uri))
+    assert warc.parse(got[0])[0]["WARC-Type"] == "warcinfo" and got[1:] == records
+    with open(f"{tmp_path}/long.warc.zst", "r+b") as f:
+        f.truncate(f.seek(0, 2) - 30)
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.read_archive(uri))
+
+
+def test_equal_rows_have_record_ids_of_their_own(spark, tmp_path):
+    df = spark.createDataFrame([(6, "b", "q", ""), (6, "a", "q", ""), (7, "c", "q", ""), (None, "d", "q", "")], PAGE)
+    warc.write_warc(df, f"file://{tmp_path}/w")
+    uris = [r.uri for r in spark.read.parquet(f"{tmp_path}/w/manifest").collect()]
+    fields = [warc.parse(x)[0] for u in uris for x in warc.read_archive(u)]
+    pages = [f for f in fields if f["WARC-Type"] != "warcinfo"]
+    assert len({f["WARC-Record-ID"] for f in pages}) == 4
+    first = next(f for f in pages if f["WARC-Type"] == "response")
+    assert first["WARC-Target-URI"] == "a" and all(f["WARC-Refers-To"] == first["WARC-Record-ID"] for f in pages if f is not first)
+
+
 def test_archive_starts_with_its_dictionary(tmp_path):
     import struct
 
@@ -188,7 +214,8 @@ def test_archive_starts_with_its_dictionary(tmp_path):
     assert magic == 0x184D2A5D
     words = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(data[8 : 8 + size]))
     first = zstandard.ZstdDecompressor(dict_data=words).decompressobj()
-    assert first.decompress(data[8 + size :]) == records[0]
+    assert first.decompress(data[8 + size :]) == warc.information()
+    assert zstandard.ZstdDecompressor(dict_data=words).decompressobj().decompress(first.unused_data) == records[0]
 
 
 # PII ----------------------------------------------------------------------------------------------
@@ -237,7 +264,7 @@ def test_random_field_ties_spellings_together(spark):
 
 
 def test_redaction_keeps_other_columns(spark):
-    field = pii.fit(np.empty((0, 16)), np.empty(0, int), np.zeros((5, 5)), np.zeros((5, 5)))
+    field = pii.fit(np.empty((0, pii._BITS)), np.empty((0, 15)), np.empty(0, int), np.empty(0))
     df = spark.createDataFrame([(1, "a me@x.org b", "s", 12), (2, None, "s", None), (3, "clean", None, 5)], "doc_id long, text string, source string, n_chars long")
     assert [tuple(r) for r in pii.redact_pii(df, field).orderBy("doc_id").collect()] == [(1, "a <EMAIL> b", "s", 11), (2, None, "s", None), (3, "clean", None, 5)]
     assert pii.redact("abcdef", [(0, 1, 3), (2, 2, 5)]) == "a<EMAIL>f"
@@ -247,7 +274,7 @@ def test_marginals_are_exact_on_a_tree():
     rng = np.random.default_rng(1)
     unary = rng.normal(size=(4, 5))
     edges = [(0, 1, rng.normal(size=(5, 5))), (1, 2, rng.normal(size=(5, 5))), (1, 3, rng.normal(size=(5, 5)))]
-    got = pii.Field(np.empty(0), np.empty(0), np.empty(0)).marginals(unary, edges)
+    got = pii.Field(np.empty(0), np.empty(0)).marginals(unary, edges)
     want = np.zeros((4, 5))
     for y in np.ndindex(5, 5, 5, 5):
         p = np.exp(sum(unary[i, y[i]] for i in range(4)) + sum(e[y[i], y[j]] for i, j, e in edges))
@@ -280,6 +307,36 @@ def test_quality_of_odd_input(spark):
     assert quality.learn(docs.where("false"), labels.where("false")).weights.any() == np.False_
 
 
+def test_weights_are_those_of_the_least_pair_loss():
+    """The ridged logistic loss of the drawn pairs' differences, recomputed pair by pair, has no slope at the weights."""
+    rng = np.random.default_rng(5)
+    label = (rng.random(200) < 0.7).astype(int)
+    x = rng.normal(size=(200, 4)) + label[:, None] * [0.8, -0.5, 0.0, 0.2]
+    got = quality.fit(x, label, pairs=3000, ridge=1e-3, seed=51)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    draw = np.random.Generator(np.random.PCG64(51))
+    good, bad = draw.choice(np.flatnonzero(label == 1), 3000), draw.choice(np.flatnonzero(label == 0), 3000)
+
+    def loss(w):
+        return np.mean([np.log1p(np.exp(-(z[i] - z[j]) @ w)) for i, j in zip(good, bad)]) + 0.5e-3 * w @ w
+
+    least = loss(got.weights)
+    for k in range(4):
+        for step in (1e-3, -1e-3):
+            assert loss(got.weights + step * np.eye(4)[k]) > least
+    # the strengths rank the pairs as their probabilities say: Bradley-Terry
+    p = 1 / (1 + np.exp(-(z[good] - z[bad]) @ got.weights))
+    assert abs(p.mean() - np.mean((z[good] - z[bad]) @ got.weights > 0)) < 0.12
+
+
+def test_quality_learns_once_from_rows_that_share_an_id(spark):
+    rng = random.Random(4)
+    docs = [(i, "Good plain words, and more of them. " * rng.randint(3, 9) if i % 2 else "X!! | $$ #1 " * rng.randint(3, 9)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    once, often = (quality.learn(frame(spark, rows), labels) for rows in (docs, docs + docs[:5] * 400))
+    assert np.allclose(once.weights, often.weights) and once.cut == often.cut
+
+
 # substring dedup ---------------------------------------------------------------------------------------
 
 
@@ -347,7 +404,7 @@ def test_licence_rules(spark):
     full = ". ".join(s[i].capitalize() for i in ("mit-head2", "mit-grant", "mit-notice", "mit-asis", "mit-liable")) + "."
     rows = [(1, full), (2, "Text here.\nReleased under the MIT License.\nAll rights reserved.\nmore"), (3, None), (4, ""), (5, "MIT"), (6, "Licensed under CC BY-NC 4.0.\nother\nLicensed under CC BY 4.0"), (6, "Licensed under CC BY-NC 4.0.\nother\nLicensed under CC BY 4.0"), (7, "word " * 50_000)]
     got = sorted((r.doc_id, r.first_sentence, r.licenses) for r in licenses.scan_licenses(frame(spark, rows)).collect())
-    assert got == [(1, 0, "MIT,MIT"), (2, 1, "MIT,proprietary"), (6, 0, "CC-BY-NC-4.0"), (6, 2, "CC-BY-4.0")]
+    assert got == [(1, 0, "MIT"), (2, 1, "MIT,proprietary"), (6, 0, "CC-BY-NC-4.0"), (6, 2, "CC-BY-4.0")]
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
@@ -387,6 +444,18 @@ def test_containment_equals_brute_force(spark):
     assert decontaminate.contaminated(frame(spark, docs), bench.where("false")).count() == 0
 
 
+def test_rows_that_share_a_document_id_and_large_sketches(spark, monkeypatch):
+    item = " ".join(f"w{i}" for i in range(20))
+    other = " ".join(f"v{i}" for i in range(30))
+    docs = [(1, "a b " + item), (1, "a b " + item), (1, other + " c"), (2, "nothing"), (3, item.replace("w3", "x")), (None, item)]
+    bench = spark.createDataFrame([(7, item, 0), (8, other, 0), (9, None, 0)], "item_id long, text string, n_item int")
+    got = []
+    for most in (decontaminate.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+        got.append(sorted((r.doc_id, r.item_id, r.n_shared) for r in decontaminate.contaminated(frame(spark, docs), bench).collect()))
+    assert got[0] == got[1] == [(1, 7, 16), (1, 8, 26)]
+
+
 def test_sketches_cannot_miss():
     for n in list(range(1, 200)) + [500, 5000]:
         k, hits = decontaminate.sketch_plan(n, 0.8)
