@@ -23,10 +23,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that of the least id."""
+    """One document of each group of near duplicates stays: that of the least id, and of rows that share it the least text.
+
+    Rows without an id are not compared and stay.
+    """
+    docs = docs.select(*COLUMNS)
     kept = neardup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"))
     one = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return one.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        one = one.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return one.unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +49,12 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of the documents' pieces in training sequences."""
-    return packing.pack(packing.sized(docs))
+    """Places of the documents' pieces in training sequences, by their real ids; near copies are gone, equal texts without an id conflict."""
+    import public_tokenizers
+
+    # written, so that the texts are tokenised once
+    items = packing.sized_by_ids(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(Workspace(spark, "packing").save(items, "sizes"))
 
 
 STAGES = [
