@@ -3,8 +3,11 @@
 Policies that fold a key's rows in order are one function each, from the held
 state and the new rows to the next state and what is given out; the same
 function runs over a whole table (``folded``) and inside keyed state of a
-stream (``fold_stream``).  Held state is dropped when its key has been idle for
-``idle``.  Debouncing waits in event time; coalescing is a window aggregate.
+stream (``fold_stream``).  A stream that runs on may drop the state of keys that
+have been idle for ``idle`` milliseconds (``IDLE_MS`` is a day); that takes
+processing time, in which a stream never finds that all is done, so a run over
+what is available is made without.  Debouncing waits in event time; coalescing
+is a window aggregate.
 """
 
 from __future__ import annotations
@@ -138,7 +141,7 @@ def folded(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], fold:
     """The fold over each key's rows of a table; a key's rows are one group."""
     names = [*keys, *(c.split()[0] for c in out.split(", "))]
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[object, ...], part: pd.DataFrame) -> pd.DataFrame:
         _, got = fold(None, part.sort_values(list(order), kind="stable").to_dict("records"))
         return pd.DataFrame([(*key, *g) for g in got], columns=names)
 
@@ -146,7 +149,7 @@ def folded(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], fold:
 
 
 class _Folder(StatefulProcessor):
-    def __init__(self, order: tuple[str, ...], fold: Fold, names: list[str], idle: int):
+    def __init__(self, order: tuple[str, ...], fold: Fold, names: list[str], idle: int | None):
         self.order, self.fold, self.names, self.idle = list(order), fold, names, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -163,10 +166,10 @@ class _Folder(StatefulProcessor):
         pass
 
 
-def fold_stream(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], fold: Fold, out: str, idle: int = IDLE_MS) -> DataFrame:
+def fold_stream(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], fold: Fold, out: str, idle: int | None = None) -> DataFrame:
     """The fold over each key's rows of a stream, in the order of ``order`` within a batch; needs the RocksDB state store."""
     names = [*keys, *(c.split()[0] for c in out.split(", "))]
-    return rows.groupBy(*keys).transformWithStateInPandas(_Folder(order, fold, names, idle), _schema(rows, keys, out), "Append", "ProcessingTime")
+    return rows.groupBy(*keys).transformWithStateInPandas(_Folder(order, fold, names, idle), _schema(rows, keys, out), "Append", "ProcessingTime" if idle else "None")
 
 
 class _Debouncer(StatefulProcessor):

@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
 from loomtext.operators.turns import CHANGES, TurnAssembler, message_id
-from loomtext.streaming.policies import IDLE_MS
 
 _COLUMNS = [c.split()[0] for c in CHANGES.split(", ")]
 
@@ -19,7 +18,7 @@ _COLUMNS = [c.split()[0] for c in CHANGES.split(", ")]
 class TurnProcessor(StatefulProcessor):
     """One assembler per (conversation, speaker), kept as JSON between batches."""
 
-    def __init__(self, idle: int):
+    def __init__(self, idle: int | None):
         self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -42,12 +41,12 @@ class TurnProcessor(StatefulProcessor):
         pass
 
 
-def assemble_stream(events: DataFrame, idle: int = IDLE_MS) -> DataFrame:
+def assemble_stream(events: DataFrame, idle: int | None = None) -> DataFrame:
     """Change log of a stream of (conv_id, speaker, seq, ordinal, tag, text); needs the RocksDB state store.
 
-    The state of a conversation is dropped after ``idle`` milliseconds without events.
+    The state of a conversation is dropped after ``idle`` milliseconds without events (``policies.IDLE_MS`` is a day), if that is given.
     """
-    return events.select("conv_id", "speaker", "seq", "ordinal", "tag", "text").groupBy("conv_id", "speaker").transformWithStateInPandas(TurnProcessor(idle), CHANGES, "Update", "ProcessingTime")
+    return events.select("conv_id", "speaker", "seq", "ordinal", "tag", "text").groupBy("conv_id", "speaker").transformWithStateInPandas(TurnProcessor(idle), CHANGES, "Update", "ProcessingTime" if idle else "None")
 
 
 def upsert_into(path: str):

@@ -21,8 +21,7 @@ def in_files(df, folder, order, files):
 
 def drained(stream, name, tmp_path, mode="append"):
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
-    query.awaitTermination(180)
-    assert query.exception() is None
+    assert query.awaitTermination(100) and query.exception() is None
     return sorted(map(tuple, stream.sparkSession.table(name).collect()))
 
 
@@ -94,7 +93,7 @@ def test_upserts_keep_the_newest_state(spark, tmp_path):
     path = str(tmp_path / "messages")
     stream = assemble_stream(in_files(events, str(tmp_path / "in"), "seq", 3))
     query = stream.writeStream.foreachBatch(upsert_into(path)).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(180)
+    assert query.awaitTermination(100)
     want = sorted(map(tuple, turns.latest_messages(turns.assemble(events)).select("conv_id", "speaker", "id", "seq", "original", "translated").collect()), key=repr)
     assert sorted(map(tuple, upserted(spark, path).collect()), key=repr) == want and len(want) >= 6
     compact(spark, path, 1)
