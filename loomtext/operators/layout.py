@@ -7,6 +7,8 @@ rows runs in one Arrow group per page, which a page bounds.
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+from dataclasses import dataclass
 from functools import cmp_to_key
 
 import pyarrow as pa
@@ -60,96 +62,108 @@ def vertical_order(lines: list[dict]) -> list[dict]:
     return sorted(lines, key=cmp_to_key(_above))
 
 
-class Columns:
-    """GRP6: clusters of lines by left edge, met from left to right."""
+@dataclass
+class Cluster:
+    """Lines whose left edges are near each other; bounds and edges are kept as lines come."""
 
-    def __init__(self, page_width: float):
-        self.near = max(12.0, 0.045 * page_width)
-        self.members: list[list[dict]] = []
+    left: float
+    right: float
+    edges: list[float]
+    lines: list[dict]
 
-    @staticmethod
-    def _bounds(members: list[dict]) -> tuple[float, float]:
-        return min(m["x"] for m in members), max(m["x"] + m["w"] for m in members)
-
-    @staticmethod
-    def _edge(members: list[dict]) -> float:
-        edges = sorted(m["x"] for m in members)
-        return edges[len(edges) // 2]
+    def distance(self, line: dict, near: float) -> float | None:
+        """How far the line's left edge is from the middle one of the cluster, if the line fits in."""
+        away = abs(line["x"] - self.edges[len(self.edges) // 2])
+        narrow = max(1.0, min(line["w"], self.right - self.left))
+        shared = max(0.0, min(line["x"] + line["w"], self.right) - max(line["x"], self.left))
+        fits = away <= near or (shared >= 0.25 * narrow and away <= max(2 * near, 0.35 * narrow))
+        return away if fits else None
 
     def add(self, line: dict) -> None:
-        fits = []
-        for place, members in enumerate(self.members):
-            left, right = self._bounds(members)
-            away = abs(line["x"] - self._edge(members))
-            narrow = max(1.0, min(line["w"], right - left))
-            shared = max(0.0, min(line["x"] + line["w"], right) - max(line["x"], left)) / narrow
-            if away <= self.near or shared >= 0.25 and away <= max(2 * self.near, 0.35 * narrow):
-                fits.append((away, place))
-        if fits:
-            self.members[min(fits)[1]].append(line)
+        self.left, self.right = min(self.left, line["x"]), max(self.right, line["x"] + line["w"])
+        insort(self.edges, line["x"])
+        self.lines.append(line)
+
+
+def clusters(lines: list[dict], page_width: float) -> list[Cluster]:
+    """GRP6: clusters of lines by left edge, from left to right; a line joins the nearest that it fits."""
+    near = max(12.0, 0.045 * page_width)
+    found: list[Cluster] = []
+    for line in sorted(lines, key=lambda r: (r["x"], -(r["y"] + r["h"]))):
+        ranked = [(away, k) for k, c in enumerate(found) if (away := c.distance(line, near)) is not None]
+        if ranked:
+            found[min(ranked)[1]].add(line)
         else:
-            self.members.append([line])
+            found.append(Cluster(line["x"], line["x"] + line["w"], [line["x"]], [line]))
+    return sorted(found, key=lambda c: c.left)
+
+
+def _regions(bars: list[float], top: float, bottom: float):
+    """The number of the region between two wide lines that a height is in; heights outside the page are in the last."""
+    above = [top, *bars]
+    below = [*bars, bottom]
+    falling = all(a >= b for a, b in zip(above, below))
+    depth = [-v for v in below]
+
+    def region(middle: float) -> int:
+        if falling:
+            k = bisect_right(depth, -middle)
+            return k if k < len(below) and middle <= above[k] else len(below)
+        return next((k for k, (high, low) in enumerate(zip(above, below)) if low < middle <= high), len(below))
 
-    def number(self) -> int:
-        """Write each line's column; returns how many there are."""
-        self.members.sort(key=lambda m: self._bounds(m)[0])
-        for column, members in enumerate(self.members):
-            for line in members:
-                line["column_index"] = column
-        return len(self.members)
+    return region
 
 
 def reading_order(lines: list[dict], page: tuple[float, float, float, float]) -> list[dict]:
-    """SRT2: wide lines divide the page; between them column by column, each from the top."""
+    """SRT2: wide lines divide the page into regions; a line's place is its region, its column, and its height in it."""
     _, page_y, page_w, page_h = page
     lines = sorted(lines, key=lambda r: (r["id"] or "", r["text"] or ""))
-    wide = [r for r in lines if r["w"] >= max(0.5 * page_w, 1.0)]
-    body = [r for r in lines if r["w"] < max(0.5 * page_w, 1.0)]
-    for r in lines:
-        r["column_index"] = -1 if body else 0
-    if not body:
+    is_wide = [r["w"] >= max(0.5 * page_w, 1.0) for r in lines]
+    wide, body = ([r for r, w in zip(lines, is_wide) if w is k] for k in (True, False))
+    columns = clusters(body, page_w)
+    for r in wide:
+        r["column_index"] = -1 if len(columns) > 1 else 0
+    for number, cluster in enumerate(columns):
+        for r in cluster.lines:
+            r["column_index"] = number
+    if len(columns) < 2:
         return vertical_order(lines)
-    columns = Columns(page_w)
-    for r in sorted(body, key=lambda r: (r["x"], -(r["y"] + r["h"]))):
-        columns.add(r)
-    if columns.number() == 1:
-        for r in wide:
-            r["column_index"] = 0
-        return vertical_order(lines)
-    by_column = lambda rows: [r for c in range(len(columns.members)) for r in vertical_order([x for x in rows if x["column_index"] == c])]
-    out, left, upper = [], body, page_y + page_h + 1
-    for bar in [*vertical_order(wide), None]:
-        lower = page_y - 1 if bar is None else bar["y"] + bar["h"] / 2
-        mine = [r for r in left if lower < r["y"] + r["h"] / 2 <= upper]
-        out += by_column(mine)
-        left = [r for r in left if not any(r is m for m in mine)]
-        if bar is not None:
-            out.append(bar)
-            upper = lower
-    return out + by_column(left)
+    bars = vertical_order(wide)
+    region = _regions([r["y"] + r["h"] / 2 for r in bars], page_y + page_h + 1, page_y - 1)
+    placed: dict[tuple[int, int], list[dict]] = {(k, len(columns)): [bar] for k, bar in enumerate(bars)}
+    for r in body:
+        placed.setdefault((region(r["y"] + r["h"] / 2), r["column_index"]), []).append(r)
+    return [r for key in sorted(placed) for r in vertical_order(placed[key])]
 
 
 # blocks -------------------------------------------------------------------------------
 
 
+def _pair(above: dict, line: dict, first: dict) -> dict[str, float | bool]:
+    """What is measured between a line, the line above it, and the first of that line's block."""
+    size = max(above["size"], line["size"])
+    return {
+        "list": _marked(first["text"] or ""),
+        "marked": _marked(line["text"] or ""),
+        "alike": (above["source"], above["color"]) == (line["source"], line["color"]),
+        "column": above["column_index"] == line["column_index"] >= 0,
+        "spanning": first["column_index"] < 0,
+        "gap": above["y"] - (line["y"] + line["h"]),
+        "tall": max(above["h"], line["h"]),
+        "hang": (line["x"] - first["x"]) / max(6.0, 0.5 * min(above["size"], line["size"])),
+        "shared": min(above["x"] + above["w"], line["x"] + line["w"]) - max(above["x"], line["x"]),
+        "narrow": max(1.0, min(above["w"], line["w"])),
+        "shift": abs(above["x"] - line["x"]) / max(24.0, 2.5 * size),
+        "growth": abs(above["size"] - line["size"]) / max(1.5, 0.18 * above["size"]),
+    }
+
+
 def can_join(above: dict, line: dict, first: dict) -> bool:
-    """GRP2: whether a line continues the block that began with ``first``."""
-    if above["source"] != line["source"] or above["color"] != line["color"] or _marked(line["text"] or ""):
-        return False
-    listed = _marked(first["text"] or "")
-    if not (above["column_index"] >= 0 and above["column_index"] == line["column_index"] or listed and first["column_index"] < 0):
-        return False
-    tall = max(above["h"], line["h"])
-    gap = above["y"] - (line["y"] + line["h"])
-    indented = listed and line["x"] - first["x"] >= max(6.0, 0.5 * min(above["size"], line["size"]))
-    if not (-0.42 if indented else -0.15) * tall <= gap <= 0.85 * tall:
-        return False
-    shared = min(above["x"] + above["w"], line["x"] + line["w"]) - max(above["x"], line["x"])
-    return (
-        shared >= 0.35 * max(1.0, min(above["w"], line["w"]))
-        and abs(above["x"] - line["x"]) <= max(24.0, 2.5 * max(above["size"], line["size"]))
-        and abs(above["size"] - line["size"]) <= max(1.5, 0.18 * above["size"])
-    )
+    """GRP2: whether a line continues the block that began with ``first``; lines of a list item may overlap more."""
+    p = _pair(above, line, first)
+    closest = -0.42 if p["list"] and p["hang"] >= 1 else -0.15
+    place = p["column"] or (p["list"] and p["spanning"])
+    return bool(p["alike"] and place and not p["marked"] and closest * p["tall"] <= p["gap"] <= 0.85 * p["tall"] and p["shared"] >= 0.35 * p["narrow"] and p["shift"] <= 1 and p["growth"] <= 1)
 
 
 LAYOUT = "reading_order int, column_index int, block int"

@@ -8,6 +8,7 @@ token estimates, prefixes and rendering are column expressions.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -148,9 +149,8 @@ _RE_PREFIX = [
     (re.compile(r"\s*(?:[-*+]\s+|\d+[.)]\s+)"), "listItem"),
 ]
 _RE_RULES = (re.compile(r"(?:[-*_]\s*){3,}"), re.compile(r"\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?"))
-_RE_CELL = re.compile(r"(?:^(?!\|)|\|)(?:(?!(?<!\\)\|).|(?<=\\)\|)*", re.S)
 _RE_BODY = re.compile(r"[^\s|](?:.*[^\s|])?", re.S)
-_STOPS = ".!?。！？"
+_RE_STOP, _RE_BLANK, _RE_INLINE = re.compile("[.!?。！？]"), re.compile(r"\s"), re.compile(r"[^\S\r\n]*")
 
 
 def split_long(content: str, most: int) -> list[tuple[str, str]]:
@@ -160,21 +160,26 @@ def split_long(content: str, most: int) -> list[tuple[str, str]]:
     space, else at the limit; inline white space after it is the separator.  A
     line whose only cut is at its beginning stays whole.
     """
+    if len(content) <= most:
+        return [(content, "")]
+    ends = [m.end() for m in _RE_STOP.finditer(content)]
+    blanks = [m.start() for m in _RE_BLANK.finditer(content)]
     parts, at = [], 0
+
+    def last(places: list[int], reach: int) -> int:
+        """The greatest of the places up to ``reach``; -1 without one."""
+        k = bisect_right(places, reach)
+        return places[k - 1] if k else -1
+
     while len(content) - at > most:
-        window = content[at : at + most]
-        cut = max(window.rfind(c) for c in _STOPS) + 1
-        if not cut:
-            cut = next((i for i in range(len(window) - 1, -1, -1) if window[i].isspace()), most)
-            if cut == 0:
-                break
-        after = at + cut
-        end = after
-        while end < len(content) and content[end].isspace() and content[end] not in "\r\n":
-            end += 1
-        parts.append((content[at:after], content[after:end]))
-        at = end
-    if at < len(content) or not parts:
+        end, blank = last(ends, at + most), last(blanks, at + most - 1)
+        cut = end if end > at else blank if blank >= at else at + most
+        if cut == at:
+            break
+        gap = _RE_INLINE.match(content, cut).end()
+        parts.append((content[at:cut], content[cut:gap]))
+        at = gap
+    if at < len(content):
         parts.append((content[at:], ""))
     return parts
 
