@@ -238,4 +238,4 @@ def test_footer_neighbours(spark):
     schema = "page int, id string, x double, y double, w double, h double, size double, r double, g double, b double, source string, page_height double"
     rows = [(0, "seed", 50.0, 20.0, 100.0, 8.0, 8.0, 0.0, 0.0, 0.0, "native", 792.0), (0, "near", 160.0, 20.0, 100.0, 8.0, 8.0, 0.1, 0.0, 0.0, "native", 792.0), (0, "red", 160.0, 30.0, 100.0, 8.0, 8.0, 1.0, 0.0, 0.0, "native", 792.0), (0, "hop", 270.0, 20.0, 100.0, 8.0, 8.0, 0.1, 0.0, 0.0, "native", 792.0)]
     df = spark.createDataFrame(rows, schema)
-    assert [r.id for r in joins.touching_chrome(df.where("id <> 'seed'"), df.where("id = 'seed'")).collect()] == ["near"]
+    assert [r.id for r in joins.touching_chrome(df.where("id <> 'seed'"), df.where("id = 'seed'"), ("page",)).collect()] == ["near"]
