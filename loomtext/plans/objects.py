@@ -285,12 +285,37 @@ WITH r AS (SELECT user_id % 100 AS page, event_id AS id, 4 * (event_id * 31 % 97
 SELECT page, id FROM r b WHERE NOT p OR NOT EXISTS (SELECT 1 FROM r a WHERE a.page = b.page AND a.p AND a.c = b.c AND a.x <= b.x AND a.y <= b.y AND a.x + a.w >= b.x + b.w AND a.y + a.h >= b.y + b.h AND a.w >= b.w + 2 AND a.h >= b.h + 2)
 """
 
+def src3_decoded(spark, d):
+    """Texts as files in UTF-8 without and with a mark, UTF-16 and Latin-1, read and written again."""
+    k = F.col("doc_id") % 4
+    body = F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).when(k == 2, F.encode("text", "UTF-16")).otherwise(F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1"))
+    rows = table(spark, d, "documents").select("doc_id", body.alias("content")).withColumn("d", files.decoded("content"))
+    same = files.encoded(F.col("d.text"), F.col("d.encoding"), F.col("d.mark")) == F.col("content")
+    return rows.select("doc_id", F.col("d.encoding").alias("encoding"), F.col("d.mark").alias("mark"), F.md5(F.encode("d.text", "UTF-8")).alias("digest"), same.alias("same"))
+
+
+SRC3 = r"""
+WITH t AS (SELECT doc_id, doc_id % 4 AS k, CASE WHEN doc_id % 4 = 3 THEN regexp_replace(text, '[^\x00-\x{FF}]', '?', 'g') ELSE text END AS text FROM documents)
+SELECT doc_id, CASE WHEN k = 2 AND text <> '' THEN 'utf-16-be' WHEN k = 3 AND regexp_matches(text, '[\x{80}-\x{FF}]') THEN 'latin-1' ELSE 'utf-8' END AS encoding, k = 1 OR (k = 2 AND text <> '') AS mark, md5(text) AS digest, true AS same FROM t
+"""
+
+
+def agg6_background(spark, d):
+    """The commonest ground of each source's pages, here their language and a part of their number."""
+    rows = table(spark, d, "documents").select(F.col("source").alias("doc"), F.concat_ws("/", "lang", F.col("doc_id") % 3).alias("key"))
+    return aggregates.master_background(rows)
+
+
+BACKGROUND = "WITH n AS (SELECT source AS doc, lang || '/' || doc_id % 3 AS key, count(*) AS c FROM documents GROUP BY 1, 2) SELECT doc, max_by(key, (c, key)) AS key FROM n GROUP BY doc"
+
 QUERIES = {
+    "src3_decoded": src3_decoded, "agg6_background": agg6_background,
     "src10_pdf_problems": src10_pdf_problems, "fil7_hidden": fil7_hidden, "fil8_pages": fil8_pages, "prj3_options": prj3_options, "grp4_list_alignment": grp4_list_alignment, "agg4_promoted": agg4_promoted, "jn12_conversations": jn12_conversations,
     "jn18_client_responses": jn18_client_responses, "srt4_overlays": srt4_overlays, "srt6_latest_three": srt6_latest_three, "set4_plan_without_background": set4_plan_without_background, "set6_exact_keys": set6_exact_keys, "arr_lines": arr_lines,
     "mth9_alignment": mth9_alignment, "map5_preferred": map5_preferred, "dq4_changed_pages": dq4_changed_pages, "dq6_analysis": dq6_analysis, "dq3_packages": dq3_packages, "snk7_packages": snk7_packages, "seg12_runs": seg12_runs, "jn8_rectangles": jn8_rectangles,
 }
 ORACLE_SQL = {
+    "src3_decoded": SRC3, "agg6_background": BACKGROUND,
     "src10_pdf_problems": SRC10, "fil7_hidden": FIL7, "fil8_pages": FIL8, "prj3_options": PRJ3, "grp4_list_alignment": GRP4, "agg4_promoted": AGG4, "jn12_conversations": JN12, "jn18_client_responses": JN18, "srt4_overlays": SRT4,
     "srt6_latest_three": SRT6, "set4_plan_without_background": SET4, "set6_exact_keys": SET6, "arr_lines": ARR, "mth9_alignment": MTH9, "map5_preferred": MAP5, "dq4_changed_pages": DQ4, "dq6_analysis": DQ6, "dq3_packages": DQ3, "snk7_packages": SNK7,
     "seg12_runs": SEG12, "jn8_rectangles": JN8,
