@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_WORDS = 1_500_000  #: words a Python worker remembers, in two generations; results don't depend on it
+CACHED_WORDS = 400_000  #: words a Python worker remembers, in two generations; results don't depend on it
 BATCH_CHARS = 4_000_000  #: characters of texts worked on at once; a longer text is a batch of its own
 _UNSAFE = re.compile(r" (?:\s|\Z)").search  #: a space that begins no word
 _SOLID = re.compile(r"(\S*[^\W_])([.,;:!?]*)").fullmatch  #: a word that ends in a letter or number, and marks after it
