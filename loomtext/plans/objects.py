@@ -273,15 +273,15 @@ SELECT i AS page_id, md5(CASE WHEN i % 5 = 0 THEN '<u>' || t || '</u>' ELSE t EN
 
 
 def jn8_rectangles(spark, d):
-    """Rectangles of whole points, so that containment is transitive and what stays doesn't depend on the order."""
+    """Fifty rectangles a page, of whole points, so that containment is transitive and what stays doesn't depend on the order."""
     e = table(spark, d, "events")
-    box = {"x": F.col("event_id") * 31 % 97, "y": F.col("event_id") * 17 % 89, "w": F.col("event_id") * 13 % 53 + 3, "h": F.col("event_id") * 7 % 47 + 3}
-    rects = e.select((F.col("user_id") % 100).alias("page"), F.col("event_id").alias("id"), F.col("event_id").alias("paint_order"), *[(4.0 * v).alias(k) for k, v in box.items()], *[(F.col("event_id") % 3 / F.lit(10.0)).alias(c) for c in "rgb"], (~_bit(11)).alias("opaque"), _bit(13).alias("stroked"))
+    box = {"x": F.col("event_id") * 31 % 23, "y": F.col("event_id") * 17 % 19, "w": F.col("event_id") * 13 % 53 + 3, "h": F.col("event_id") * 7 % 47 + 3}
+    rects = e.select(F.floor(F.col("event_id") / 50).alias("page"), F.col("event_id").alias("id"), F.col("event_id").alias("paint_order"), *[(4.0 * v).alias(k) for k, v in box.items()], *[(F.col("event_id") % 3 / F.lit(10.0)).alias(c) for c in "rgb"], (~_bit(11)).alias("opaque"), _bit(13).alias("stroked"))
     return layout.without_contained(rects, "page").select("page", "id")
 
 
 JN8 = """
-WITH r AS (SELECT user_id % 100 AS page, event_id AS id, 4 * (event_id * 31 % 97) AS x, 4 * (event_id * 17 % 89) AS y, 4 * (event_id * 13 % 53 + 3) AS w, 4 * (event_id * 7 % 47 + 3) AS h, event_id % 3 AS c, event_id % 11 <> 0 AND event_id % 13 <> 0 AS p FROM events)
+WITH r AS (SELECT event_id // 50 AS page, event_id AS id, 4 * (event_id * 31 % 23) AS x, 4 * (event_id * 17 % 19) AS y, 4 * (event_id * 13 % 53 + 3) AS w, 4 * (event_id * 7 % 47 + 3) AS h, event_id % 3 AS c, event_id % 11 <> 0 AND event_id % 13 <> 0 AS p FROM events)
 SELECT page, id FROM r b WHERE NOT p OR NOT EXISTS (SELECT 1 FROM r a WHERE a.page = b.page AND a.p AND a.c = b.c AND a.x <= b.x AND a.y <= b.y AND a.x + a.w >= b.x + b.w AND a.y + a.h >= b.y + b.h AND a.w >= b.w + 2 AND a.h >= b.h + 2)
 """
 
