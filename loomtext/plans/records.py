@@ -198,6 +198,16 @@ def stm11_cues(spark, d):
     return rows.select("conv_id", "turn", flow.cue_plans("before", "now", F.lit(10)).alias("p")).select("conv_id", "turn", "p.preserved", F.col("p.cue.start").alias("start"), "p.reset", F.md5("p.tracked").alias("tracked"))
 
 
+STM11 = rf"""
+WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations),
+t AS (SELECT conv_id, turn, {_T.format("coalesce(p, '')")} AS b, {_T.format("CASE WHEN turn % 2 = 0 THEN coalesce(p, '') || ' more' ELSE text END")} AS n FROM c),
+m AS (SELECT *, least(10, length(n)) AS mark, starts_with(n, b) AS grown FROM t),
+k AS (SELECT *, list_max(list_filter(range(0, least(mark, length(b)) + 1), lambda i: substr(b, 1, i) = substr(n, 1, i))) AS shared FROM m),
+s AS (SELECT *, CASE WHEN n = '' THEN 0 WHEN grown THEN mark ELSE shared END AS kept, CASE WHEN n = '' THEN 0 WHEN grown THEN greatest(length(b), mark) ELSE shared END AS start FROM k)
+SELECT conv_id, turn, CAST(kept AS INTEGER) AS preserved, CAST(CASE WHEN start < length(n) THEN start END AS INTEGER) AS start, CASE WHEN n = '' THEN b <> '' ELSE NOT grown END AS reset, md5(n) AS tracked FROM s
+"""
+
+
 def stm13_items(spark, d):
     rows = table(spark, d, "events").select((F.col("user_id") % 20).alias("session"), F.col("event_id").alias("seq"), (F.col("event_id") % 4).cast("string").alias("turn_id"), F.when(F.col("event_id") % 50 == 0, "full").otherwise("delta").alias("view"), F.col("event_type").alias("item"))
     turns = rows.select("session", "turn_id").distinct().where("turn_id <> '3'")
@@ -300,6 +310,6 @@ QUERIES = {
     "fil10_13_choices": fil10_13_choices, "src7_frames": src7_frames, "jn13_availability": jn13_availability, "jn17_dangling": jn17_dangling,
 }
 ORACLE_SQL = {
-    "str15_19_texts": STR15, "fil14_validators": FIL14, "dat_delays": DAT, "jn15_devices": JN15, "fil17_catalog": FIL17, "jsn3_responses": JSN3, "set_operations": SETS, "snk5_names": SNK5, "snk8_reports": SNK8, "stm10_buffers": STM10,
+    "str15_19_texts": STR15, "fil14_validators": FIL14, "dat_delays": DAT, "jn15_devices": JN15, "fil17_catalog": FIL17, "jsn3_responses": JSN3, "set_operations": SETS, "snk5_names": SNK5, "snk8_reports": SNK8, "stm10_buffers": STM10, "stm11_cues": STM11,
     "stm12_agg18_speech": STM12, "stm13_items": STM13, "agg16_progress": AGG16, "fil9_srt8_choices": FIL9, "fil10_13_choices": FIL10, "src7_frames": SRC7, "jn13_availability": JN13, "jn17_dangling": JN17,
 }
