@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from loomtext.functions import geometry, hashing
+from loomtext.functions import geometry, hashing, variants
 from loomtext.operators import aggregates, envelope, joins, layout, sentences, turns
 from loomtext.plans._data import PAGE_LINES_SQL, page_lines, table, turn_events
 from loomtext.sinks import exports
@@ -327,13 +327,34 @@ def jsn4_variants(spark, d):
     return table(spark, d, "events").select("event_id", F.schema_of_variant(v).alias("schema"), F.to_json(v).alias("json"))
 
 
+def jsn4_typed(spark, d):
+    """The properties beside halves, texts, flags and an inner object, each read as every type."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    half = F.concat((F.floor(k / 2)).cast("string"), F.when(k % 2 == 0, ".0").otherwise(".5"))
+    body = F.concat(F.lit('{"k":'), k.cast("string"), F.lit(',"h":'), half, F.lit(',"s":"'), "event_type", F.lit('","b":'), F.when(k % 3 == 0, "true").otherwise("false"), F.lit(',"o":{"n":'), k.cast("string"), F.lit("}}"))
+    rows = table(spark, d, "events").select("event_id", F.parse_json(body).alias("v"))
+    v = F.col("v")
+    return rows.select(
+        "event_id", variants.integer(v, "$.k").alias("k"), variants.integer(v, "$.h").alias("h"), variants.number(v, "$.h").alias("half"), variants.string(v, "$.s").alias("s"), variants.boolean(v, "$.b").alias("b"), variants.integer(v, "$.o.n").alias("n"),
+        variants.integer(v, "$.s").alias("no_integer"), variants.string(v, "$.k").alias("no_string"), variants.boolean(v, "$.k").alias("no_flag"), variants.number(v, "$.none").alias("none"),
+    )
+
+
+JSN4 = """
+WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, k, CASE WHEN k % 2 = 0 THEN k // 2 END AS h, k / 2.0::DOUBLE AS half, event_type AS s, k % 3 = 0 AS b, k AS n, CAST(NULL AS BIGINT) AS no_integer, CAST(NULL AS VARCHAR) AS no_string, CAST(NULL AS BOOLEAN) AS no_flag, CAST(NULL AS DOUBLE) AS none FROM e
+"""
+
+
 QUERIES = {
+    "jsn4_typed": jsn4_typed,
     "src8_live_frames": src8_live_frames, "stm_transcripts": stm_transcripts, "stm6_messages": stm6_messages, "seg9_sentences": seg9_sentences, "jn14_pairs": jn14_pairs, "snk1_csv": snk1_csv, "jn1_bijection": jn1_bijection,
     "dq1_requests": dq1_requests, "agg3_repeated_edges": agg3_repeated_edges, "agg6_master_plan": agg6_master_plan, "layout_blocks": layout_blocks, "jn4_recognized": jn4_recognized, "jn11_merge": jn11_merge, "jn16_lost": jn16_lost,
     "agg19_latest": agg19_latest, "fil16_generation": fil16_generation, "stm8_debounce": stm8_debounce, "stm9_coalesced": stm9_coalesced, "win_functions": win_functions, "win6_agg15_warnings": win6_agg15_warnings, "win4_advance": win4_advance,
     "agg9_color": agg9_color, "mth_geometry": mth_geometry, "jsn4_variants": jsn4_variants,
 }
 ORACLE_SQL = {
+    "jsn4_typed": JSN4,
     "src8_live_frames": SRC8, "jn14_pairs": JN14, "snk1_csv": SNK1, "jn1_bijection": JN1, "dq1_requests": DQ1, "agg3_repeated_edges": AGG3, "agg6_master_plan": AGG6, "jn4_recognized": JN4, "jn11_merge": JN11, "jn16_lost": JN16,
     "agg19_latest": AGG19, "fil16_generation": FIL16, "stm8_debounce": STM8, "stm9_coalesced": STM9, "win_functions": WIN, "win6_agg15_warnings": WIN6, "win4_advance": WIN4, "mth_geometry": MTH, "agg9_color": AGG9,
 }
