@@ -213,6 +213,15 @@ def jn1_model_round_trip(spark, d):
     return text.render(rows, back).select("doc_id", F.length("text").alias("n"), F.regexp_count("text", F.lit(r"\[ko\] ")).alias("tags"))
 
 
+# every translated piece comes back trimmed with a mark before it; the rest of the text stays
+JN1_TRIP = rf"""
+WITH RECURSIVE {_SEGMENTS_SQL}, p AS (
+  SELECT doc_id, count(*) AS tags, sum(5 + length(regexp_replace(regexp_replace(piece, '^[\s\x{{85}}\p{{Z}}]+', ''), '[\s\x{{85}}\p{{Z}}]+$', '')) - length(piece)) AS more FROM cut WHERE part >= 0 GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(text) + coalesce(more, 0) AS INTEGER) AS n, CAST(coalesce(tags, 0) AS INTEGER) AS tags FROM documents LEFT JOIN p USING (doc_id) WHERE length(text) > 0
+"""
+
+
 def str_scalars(spark, d):
     t = F.col("text")
     half = F.floor(F.length(t) / 2).cast("int")
@@ -354,5 +363,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "src1_file_kind": SRC1, "src2_detect": SRC2, "seg1_lines": SEG1, "seg2_line_endings": SEG2, "seg4_prefixes": SEG4, "seg_plain": SEG_PLAIN, "chk1_tokens": CHK1, "chk2_chunks": CHK2, "chk_profiles": CHK_PROFILES, "jn2_chunk_segments": JN2,
-    "jn3_identity_render": JN3, "str_scalars": STR, "mth3_crc32": MTH3, "str4_8_merging": STR4, "mth1_fnv": MTH1, "fil2_language_route": FIL2, "agg17_speech": AGG17, "snk2_names": SNK2, "seg13_underlines": SEG13,
+    "jn3_identity_render": JN3, "jn1_model_round_trip": JN1_TRIP, "str_scalars": STR, "mth3_crc32": MTH3, "str4_8_merging": STR4, "mth1_fnv": MTH1, "fil2_language_route": FIL2, "agg17_speech": AGG17, "snk2_names": SNK2, "seg13_underlines": SEG13,
 }
