@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_WORDS = 400_000  #: words a Python worker remembers, in two generations; results don't depend on it
+CACHED_WORDS = 1_000_000  #: words a Python worker remembers, in two generations (about 190 bytes each); results don't depend on it
 BATCH_CHARS = 4_000_000  #: characters of texts worked on at once; a longer text is a batch of its own
 _UNSAFE = re.compile(r" (?:\s|\Z)").search  #: a space that begins no word
 _SOLID = re.compile(r"(\S*[^\W_])([.,;:!?]*)").fullmatch  #: a word that ends in a letter or number, and marks after it
@@ -61,9 +61,10 @@ class Pool:
 class Encoder:
     """Ids as the library gives them with ``add_special_tokens=False``, for whole texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
         with open(path, encoding="utf-8") as f:
@@ -113,7 +114,7 @@ class Encoder:
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Numbers in the young pool, which afterwards holds all the words."""
-        if len(self.young.number) > CACHED_WORDS // 2:
+        if len(self.young.number) > self.remembered // 2:
             self.old, self.young = self.young, Pool(self.kind)
         at = list(map(self.young.number.get, words))
         lacking = [w for w, n in zip(words, at) if n is None]
@@ -157,14 +158,15 @@ class Encoder:
         return gathered(np.concatenate([held[0][0], held[1][0]]), starts, sizes), sizes
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = CACHED_WORDS) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = (path, remembered)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, remembered)
+    return _encoders[key]
 
 
 def groups(batch: pa.RecordBatch):

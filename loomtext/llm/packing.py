@@ -29,6 +29,7 @@ from .neardup import near_duplicates
 
 CAPACITY = 2048
 SHARD_DOCS = 8192
+REMEMBERED = 400_000  #: words the encoder remembers beside what other operators of a pipeline hold
 
 
 class BestFit:
@@ -127,7 +128,7 @@ def sized_by_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Documents as items of their real ids over the whole text and the end id; equal texts are a cluster."""
 
     def run(batches):
-        coder = encoder(tokenizer)
+        coder = encoder(tokenizer, REMEMBERED)
         for batch in batches:
             sizes = [n + 1 for _, texts in groups(batch) for n in coder.encode(texts)[1].tolist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("cluster"), pa.array(sizes, pa.int64())], ["doc_id", "source", "cluster", "size"])

@@ -106,11 +106,7 @@ WORDY = st.lists(st.sampled_from(["word", "words.", "x,", "Don't", "12", "a\nb",
 @given(st.lists(st.one_of(WORDY, TRICKY), min_size=1, max_size=4))
 def test_encoding_holds_over_generations_of_words(texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    _encoding.CACHED_WORDS, before = 8, _encoding.CACHED_WORDS
-    try:
-        ids, sizes = tokenbin.encoder(path).encode(texts)
-    finally:
-        _encoding.CACHED_WORDS = before
+    ids, sizes = _encoding.encoder(path, remembered=8).encode(texts)
     got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
     assert got == [_plain(path).encode(t, add_special_tokens=False).ids for t in texts]
 
