@@ -268,8 +268,10 @@ def fan_out(requests: DataFrame, models: DataFrame, available: DataFrame, model:
     return pairs.mapInArrow(run, f"request_id {types['request_id']}, model string, place {types['place']}, available boolean, translated_text string, error string")
 
 
-def preferred_result(results: DataFrame, *keys: str) -> DataFrame:
-    """MAP5: the result of highest ``priority`` that has arrived, per key."""
-    rest = [c for c in results.columns if c not in keys]
-    best = results.where("translated_text IS NOT NULL").groupBy(*keys).agg(F.max_by(F.struct(*rest), "priority").alias("b"))
+def preferred_result(results: DataFrame, *keys: str, order: str | None = None) -> DataFrame:
+    """MAP5: the result of highest ``priority`` that has arrived, per key; of equal ones the least ``order``, a whole number, then the greater text."""
+    rest = [c for c in results.columns if c not in (*keys, order)]
+    earlier = [F.bitwise_not(F.col(order).cast("long"))] if order else []
+    rank = F.when(F.col("priority").isNotNull(), F.struct("priority", *earlier, "translated_text"))
+    best = results.where("translated_text IS NOT NULL").groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("b"))
     return best.select(*keys, "b.*")

@@ -192,8 +192,8 @@ SELECT id, CASE WHEN {_MARKER.format('text')} OR w >= 240 THEN 'left' WHEN abs(b
 
 
 def map5_preferred(spark, d):
-    results = table(spark, d, "events").select("user_id", F.when(~_bit(4), F.concat_ws("-", "event_type", "event_id")).alias("translated_text"), (F.col("event_id") * 7919 % 104729).alias("priority"))
-    return envelope.preferred_result(results, "user_id").select("user_id", "translated_text", "priority")
+    results = table(spark, d, "events").select("user_id", "event_id", F.when(~_bit(4), F.concat_ws("-", "event_type", "event_id")).alias("translated_text"), (F.col("event_id") * 7919 % 104729).alias("priority"))
+    return envelope.preferred_result(results, "user_id", order="event_id").select("user_id", "translated_text", "priority")
 
 
 MAP5 = "SELECT user_id, max_by(event_type || '-' || event_id, event_id * 7919 % 104729) AS translated_text, max(event_id * 7919 % 104729) AS priority FROM events WHERE event_id % 4 <> 0 GROUP BY 1"
