@@ -32,8 +32,8 @@ def conversation_csv(messages: DataFrame) -> DataFrame:
     return csv_text(messages, "conv_id", "seq", [F.col("title"), iso8601(F.col("at")), *[F.col(c) for c in ("speaker", "original", "translated")]])
 
 
-def output_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """SNK5: url, output: ``base.lang.translated.ext``, never a taken name; collisions get `` (2)`` and on, then a UUID of the name.
+def output_names(wanted: DataFrame, taken: DataFrame, numbered: int | None = 9_999) -> DataFrame:
+    """SNK5: url, output: ``base.lang.translated.ext``, never a taken name; collisions get `` (2)`` and on, beyond ``numbered`` a UUID of the name (None: numbers without end).
 
     ``wanted``: folder, base, lang, ext, url; ``taken``: folder, name.
     """
@@ -42,11 +42,12 @@ def output_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     # a taken name belongs to the stem before its number and extension, so a folder's names and stems meet by equal keys
     number = F.regexp_extract("name", r" \((\d+)\)(?:\.[^.]*)?$", 1)
     used = taken.withColumn("stem", F.regexp_replace("name", r"( \(\d+\))?(\.[^.]*)?$", "")).unionByName(taken.withColumn("stem", F.regexp_replace("name", r" \(\d+\)$", "")))
-    used = used.groupBy("folder", "stem").agg(F.max(F.when(number == "", 1).otherwise(F.try_to_number(number, F.lit("99999")).cast("int"))).alias("highest"))
-    place = F.row_number().over(Window.partitionBy("folder", "name").orderBy("url"))
+    used = used.groupBy("folder", "stem").agg(F.max(F.when(number == "", 1).otherwise(number.try_cast("decimal(38,0)"))).alias("highest"))
+    place = F.row_number().over(Window.partitionBy("folder", "name").orderBy(F.asc_nulls_last("url")))
     rows = rows.withColumn("place", place).join(used, ["folder", "stem"], "left").withColumn("n", F.coalesce("highest", F.lit(0)) + F.col("place"))
     tail = F.when(F.coalesce("ext", F.lit("")) == "", "").otherwise(F.concat(F.lit("."), F.col("ext")))
-    mark = F.when(F.col("n") <= 1, "").when(F.col("n") <= 9999, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(F.concat(F.lit(" "), F.substring(F.sha2("url", 256), 1, 32)))
+    plain = F.lit(True) if numbered is None else F.col("n") <= numbered
+    mark = F.when(F.col("n") <= 1, "").when(plain, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(F.concat(F.lit(" "), F.substring(F.sha2("url", 256), 1, 32)))
     return rows.select("url", "folder", F.concat("stem", mark, tail).alias("output"))
 
 

@@ -2,6 +2,7 @@
 
 from loomtext.operators import envelope
 from loomtext.plans.registry import QUERIES
+from loomtext.sinks import exports
 
 PERIOD = 104_729  #: event ids this far apart have the same priority and place
 
@@ -23,3 +24,19 @@ def test_preferred_results_without_priority_or_order(spark):
     assert {(r.k, r.translated_text, r.priority) for r in envelope.preferred_result(results, "k", order="at").collect()} == {(1, "b", 5), (2, "z", 1), (3, None, None)}
     for some in (results, results.orderBy("translated_text"), results.orderBy("at")):
         assert {(r.k, r.translated_text) for r in envelope.preferred_result(some.drop("at"), "k").collect()} == {(1, "b"), (2, "z"), (3, None)}
+
+
+def test_names_are_numbered_beyond_9999(spark, tmp_path):
+    docs = spark.range(10_050).selectExpr("id * 50 + 1 AS doc_id", "'s' AS source", "'en' AS lang").unionByName(spark.createDataFrame([(50, "s", "en")], "doc_id long, source string, lang string"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["snk5_names"](spark, str(tmp_path)).collect()
+    urls = sorted(str(i) for i in (50, *range(1, 502_501, 50)))
+    assert {r.url: r.output for r in got} == {u: f"en.ko.translated ({k}).txt" for k, u in enumerate(urls, 2)}
+
+
+def test_names_stay_free_above_large_numbers(spark):
+    wanted = spark.createDataFrame([("f", "a", "ko", "txt", f"u{i}") for i in range(2)], "folder string, base string, lang string, ext string, url string")
+    taken = spark.createDataFrame([("f", f"a.ko.translated ({n}).txt") for n in (100_001, 12, 9_999_999_998)], "folder string, name string")
+    assert {r.output for r in exports.output_names(wanted, taken, numbered=None).collect()} == {"a.ko.translated (9999999999).txt", "a.ko.translated (10000000000).txt"}
+    names = {r.output for r in exports.output_names(wanted, taken).collect()}  # the reference's rule: beyond 9,999 a UUID
+    assert len(names) == 2 and not any("(" in n for n in names)
