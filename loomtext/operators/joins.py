@@ -58,9 +58,11 @@ def overlay_conflicts(overlays: DataFrame, annotations: DataFrame, keys: tuple[s
 
 
 def occluded(templates: DataFrame, foreground: DataFrame, share: float = 0.55, keys: tuple[str, ...] = PAGE) -> DataFrame:
-    """JN7: template rows of which a foreground row of the page covers the share."""
+    """JN7: template rows of which a foreground row of the page covers the share; none of them empty."""
     a, b = _rect("t"), _rect("f")
-    return templates.alias("t").join(foreground.alias("f"), _on_page("t", "f", keys) & (area(a) > 0) & (overlap_area(a, b) >= share * area(a)), "left_semi")
+    # divided, as a quotient that is exactly the share rounds to the share itself, and share * area may round above the overlap
+    covered = overlap_area(a, b) / F.nullif(area(a), F.lit(0.0))
+    return templates.alias("t").join(foreground.alias("f"), _on_page("t", "f", keys) & (covered >= share), "left_semi")
 
 
 def touching_chrome(rows: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:

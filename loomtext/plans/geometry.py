@@ -16,7 +16,7 @@ def _lines(spark, d):
 
 def _numbered(spark, d):
     """Lines of documents of ten pages each, whose page numbers are the same in every document."""
-    return _lines(spark, d).withColumn("doc", F.floor(F.col("page") / 10)).withColumn("page", F.col("page") % 10)
+    return _lines(spark, d).withColumn("doc", F.expr("page div 10")).withColumn("page", F.col("page") % 10)
 
 
 _NUMBERED = "l AS (SELECT * REPLACE (page // 10 AS doc, page % 10 AS page) FROM placed)"

@@ -1,9 +1,11 @@
 """Rows that only larger tables hold: equal priorities and places, names beyond 9,999, shares exactly at a threshold."""
 
 from loomtext.operators import envelope
-from loomtext.plans.registry import QUERIES
+from loomtext.plans.registry import ORACLE_SQL, QUERIES
 from loomtext.sinks import exports
 
+from tests.compare import same
+
 PERIOD = 104_729  #: event ids this far apart have the same priority and place
 
 
@@ -40,3 +42,18 @@ def test_names_stay_free_above_large_numbers(spark):
     assert {r.output for r in exports.output_names(wanted, taken, numbered=None).collect()} == {"a.ko.translated (9999999999).txt", "a.ko.translated (10000000000).txt"}
     names = {r.output for r in exports.output_names(wanted, taken).collect()}  # the reference's rule: beyond 9,999 a UUID
     assert len(names) == 2 and not any("(" in n for n in names)
+
+
+def test_shares_exactly_at_the_threshold_occlude(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tests.compare.TABLES", ["documents"])
+    rows = [(d, "\n".join("x" * (n + (1 if i % 4 == 1 else 0) * more) for i in range(8)), "en", "s", 0) for d, (n, more) in enumerate([(10, 1), (20, 2), (30, 3), (10, 0), (20, 1)])]
+    folder = written(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string, source string, n_chars long")
+    same(QUERIES["jn7_occluded"](spark, folder), ORACLE_SQL["jn7_occluded"], folder)
+    assert {r.id for r in QUERIES["jn7_occluded"](spark, folder).collect()} == {f"{d}-{i}" for d in range(3) for i in (0, 4)}
+
+
+def test_documents_of_large_and_negative_page_numbers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tests.compare.TABLES", ["documents"])
+    rows = [(d, "\n".join("x" * (10 + 5 * (i % 4 == 1)) for i in range(8)), "en", "s", 0) for d in (-7, -13, 9_007_199_254_740_993, (1 << 63) - 1)]
+    folder = written(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string, source string, n_chars long")
+    same(QUERIES["jn7_occluded"](spark, folder), ORACLE_SQL["jn7_occluded"], folder)
