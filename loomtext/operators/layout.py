@@ -323,7 +323,7 @@ def without_contained(rects: DataFrame, *keys: str) -> DataFrame:
 
 
 def overlay_order(rows: DataFrame, slides: bool) -> DataFrame:
-    """SRT4: (order, kind, id) on slides; in documents only on pages drawn as a picture, else as inserted."""
+    """SRT4: (order, kind, id) on slides; in documents only on pages drawn as a picture, else as inserted; rows inserted at one place follow their ids."""
     use = F.lit(True) if slides else F.col("raster_fallback")
-    keys = [F.when(use, F.col("paint_order")), F.when(use, F.col("kind")), F.when(use, F.col("id")), F.col("inserted")]
+    keys = [F.when(use, F.col("paint_order")), F.when(use, F.col("kind")), F.when(use, F.col("id")), F.col("inserted"), F.col("id")]
     return rows.withColumn("z", F.row_number().over(Window.partitionBy("page").orderBy(*keys)) - 1)

@@ -57,3 +57,9 @@ def test_documents_of_large_and_negative_page_numbers(spark, tmp_path, monkeypat
     rows = [(d, "\n".join("x" * (10 + 5 * (i % 4 == 1)) for i in range(8)), "en", "s", 0) for d in (-7, -13, 9_007_199_254_740_993, (1 << 63) - 1)]
     folder = written(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string, source string, n_chars long")
     same(QUERIES["jn7_occluded"](spark, folder), ORACLE_SQL["jn7_occluded"], folder)
+
+
+def test_overlays_inserted_at_one_place_follow_their_ids(spark, tmp_path):
+    folder = written(spark, tmp_path, "events", [(7 + k * PERIOD, u, "view") for u in range(20) for k in ((3, 5, 2, 6) if u % 4 == 1 else (6, 2, 5, 3))], "event_id long, user_id long, event_type string")
+    got = {(r.page, r.id, r.z) for r in QUERIES["srt4_overlays"](spark, folder).collect() if r.target == "documents" and r.page % 2}
+    assert got == {(u, 7 + k * PERIOD, z) for u in range(1, 20, 2) for z, k in enumerate((2, 3, 5, 6))}
