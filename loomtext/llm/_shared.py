@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,13 @@ class Workspace:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Free the shuffle files of what has been written: Spark removes them once the driver's JVM has collected their plans, which may else be long after."""
+        gc.collect()
+        for pause in (0.3, 0.0):  # the scheduler lets go of a job that has ended a moment later
+            self.spark._jvm.System.gc()
+            time.sleep(pause)
+
 
 def file_system(uri: str):
     """(file system, path) for files that executors write and read themselves."""

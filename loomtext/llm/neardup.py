@@ -342,6 +342,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # the texts' shuffle is the same on both sides of the counting, and made once
     known = classes.unionByName(back, allowMissingColumns=True)
     sampled = space.save(texts.cogroup(known.groupBy("chunk")).applyInArrow(_sign(n), "doc_id long, t long, bands array<long>, df binary"), "sampled")
+    space.release()  # all texts and shingles, which would lie beside the next shuffles
     spread = sampled.select("doc_id", F.explode("bands").alias("band"))
     bucket = spread.groupBy("band").agg(
         F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"))).alias("c"), F.count("*").alias("members")
@@ -356,6 +357,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sets = space.save(sampled.join(wanted, "doc_id", "left_semi").select("doc_id", "t", "df"), "sets")
     texts = space.save(named.join(sets, ["doc_id", "t"]).select("doc_id", "text", "df"), "texts")
     space.drop("sampled", "sets")
+    space.release()
     left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"), F.col("df").alias(f"{c}_df")) for c in ("l", "r"))
     links = pairs.join(left, "l").join(right, "r").select("l", "r", "l_text", "r_text", "l_df", "r_df").mapInArrow(_verify(n, threshold), "l long, r long, similarity double")
     # rows that share an id tie their texts together
