@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,6 +17,14 @@ def _value(x):
     return x.as_py()
 
 
+def trim() -> None:
+    """Give freed memory back to the system, which a worker would else keep while it waits or does other work."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if give_back:
+        give_back(0)
+
+
 def lists(parts: list[np.ndarray], kind=np.int64) -> pa.ListArray:
     """A list column from one array per row."""
     offsets = np.zeros(len(parts) + 1, np.int32)

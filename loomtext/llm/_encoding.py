@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_WORDS = 1_000_000  #: words a Python worker remembers, in two generations (about 190 bytes each); results don't depend on it
-BATCH_CHARS = 4_000_000  #: characters of texts worked on at once; a longer text is a batch of its own
+CACHED_WORDS = 700_000  #: words a Python worker remembers, in two generations (about 190 bytes each); results don't depend on it
+BATCH_CHARS = 2_000_000  #: characters of texts worked on at once; a longer text is a batch of its own
 _UNSAFE = re.compile(r" (?:\s|\Z)").search  #: a space that begins no word
 _SOLID = re.compile(r"(\S*[^\W_])([.,;:!?]*)").fullmatch  #: a word that ends in a letter or number, and marks after it
 
@@ -83,7 +83,7 @@ class Encoder:
         return np.fromiter(chain.from_iterable(ids), self.kind, int(sizes.sum())), sizes
 
     def _run(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words without white space, each with its space before it; many are one text to the library."""
+        """Ids of words that begin with a visible character, each with its space before it; many are one text to the library."""
         if not words:
             return np.empty(0, self.kind), np.empty(0, np.int64)
         ids = self._plain([" " + " ".join(words[i : i + 500]) for i in range(0, len(words), 500)])[0]
@@ -110,7 +110,11 @@ class Encoder:
         both = np.concatenate([pool.ids[: pool.used], tail_ids])
         pool.add([w for w, _ in joined], gathered(both, starts, sizes), sizes.reshape(-1, 2).sum(1))
         odd = [w for w, m in zip(words, solid) if not m]
-        pool.add(odd, *self._plain([" " + w for w in odd]))
+        bare = [w for w in odd if not w or w[0].isspace()]  # first words of texts alone
+        if bare:
+            pool.add(bare, *self._plain([" " + w for w in bare]))
+            odd = [w for w in odd if w and not w[0].isspace()]
+        pool.add(odd, *self._run(odd))
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Numbers in the young pool, which afterwards holds all the words."""

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+ROWS_PER_FILE = 500_000  #: of narrow tables
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """Narrow rows, about so many, in few partitions to be written.
+
+    For every file and folder that a task writes, Hadoop without its native library starts a
+    ``chmod`` beside the executor, whose memory is counted twice until that process is on its own.
+    """
+    return df.repartition(max(1, -(-rows // ROWS_PER_FILE)))
+
+
 class Workspace:
     """A folder of one run for tables that cut lineage.
 

@@ -36,9 +36,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ._arrow import rows
+from ._arrow import rows, trim
 from ._encoding import encoder, groups
-from ._shared import Workspace, file_system, write_atomically
+from ._shared import Workspace, few, file_system, write_atomically
 
 MAGIC = b"LTIDS002"
 HEAD = struct.Struct("<8s4Qq6Q")
@@ -47,6 +47,7 @@ END_ID = 0
 DOCS_PER_FILE = 8_000  #: documents of a task, on average
 IDS_PER_FILE = 16_000_000
 FILES_PER_BLOCK = 1_024  #: files whose first ids are counted in one task
+FILES_PER_READER = 4  #: files that a task reads, one after the other
 
 
 
@@ -200,6 +201,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, ids_per_file: int):
                     yield close()
         if docs:
             yield close()
+        trim()
 
     return run
 
@@ -210,7 +212,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     tasks = max(1, -(-docs.count() // docs_per_file))
     done = docs.repartitionByRange(tasks, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     manifest = done.mapInArrow(_writer(folder, tokenizer, end_id, ids_per_file), "part int, nth int, uri string, n_docs long, n_ids long, bytes long")
-    manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
+    few(manifest, tasks).write.mode("overwrite").parquet(f"{folder}/manifest")
     return docs.sparkSession.read.parquet(f"{folder}/manifest")
 
 
@@ -239,7 +241,7 @@ def first_ids(manifest: DataFrame) -> DataFrame:
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
     manifest = spark.read.parquet(f"{folder}/manifest")
-    files = first_ids(manifest).repartition(max(1, manifest.count()))
+    files = first_ids(manifest).repartition(max(1, -(-manifest.count() // FILES_PER_READER)))
     return files.mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
