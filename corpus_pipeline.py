@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomtext.llm import decontaminate, neardup, packing, pii, quality
-from loomtext.llm._shared import Workspace
+from loomtext.llm._shared import Workspace, few
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -54,7 +54,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     # written, so that the texts are tokenised once
     items = packing.sized_by_ids(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return packing.pack(Workspace(spark, "packing").save(items, "sizes"))
+    return packing.pack(Workspace(spark, "packing").save(few(items, docs.count()), "sizes"))
 
 
 STAGES = [

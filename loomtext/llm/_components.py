@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import Workspace
+from ._shared import Workspace, few
 
 
 def connected_components(links: DataFrame, space: Workspace, name: str) -> DataFrame:
@@ -16,7 +16,8 @@ def connected_components(links: DataFrame, space: Workspace, name: str) -> DataF
     a component.  Every round is written to the shared folder.
     """
     edges = links.where("l <> r").select(F.greatest("l", "r").alias("u"), F.least("l", "r").alias("v")).distinct()
-    edges = space.save(edges, f"{name}-0")
+    rows = links.count()
+    edges = space.save(few(edges, rows), f"{name}-0")
     before, turn = None, 0
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -27,7 +28,7 @@ def connected_components(links: DataFrame, space: Workspace, name: str) -> DataF
         small = large.join(low, "u")
         edges = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         turn += 1
-        edges = space.save(edges, f"{name}-{turn}")
+        edges = space.save(few(edges, rows), f"{name}-{turn}")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         space.drop(f"{name}-{turn - 1}")
         if before == now or not now.n:

@@ -35,11 +35,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._arrow import lists, rows
+from ._arrow import lists, rows, trim
 from ._components import connected_components
 from ._hashing import WordHasher, mix
 from ._packed import chunks, edges, pack_counts, pack_sorted, unpack_counts, unpack_sorted
-from ._shared import Workspace
+from ._shared import Workspace, few
 
 SAMPLES, BAND_ROWS = 48, 4
 THRESHOLD = 0.8
@@ -111,6 +111,7 @@ def _send(parts: int):
     begins = edges(parts)
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, classes: pa.Table) -> pa.Table:
+        trim()
         chunk = _Chunk(texts, classes)
         cuts = [0, *np.searchsorted(chunk.distinct, begins).tolist(), len(chunk.distinct)]
         n = chunk.counts()
@@ -204,6 +205,7 @@ def _sign(docs: int):
     """A chunk and its frequencies -> bands and frequencies of every representative."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, other: pa.Table) -> pa.Table:
+        trim()
         chunk = _Chunk(texts, other)
         back = sorted((p, d) for p, d in zip(other.column("part").to_pylist(), other.column("df").to_pylist()) if p is not None)
         df = np.concatenate([unpack_counts(d) for _, d in back]) if back else np.empty(0, np.int64)
@@ -322,12 +324,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     named = docs.where("doc_id IS NOT NULL").withColumn("t", F.xxhash64("text", F.reverse("text")))  # tells the texts of rows that share an id apart
 
-    signs = space.save(named.mapInArrow(_digests, "doc_id long, t long, c1 long, c2 long, words long"), "signs")
+    size = docs.count()
+    signs = space.save(few(named.mapInArrow(_digests, "doc_id long, t long, c1 long, c2 long, words long"), size), "signs")
     # aggregates are written before they are joined back: both sides are then plain shuffles, which Spark splits where a key is hot
     least = signs.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.count("*").alias("n"), F.max("words").alias("words"))
-    least = space.save(least.select("c1", "c2", F.col("rep.doc_id").alias("copy_of"), F.col("rep.t").alias("t"), "n", "words"), "least")
+    least = space.save(few(least.select("c1", "c2", F.col("rep.doc_id").alias("copy_of"), F.col("rep.t").alias("t"), "n", "words"), size), "least")
     # a row for each text of a document; several only where rows share an id
-    members = space.save(signs.select("doc_id", "c1", "c2").join(least.select("c1", "c2", "copy_of"), ["c1", "c2"]).select("doc_id", "copy_of").distinct(), "members")
+    members = space.save(few(signs.select("doc_id", "c1", "c2").join(least.select("c1", "c2", "copy_of"), ["c1", "c2"]).select("doc_id", "copy_of").distinct(), size), "members")
     n, shingles, most = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     space.drop("signs")
 
@@ -348,12 +351,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"))).alias("c"), F.count("*").alias("members")
     )
     bucket = bucket.where("a < b").select("band", "members", F.array_distinct(F.array("a", "b", "c.d")).alias("pivots"))
-    shared = space.save(spread.join(space.save(bucket, "pivots"), "band"), "buckets")
+    shared = space.save(spread.join(space.save(few(bucket, size), "pivots"), "band"), "buckets")
     space.drop("least", "pivots")
 
     pairs = shared.select("doc_id", F.explode("pivots").alias("p")).where("doc_id <> p").select(F.least("doc_id", "p").alias("l"), F.greatest("doc_id", "p").alias("r")).distinct()
-    pairs = space.save(pairs, "pairs")
-    wanted = space.save(shared.select("doc_id").distinct(), "wanted")
+    pairs = space.save(few(pairs, size), "pairs")
+    wanted = space.save(few(shared.select("doc_id").distinct(), size), "wanted")
     sets = space.save(sampled.join(wanted, "doc_id", "left_semi").select("doc_id", "t", "df"), "sets")
     texts = space.save(named.join(sets, ["doc_id", "t"]).select("doc_id", "text", "df"), "texts")
     space.drop("sampled", "sets")
@@ -362,7 +365,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = pairs.join(left, "l").join(right, "r").select("l", "r", "l_text", "r_text", "l_df", "r_df").mapInArrow(_verify(n, threshold), "l long, r long, similarity double")
     # rows that share an id tie their texts together
     ties = members.where("doc_id <> copy_of").join(members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"), "doc_id").select(F.col("doc_id").alias("l"), F.col("copy_of").alias("r"))
-    links = space.save(links.select("l", "r").unionByName(ties), "links")
+    links = space.save(few(links.select("l", "r").unionByName(ties), size), "links")
     space.drop("pairs", "wanted")
     roots = connected_components(links, space, "round1")
 
@@ -377,7 +380,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rest = space.save(rest, "rest")
     found = rest.join(texts, "doc_id").groupBy("band", "i", "j").applyInArrow(_across(n, threshold), "l long, r long")
     found = found.join(roots.select(F.col("node").alias("l"), F.col("root").alias("lr")), "l", "left").join(roots.select(F.col("node").alias("r"), F.col("root").alias("rr")), "r", "left")
-    more = space.save(found.select(F.coalesce("lr", "l").alias("l"), F.coalesce("rr", "r").alias("r")).distinct(), "more")
+    more = space.save(few(found.select(F.coalesce("lr", "l").alias("l"), F.coalesce("rr", "r").alias("r")).distinct(), size), "more")
     space.drop("texts", "rest", "buckets", "links")
     merged = connected_components(more, space, "round2").select(F.col("node").alias("was"), F.col("root").alias("now"))
 

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._arrow import trim
 from ._encoding import encoder, groups
-from ._shared import Workspace
+from ._shared import Workspace, few
 from .neardup import near_duplicates
 
 CAPACITY = 2048
@@ -132,6 +133,7 @@ def sized_by_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             sizes = [n + 1 for _, texts in groups(batch) for n in coder.encode(texts)[1].tolist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("cluster"), pa.array(sizes, pa.int64())], ["doc_id", "source", "cluster", "size"])
+        trim()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("cluster"), text.alias("text"))

@@ -2,8 +2,10 @@
 
 import os
 
+import corpus_pipeline
 import public_tokenizers
-from loomtext.llm import _encoding, tokenbin
+from loomtext.llm import _encoding, neardup, tokenbin
+from loomtext.llm._shared import Workspace
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -41,3 +43,38 @@ def test_words_with_marks_and_line_feeds_inside_are_one_text_to_the_library():
     ids, _ = coder.encode([" ".join(many)])
     assert ids.tolist() == coder.tokenizer.encode(" ".join(many), add_special_tokens=False).ids
     assert sum(asked) < 100
+
+
+def test_narrow_tables_of_near_duplicates_are_one_file_each(spark, monkeypatch):
+    texts = [" ".join(f"w{(i % 9) * 7 + j}" for j in range(40)) + (" more" if i % 4 == 0 else "") for i in range(240)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(30)
+    made, save = {}, Workspace.save
+
+    def watched(self, df, name):
+        out = save(self, df, name)
+        made[name] = files(self.path(name))
+        return out
+
+    monkeypatch.setattr(Workspace, "save", watched)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = neardup.near_duplicates(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert {r.doc_id: r.cluster_id for r in found} == {i: i % 9 for i in range(240)}
+    narrow = {k: n for k, n in made.items() if k in ("signs", "least", "members", "pivots", "pairs", "wanted", "links", "more") or k.startswith("round")}
+    assert len(narrow) > 9 and set(narrow.values()) == {1}, narrow
+
+
+def test_sizes_of_many_partitions_are_one_file(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i}", "s", "en", 5) for i in range(60)], "doc_id long, text string, source string, lang string, n_chars int").repartition(30)
+    made, save = {}, Workspace.save
+
+    def watched(self, df, name):
+        out = save(self, df, name)
+        made[name] = files(self.path(name))
+        return out
+
+    monkeypatch.setattr(Workspace, "save", watched)
+    assert corpus_pipeline.packing_stage(spark, docs, "").count() == 60 and made == {"sizes": 1}
