@@ -152,5 +152,6 @@ def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     # written, so that the texts are tokenised once
     space = Workspace(spark, "packing")
-    items = space.save(sized_by_ids(docs, public_tokenizers.path("byte_bpe_50k.json")), "sizes")
-    return pack(space.save(near_clustered(items, docs), "items"))
+    rows = docs.count()
+    items = space.save(few(sized_by_ids(docs, public_tokenizers.path("byte_bpe_50k.json")), rows), "sizes")
+    return pack(space.save(few(near_clustered(items, docs), rows), "items"))

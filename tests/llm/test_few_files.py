@@ -4,7 +4,7 @@ import os
 
 import corpus_pipeline
 import public_tokenizers
-from loomtext.llm import _encoding, neardup, tokenbin
+from loomtext.llm import _encoding, neardup, packing, tokenbin
 from loomtext.llm._shared import Workspace
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -78,3 +78,28 @@ def test_sizes_of_many_partitions_are_one_file(spark, monkeypatch):
 
     monkeypatch.setattr(Workspace, "save", watched)
     assert corpus_pipeline.packing_stage(spark, docs, "").count() == 60 and made == {"sizes": 1}
+
+
+def test_items_to_pack_are_one_file(spark, monkeypatch, tmp_path):
+    rows = [(i, f"word{i} and some more", "s", "en", 5) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars int").repartition(30).write.parquet(f"{tmp_path}/documents.parquet")
+    made, save = {}, Workspace.save
+
+    def watched(self, df, name):
+        out = save(self, df, name)
+        made[name] = files(self.path(name))
+        return out
+
+    monkeypatch.setattr(Workspace, "save", watched)
+    coalesce, packed = "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.maxPartitionBytes"
+    before = {k: spark.conf.get(k) for k in (coalesce, packed, "spark.sql.files.openCostInBytes")}
+    spark.conf.set(coalesce, "false")
+    spark.conf.set(packed, "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "2k")
+    try:
+        out = packing.op2_best_fit_packing(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r.doc_id for r in out) == list(range(60)) and {r.source for r in out} == {"s"} and len({r.bin_id for r in out}) == 60
+    assert made["sizes"] == made["items"] == 1
