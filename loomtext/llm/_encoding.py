@@ -1,9 +1,10 @@
 """Ids of whole texts, each distinct word encoded by the ``tokenizers`` library once.
 
 With a byte-level BPE and its usual pattern a space before a visible character
-always begins a new piece, so a text may be cut there and the ids of the parts
-put together.  Texts are cut, and their words numbered, in Arrow; the ids of a
-batch are one gather from the pool of all known words' ids.
+always begins a new piece, and so do marks after a letter or number: a text may
+be cut at both and the ids of the parts put together.  Texts are cut, and their
+words numbered and looked up, in Arrow; words the library has not been asked for
+yet go to it many at a time, and the ids of a batch are one gather from them all.
 """
 
 from __future__ import annotations
@@ -17,10 +18,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_WORDS = 700_000  #: words a Python worker remembers, in two generations (about 190 bytes each); results don't depend on it
-BATCH_CHARS = 2_000_000  #: characters of texts worked on at once; a longer text is a batch of its own
-_UNSAFE = re.compile(r" (?:\s|\Z)").search  #: a space that begins no word
-_SOLID = re.compile(r"(\S*[^\W_])([.,;:!?]*)").fullmatch  #: a word that ends in a letter or number, and marks after it
+CACHED_WORDS = 2_000_000  #: words a Python worker remembers, in two generations (about 50 bytes each); results don't depend on it
+WORD_BYTES = 24  #: of a remembered word and its ids on average; with longer ones a generation ends earlier
+BATCH_CHARS = 16_000_000  #: characters of texts worked on at once; a longer text is a batch of its own
+GATHERED = 500_000  #: words, of whole texts, whose ids are gathered at once
+_MARKS = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""  #: no apostrophe, which begins a piece of its own before some letters
+_UNSAFE = r" (?:[\s\p{Z}\x0b\x1c-\x1f\x{85}]|\z)"  #: a space that begins no word
+_BLANK = r"^(?:[\s\p{Z}\x0b\x1c-\x1f\x{85}]|\z)"  #: a word, cut at spaces, that begins with no visible character
+_SOLID = r"[\p{L}\p{N}]"
 
 
 def gathered(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -32,27 +37,48 @@ def gathered(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return ids.take(at)
 
 
+def _longer(x: np.ndarray, n: int) -> np.ndarray:
+    out = np.empty(n, x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class Pool:
     """Ids of words, numbered in the order they are met."""
 
     def __init__(self, kind):
-        self.number: dict[str, int] = {}
+        self.words = pa.array([], pa.string())
         self.start = np.zeros(1, np.int64)
         self.size = np.zeros(1, np.int64)
         self.ids = np.zeros(1, kind)
         self.used = 0
 
-    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, held = len(words), len(self.number)
+    def __len__(self) -> int:
+        return len(self.words)
+
+    @property
+    def bytes(self) -> int:
+        return self.words.nbytes + self.used * self.ids.itemsize
+
+    def find(self, words: pa.StringArray) -> np.ndarray:
+        """Their numbers, -1 for words that are not here."""
+        if not len(self):
+            return np.full(len(words), -1, np.int32)
+        return pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False)
+
+    def add(self, words: pa.StringArray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The numbers of words that are not here yet."""
+        n, held = len(words), len(self)
         if held + n > len(self.size):
-            self.start, self.size = (np.resize(x, 2 * (held + n)) for x in (self.start, self.size))
+            self.start, self.size = (_longer(x, 3 * (held + n) // 2) for x in (self.start, self.size))
         if self.used + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
+            self.ids = _longer(self.ids, 3 * (self.used + len(ids)) // 2)
         self.size[held : held + n] = sizes
         self.start[held : held + n] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + len(ids)] = ids
-        self.number.update(zip(words, range(held, held + n)))
+        self.words = pa.concat_arrays([self.words, words])
         self.used += len(ids)
+        return np.arange(held, held + n, dtype=np.int32)
 
     def ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return gathered(self.ids, self.start[at], self.size[at]), self.size[at]
@@ -92,69 +118,92 @@ class Encoder:
             raise ValueError("a token begins with a space inside a word")
         return ids, np.diff(cuts, append=len(ids))
 
-    def _learn(self, words: list[str]) -> None:
-        """Adds words not met before; a word and the marks that end it are pieces of their own."""
-        pool = self.young
-        solid = [_SOLID(w) for w in words]
-        bodies = [m[1] if m else None for m in solid]
-        simple = [b for b in dict.fromkeys(bodies) if b is not None and b not in pool.number]
-        pool.add(simple, *self._run(simple))
-        tails = {t: i for i, t in enumerate(dict.fromkeys(m[2] for m in solid if m))}
-        tail_ids, tail_sizes = self._plain(list(tails))
-        tail_starts = np.cumsum(tail_sizes) - tail_sizes
-        joined = [(w, m) for w, m in zip(words, solid) if m and m[2]]
-        body = np.array([pool.number[m[1]] for _, m in joined], np.int64)
-        tail = np.array([tails[m[2]] for _, m in joined], np.int64)
-        starts = np.stack([pool.start[body], tail_starts[tail] + pool.used], 1).ravel() if joined else np.empty(0, np.int64)
-        sizes = np.stack([pool.size[body], tail_sizes[tail]], 1).ravel() if joined else np.empty(0, np.int64)
-        both = np.concatenate([pool.ids[: pool.used], tail_ids])
-        pool.add([w for w, _ in joined], gathered(both, starts, sizes), sizes.reshape(-1, 2).sum(1))
-        odd = [w for w, m in zip(words, solid) if not m]
-        bare = [w for w in odd if not w or w[0].isspace()]  # first words of texts alone
-        if bare:
-            pool.add(bare, *self._plain([" " + w for w in bare]))
-            odd = [w for w in odd if w and not w[0].isspace()]
-        pool.add(odd, *self._run(odd))
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """Numbers in the young pool, which afterwards holds all the words."""
-        if len(self.young.number) > self.remembered // 2:
+    def _learn(self, words: pa.StringArray) -> np.ndarray:
+        """Adds words that neither generation holds to the young one; their numbers."""
+        blank = pc.match_substring_regex(words, _BLANK)
+        odd = words.filter(blank).to_pylist()  # first words of texts alone
+        at = np.empty(len(words), np.int32)
+        blank = blank.to_numpy(zero_copy_only=False)
+        if odd:
+            at[blank] = self.young.add(pa.array(odd, pa.string()), *self._plain([" " + w for w in odd]))
+        rest = words.filter(pa.array(~blank)) if odd else words
+        at[~blank] = self.young.add(rest, *self._run(rest.to_pylist()))
+        return at
+
+    def _numbers(self, words: pa.StringArray) -> np.ndarray:
+        """Numbers in the young pool, which afterwards holds all the words; no word may be there twice."""
+        if len(self.young) > self.remembered // 2 or self.young.bytes > self.remembered // 2 * WORD_BYTES:
             self.old, self.young = self.young, Pool(self.kind)
-        at = list(map(self.young.number.get, words))
-        lacking = [w for w, n in zip(words, at) if n is None]
-        if lacking:
-            before = list(map(self.old.number.get, lacking))
-            kept = [w for w, n in zip(lacking, before) if n is not None]
-            self.young.add(kept, *self.old.ids_of(np.array([n for n in before if n is not None], np.int64)))
-            self._learn([w for w, n in zip(lacking, before) if n is None])
-            at = list(map(self.young.number.__getitem__, words))
-        return np.array(at, np.int64)
-
-    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
-        begins = np.asarray(parts.offsets)[:-1]
+        at = self.young.find(words).copy()
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            lacking = words.take(pa.array(new))
+            before = self.old.find(lacking)
+            kept = before >= 0
+            at[new[kept]] = self.young.add(lacking.filter(pa.array(kept)), *self.old.ids_of(before[kept]))
+            at[new[~kept]] = self._learn(lacking.filter(pa.array(~kept)))
+        return at
+
+    def _ids_of_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): those of each distinct word; marks after its last letter or number are looked up apart from it."""
+        bodies = pc.ascii_rtrim(words, characters=_MARKS)
+        last = pc.utf8_slice_codeunits(bodies, -1).dictionary_encode()
+        solid = pc.match_substring_regex(last.dictionary, _SOLID).take(last.indices)
+        cut = pc.and_(solid, pc.less(pc.binary_length(bodies), pc.binary_length(words)))
+        numbered = pc.if_else(cut, bodies, words).dictionary_encode()
+        at = self._numbers(numbered.dictionary)[numbered.indices.to_numpy()]
+        ended = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        marks = pc.replace_substring_regex(words.take(pa.array(ended)), rf"^(?s:.*)[^{re.escape(_MARKS)}]", "").dictionary_encode()
+        ids, sizes = self._plain(marks.dictionary.to_pylist())
+        pool, begins = self.young, np.cumsum(sizes) - sizes
+        start, size = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        start[:, 0], size[:, 0] = pool.start[at], pool.size[at]
+        place = marks.indices.to_numpy()
+        start[ended, 1], size[ended, 1] = pool.used + begins[place], sizes[place]
+        both = gathered(np.concatenate([pool.ids[: pool.used], ids]), start.ravel(), size.ravel())
+        size = size.sum(1)
+        return both, np.cumsum(size) - size, size
+
+    def _cut(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        parts = pc.split_pattern(texts, " ")
+        begins = parts.offsets.to_numpy()
+        begins = begins - begins[0]
         numbered = parts.flatten().dictionary_encode()
-        words = numbered.dictionary
-        # no word holds a space, so all are had at once as one text
-        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ")
-        place = self._numbers(words)[np.asarray(numbered.indices)]
+        del parts
+        place = numbered.indices.to_numpy()
+        ids, start, size = self._ids_of_words(numbered.dictionary)
         # the first word of a text has no space before it
-        firsts, first_sizes = self._plain([words[i] for i in np.asarray(numbered.indices)[begins].tolist()])
-        pool = self.young
-        start, size = pool.start[place], pool.size[place]
-        start[begins] = pool.used + np.cumsum(first_sizes) - first_sizes
-        size[begins] = first_sizes
-        return gathered(np.concatenate([pool.ids[: pool.used], firsts]), start, size), np.add.reduceat(size, begins)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        firsts = numbered.dictionary.take(pa.array(place[begins[:-1]])).dictionary_encode()
+        first_ids, first_size = self._plain(firsts.dictionary.to_pylist())
+        first_start = len(ids) + np.cumsum(first_size) - first_size
+        first = firsts.indices.to_numpy()
+        ids = np.concatenate([ids, first_ids])
+        out, sizes, a = [], [], 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(begins, begins[a] + GATHERED, "right")) - 1)
+            at, heads = place[begins[a] : begins[b]], begins[a:b] - begins[a]
+            s, n = start[at], size[at]
+            s[heads], n[heads] = first_start[first[a:b]], first_size[first[a:b]]
+            out.append(gathered(ids, s, n))
+            sizes.append(np.add.reduceat(n, heads))
+            a = b
+        return np.concatenate(out), np.concatenate(sizes)
+
+    def encode(self, texts: list[str] | pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in a row, number of ids of each text)."""
-        cut = np.array([bool(t) and self.by_words and not _UNSAFE(t) and not any(a in t for a in self.added) for t in texts], bool)
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        cut = np.zeros(len(texts), bool)
+        if self.by_words:
+            cut = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            cut = cut & ~pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
+            for a in self.added:
+                cut = cut & ~pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
         if not cut.any():
-            return self._plain(texts)
+            return self._plain(texts.to_pylist())
         if cut.all():
             return self._cut(texts)
         sizes = np.empty(len(texts), np.int64)
-        held = [self._cut([t for t, c in zip(texts, cut) if c]), self._plain([t for t, c in zip(texts, cut) if not c])]
+        held = [self._cut(texts.filter(pa.array(cut))), self._plain(texts.filter(pa.array(~cut)).to_pylist())]
         starts = np.empty(len(texts), np.int64)
         for (ids, n), mine, before in zip(held, (cut, ~cut), (0, len(held[0][0]))):
             sizes[mine] = n
@@ -175,13 +224,11 @@ def encoder(path: str, remembered: int = CACHED_WORDS) -> Encoder:
 
 def groups(batch: pa.RecordBatch):
     """(first row, texts) of runs of rows of a batch's ``text`` that are encoded at once; null is empty."""
-    texts, size, first = [], 0, 0
-    for i, t in enumerate(batch.column("text")):
-        text = t.as_py() or ""
-        if texts and size + len(text) > BATCH_CHARS:
-            yield first, texts
-            texts, size, first = [], 0, i
-        texts.append(text)
-        size += len(text)
-    if texts:
-        yield first, texts
+    texts = batch.column("text").cast(pa.string()).fill_null("")
+    ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        before = int(ends[first - 1]) if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, before + BATCH_CHARS, "right")))
+        yield first, texts.slice(first, end - first)
+        first = end
