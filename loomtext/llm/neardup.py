@@ -8,7 +8,9 @@
 3. Every representative is a weighted set: shingle -> tf * ln(1 + documents / df).
    ``SAMPLES`` improved consistent weighted samples are drawn from it; two
    documents agree in one with the probability of their weighted Jaccard
-   similarity.  ``BAND_ROWS`` samples make a band.
+   similarity.  ``BAND_ROWS`` samples make a band.  A representative whose shingles
+   that other classes hold too weigh less than the threshold's share of it reaches
+   the threshold with no other, whatever that is, and is not sampled.
 4. Representatives that share a band are linked where their exact weighted
    Jaccard similarity, with the same exact frequencies, reaches the threshold.
    Each is first compared with three pivots of its bucket.  Buckets that the
@@ -201,8 +203,13 @@ def _weights(docs: int, df: np.ndarray) -> np.ndarray:
     return np.log1p(docs / df.astype(np.float64))
 
 
-def _sign(docs: int):
-    """A chunk and its frequencies -> bands and frequencies of every representative."""
+def _may_link(weight: np.ndarray, elsewhere: np.ndarray, threshold: float) -> bool:
+    """Whether elements that other classes hold too weigh enough for a similarity of the threshold; what is shared is no more than they."""
+    return float(weight[elsewhere].sum()) >= threshold * (1 - 1e-6) * float(weight.sum())
+
+
+def _sign(docs: int, threshold: float):
+    """A chunk and its frequencies -> bands and frequencies of every representative that may have a link."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, other: pa.Table) -> pa.Table:
         trim()
@@ -212,13 +219,17 @@ def _sign(docs: int):
         if len(df) != len(chunk.distinct):
             raise ValueError("a chunk's frequencies are not those of its shingles")
         weight = _weights(docs, df)
-        found, packed, at = [], [], 0
-        for h, tf, size in zip(chunk.h, chunk.tf, chunk.sizes.tolist()):
+        ids, marks, found, packed, at = [], [], [], [], 0
+        for doc, mark, copies, h, tf, size in zip(chunk.ids, chunk.marks, chunk.copies, chunk.h, chunk.tf, chunk.sizes.tolist()):
             place = chunk.place[at : at + size]
             at += size
-            found.append(bands(_sampler().sample(h, tf * weight[place])) if size else np.empty(0, np.uint64))
-            packed.append(pack_counts(df[place]))
-        return pa.table({"doc_id": pa.array(chunk.ids, pa.int64()), "t": pa.array(chunk.marks, pa.int64()), "bands": lists(found), "df": pa.array(packed, pa.binary())})
+            own, w = df[place], tf * weight[place]
+            if size and _may_link(w, own > copies, threshold):
+                ids.append(doc)
+                marks.append(mark)
+                found.append(bands(_sampler().sample(h, w)))
+                packed.append(pack_counts(own))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "t": pa.array(marks, pa.int64()), "bands": lists(found), "df": pa.array(packed, pa.binary())})
 
     return run
 
@@ -344,7 +355,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     back = sent.groupBy("part").applyInArrow(_count, "chunk long, part long, df binary")
     # the texts' shuffle is the same on both sides of the counting, and made once
     known = classes.unionByName(back, allowMissingColumns=True)
-    sampled = space.save(texts.cogroup(known.groupBy("chunk")).applyInArrow(_sign(n), "doc_id long, t long, bands array<long>, df binary"), "sampled")
+    sampled = space.save(texts.cogroup(known.groupBy("chunk")).applyInArrow(_sign(n, threshold), "doc_id long, t long, bands array<long>, df binary"), "sampled")
     space.release()  # all texts and shingles, which would lie beside the next shuffles
     spread = sampled.select("doc_id", F.explode("bands").alias("band"))
     bucket = spread.groupBy("band").agg(

@@ -30,7 +30,7 @@ from .neardup import near_duplicates
 
 CAPACITY = 2048
 SHARD_DOCS = 8192
-REMEMBERED = 400_000  #: words the encoder remembers beside what other operators of a pipeline hold
+REMEMBERED = 1_200_000  #: words the encoder remembers beside what other operators of a pipeline hold
 
 
 class BestFit:
