@@ -88,13 +88,14 @@ class _Chunk:
 
     def __init__(self, texts: pa.Table, classes: pa.Table):
         copies = {(d, t): n for d, t, n in zip(*(classes.column(c).to_pylist() for c in ("doc_id", "t", "n"))) if n is not None}
-        self.ids, self.marks, self.copies, self.h, self.tf = [], [], [], [], []
-        for doc, t, text in zip(texts.column("doc_id").to_pylist(), texts.column("t").to_pylist(), texts.column("text")):
+        self.ids, self.marks, self.rows, self.copies, self.h, self.tf = [], [], [], [], [], []
+        for row, (doc, t, text) in enumerate(zip(texts.column("doc_id").to_pylist(), texts.column("t").to_pylist(), texts.column("text"))):
             n = copies.pop((doc, t), None)
             if n is not None:  # a representative; a row equal to one seen is not looked at again
                 h, tf = _shingle_counts(text.as_py())
                 self.ids.append(doc)
                 self.marks.append(t)
+                self.rows.append(row)
                 self.copies.append(n)
                 self.h.append(h)
                 self.tf.append(tf)
@@ -209,7 +210,7 @@ def _may_link(weight: np.ndarray, elsewhere: np.ndarray, threshold: float) -> bo
 
 
 def _sign(docs: int, threshold: float):
-    """A chunk and its frequencies -> bands and frequencies of every representative that may have a link."""
+    """A chunk and its frequencies -> bands, frequencies and text of every representative that may have a link."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, other: pa.Table) -> pa.Table:
         trim()
@@ -219,17 +220,18 @@ def _sign(docs: int, threshold: float):
         if len(df) != len(chunk.distinct):
             raise ValueError("a chunk's frequencies are not those of its shingles")
         weight = _weights(docs, df)
-        ids, marks, found, packed, at = [], [], [], [], 0
-        for doc, mark, copies, h, tf, size in zip(chunk.ids, chunk.marks, chunk.copies, chunk.h, chunk.tf, chunk.sizes.tolist()):
+        ids, marks, places, found, packed, at = [], [], [], [], [], 0
+        for doc, mark, row, copies, h, tf, size in zip(chunk.ids, chunk.marks, chunk.rows, chunk.copies, chunk.h, chunk.tf, chunk.sizes.tolist()):
             place = chunk.place[at : at + size]
             at += size
             own, w = df[place], tf * weight[place]
             if size and _may_link(w, own > copies, threshold):
                 ids.append(doc)
                 marks.append(mark)
+                places.append(row)
                 found.append(bands(_sampler().sample(h, w)))
                 packed.append(pack_counts(own))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "t": pa.array(marks, pa.int64()), "bands": lists(found), "df": pa.array(packed, pa.binary())})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "t": pa.array(marks, pa.int64()), "bands": lists(found), "df": pa.array(packed, pa.binary()), "text": texts.column("text").take(pa.array(places, pa.int64()))})
 
     return run
 
@@ -333,7 +335,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     space = Workspace(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    named = docs.where("doc_id IS NOT NULL").withColumn("t", F.xxhash64("text", F.reverse("text")))  # tells the texts of rows that share an id apart
+    named = docs.where("doc_id IS NOT NULL").withColumn("t", F.xxhash64("text", F.hash("text")))  # tells the texts of rows that share an id apart
 
     size = docs.count()
     signs = space.save(few(named.mapInArrow(_digests, "doc_id long, t long, c1 long, c2 long, words long"), size), "signs")
@@ -343,11 +345,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # a row for each text of a document; several only where rows share an id
     members = space.save(few(signs.select("doc_id", "c1", "c2").join(least.select("c1", "c2", "copy_of"), ["c1", "c2"]).select("doc_id", "copy_of").distinct(), size), "members")
     n, shingles, most = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    repeated = most > 1 and signs.groupBy("doc_id", "t").count().where("count > 1").limit(1).count()
     space.drop("signs")
 
     groups = chunks(shingles)
     chunk = F.pmod(F.xxhash64("doc_id", "t"), F.lit(groups)).alias("chunk")
-    if most > 1 and named.groupBy("doc_id", "t").count().where("count > 1").limit(1).count():
+    if repeated:
         named = named.groupBy("doc_id", "t").agg(F.first("text").alias("text"))  # equal rows become one before they are dealt
     texts = named.select(chunk, "doc_id", "t", "text").groupBy("chunk")
     classes = least.select(F.pmod(F.xxhash64("copy_of", "t"), F.lit(groups)).alias("chunk"), F.col("copy_of").alias("doc_id"), "t", "n")
@@ -355,7 +358,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     back = sent.groupBy("part").applyInArrow(_count, "chunk long, part long, df binary")
     # the texts' shuffle is the same on both sides of the counting, and made once
     known = classes.unionByName(back, allowMissingColumns=True)
-    sampled = space.save(texts.cogroup(known.groupBy("chunk")).applyInArrow(_sign(n, threshold), "doc_id long, t long, bands array<long>, df binary"), "sampled")
+    sampled = space.save(texts.cogroup(known.groupBy("chunk")).applyInArrow(_sign(n, threshold), "doc_id long, t long, bands array<long>, df binary, text string"), "sampled")
     space.release()  # all texts and shingles, which would lie beside the next shuffles
     spread = sampled.select("doc_id", F.explode("bands").alias("band"))
     bucket = spread.groupBy("band").agg(
@@ -368,9 +371,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = shared.select("doc_id", F.explode("pivots").alias("p")).where("doc_id <> p").select(F.least("doc_id", "p").alias("l"), F.greatest("doc_id", "p").alias("r")).distinct()
     pairs = space.save(few(pairs, size), "pairs")
     wanted = space.save(few(shared.select("doc_id").distinct(), size), "wanted")
-    sets = space.save(sampled.join(wanted, "doc_id", "left_semi").select("doc_id", "t", "df"), "sets")
-    texts = space.save(named.join(sets, ["doc_id", "t"]).select("doc_id", "text", "df"), "texts")
-    space.drop("sampled", "sets")
+    texts = space.save(sampled.join(wanted, "doc_id", "left_semi").select("doc_id", "text", "df"), "texts")
+    space.drop("sampled")
     space.release()
     left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"), F.col("df").alias(f"{c}_df")) for c in ("l", "r"))
     links = pairs.join(left, "l").join(right, "r").select("l", "r", "l_text", "r_text", "l_df", "r_df").mapInArrow(_verify(n, threshold), "l long, r long, similarity double")
