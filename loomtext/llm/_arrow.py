@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,18 @@ def _value(x):
     return x.as_py()
 
 
-def trim() -> None:
-    """Give freed memory back to the system, which a worker would else keep while it waits or does other work."""
+_trimmed = 0.0
+
+
+def trim(pause: float = 0.0) -> None:
+    """Give freed memory back to the system, which a worker would else keep while it waits or does other work.
+
+    Getting it again costs time: not done within ``pause`` seconds of the last time.
+    """
+    global _trimmed
+    if pause and time.monotonic() - _trimmed < pause:
+        return
+    _trimmed = time.monotonic()
     pa.default_memory_pool().release_unused()
     give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
     if give_back:

@@ -26,6 +26,18 @@ _MARKS = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""  #: no apostrophe, which begins
 _UNSAFE = r" (?:[\s\p{Z}\x0b\x1c-\x1f\x{85}]|\z)"  #: a space that begins no word
 _BLANK = r"^(?:[\s\p{Z}\x0b\x1c-\x1f\x{85}]|\z)"  #: a word, cut at spaces, that begins with no visible character
 _SOLID = r"[\p{L}\p{N}]"
+_LINES = r"(?:^|[\s\p{Z}\x0b\x1c-\x1f\x{85}])\n|\n(?:[\s\p{Z}\x0b\x1c-\x1f\x{85}]|\z)"  #: a line feed that is no piece of its own
+_LETTERS = r"^\n?[A-Za-zªµºÀ-ÖØ-öø-ʯ]+\z"  #: one piece, but for the line feed
+
+
+def _byte_characters() -> dict[int, str]:
+    """What byte-level models have for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTES = _byte_characters()
 
 
 def gathered(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -43,6 +55,12 @@ def _longer(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _joined(words: pa.StringArray) -> str:
+    """Words without a space, and one between them."""
+    ends = pa.array([0, len(words)], pa.int64())
+    return pc.binary_join(pa.LargeListArray.from_arrays(ends, words.cast(pa.large_string())), pa.scalar(" ", pa.large_string()))[0].as_py()
+
+
 class Pool:
     """Ids of words, numbered in the order they are met."""
 
@@ -102,6 +120,7 @@ class Encoder:
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  #: ids whose token begins with a space
         self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.young, self.old = Pool(self.kind), Pool(self.kind)
+        self.counted, self.counted_before, self.counted_chars = {}, {}, 0  #: words and their number of ids, for ``sizes``
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -144,36 +163,84 @@ class Encoder:
             at[new[~kept]] = self._learn(lacking.filter(pa.array(~kept)))
         return at
 
-    def _ids_of_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, start, size): those of each distinct word; marks after its last letter or number are looked up apart from it."""
+    def _bodies(self, words: pa.StringArray) -> tuple[pa.DictionaryArray, np.ndarray, pa.DictionaryArray]:
+        """(distinct words without the marks after their last letter or number, which of the words have such, these marks)."""
         bodies = pc.ascii_rtrim(words, characters=_MARKS)
         last = pc.utf8_slice_codeunits(bodies, -1).dictionary_encode()
         solid = pc.match_substring_regex(last.dictionary, _SOLID).take(last.indices)
         cut = pc.and_(solid, pc.less(pc.binary_length(bodies), pc.binary_length(words)))
-        numbered = pc.if_else(cut, bodies, words).dictionary_encode()
-        at = self._numbers(numbered.dictionary)[numbered.indices.to_numpy()]
         ended = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
         marks = pc.replace_substring_regex(words.take(pa.array(ended)), rf"^(?s:.*)[^{re.escape(_MARKS)}]", "").dictionary_encode()
+        return pc.if_else(cut, bodies, words).dictionary_encode(), ended, marks
+
+    def _ids_of_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): those of each distinct word; marks after its last letter or number are looked up apart from it."""
+        numbered, ended, marks = self._bodies(words)
+        at = self._numbers(numbered.dictionary)[numbered.indices.to_numpy()]
         ids, sizes = self._plain(marks.dictionary.to_pylist())
-        pool, begins = self.young, np.cumsum(sizes) - sizes
+        pool, begins, place = self.young, np.cumsum(sizes) - sizes, marks.indices.to_numpy()
         start, size = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
         start[:, 0], size[:, 0] = pool.start[at], pool.size[at]
-        place = marks.indices.to_numpy()
         start[ended, 1], size[ended, 1] = pool.used + begins[place], sizes[place]
         both = gathered(np.concatenate([pool.ids[: pool.used], ids]), start.ravel(), size.ravel())
         size = size.sum(1)
         return both, np.cumsum(size) - size, size
 
-    def _cut(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, words: pa.StringArray, before: str) -> list[int]:
+        """Numbers of ids of words of letters, which the model is asked for without cutting them again."""
+        ask = self.tokenizer.model.tokenize
+        held = _joined(words).encode().decode("latin-1").translate(_BYTES)
+        return [len(ask(before + w)) for w in held.split(_BYTES[32])]
+
+    def _count(self, words: pa.StringArray) -> np.ndarray:
+        """Numbers of ids of words, each with its space before it; or none, if it begins with a line feed, which then is a piece of its own."""
+        feed = len(self._plain(["\n"])[0])
+        line, letters = pc.starts_with(words, "\n"), pc.match_substring_regex(words, _LETTERS)
+        blank = pc.and_(pc.match_substring_regex(words, _BLANK), pc.invert(line))
+        sizes = np.empty(len(words), np.int64)
+        for kind, count in (
+            (pc.and_(letters, pc.invert(line)), lambda w: self._pieces(w, _BYTES[32])),
+            (pc.and_(letters, line), lambda w: np.array(self._pieces(pc.utf8_slice_codeunits(w, 1), "")) + feed),
+            (pc.and_(pc.invert(letters), line), lambda w: self._plain([x[1:] for x in w.to_pylist()])[1] + feed),
+            (blank, lambda w: self._plain([" " + x for x in w.to_pylist()])[1]),  # first words of texts alone
+            (pc.invert(pc.or_(pc.or_(letters, line), blank)), lambda w: self._run(w.to_pylist())[1]),
+        ):
+            some = words.filter(kind)
+            if len(some):
+                sizes[kind.to_numpy(zero_copy_only=False)] = count(some)
+        return sizes
+
+    def _sizes_of_words(self, words: pa.StringArray) -> np.ndarray:
+        """Of each distinct word; marks after its last letter or number are looked up apart from it."""
+        numbered, ended, marks = self._bodies(words)
+        if len(self.counted) > self.remembered // 2 or self.counted_chars > self.remembered // 2 * WORD_BYTES:
+            self.counted, self.counted_before, self.counted_chars = {}, self.counted, 0
+        keys = _joined(numbered.dictionary).split(" ")
+        sizes = np.array([self.counted.get(w, -1) for w in keys], np.int64)
+        for find in (lambda new: np.array([self.counted_before.get(keys[i], -1) for i in new.tolist()], np.int64), lambda new: self._count(numbered.dictionary.take(pa.array(new)))):
+            new = np.flatnonzero(sizes < 0)
+            if len(new):
+                sizes[new] = found = find(new)
+                kept = {keys[i]: n for i, n in zip(new.tolist(), found.tolist()) if n >= 0}
+                self.counted.update(kept)
+                self.counted_chars += sum(map(len, kept))
+        size = sizes.take(numbered.indices.to_numpy())
+        size[ended] += self._plain(marks.dictionary.to_pylist())[1].take(marks.indices.to_numpy())
+        return size
+
+    def _split(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.StringArray, pa.DictionaryArray]:
+        """(where texts begin among all words, number of each word, the distinct words, the first word of each text, which has no space before it)."""
         parts = pc.split_pattern(texts, " ")
         begins = parts.offsets.to_numpy()
         begins = begins - begins[0]
         numbered = parts.flatten().dictionary_encode()
         del parts
         place = numbered.indices.to_numpy()
-        ids, start, size = self._ids_of_words(numbered.dictionary)
-        # the first word of a text has no space before it
-        firsts = numbered.dictionary.take(pa.array(place[begins[:-1]])).dictionary_encode()
+        return begins, place, numbered.dictionary, numbered.dictionary.take(pa.array(place[begins[:-1]])).dictionary_encode()
+
+    def _cut(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        begins, place, words, firsts = self._split(texts)
+        ids, start, size = self._ids_of_words(words)
         first_ids, first_size = self._plain(firsts.dictionary.to_pylist())
         first_start = len(ids) + np.cumsum(first_size) - first_size
         first = firsts.indices.to_numpy()
@@ -189,15 +256,37 @@ class Encoder:
             a = b
         return np.concatenate(out), np.concatenate(sizes)
 
+    def _cut_sizes(self, texts: pa.StringArray) -> np.ndarray:
+        texts = pc.if_else(pc.match_substring_regex(texts, _LINES), texts, pc.replace_substring(texts, "\n", " \n"))
+        begins, place, words, firsts = self._split(texts)
+        n = self._sizes_of_words(words).take(place)
+        n[begins[:-1]] = self._plain(firsts.dictionary.to_pylist())[1].take(firsts.indices.to_numpy())
+        return np.add.reduceat(n, begins[:-1])
+
+    def _may_cut(self, texts: pa.StringArray) -> np.ndarray:
+        if not self.by_words:
+            return np.zeros(len(texts), bool)
+        cut = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        cut = cut & ~pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
+        for a in self.added:
+            cut = cut & ~pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        return cut
+
+    def sizes(self, texts: list[str] | pa.StringArray) -> np.ndarray:
+        """Number of ids of each text, as ``encode`` gives it, without putting the ids together."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        cut = self._may_cut(texts)
+        sizes = np.empty(len(texts), np.int64)
+        if cut.any():
+            sizes[cut] = self._cut_sizes(texts if cut.all() else texts.filter(pa.array(cut)))
+        if not cut.all():
+            sizes[~cut] = self._plain(texts.filter(pa.array(~cut)).to_pylist())[1]
+        return sizes
+
     def encode(self, texts: list[str] | pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in a row, number of ids of each text)."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        cut = np.zeros(len(texts), bool)
-        if self.by_words:
-            cut = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            cut = cut & ~pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
-            for a in self.added:
-                cut = cut & ~pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        cut = self._may_cut(texts)
         if not cut.any():
             return self._plain(texts.to_pylist())
         if cut.all():

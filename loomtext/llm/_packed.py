@@ -23,7 +23,7 @@ def edges(parts: int) -> np.ndarray:
     return np.array([((1 << 64) * i) // parts for i in range(1, parts)], np.uint64)
 
 
-def _press(data: bytes) -> bytes:
+def _press(data) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
 
@@ -33,7 +33,7 @@ def _expand(data: bytes) -> bytes:
 
 def pack(x: np.ndarray) -> bytes:
     """64-bit numbers, byte by byte of all of them: upper bytes that repeat compress."""
-    return _press(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).tobytes())
+    return _press(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).ravel())
 
 
 def unpack(data: bytes, kind=np.int64) -> np.ndarray:
@@ -42,7 +42,9 @@ def unpack(data: bytes, kind=np.int64) -> np.ndarray:
 
 def pack_sorted(h: np.ndarray) -> bytes:
     """Ascending hashes as gaps."""
-    return pack(np.diff(h, prepend=np.uint64(0)))
+    gaps = h.copy()
+    gaps[1:] -= h[:-1]
+    return pack(gaps)
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:

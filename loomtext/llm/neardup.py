@@ -39,13 +39,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._arrow import lists, rows, trim
 from ._components import connected_components
-from ._hashing import WordHasher, mix
+from ._hashing import WordHasher, in_order, mix
 from ._packed import chunks, edges, pack_counts, pack_sorted, unpack_counts, unpack_sorted
 from ._shared import Workspace, few
 
 SAMPLES, BAND_ROWS = 48, 4
 THRESHOLD = 0.8
 BLOCK = 256
+PAUSE = 2.0  #: seconds between two times that a worker gives memory back
 _U = np.uint64
 
 
@@ -67,46 +68,73 @@ def _shingle_counts(text: str | None):
 # exact copies -------------------------------------------------------------------
 
 
+_BLANKS = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+
+
+DIGEST = "doc_id long, t long, c1 long, c2 long, words long"
+
+
+def named_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, t) of rows with an id; null is empty, and t tells the texts of rows that share an id apart."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.where("doc_id IS NOT NULL").withColumn("t", text_mark("text"))
+
+
+def text_mark(text):
+    return F.xxhash64(text, F.hash(text))
+
+
+def digested(texts: pa.Array) -> list[pa.Array]:
+    """128 bits of the words in their order, in two columns, and how many words there are."""
+    c1, c2, size = [], [], []
+    for text in texts:
+        words = (text.as_py() or "").encode("utf-8", "surrogatepass").translate(_BLANKS)
+        if b"  " in words or words[:1] == b" " or words[-1:] == b" ":  # else one blank stands between words already
+            words = b" ".join(words.split())
+        d = hashlib.blake2b(words, digest_size=16).digest()
+        c1.append(int.from_bytes(d[:8], "little", signed=True))
+        c2.append(int.from_bytes(d[8:], "little", signed=True))
+        size.append(len(words) - len(words.translate(None, b" ")) + 1 if words else 0)
+    return [pa.array(x, pa.int64()) for x in (c1, c2, size)]
+
+
 def _digests(batches):
-    """128 bits of the words in their order, and how many words there are."""
     for batch in batches:
-        c1, c2, size = [], [], []
-        for text in batch.column("text"):
-            words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-            d = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-            c1.append(int.from_bytes(d[:8], "little", signed=True))
-            c2.append(int.from_bytes(d[8:], "little", signed=True))
-            size.append(len(words))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "t", "c1", "c2", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), *digested(batch.column("text"))], ["doc_id", "t", "c1", "c2", "words"])
 
 
 # document frequencies -------------------------------------------------------------
 
 
 class _Chunk:
-    """The representatives' shingles of one chunk."""
+    """The representatives' shingles of one chunk: a row of ``owner``, ``place`` and ``tf`` for each of a text, in order of its hash."""
 
     def __init__(self, texts: pa.Table, classes: pa.Table):
         copies = {(d, t): n for d, t, n in zip(*(classes.column(c).to_pylist() for c in ("doc_id", "t", "n"))) if n is not None}
-        self.ids, self.marks, self.rows, self.copies, self.h, self.tf = [], [], [], [], [], []
-        for row, (doc, t, text) in enumerate(zip(texts.column("doc_id").to_pylist(), texts.column("t").to_pylist(), texts.column("text"))):
+        self.ids, self.marks, self.rows, held = [], [], [], []
+        for row, (doc, t) in enumerate(zip(texts.column("doc_id").to_pylist(), texts.column("t").to_pylist())):
             n = copies.pop((doc, t), None)
             if n is not None:  # a representative; a row equal to one seen is not looked at again
-                h, tf = _shingle_counts(text.as_py())
                 self.ids.append(doc)
                 self.marks.append(t)
                 self.rows.append(row)
-                self.copies.append(n)
-                self.h.append(h)
-                self.tf.append(tf)
-        self.sizes = np.array([len(h) for h in self.h], np.int64)
-        flat = np.concatenate(self.h) if self.h else np.empty(0, np.uint64)
-        self.distinct, self.place = np.unique(flat, return_inverse=True)
+                held.append(n)
+        self.copies = np.array(held, np.int64)
+        found = texts.column("text")
+        h, owner = _hasher().shingles_of(found if len(held) == len(found) else found.take(pa.array(self.rows, pa.int64())))
+        order, h = in_order(h)
+        owner = owner.take(order)
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        first = new.copy()
+        first[1:] |= owner[1:] != owner[:-1]
+        at = np.flatnonzero(first)
+        self.distinct, self.place = h[new], np.cumsum(new)[at] - 1
+        self.owner, self.tf = owner.take(at), np.diff(at, append=len(h))
 
     def counts(self) -> np.ndarray:
         """Rows of the chunk's classes that hold each distinct shingle."""
-        each = np.repeat(np.array(self.copies, np.int64), self.sizes)
-        return np.bincount(self.place, each, len(self.distinct)).astype(np.int64) if len(each) else np.empty(0, np.int64)
+        return np.bincount(self.place, self.copies.take(self.owner), len(self.distinct)).astype(np.int64) if len(self.place) else np.empty(0, np.int64)
 
 
 def _send(parts: int):
@@ -114,7 +142,7 @@ def _send(parts: int):
     begins = edges(parts)
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, classes: pa.Table) -> pa.Table:
-        trim()
+        trim(PAUSE)
         chunk = _Chunk(texts, classes)
         cuts = [0, *np.searchsorted(chunk.distinct, begins).tolist(), len(chunk.distinct)]
         n = chunk.counts()
@@ -134,10 +162,15 @@ def _count(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
     """What all chunks sent to a part -> to each chunk the frequencies of what it sent."""
     chunk, hashes, counts = (part.column(c).to_pylist() for c in ("chunk", "hashes", "n"))
     sent = [unpack_sorted(x) for x in hashes]
-    distinct, place = np.unique(np.concatenate(sent), return_inverse=True)
-    total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, place, np.concatenate([unpack_counts(x) for x in counts]).astype(np.int64))
-    df = np.split(total[place], np.cumsum([len(h) for h in sent])[:-1])
+    h = np.concatenate(sent)
+    with np.errstate(over="ignore"):
+        h *= _U(0x9E3779B97F4A7C15)  # a part's hashes begin alike; the product brings their lower bits up
+    order, h = in_order(h)
+    first = np.flatnonzero(np.concatenate((np.ones(1, bool), h[1:] != h[:-1])))
+    total = np.add.reduceat(np.concatenate([unpack_counts(x) for x in counts]).astype(np.int64).take(order), first)
+    df = np.empty(len(h), np.int64)
+    df[order] = np.repeat(total, np.diff(first, append=len(h)))
+    df = np.split(df, np.cumsum([len(h) for h in sent])[:-1])
     return pa.table({"chunk": pa.array(chunk, pa.int64()), "part": pa.array([key[0].as_py()] * len(chunk), pa.int64()), "df": pa.array([pack_counts(x) for x in df], pa.binary())})
 
 
@@ -204,33 +237,36 @@ def _weights(docs: int, df: np.ndarray) -> np.ndarray:
     return np.log1p(docs / df.astype(np.float64))
 
 
-def _may_link(weight: np.ndarray, elsewhere: np.ndarray, threshold: float) -> bool:
-    """Whether elements that other classes hold too weigh enough for a similarity of the threshold; what is shared is no more than they."""
-    return float(weight[elsewhere].sum()) >= threshold * (1 - 1e-6) * float(weight.sum())
+def _may_link(weight: np.ndarray, elsewhere: np.ndarray, owner: np.ndarray, owners: int, threshold: float) -> np.ndarray:
+    """Whether an owner's elements that other classes hold too weigh enough for a similarity of the threshold; what is shared is no more than they."""
+    whole = np.bincount(owner, weight, owners)
+    return (whole > 0) & (np.bincount(owner, weight * elsewhere, owners) >= threshold * (1 - 1e-6) * whole)
 
 
 def _sign(docs: int, threshold: float):
     """A chunk and its frequencies -> bands, frequencies and text of every representative that may have a link."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, other: pa.Table) -> pa.Table:
-        trim()
+        trim(PAUSE)
         chunk = _Chunk(texts, other)
         back = sorted((p, d) for p, d in zip(other.column("part").to_pylist(), other.column("df").to_pylist()) if p is not None)
         df = np.concatenate([unpack_counts(d) for _, d in back]) if back else np.empty(0, np.int64)
         if len(df) != len(chunk.distinct):
             raise ValueError("a chunk's frequencies are not those of its shingles")
-        weight = _weights(docs, df)
-        ids, marks, places, found, packed, at = [], [], [], [], [], 0
-        for doc, mark, row, copies, h, tf, size in zip(chunk.ids, chunk.marks, chunk.rows, chunk.copies, chunk.h, chunk.tf, chunk.sizes.tolist()):
-            place = chunk.place[at : at + size]
-            at += size
-            own, w = df[place], tf * weight[place]
-            if size and _may_link(w, own > copies, threshold):
-                ids.append(doc)
-                marks.append(mark)
-                places.append(row)
-                found.append(bands(_sampler().sample(h, w)))
-                packed.append(pack_counts(own))
+        own, w = df[chunk.place], chunk.tf * _weights(docs, df)[chunk.place]
+        may = _may_link(w, own > chunk.copies.take(chunk.owner), chunk.owner, len(chunk.ids), threshold)
+        at = np.flatnonzero(may.take(chunk.owner))
+        at = at.take(np.argsort(chunk.owner.take(at), kind="stable"))
+        wanted = np.flatnonzero(may)
+        ends = np.searchsorted(chunk.owner.take(at), wanted, "right").tolist()
+        ids, marks, places, found, packed = [], [], [], [], []
+        for i, begin, end in zip(wanted.tolist(), [0, *ends], ends):
+            mine = at[begin:end]
+            ids.append(chunk.ids[i])
+            marks.append(chunk.marks[i])
+            places.append(chunk.rows[i])
+            found.append(bands(_sampler().sample(chunk.distinct.take(chunk.place.take(mine)), w.take(mine))))
+            packed.append(pack_counts(own.take(mine)))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "t": pa.array(marks, pa.int64()), "bands": lists(found), "df": pa.array(packed, pa.binary()), "text": texts.column("text").take(pa.array(places, pa.int64()))})
 
     return run
@@ -330,15 +366,18 @@ def _across(docs: int, threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, cluster_id (least id of the cluster), copy_of (least id with equal words), kept."""
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, signs: DataFrame | None = None) -> DataFrame:
+    """doc_id, cluster_id (least id of the cluster), copy_of (least id with equal words), kept.
+
+    ``signs``: the columns of ``DIGEST`` for ``named_texts``, if they are written already.
+    """
     spark = docs.sparkSession
     space = Workspace(spark, "neardup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    named = docs.where("doc_id IS NOT NULL").withColumn("t", F.xxhash64("text", F.hash("text")))  # tells the texts of rows that share an id apart
+    named = named_texts(docs)
 
     size = docs.count()
-    signs = space.save(few(named.mapInArrow(_digests, "doc_id long, t long, c1 long, c2 long, words long"), size), "signs")
+    if signs is None:
+        signs = space.save(few(named.mapInArrow(_digests, DIGEST), size), "signs")
     # aggregates are written before they are joined back: both sides are then plain shuffles, which Spark splits where a key is hot
     least = signs.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.count("*").alias("n"), F.max("words").alias("words"))
     least = space.save(few(least.select("c1", "c2", F.col("rep.doc_id").alias("copy_of"), F.col("rep.t").alias("t"), "n", "words"), size), "least")
@@ -401,7 +440,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     up = up.join(roots, up["copy_of"] == roots["node"], "left").select("doc_id", "copy_of", F.coalesce("root", "copy_of").alias("root"))
     up = up.join(merged, up["root"] == merged["was"], "left").select("doc_id", F.coalesce("now", "root").alias("cluster_id"), "copy_of")
     up = up.withColumn("kept", F.col("doc_id") == F.col("cluster_id"))
-    lost = docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("cluster_id"), F.lit(None).cast("long").alias("copy_of"), F.lit(True).alias("kept"))
+    lost = docs.where("CAST(doc_id AS long) IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("cluster_id"), F.lit(None).cast("long").alias("copy_of"), F.lit(True).alias("kept"))
     return up.unionByName(lost)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._arrow import trim
 from ._encoding import encoder, groups
 from ._shared import Workspace, few
-from .neardup import near_duplicates
+from .neardup import digested, near_duplicates, text_mark
 
 CAPACITY = 2048
 SHARD_DOCS = 8192
@@ -125,24 +125,37 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.xxhash64(text).alias("cluster"), F.ceil(F.octet_length(text) / 4).alias("size"))
 
 
-def sized_by_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Documents as items of their real ids over the whole text and the end id; equal texts are a cluster."""
+def _measured(docs: DataFrame, tokenizer: str, digest: bool) -> DataFrame:
+    """Items of real ids; with ``digest`` what operator 1 asks of every text too, so that the texts are read once for both."""
+    names = ["doc_id", "source", "cluster", *["t"][:digest]]
 
     def run(batches):
         coder = encoder(tokenizer, REMEMBERED)
         for batch in batches:
-            sizes = [n + 1 for _, texts in groups(batch) for n in coder.encode(texts)[1].tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("cluster"), pa.array(sizes, pa.int64())], ["doc_id", "source", "cluster", "size"])
+            sizes = [n + 1 for _, texts in groups(batch) for n in coder.sizes(texts).tolist()]
+            columns = [batch.column(n) for n in names] + [pa.array(sizes, pa.int64())]
+            digests = digested(batch.column("text")) if digest else []
+            yield pa.RecordBatch.from_arrays(columns + digests, [*names, "size", *["c1", "c2", "words"][: len(digests)]])
         trim()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("cluster"), text.alias("text"))
-    return texts.mapInArrow(run, "doc_id long, source string, cluster long, size long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("cluster"), *[text_mark(text).alias("t")][:digest], text.alias("text"))
+    return texts.mapInArrow(run, "doc_id long, source string, cluster long, size long" if not digest else "doc_id long, source string, cluster long, t long, size long, c1 long, c2 long, words long")
+
+
+def sized_by_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Documents as items of their real ids over the whole text and the end id; equal texts are a cluster."""
+    return _measured(docs, tokenizer, False)
+
+
+def sized_and_digested(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """The items of ``sized_by_ids`` with the digests of operator 1: the texts are read once for both."""
+    return _measured(docs, tokenizer, True)
 
 
-def near_clustered(items: DataFrame, docs: DataFrame) -> DataFrame:
+def near_clustered(items: DataFrame, docs: DataFrame, signs: DataFrame | None = None) -> DataFrame:
     """The items with their near-duplicate clusters; rows without an id keep that of their exact text."""
-    near = near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", "cluster_id")
+    near = near_duplicates(docs, signs=signs).where("doc_id IS NOT NULL").select("doc_id", "cluster_id")
     return items.join(near, "doc_id", "left").select("doc_id", "source", F.coalesce("cluster_id", "cluster").alias("cluster"), "size")
 
 
@@ -153,5 +166,6 @@ def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     # written, so that the texts are tokenised once
     space = Workspace(spark, "packing")
     rows = docs.count()
-    items = space.save(few(sized_by_ids(docs, public_tokenizers.path("byte_bpe_50k.json")), rows), "sizes")
-    return pack(space.save(few(near_clustered(items, docs), rows), "items"))
+    read = space.save(few(sized_and_digested(docs, public_tokenizers.path("byte_bpe_50k.json")), rows), "sizes")
+    signs = read.where("doc_id IS NOT NULL").select("doc_id", "t", "c1", "c2", "words")
+    return pack(space.save(few(near_clustered(read, docs, signs), rows), "items"))
