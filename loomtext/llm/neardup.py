@@ -87,8 +87,8 @@ def text_mark(text):
 def digested(texts: pa.Array) -> list[pa.Array]:
     """128 bits of the words in their order, in two columns, and how many words there are."""
     c1, c2, size = [], [], []
-    for text in texts:
-        words = (text.as_py() or "").encode("utf-8", "surrogatepass").translate(_BLANKS)
+    for text in texts.cast(pa.string()).cast(pa.binary()):
+        words = (text.as_py() or b"").translate(_BLANKS)
         if b"  " in words or words[:1] == b" " or words[-1:] == b" ":  # else one blank stands between words already
             words = b" ".join(words.split())
         d = hashlib.blake2b(words, digest_size=16).digest()
